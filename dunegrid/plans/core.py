@@ -317,14 +317,15 @@ def inspect_label_features(spark, sf):
     return p.select(F.concat_ws(":", F.col("scene").cast("string"), feats).alias("line")).distinct()
 
 
+# class 0 ("sand"): cells whose mean NDVI over time is below 0.25
 _SAND_SQL = f"""
-SELECT c, r, CASE WHEN max({NDVI_SQL}) < 0.1 THEN 0 ELSE 1 END AS class FROM px GROUP BY c, r"""
+SELECT c, r, CASE WHEN avg({NDVI_SQL}) < 0.25 THEN 0 ELSE 1 END AS class FROM px GROUP BY c, r"""
 
 
 def _sand_classes(spark, sf):
     return (td.px(spark, sf).groupBy("c", "r")
-            .agg(F.max(ix.ndvi("red", "nir")).alias("mx"))
-            .select("c", "r", F.when(F.col("mx") < 0.1, 0).otherwise(1).alias("class")))
+            .agg(F.avg(ix.ndvi("red", "nir")).alias("mean_ndvi"))
+            .select("c", "r", F.when(F.col("mean_ndvi") < 0.25, 0).otherwise(1).alias("class")))
 
 
 @register("class_mask", ops=("C4",),

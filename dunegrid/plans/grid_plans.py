@@ -1 +1,225 @@
-"""(filled in below)"""
+"""Registered queries: tiles <-> cells, pyramids, focal, regridding, reprojection, Z-order."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from dunegrid.functions import indices as ix
+from dunegrid.functions.geometry import EARTH_RADIUS, MERCATOR_HALF_WORLD, mercator_resolution
+from dunegrid.operators import focal as fo
+from dunegrid.operators import grid as gr
+from dunegrid.plans.registry import register, with_ctes
+from dunegrid.sources import testdata as td
+
+PX = ("px", td.PX_SQL)
+NM = ("nm", td.NM_SQL)
+T8 = ("tile8", td.TILE8_SQL)
+
+T8_CELLS_SQL = """
+SELECT col_key, row_key, CAST(pos % 8 AS INT) AS col, CAST(pos // 8 AS INT) AS row,
+       CAST(col_key * 8 + pos % 8 AS INT) AS c, CAST(row_key * 8 + pos // 8 AS INT) AS r, v
+FROM (SELECT col_key, row_key, unnest(generate_series(0, len(cells) - 1)) AS pos, unnest(cells) AS v FROM tile8) t"""
+
+
+@register("explode_tiles", ops=("I7", "I5"), sql=with_ctes(T8, body=T8_CELLS_SQL))
+def explode_tiles(spark, sf):
+    return gr.explode_tiles(td.tile8(spark, sf))
+
+
+@register("assemble_tiles", ops=("D5",),
+          sql=with_ctes(T8, ("cells8", T8_CELLS_SQL), body="""
+SELECT col_key, row_key, CAST(64 - count(*) AS INT) AS n_nodata, round(sum(v), 9) AS cell_sum,
+       max(CASE WHEN col = 0 AND row = 0 THEN v END) AS first_cell,
+       max(CASE WHEN col = 7 AND row = 7 THEN v END) AS last_cell
+FROM cells8 WHERE v > 0 GROUP BY col_key, row_key"""))
+def assemble_tiles(spark, sf):
+    cells = gr.explode_tiles(td.tile8(spark, sf)).filter(F.col("v") > 0)
+    tiles = gr.assemble_tiles(cells, 8, 8)
+    data = F.filter("cells", lambda x: x.isNotNull())
+    return tiles.select(
+        "col_key", "row_key",
+        F.size(F.filter("cells", lambda x: x.isNull())).alias("n_nodata"),
+        F.round(F.aggregate(data, F.lit(0.0), lambda a, x: a + x), 9).alias("cell_sum"),
+        F.element_at("cells", 1).alias("first_cell"),
+        F.element_at("cells", 64).alias("last_cell"))
+
+
+@register("pyramid_level", ops=("I4",),
+          sql=with_ctes(PX, NM, body="""
+SELECT CAST(floor(c / 2) AS INT) AS c, CAST(floor(r / 2) AS INT) AS r, round(avg(v), 6) AS v
+FROM nm GROUP BY 1, 2"""))
+def pyramid_level(spark, sf):
+    lvl = gr.pyramid_level(td.max_nir(spark, sf), ["v"])
+    return lvl.select("c", "r", F.round("v", 6).alias("v"))
+
+
+def _pyramid_sql(levels: int) -> str:
+    ctes = [PX, ("p0", td.NM_SQL)]
+    for k in range(1, levels + 1):
+        ctes.append((f"p{k}", f"SELECT CAST(floor(c / 2) AS INT) AS c, CAST(floor(r / 2) AS INT) AS r, "
+                              f"avg(v) AS v FROM p{k - 1} GROUP BY 1, 2"))
+    body = " UNION ALL ".join(f"SELECT {k} AS level, c, r, round(v, 6) AS v FROM p{k}"
+                              for k in range(1, levels + 1))
+    return with_ctes(*ctes, body=body)
+
+
+PYRAMID_LEVELS = 7
+
+
+@register("pyramid", ops=("I4",), sql=_pyramid_sql(PYRAMID_LEVELS))
+def pyramid(spark, sf):
+    out = gr.build_pyramid(td.max_nir(spark, sf), ["v"], PYRAMID_LEVELS)
+    return out.select("level", "c", "r", F.round("v", 6).alias("v"))
+
+
+FOCAL_TILE = 32
+
+
+@register("focal_median", ops=("E1", "E2"),
+          sql=with_ctes(PX, NM, body=fo.focal_sql("SELECT c, r, v FROM nm", 2)))
+def focal_median(spark, sf):
+    return fo.focal(td.max_nir(spark, sf), "v", radius=2, stat="median", tile_size=FOCAL_TILE)
+
+
+@register("threshold_focal_median", ops=("E3", "B8", "E2"),
+          sql=with_ctes(PX, ("nt", "SELECT c, r, max(CASE WHEN nir <= 10000 THEN nir END) AS v "
+                                   "FROM px GROUP BY c, r"),
+                        body=fo.focal_sql("SELECT c, r, v FROM nt", 2)))
+def threshold_focal_median(spark, sf):
+    p = td.px(spark, sf).select("c", "r", ix.threshold("nir", 10000).alias("v"))
+    nt = p.groupBy("c", "r").agg(F.max("v").alias("v"))
+    return fo.focal(nt, "v", radius=2, stat="median", tile_size=FOCAL_TILE)
+
+
+@register("tile_focal_mean", ops=("E1", "E2", "I7"),
+          sql=with_ctes(T8, ("cells8", T8_CELLS_SQL), body="""
+SELECT t.c, t.r, round(avg(s.v), 9) AS v
+FROM cells8 t JOIN cells8 s ON s.c BETWEEN t.c - 1 AND t.c + 1 AND s.r BETWEEN t.r - 1 AND t.r + 1
+GROUP BY t.c, t.r"""))
+def tile_focal_mean(spark, sf):
+    cells = gr.explode_tiles(td.tile8(spark, sf))
+    out = fo.focal(cells, "v", radius=1, stat="mean", tile_size=FOCAL_TILE)
+    return out.select("c", "r", F.round("v", 9).alias("v"))
+
+
+NEAREST_DST = gr.Grid(0.25, 0.25, 1.5, 1.5)
+
+
+@register("regrid_nearest", ops=("I1",),
+          sql=with_ctes(PX, NM, body=f"""
+SELECT tc, tr, nm.v FROM range(-2, 100) a(tc), range(-2, 200) b(tr), nm
+WHERE nm.c = CAST(floor((CAST({NEAREST_DST.x0!r} AS DOUBLE) + (tc + 0.5) * CAST({NEAREST_DST.dx!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
+  AND nm.r = CAST(floor((CAST({NEAREST_DST.y0!r} AS DOUBLE) + (tr + 0.5) * CAST({NEAREST_DST.dy!r} AS DOUBLE) - 0.0) / 1.0) AS INT)"""))
+def regrid_nearest(spark, sf):
+    out = gr.regrid_nearest(td.max_nir(spark, sf), ["v"], gr.Grid(), NEAREST_DST)
+    return out.select(F.col("tc").cast("bigint").alias("tc"), F.col("tr").cast("bigint").alias("tr"), "v")
+
+
+BILINEAR_DST = gr.Grid(0.3, 0.3, 0.75, 0.75)
+
+
+def _corners_sql(keys: str) -> str:
+    return f"""
+SELECT {keys}, i0 AS i, j0 AS j, 0 AS corner, (1.0 - fx) * (1.0 - fy) AS w FROM t
+UNION ALL SELECT {keys}, i0 + 1, j0, 1, fx * (1.0 - fy) FROM t
+UNION ALL SELECT {keys}, i0, j0 + 1, 2, (1.0 - fx) * fy FROM t
+UNION ALL SELECT {keys}, i0 + 1, j0 + 1, 3, fx * fy FROM t"""
+
+
+def _slot(k: int, what: str) -> str:
+    return f"coalesce(max(CASE WHEN corner = {k} THEN {what} END), 0.0)"
+
+
+_CORNER_SUM = ("CASE WHEN (" + " + ".join(_slot(k, "w") for k in range(4)) + ") = 0 THEN NULL ELSE ("
+               + " + ".join(_slot(k, "w * nm.v") for k in range(4)) + ") / ("
+               + " + ".join(_slot(k, "w") for k in range(4)) + ") END")
+
+
+def _bilinear_sql(dst: gr.Grid) -> str:
+    return with_ctes(PX, NM, ("t", f"""
+SELECT tc, tr, u, v, CAST(floor(u) AS INT) AS i0, CAST(floor(v) AS INT) AS j0,
+       u - floor(u) AS fx, v - floor(v) AS fy
+FROM (SELECT tc, tr,
+        (CAST({dst.x0!r} AS DOUBLE) + (tc + 0.5) * CAST({dst.dx!r} AS DOUBLE) - 0.0) / 1.0 - 0.5 AS u,
+        (CAST({dst.y0!r} AS DOUBLE) + (tr + 0.5) * CAST({dst.dy!r} AS DOUBLE) - 0.0) / 1.0 - 0.5 AS v
+      FROM range(-2, 200) a(tc), range(-2, 300) b(tr)) q"""),
+                     ("nb", _corners_sql("tc, tr")),
+                     body=f"""
+SELECT tc, tr, {_CORNER_SUM} AS v
+FROM nb JOIN nm ON nm.c = nb.i AND nm.r = nb.j
+WHERE w > 0 AND nm.v IS NOT NULL GROUP BY tc, tr""")
+
+
+@register("regrid_bilinear", ops=("I2",), sql=_bilinear_sql(BILINEAR_DST))
+def regrid_bilinear(spark, sf):
+    out = gr.regrid_bilinear(td.max_nir(spark, sf), ["v"], gr.Grid(), BILINEAR_DST)
+    return out.select(F.col("tc").cast("bigint").alias("tc"), F.col("tr").cast("bigint").alias("tr"), "v")
+
+
+# Fixed parameters of the size resample: raster 128 x 16 cells to 186 x 169.
+RS_SRC = (128, 16)
+RS_DST = (186, 169)
+
+
+@register("resample_to_size", ops=("I6",),
+          sql=with_ctes(PX, NM, body=f"""
+SELECT CAST(tc AS INT) AS c, CAST(tr AS INT) AS r, nm.v FROM range(0, {RS_DST[0]}) a(tc), range(0, {RS_DST[1]}) b(tr), nm
+WHERE nm.c = CAST(floor((0.0 + (tc + 0.5) * CAST({RS_SRC[0] / RS_DST[0]!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
+  AND nm.r = CAST(floor((0.0 + (tr + 0.5) * CAST({RS_SRC[1] / RS_DST[1]!r} AS DOUBLE) - 0.0) / 1.0) AS INT)"""))
+def resample_to_size(spark, sf):
+    nm = td.max_nir(spark, sf).filter((F.col("c") < RS_SRC[0]) & (F.col("r") < RS_SRC[1]))
+    return gr.resample_to_size(nm, ["v"], RS_DST[0], RS_DST[1], RS_SRC[0], RS_SRC[1])
+
+
+# Fixed parameters: the nm layer read as a lon/lat raster with 0.01 degree
+# cells whose north-west corner is at (-3.0, 40.0), reprojected to zoom 8.
+LL_GRID = gr.Grid(-3.0, 40.0, 0.01, -0.01)
+MERC_ZOOM = 8
+
+
+def _reproject_sql() -> str:
+    res = mercator_resolution(MERC_ZOOM)
+    half = MERCATOR_HALF_WORLD
+    g = LL_GRID
+    lon = f"degrees(({-half!r} + (px + 0.5) * {res!r}) / {EARTH_RADIUS!r})"
+    lat = (f"degrees(atan(exp(({half!r} - (py + 0.5) * {res!r}) / {EARTH_RADIUS!r})) * 2 "
+           f"- {math.pi / 2!r})")
+    x_lo = int((-3.0 + 180) / 360 * 256 * 2 ** MERC_ZOOM) - 3
+    y_lo = int((1 - math.log(math.tan(math.radians(40.0)) + 1 / math.cos(math.radians(40.0))) / math.pi)
+               / 2 * 256 * 2 ** MERC_ZOOM) - 3
+    return with_ctes(PX, NM, ("t", f"""
+SELECT px, py, u, v, CAST(floor(u) AS INT) AS i0, CAST(floor(v) AS INT) AS j0,
+       u - floor(u) AS fx, v - floor(v) AS fy
+FROM (SELECT px, py,
+        ({lon} - ({g.x0!r})) / ({g.dx!r}) - 0.5 AS u,
+        ({lat} - ({g.y0!r})) / ({g.dy!r}) - 0.5 AS v
+      FROM range({x_lo}, {x_lo + 320}) a(px), range({y_lo}, {y_lo + 600}) b(py)) q"""),
+                     ("nb", _corners_sql("px, py")),
+                     body=f"""
+SELECT {MERC_ZOOM} AS zoom, px, py, CAST(floor(px / 256) AS INT) AS col_key,
+       CAST(floor(py / 256) AS INT) AS row_key, floor(({_CORNER_SUM}) * 100.0 + 0.5) / 100.0 AS v
+FROM nb JOIN nm ON nm.c = nb.i AND nm.r = nb.j
+WHERE w > 0 AND nm.v IS NOT NULL GROUP BY px, py""")
+
+
+@register("reproject_web_mercator", ops=("I3",), sql=_reproject_sql())
+def reproject_web_mercator(spark, sf):
+    out = gr.reproject_lonlat_to_mercator(td.max_nir(spark, sf), ["v"], LL_GRID, MERC_ZOOM)
+    return out.select("zoom", F.col("px").cast("bigint").alias("px"), F.col("py").cast("bigint").alias("py"),
+                      "col_key", "row_key", (F.floor(F.col("v") * 100.0 + 0.5) / 100.0).alias("v"))
+
+
+def _morton_sql(x: str) -> str:
+    e = f"CAST({x} AS BIGINT)"
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        e = f"((({e}) << {shift}) | ({e})) & {mask}"
+    return e
+
+
+@register("zorder_keys", ops=("F4",),
+          sql=with_ctes(PX, NM, body=f"SELECT c, r, (({_morton_sql('c')}) << 1) | ({_morton_sql('r')}) AS z FROM nm"))
+def zorder_keys(spark, sf):
+    return gr.with_zorder(td.max_nir(spark, sf)).select("c", "r", "z")
