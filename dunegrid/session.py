@@ -79,3 +79,16 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, and the read-back plan carries
+    statistics from the real file sizes (a checkpoint keeps the estimates of
+    the plan it replaced, which compound across iterations of a loop).
+    """
+    spark = df.sparkSession
+    path = scratch_table_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
