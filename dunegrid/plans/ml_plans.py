@@ -1 +1,133 @@
-"""(filled in below)"""
+"""Registered queries: k-means, regression, logistic pipeline, evaluation, label encoding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dunegrid.operators import grid as gr
+from dunegrid.operators import ml, sampling
+from dunegrid.plans.registry import register, with_ctes
+from dunegrid.sources import testdata as td
+
+PX = ("px", td.PX_SQL)
+PXL = ("pxl", td.PX_SQL.replace("FROM lineitem", ", l_returnflag AS label, l_discount, l_tax FROM lineitem"))
+
+
+def _features(spark, sf):
+    """Per-pixel features: max red and max nir over time (integer valued)."""
+    return td.px(spark, sf).groupBy("c", "r").agg(F.max("red").alias("red"), F.max("nir").alias("nir"))
+
+
+@register("kmeans_pixels", ops=("J4", "B17"))
+def kmeans_pixels(spark, sf):
+    _, pred, _ = ml.kmeans_pixels(_features(spark, sf), ["red", "nir"], k=6, seed=1)
+    return pred.select("c", "r", F.col("prediction").cast("int").alias("prediction"))
+
+
+@register("cluster_map", ops=("J5", "D5", "I6", "I7"))
+def cluster_map(spark, sf):
+    _, pred, _ = ml.kmeans_pixels(_features(spark, sf), ["red", "nir"], k=6, seed=1)
+    cls = pred.select("c", "r", F.col("prediction").cast("double").alias("v"))
+    tiles = gr.assemble_tiles(cls, 32, 32)                   # class raster as tiles
+    cells = gr.explode_tiles(tiles).filter(F.col("v").isNotNull())
+    out = gr.resample_to_size(cells.filter((F.col("c") < 128) & (F.col("r") < 16)), ["v"], 186, 169, 128, 16)
+    return out.select("c", "r", F.col("v").cast("int").alias("prediction"))
+
+
+# Six centres in (max red, max nir) feature space.
+CENTRES = ((3500.0, 9000.0), (3500.0, 10000.0), (3200.0, 8000.0),
+           (2900.0, 9500.0), (3500.0, 10400.0), (3000.0, 7000.0))
+
+
+def _centre_sql() -> str:
+    ds = [f"((red - {a}) * (red - {a}) + (nir - {b}) * (nir - {b}))" for a, b in CENTRES]
+    m = "least(" + ", ".join(ds) + ")"
+    case = "CASE " + " ".join(f"WHEN {d} = {m} THEN {k}" for k, d in enumerate(ds)) + " END"
+    return f"SELECT {case} AS cluster, {m} AS d FROM feats"
+
+
+@register("kmeans_cost_fixed_centres", ops=("D10",),
+          sql=with_ctes(PX, ("feats", "SELECT c, r, max(red) AS red, max(nir) AS nir FROM px GROUP BY c, r"),
+                        ("a", _centre_sql()),
+                        body="SELECT cluster, count(*) AS n, sum(d) AS sse FROM a GROUP BY cluster"))
+def kmeans_cost_fixed_centres(spark, sf):
+    return ml.within_set_sse(_features(spark, sf), ["red", "nir"], CENTRES)
+
+
+@register("linreg_closed_form", ops=("J6",),
+          sql=with_ctes(PX, body="""
+SELECT round(regr_slope(nir, green), 6) AS slope, round(regr_intercept(nir, green), 6) AS intercept,
+       round(regr_r2(nir, green), 9) AS r2, regr_count(nir, green) AS n FROM px"""))
+def linreg_closed_form(spark, sf):
+    r = ml.regression_closed_form(td.px(spark, sf), "nir", "green")
+    return r.select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"),
+                    F.round("r2", 9).alias("r2"), "n")
+
+
+@register("linreg_ml", ops=("J6",))
+def linreg_ml(spark, sf):
+    _, report = ml.linear_regression(td.px(spark, sf), ["green"], "nir")
+    return report
+
+
+def _labelled(spark, sf):
+    p = td.px(spark, sf, extra=("l_returnflag", "l_orderkey", "l_linenumber"))
+    p = p.filter(F.col("l_returnflag") != "R")          # binary task, as the original
+    return sampling.random_split(p, [0.7, 0.3], ["l_orderkey", "l_linenumber", "c", "r"], seed=7,
+                                 labels=["train", "test"])
+
+
+@register("logistic_pipeline", ops=("J7", "B7", "B17", "F5", "J10"))
+def logistic_pipeline(spark, sf):
+    _, pred, _ = ml.logistic_pipeline(_labelled(spark, sf), ["red", "nir", "swir1", "green"], "l_returnflag")
+    return pred.select("c", "r", F.col("l_returnflag").alias("label"), "predictedLabel")
+
+
+@register("logistic_report", ops=("J9", "J8"))
+def logistic_report(spark, sf):
+    _, pred, report = ml.logistic_pipeline(_labelled(spark, sf), ["red", "nir", "swir1", "green"],
+                                           "l_returnflag")
+    metrics = ml.evaluate_multiclass(pred).first()
+    row = report.first()
+    return spark.createDataFrame(
+        [(row["num_classes"], row["num_features"], row["coefficients"], row["intercepts"],
+          metrics["accuracy"], metrics["f1"], metrics["test_error"])],
+        "num_classes int, num_features int, coefficients array<double>, intercepts array<double>, "
+        "accuracy double, f1 double, test_error double")
+
+
+RULE_SQL = "CASE WHEN l_discount > 0.05 THEN 'A' WHEN l_tax > 0.04 THEN 'N' ELSE 'R' END"
+
+
+@register("multiclass_metrics", ops=("J8",),
+          sql=with_ctes(PXL, ("lp", f"SELECT label, {RULE_SQL} AS prediction FROM pxl"),
+                        ("per", "SELECT label, prediction, count(*) AS n FROM lp GROUP BY 1, 2"),
+                        ("k", "SELECT label AS k FROM per UNION SELECT prediction FROM per"),
+                        ("cls", """
+SELECT k.k,
+  coalesce((SELECT sum(n) FROM per WHERE per.label = k.k AND per.prediction = k.k), 0) AS tp,
+  coalesce((SELECT sum(n) FROM per WHERE per.label = k.k), 0) AS n_true,
+  coalesce((SELECT sum(n) FROM per WHERE per.prediction = k.k), 0) AS n_pred FROM k"""),
+                        ("m", """
+SELECT k, tp, n_true, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS prec,
+       CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END AS rec FROM cls"""),
+                        body="""
+SELECT round(sum(tp) / (SELECT count(*) FROM lp), 9) AS accuracy,
+       round(sum(n_true * CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END)
+             / (SELECT count(*) FROM lp), 9) AS f1
+FROM m"""))
+def multiclass_metrics(spark, sf):
+    p = td.px(spark, sf, extra=("l_returnflag", "l_discount", "l_tax"))
+    rule = (F.when(F.col("l_discount") > 0.05, "A").when(F.col("l_tax") > 0.04, "N").otherwise("R"))
+    lp = p.select(F.col("l_returnflag").alias("label"), rule.alias("prediction"))
+    m = ml.confusion_metrics(lp, "label", "prediction")
+    return m.select(F.round("accuracy", 9).alias("accuracy"), F.round("f1", 9).alias("f1"))
+
+
+@register("label_index", ops=("J10",),
+          sql=with_ctes(PXL, body="""
+SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS label_index, n
+FROM (SELECT label, count(*) AS n FROM pxl GROUP BY label) t"""))
+def label_index(spark, sf):
+    p = td.px(spark, sf, extra=("l_returnflag",))
+    return ml.label_index(p, "l_returnflag").select("label", F.col("label_index").cast("bigint"), "n")

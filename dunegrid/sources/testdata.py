@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def px(spark: SparkSession, sf_dir: str) -> DataFrame:
+def px(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The ``px`` view; ``extra`` lineitem columns are passed through as is."""
     li = table(spark, sf_dir, "lineitem")
     q, ln = F.col("l_quantity"), F.col("l_linenumber")
     return li.select(
@@ -38,6 +39,7 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("l_extendedprice") / 10).cast("double").alias("nir"),
         (F.round(F.col("l_tax") * 100) * 400 + 200).alias("swir1"),
         (ln * 500).cast("double").alias("swir2"),
+        *[F.col(x) for x in extra],
     )
 
 
