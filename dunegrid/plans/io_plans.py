@@ -1 +1,84 @@
-"""(filled in below)"""
+"""Registered queries: Parquet catalog and GeoTIFF round trips over data
+derived from the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dunegrid.operators import assembly
+from dunegrid.operators import grid as gr
+from dunegrid.plans.fixtures import BOX, PERIOD
+from dunegrid.plans.registry import register, with_ctes
+from dunegrid.session import scratch_table_path
+from dunegrid.sources import catalog, geotiff
+from dunegrid.sources import testdata as td
+
+PX = ("px", td.PX_SQL)
+NM = ("nm", td.NM_SQL)
+BF = ("band_file", td.BAND_FILE_SQL)
+
+
+@register("catalog_area_time_query", ops=("A9", "A10", "F4", "B4", "B6"),
+          sql=with_ctes(PX, body=f"""
+SELECT scene, c, r, CAST(acquired AS DATE) AS acquired_day, red, nir FROM px
+WHERE c >= {BOX[0]} AND c < {BOX[2]} AND r >= {BOX[1]} AND r < {BOX[3]}
+  AND acquired BETWEEN TIMESTAMP '{PERIOD[0]}' AND TIMESTAMP '{PERIOD[1]}'"""))
+def catalog_area_time_query(spark, sf):
+    path = scratch_table_path(spark, "catalog")
+    catalog.write_catalog(td.px(spark, sf), path, layer="px", zoom=0, tile_size=32)
+    q = catalog.read_catalog(spark, path, "px", 0, extent=BOX, period=PERIOD, tile_size=32)
+    return q.select("scene", "c", "r", F.col("acquired").cast("date").alias("acquired_day"), "red", "nir")
+
+
+@register("geotiff_roundtrip", ops=("A11", "A1", "A3", "A6", "I5", "D5", "I7"),
+          sql=with_ctes(PX, NM, body="SELECT c, r, v FROM nm"))
+def geotiff_roundtrip(spark, sf):
+    # nm -> 32 x 32 tiles, north-up with the origin at (0, 0): x = c, y = -r
+    tiles = gr.assemble_tiles(td.max_nir(spark, sf), 32, 32)
+    tiles = tiles.select("*", (F.col("col_key") * 32).cast("double").alias("xmin"),
+                         (-F.col("row_key") * 32).cast("double").alias("ymax"),
+                         F.lit(1.0).alias("dx"), F.lit(-1.0).alias("dy"))
+    out_dir = scratch_table_path(spark, "geotiff")
+    geotiff.write_geotiff(tiles, out_dir)
+    back = geotiff.read_geotiff(spark, out_dir, tile_size=16, glob="*.TIF")
+    cells = gr.explode_tiles(back, keep=("xmin", "ymax", "dx", "dy"))
+    c = (F.round(F.col("xmin") / F.col("dx")) + F.col("col")).cast("int")
+    r = (F.round(F.col("ymax") / F.col("dy")) + F.col("row")).cast("int")
+    return cells.filter(F.col("v").isNotNull()).select(c.alias("c"), r.alias("r"), "v")
+
+
+@register("geotiff_band_scan", ops=("A1", "A2", "A4", "A5", "C2", "G1", "B2"),
+          sql=with_ctes(PX, BF, body="""
+SELECT 'scene_' || CAST(CAST(string_split(string_split(path, '/')[3], '_')[2] AS INT) AS VARCHAR) AS scene_id,
+  CAST(floor(cx) AS INT) AS c, CAST(floor(cy) AS INT) AS r,
+  max(CASE WHEN band_index = 0 THEN v END) AS b0, max(CASE WHEN band_index = 1 THEN v END) AS b1,
+  max(CASE WHEN band_index = 2 THEN v END) AS b2, max(CASE WHEN band_index = 3 THEN v END) AS b3,
+  max(CASE WHEN band_index = 4 THEN v END) AS b4, max(CASE WHEN band_index = 5 THEN v END) AS b5
+FROM band_file GROUP BY 1, 2, 3
+HAVING count(v) > 0"""))
+def geotiff_band_scan(spark, sf):
+    bf = td.band_file(spark, sf)
+    cells = bf.select(F.regexp_extract("path", r"scene_(\d+)", 1).cast("int").alias("scene"),
+                      (F.col("band_index") + 2).alias("band"),
+                      F.floor("cx").cast("int").alias("c"), F.floor("cy").cast("int").alias("r"), "v")
+    height = int(cells.agg(F.max("r")).first()[0]) + 1
+    # one raster per (scene, band) covering the whole grid, written as GeoTIFF files
+    rasters = gr.assemble_tiles(cells, 128, height, keep=("scene", "band"))
+    rasters = rasters.select("scene", "band", "col_key", "row_key", "cols", "rows", "cells",
+                             F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymax"),
+                             F.lit(1.0).alias("dx"), F.lit(-1.0).alias("dy"))
+    root = scratch_table_path(spark, "bands")
+    geotiff.write_geotiff(rasters, root, name_cols=("scene", "band"),
+                          name_fmt="scene_{scene}/S_B{band}_REF.TIF", crs=32648)
+    # scan: discover files, cut windows, decode, tag band index, assemble bands
+    tiles = geotiff.with_scene_and_band(geotiff.read_geotiff(spark, root, tile_size=64, glob="*_REF.TIF"))
+    px_cells = gr.explode_tiles(tiles, keep=("scene_id", "band", "xmin", "ymax", "dx", "dy"))
+    px_cells = px_cells.select(
+        "scene_id", assembly.tag_band_index(F.col("band"), [2, 3, 4, 5, 6, 7]).alias("band_index"),
+        (F.round(F.col("xmin") / F.col("dx")) + F.col("col")).cast("int").alias("c"),
+        (F.round(F.col("ymax") / F.col("dy")) + F.col("row")).cast("int").alias("r"), "v")
+    out = assembly.pivot_bands(px_cells, ["scene_id", "c", "r"], "band_index", "v", list(range(6)))
+    any_data = F.lit(False)
+    for i in range(6):
+        any_data = any_data | F.col(f"b{i}").isNotNull()
+    return out.filter(any_data)
