@@ -157,17 +157,45 @@ def regrid_nearest(cells: DataFrame, value_cols: Sequence[str], src: Grid, dst:
     return cand.filter((sc == F.col("_sc")) & (sr == F.col("_sr"))).select(out_c, out_r, *value_cols)
 
 
+def _combine_corners(vk, wk, fx, fy) -> Column:
+    """Bilinear value from the four corner slots (NULL = absent).
+
+    Complete row or column pairs use lerps (exact when the two values are
+    equal); three corners fall back to renormalised weights.
+    """
+    p = [x.isNotNull() for x in vk]
+
+    def lerp(a, b, f):
+        return a + f * (b - a)
+
+    top, bottom = lerp(vk[0], vk[1], fx), lerp(vk[2], vk[3], fx)
+    num = F.coalesce(wk[0] * vk[0], F.lit(0.0))
+    den = F.coalesce(wk[0], F.lit(0.0))
+    for k in range(1, 4):
+        num = num + F.coalesce(wk[k] * vk[k], F.lit(0.0))
+        den = den + F.coalesce(wk[k], F.lit(0.0))
+    n = sum(x.cast("int") for x in p)
+    return (F.when(n == 4, lerp(top, bottom, fy))
+            .when((n == 2) & p[0] & p[1], top)
+            .when((n == 2) & p[2] & p[3], bottom)
+            .when((n == 2) & p[0] & p[2], lerp(vk[0], vk[2], fy))
+            .when((n == 2) & p[1] & p[3], lerp(vk[1], vk[3], fy))
+            .when(n == 1, F.coalesce(*vk))
+            .otherwise(F.try_divide(num, den)))
+
+
 def _bilinear_from_source(cand: DataFrame, u: Column, v: Column, value_cols: Sequence[str],
                           keys: Sequence[str]) -> DataFrame:
     """Combine source contributions into bilinear values.
 
     For a target with fractional source coordinates (u, v), i0 = floor(u),
     fx = u - i0: cell i0 weighs 1 - fx and cell i0 + 1 weighs fx (same in y).
-    Only data cells with a positive weight count, and the result is
-    renormalised: sum(w v) / sum(w).  Each target has at most four
-    contributions, one per corner, so the aggregation pivots them into four
-    fixed slots (partial aggregation kept) and adds them in corner order; the
-    value is then independent of the order in which rows arrive.
+    With all four neighbours present the value is the two-step lerp
+    ``lerp(lerp(v00, v10, fx), lerp(v01, v11, fx), fy)`` (exact where
+    neighbours are equal); otherwise the data cells with positive weight are
+    renormalised, sum(w v) / sum(w).  Each target has at most one contribution
+    per corner, so the aggregation pivots them into four fixed slots (partial
+    aggregation kept) and the result does not depend on row order.
     """
     i0 = F.floor(u)
     j0 = F.floor(v)
@@ -179,23 +207,22 @@ def _bilinear_from_source(cand: DataFrame, u: Column, v: Column, value_cols: Seq
     wy = F.when(dj == 0, F.lit(1.0) - fy).when(dj == 1, fy)
     cand = (cand.withColumn("_w", wx * wy)
             .withColumn("_corner", (di + dj * 2).cast("int"))
+            .withColumn("_fx", fx).withColumn("_fy", fy)
             .filter(F.col("_w") > 0))
-    aggs = []
+    aggs = [F.max("_fx").alias("_fx"), F.max("_fy").alias("_fy")]
     for val in value_cols:
         has = F.col(val).isNotNull()
         for k in range(4):
             at = has & (F.col("_corner") == k)
-            aggs.append(F.max(F.when(at, F.col("_w") * F.col(val))).alias(f"_a{k}_{val}"))
+            aggs.append(F.max(F.when(at, F.col(val))).alias(f"_v{k}_{val}"))
             aggs.append(F.max(F.when(at, F.col("_w"))).alias(f"_w{k}_{val}"))
     out = cand.groupBy(*keys).agg(*aggs)
     sel = []
+    fxc, fyc = F.col("_fx"), F.col("_fy")
     for val in value_cols:
-        num = F.coalesce(F.col(f"_a0_{val}"), F.lit(0.0))
-        den = F.coalesce(F.col(f"_w0_{val}"), F.lit(0.0))
-        for k in range(1, 4):
-            num = num + F.coalesce(F.col(f"_a{k}_{val}"), F.lit(0.0))
-            den = den + F.coalesce(F.col(f"_w{k}_{val}"), F.lit(0.0))
-        sel.append(F.try_divide(num, den).alias(val))
+        vk = [F.col(f"_v{k}_{val}") for k in range(4)]
+        wk = [F.col(f"_w{k}_{val}") for k in range(4)]
+        sel.append(_combine_corners(vk, wk, fxc, fyc).alias(val))
     out = out.select(*keys, *sel)
     any_data = F.lit(False)
     for vc in value_cols:

@@ -97,7 +97,8 @@ def polygon_spans(spark: SparkSession, polygon: Polygon) -> DataFrame:
     r_first = F.ceil(lo_y - 0.5).cast("int")
     r_last = (F.ceil(hi_y - 0.5) - 1).cast("int")
     crossing = (edges
-                .withColumn("r", F.explode(F.sequence(r_first, r_last)))
+                # sequence() counts down when start > stop: guard the empty case
+                .withColumn("r", F.explode(F.when(r_first <= r_last, F.sequence(r_first, r_last))))
                 .withColumn("cy", F.col("r").cast("double") + 0.5)
                 .select("r", (F.col("x1") + (F.col("cy") - F.col("y1")) * (F.col("x2") - F.col("x1"))
                               / (F.col("y2") - F.col("y1"))).alias("x")))

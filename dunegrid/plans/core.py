@@ -190,9 +190,9 @@ def layer_metadata(spark, sf):
 @register("ndvi_percentiles", ops=("D7",),
           sql=with_ctes(PX, body=f"""
 SELECT p, round(v, 6) AS value FROM (
-  SELECT 0.1 AS p, quantile_cont({NDVI_SQL}, 0.1) AS v FROM px
-  UNION ALL SELECT 0.5, quantile_cont({NDVI_SQL}, 0.5) FROM px
-  UNION ALL SELECT 0.95, quantile_cont({NDVI_SQL}, 0.95) FROM px) t"""))
+  SELECT CAST(0.1 AS DOUBLE) AS p, quantile_cont({NDVI_SQL}, 0.1) AS v FROM px
+  UNION ALL SELECT CAST(0.5 AS DOUBLE), quantile_cont({NDVI_SQL}, 0.5) FROM px
+  UNION ALL SELECT CAST(0.95 AS DOUBLE), quantile_cont({NDVI_SQL}, 0.95) FROM px) t"""))
 def ndvi_percentiles(spark, sf):
     nd = td.px(spark, sf).select(ix.ndvi("red", "nir").alias("ndvi"))
     res = stats.exact_percentiles(nd, "ndvi", [0.1, 0.5, 0.95])

@@ -122,19 +122,39 @@ BILINEAR_DST = gr.Grid(0.3, 0.3, 0.75, 0.75)
 
 def _corners_sql(keys: str) -> str:
     return f"""
-SELECT {keys}, i0 AS i, j0 AS j, 0 AS corner, (1.0 - fx) * (1.0 - fy) AS w FROM t
-UNION ALL SELECT {keys}, i0 + 1, j0, 1, fx * (1.0 - fy) FROM t
-UNION ALL SELECT {keys}, i0, j0 + 1, 2, (1.0 - fx) * fy FROM t
-UNION ALL SELECT {keys}, i0 + 1, j0 + 1, 3, fx * fy FROM t"""
+SELECT {keys}, fx, fy, i0 AS i, j0 AS j, 0 AS corner, (1.0 - fx) * (1.0 - fy) AS w FROM t
+UNION ALL SELECT {keys}, fx, fy, i0 + 1, j0, 1, fx * (1.0 - fy) FROM t
+UNION ALL SELECT {keys}, fx, fy, i0, j0 + 1, 2, (1.0 - fx) * fy FROM t
+UNION ALL SELECT {keys}, fx, fy, i0 + 1, j0 + 1, 3, fx * fy FROM t"""
 
 
 def _slot(k: int, what: str) -> str:
-    return f"coalesce(max(CASE WHEN corner = {k} THEN {what} END), 0.0)"
+    return f"max(CASE WHEN corner = {k} THEN {what} END)"
 
 
-_CORNER_SUM = ("CASE WHEN (" + " + ".join(_slot(k, "w") for k in range(4)) + ") = 0 THEN NULL ELSE ("
-               + " + ".join(_slot(k, "w * nm.v") for k in range(4)) + ") / ("
-               + " + ".join(_slot(k, "w") for k in range(4)) + ") END")
+def _corner_value() -> str:
+    v = [_slot(k, "nm.v") for k in range(4)]
+    w = [_slot(k, "w") for k in range(4)]
+
+    def lerp(a, b, f):
+        return f"({a} + {f} * ({b} - {a}))"
+
+    fx, fy = "max(fx)", "max(fy)"
+    top, bottom = lerp(v[0], v[1], fx), lerp(v[2], v[3], fx)
+    num = " + ".join(f"coalesce({w[k]} * {v[k]}, 0.0)" for k in range(4))
+    den = " + ".join(f"coalesce({w[k]}, 0.0)" for k in range(4))
+    p = [f"({v[k]} IS NOT NULL)" for k in range(4)]
+    n = "(" + " + ".join(f"CAST({x} AS INT)" for x in p) + ")"
+    return (f"CASE WHEN {n} = 4 THEN {lerp(top, bottom, fy)} "
+            f"WHEN {n} = 2 AND {p[0]} AND {p[1]} THEN {top} "
+            f"WHEN {n} = 2 AND {p[2]} AND {p[3]} THEN {bottom} "
+            f"WHEN {n} = 2 AND {p[0]} AND {p[2]} THEN {lerp(v[0], v[2], fy)} "
+            f"WHEN {n} = 2 AND {p[1]} AND {p[3]} THEN {lerp(v[1], v[3], fy)} "
+            f"WHEN {n} = 1 THEN coalesce({v[0]}, {v[1]}, {v[2]}, {v[3]}) "
+            f"WHEN ({den}) = 0 THEN NULL ELSE ({num}) / ({den}) END")
+
+
+_CORNER_SUM = _corner_value()
 
 
 def _bilinear_sql(dst: gr.Grid) -> str:
@@ -183,9 +203,12 @@ def _reproject_sql() -> str:
     res = mercator_resolution(MERC_ZOOM)
     half = MERCATOR_HALF_WORLD
     g = LL_GRID
-    lon = f"degrees(({-half!r} + (px + 0.5) * {res!r}) / {EARTH_RADIUS!r})"
-    lat = (f"degrees(atan(exp(({half!r} - (py + 0.5) * {res!r}) / {EARTH_RADIUS!r})) * 2 "
-           f"- {math.pi / 2!r})")
+    def d(x: float) -> str:
+        return f"CAST({x!r} AS DOUBLE)"
+
+    lon = f"degrees(({d(-half)} + (px + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})"
+    lat = (f"degrees(atan(exp(({d(half)} - (py + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})) * 2 "
+           f"- {d(math.pi / 2)})")
     x_lo = int((-3.0 + 180) / 360 * 256 * 2 ** MERC_ZOOM) - 3
     y_lo = int((1 - math.log(math.tan(math.radians(40.0)) + 1 / math.cos(math.radians(40.0))) / math.pi)
                / 2 * 256 * 2 ** MERC_ZOOM) - 3
@@ -193,8 +216,8 @@ def _reproject_sql() -> str:
 SELECT px, py, u, v, CAST(floor(u) AS INT) AS i0, CAST(floor(v) AS INT) AS j0,
        u - floor(u) AS fx, v - floor(v) AS fy
 FROM (SELECT px, py,
-        ({lon} - ({g.x0!r})) / ({g.dx!r}) - 0.5 AS u,
-        ({lat} - ({g.y0!r})) / ({g.dy!r}) - 0.5 AS v
+        ({lon} - {d(g.x0)}) / {d(g.dx)} - 0.5 AS u,
+        ({lat} - {d(g.y0)}) / {d(g.dy)} - 0.5 AS v
       FROM range({x_lo}, {x_lo + 320}) a(px), range({y_lo}, {y_lo + 600}) b(py)) q"""),
                      ("nb", _corners_sql("px, py")),
                      body=f"""

@@ -57,7 +57,7 @@ def kmeans_cost_fixed_centres(spark, sf):
 @register("linreg_closed_form", ops=("J6",),
           sql=with_ctes(PX, body="""
 SELECT round(regr_slope(nir, green), 6) AS slope, round(regr_intercept(nir, green), 6) AS intercept,
-       round(regr_r2(nir, green), 9) AS r2, regr_count(nir, green) AS n FROM px"""))
+       round(regr_r2(nir, green), 9) AS r2, CAST(regr_count(nir, green) AS BIGINT) AS n FROM px"""))
 def linreg_closed_form(spark, sf):
     r = ml.regression_closed_form(td.px(spark, sf), "nir", "green")
     return r.select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"),
