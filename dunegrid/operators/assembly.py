@@ -58,6 +58,12 @@ def tag_band_index(band: Column, bands: Sequence[int]) -> Column:
     return (F.array_position(F.array(*[F.lit(int(b)) for b in bands]), band) - 1).cast("int")
 
 
+def _fail_if(cond: Column, message: str) -> Column:
+    """Filter predicate that is always true but raises when ``cond`` holds, so
+    a data check runs in the query's own job instead of a separate action."""
+    return F.coalesce(F.when(cond, F.raise_error(F.lit(message))), F.lit(True))
+
+
 def assemble_bands(df: DataFrame, n_bands: int, value_col: str = "v",
                    index_col: str = "band_index", path_col: str = "path",
                    x_col: str = "cx", y_col: str = "cy", digits: int = 5,
@@ -81,16 +87,14 @@ def assemble_bands(df: DataFrame, n_bands: int, value_col: str = "v",
         F.count_distinct("_bi").alias("n_bands"),
         F.count(F.lit(1)).alias("_n_rec"))
     if check_duplicates:
-        dup = out.filter(F.col("_n_rec") != F.col("n_bands")).limit(1).collect()
-        if dup:
-            raise ValueError(f"duplicate band records at {dup[0]['scene_id']} "
-                             f"({dup[0]['x']}, {dup[0]['y']})")
+        # checked inside the same job: a duplicate band record fails the query
+        out = out.filter(_fail_if(F.col("_n_rec") != F.col("n_bands"),
+                                  "duplicate band records for one scene and centre"))
     out = out.drop("_n_rec")
     if on_incomplete == "drop":
         out = out.filter(F.col("n_bands") == n_bands)
     elif on_incomplete == "error":
-        if out.filter(F.col("n_bands") != n_bands).limit(1).count():
-            raise ValueError("incomplete band set")
+        out = out.filter(_fail_if(F.col("n_bands") != n_bands, "incomplete band set"))
     return out
 
 
