@@ -56,18 +56,24 @@ def explode_tiles(tiles: DataFrame, value_col: str = "cells", out: str = "v",
 
 
 def assemble_tiles(cells: DataFrame, cols: int, rows: int, value_col: str = "v",
-                   c: str = "c", r: str = "r", keep: Sequence[str] = ()) -> DataFrame:
+                   c: str = "c", r: str = "r", keep: Sequence[str] = (),
+                   duplicates: str = "max") -> DataFrame:
     """Cells -> dense row-major tiles of ``cols x rows``; unfilled cells are NULL.
 
-    Each group holds at most ``cols * rows`` cells (the tile size bounds it).
+    A pixel holds one value: several rows for one pixel (e.g. a time series)
+    are first reduced per pixel with ``duplicates`` (max, min, mean, first),
+    a partial aggregation, so a tile group never holds more than
+    ``cols * rows`` entries however the input is skewed.
     """
+    red = {"max": F.max, "min": F.min, "mean": F.avg, "first": F.first}[duplicates]
     keyed = cells.select(*keep,
                          F.floor(F.col(c) / cols).cast("int").alias("col_key"),
                          F.floor(F.col(r) / rows).cast("int").alias("row_key"),
                          ((F.col(r) - F.floor(F.col(r) / rows) * rows) * cols
                           + (F.col(c) - F.floor(F.col(c) / cols) * cols)).cast("int").alias("_pos"),
                          F.col(value_col).alias("_v"))
-    grouped = keyed.groupBy(*keep, "col_key", "row_key").agg(
+    per_pixel = keyed.groupBy(*keep, "col_key", "row_key", "_pos").agg(red("_v").alias("_v"))
+    grouped = per_pixel.groupBy(*keep, "col_key", "row_key").agg(
         F.map_from_entries(F.collect_list(F.struct("_pos", "_v"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(cols * rows - 1)),
                         lambda i: F.element_at(F.col("_m"), i))

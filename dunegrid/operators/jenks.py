@@ -196,7 +196,7 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
 
 
 def jenks_breaks(df: DataFrame, col: str, k: int, compat_first_class: bool = False,
-                 leaf_pairs: int = 1 << 22, chunk: int = 1 << 14, fanout: int = 64) -> list[float]:
+                 leaf_pairs: int = 1 << 20, chunk: int = 1 << 14, fanout: int = 64) -> list[float]:
     """Natural breaks of ``col`` into ``k`` classes: k + 1 break values."""
     if k <= 1:
         raise ValueError("jenks: the number of classes must be greater than 1")

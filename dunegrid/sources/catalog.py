@@ -32,7 +32,10 @@ def write_catalog(cells: DataFrame, path: str, layer: str, zoom: int, tile_size:
              .withColumn("zkey", morton2(F.col("col_key"), F.col("row_key")))
              .withColumn("layer", F.lit(layer))
              .withColumn("zoom", F.lit(int(zoom))))
-    ordered = keyed.repartitionByRange("zkey").sortWithinPartitions("zkey", r, c)
+    # range bounds on (zkey, r, c, ...): a heavily populated tile is split
+    # over several partitions instead of landing in one task
+    extra = [x for x in cells.columns if x not in (c, r)][:1]
+    ordered = keyed.repartitionByRange("zkey", r, c, *extra).sortWithinPartitions("zkey", r, c)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
