@@ -61,3 +61,93 @@ def mercator_to_lat(y) -> Column:
 def mercator_resolution(zoom: int, tile_size: int = 256) -> float:
     """Metres per pixel of the zoomed Web Mercator layout."""
     return 2 * MERCATOR_HALF_WORLD / (tile_size * (2 ** zoom))
+
+
+# --- UTM (transverse Mercator on the WGS84 ellipsoid) --------------------------------
+# Series of Snyder, "Map Projections - A Working Manual" (USGS PP 1395, 1987),
+# pp. 60-64; accuracy well below a millimetre inside a zone.
+
+# WGS84 flattening and the UTM scale factor, false easting and
+# false northing of the southern hemisphere.
+WGS84_F = 1 / 298.257223563
+UTM_K0 = 0.9996
+UTM_FALSE_EASTING = 500000.0
+UTM_FALSE_NORTHING_SOUTH = 10000000.0
+
+_E2 = WGS84_F * (2 - WGS84_F)
+_EP2 = _E2 / (1 - _E2)
+_M1 = 1 - _E2 / 4 - 3 * _E2 ** 2 / 64 - 5 * _E2 ** 3 / 256
+_M2 = 3 * _E2 / 8 + 3 * _E2 ** 2 / 32 + 45 * _E2 ** 3 / 1024
+_M3 = 15 * _E2 ** 2 / 256 + 45 * _E2 ** 3 / 1024
+_M4 = 35 * _E2 ** 3 / 3072
+_E1 = (1 - math.sqrt(1 - _E2)) / (1 + math.sqrt(1 - _E2))
+
+
+def utm_central_meridian(zone: int) -> float:
+    return (zone - 1) * 6 - 180 + 3
+
+
+def _tmp(prefix: str) -> str:
+    import uuid
+    return f"_{prefix}_{uuid.uuid4().hex[:6]}"
+
+
+def with_utm_forward(df, lon: str, lat: str, zone: int, south: bool = False,
+                     out_x: str = "x", out_y: str = "y"):
+    """Add UTM (easting, northing) of (lon, lat) degree columns.
+
+    Intermediate terms are added as columns in stages so every term is
+    computed once per row (an inlined expression tree would repeat them).
+    """
+    a = EARTH_RADIUS
+    p, lam, nn, t, cc, aa = (_tmp(k) for k in ("phi", "lam", "n", "t", "c", "a"))
+    df = df.withColumn(p, F.radians(F.col(lat))).withColumn(
+        lam, F.radians(F.col(lon)) - F.lit(math.radians(utm_central_meridian(zone))))
+    phi = F.col(p)
+    df = (df.withColumn(nn, F.lit(a) / F.sqrt(1 - F.lit(_E2) * F.sin(phi) * F.sin(phi)))
+            .withColumn(t, F.tan(phi) * F.tan(phi))
+            .withColumn(cc, F.lit(_EP2) * F.cos(phi) * F.cos(phi))
+            .withColumn(aa, F.col(lam) * F.cos(phi)))
+    n, tt, c2, a2 = F.col(nn), F.col(t), F.col(cc), F.col(aa)
+    m = F.lit(a) * (F.lit(_M1) * phi - F.lit(_M2) * F.sin(2 * phi) + F.lit(_M3) * F.sin(4 * phi)
+                    - F.lit(_M4) * F.sin(6 * phi))
+    x = F.lit(UTM_K0) * n * (a2 + (1 - tt + c2) * F.pow(a2, 3) / 6
+                             + (5 - 18 * tt + tt * tt + 72 * c2 - 58 * _EP2) * F.pow(a2, 5) / 120) \
+        + F.lit(UTM_FALSE_EASTING)
+    y = F.lit(UTM_K0) * (m + n * F.tan(phi) * (a2 * a2 / 2 + (5 - tt + 9 * c2 + 4 * c2 * c2) * F.pow(a2, 4) / 24
+                                                + (61 - 58 * tt + tt * tt + 600 * c2 - 330 * _EP2)
+                                                * F.pow(a2, 6) / 720))
+    if south:
+        y = y + F.lit(UTM_FALSE_NORTHING_SOUTH)
+    return df.withColumn(out_x, x).withColumn(out_y, y).drop(p, lam, nn, t, cc, aa)
+
+
+def with_utm_inverse(df, x: str, y: str, zone: int, south: bool = False,
+                     out_lon: str = "lon", out_lat: str = "lat"):
+    """Add (lon, lat) degrees of UTM (easting, northing) columns (staged terms)."""
+    a = EARTH_RADIUS
+    e1 = _E1
+    mu_c, p1, c1_, t1_, n1_, r1_, d_ = (_tmp(k) for k in ("mu", "p1", "c1", "t1", "n1", "r1", "d"))
+    yy = F.col(y) - F.lit(UTM_FALSE_NORTHING_SOUTH) if south else F.col(y)
+    df = df.withColumn(mu_c, yy / F.lit(UTM_K0) / F.lit(a * _M1))
+    mu = F.col(mu_c)
+    df = df.withColumn(p1, mu + F.lit(3 * e1 / 2 - 27 * e1 ** 3 / 32) * F.sin(2 * mu)
+                       + F.lit(21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * F.sin(4 * mu)
+                       + F.lit(151 * e1 ** 3 / 96) * F.sin(6 * mu)
+                       + F.lit(1097 * e1 ** 4 / 512) * F.sin(8 * mu))
+    phi1 = F.col(p1)
+    s = F.sin(phi1)
+    df = (df.withColumn(c1_, F.lit(_EP2) * F.cos(phi1) * F.cos(phi1))
+            .withColumn(t1_, F.tan(phi1) * F.tan(phi1))
+            .withColumn(n1_, F.lit(a) / F.sqrt(1 - F.lit(_E2) * s * s))
+            .withColumn(r1_, F.lit(a * (1 - _E2)) / F.pow(1 - F.lit(_E2) * s * s, 1.5)))
+    df = df.withColumn(d_, (F.col(x) - F.lit(UTM_FALSE_EASTING)) / (F.col(n1_) * F.lit(UTM_K0)))
+    c1, t1, n1, r1, d = F.col(c1_), F.col(t1_), F.col(n1_), F.col(r1_), F.col(d_)
+    phi = phi1 - (n1 * F.tan(phi1) / r1) * (
+        d * d / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * _EP2) * F.pow(d, 4) / 24
+        + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * _EP2 - 3 * c1 * c1) * F.pow(d, 6) / 720)
+    lam = (d - (1 + 2 * t1 + c1) * F.pow(d, 3) / 6
+           + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * _EP2 + 24 * t1 * t1) * F.pow(d, 5) / 120) / F.cos(phi1)
+    return (df.withColumn(out_lon, F.degrees(lam) + F.lit(utm_central_meridian(zone)))
+              .withColumn(out_lat, F.degrees(phi))
+              .drop(mu_c, p1, c1_, t1_, n1_, r1_, d_))

@@ -309,6 +309,77 @@ def reproject_lonlat_to_mercator(cells: DataFrame, value_cols: Sequence[str], sr
                       *value_cols)
 
 
+Transform = Callable[[DataFrame, str, str, str, str], DataFrame]
+
+
+def reproject(cells: DataFrame, value_cols: Sequence[str], src: Grid, dst: Grid,
+              forward: Transform, inverse: Transform, c: str = "c", r: str = "r",
+              out_c: str = "tc", out_r: str = "tr") -> DataFrame:
+    """Bilinear reprojection between two grids related by a smooth map.
+
+    ``forward(df, x, y, out_x, out_y)`` adds target coordinates of source
+    coordinate columns, ``inverse`` the other way (transforms add columns in
+    stages so long series are evaluated once per row).  A source cell's
+    bilinear support (centre +- one cell) is mapped forward through its
+    corners and edge midpoints; the target pixels inside that box (plus one
+    pixel of slack) are its candidates, and each candidate's centre is mapped
+    back exactly (no error threshold) to weigh the contribution.
+    """
+    df = cells.select(*[F.col(v) for v in value_cols], F.col(c).alias("_sc"), F.col(r).alias("_sr"))
+    xc = F.lit(src.x0) + (F.col("_sc") + 0.5) * F.lit(src.dx)
+    yc = F.lit(src.y0) + (F.col("_sr") + 0.5) * F.lit(src.dy)
+    offsets = [(ox, oy) for ox in (-1, 0, 1) for oy in (-1, 0, 1) if (ox, oy) != (0, 0)]
+    pts = F.array(*[F.struct((xc + F.lit(ox * src.dx)).alias("x"), (yc + F.lit(oy * src.dy)).alias("y"))
+                    for ox, oy in offsets])
+    # support points as rows (8 per cell), mapped forward, reduced to a target index box
+    sp = df.select("_sc", "_sr", F.explode(pts).alias("_p")).select("_sc", "_sr", "_p.x", "_p.y")
+    sp = forward(sp, "x", "y", "_X", "_Y")
+    sp = sp.select("_sc", "_sr", ((F.col("_X") - F.lit(dst.x0)) / F.lit(dst.dx) - 0.5).alias("_u"),
+                   ((F.col("_Y") - F.lit(dst.y0)) / F.lit(dst.dy) - 0.5).alias("_v"))
+    box = sp.groupBy("_sc", "_sr").agg(
+        (F.floor(F.min("_u")).cast("int") - 1).alias("_u0"), (F.ceil(F.max("_u")).cast("int") + 1).alias("_u1"),
+        (F.floor(F.min("_v")).cast("int") - 1).alias("_v0"), (F.ceil(F.max("_v")).cast("int") + 1).alias("_v1"))
+    cand = df.join(box, ["_sc", "_sr"])
+    cand = cand.select(*value_cols, "_sc", "_sr", F.explode(F.sequence("_u0", "_u1")).alias(out_c),
+                       F.sequence("_v0", "_v1").alias("_tr_seq"))
+    cand = cand.select("*", F.explode("_tr_seq").alias(out_r)).drop("_tr_seq")
+    cand = cand.withColumn("_X", F.lit(dst.x0) + (F.col(out_c) + 0.5) * F.lit(dst.dx)) \
+               .withColumn("_Y", F.lit(dst.y0) + (F.col(out_r) + 0.5) * F.lit(dst.dy))
+    cand = inverse(cand, "_X", "_Y", "_sx", "_sy")
+    u = (F.col("_sx") - F.lit(src.x0)) / F.lit(src.dx) - 0.5
+    v = (F.col("_sy") - F.lit(src.y0)) / F.lit(src.dy) - 0.5
+    return _bilinear_from_source(cand, u, v, value_cols, [out_c, out_r])
+
+
+def reproject_utm_to_mercator(cells: DataFrame, value_cols: Sequence[str], src: Grid, zone: int,
+                              zoom: int, south: bool = False, tile_size: int = 256,
+                              c: str = "c", r: str = "r") -> DataFrame:
+    """UTM raster (metres, north-up) -> zoomed Web Mercator pixels, bilinear.
+
+    Output: zoom, px, py (global pixel, py from the north edge), col_key,
+    row_key (tile of ``tile_size``), values.
+    """
+    from dunegrid.functions.geometry import with_utm_forward, with_utm_inverse
+
+    res = mercator_resolution(zoom, tile_size)
+    half = MERCATOR_HALF_WORLD
+    dst = Grid(-half, half, res, -res)
+
+    def fwd(df, x, y, ox, oy):
+        df = with_utm_inverse(df, x, y, zone, south, "_lon", "_lat")
+        return df.withColumn(ox, lonlat_to_mercator_x(F.col("_lon"))).withColumn(
+            oy, lonlat_to_mercator_y(F.col("_lat"))).drop("_lon", "_lat")
+
+    def inv(df, X, Y, ox, oy):
+        df = df.withColumn("_lon", mercator_to_lon(F.col(X))).withColumn("_lat", mercator_to_lat(F.col(Y)))
+        return with_utm_forward(df, "_lon", "_lat", zone, south, ox, oy).drop("_lon", "_lat")
+
+    out = reproject(cells, value_cols, src, dst, fwd, inv, c, r, "px", "py")
+    return out.select(F.lit(zoom).alias("zoom"), "px", "py",
+                      F.floor(F.col("px") / tile_size).cast("int").alias("col_key"),
+                      F.floor(F.col("py") / tile_size).cast("int").alias("row_key"), *value_cols)
+
+
 def with_zorder(df: DataFrame, c: str = "c", r: str = "r", out: str = "z") -> DataFrame:
     """Add the Morton (Z-order) code of the cell key."""
     return df.withColumn(out, morton2(F.col(c), F.col(r)))

@@ -246,3 +246,17 @@ def _morton_sql(x: str) -> str:
           sql=with_ctes(PX, NM, body=f"SELECT c, r, (({_morton_sql('c')}) << 1) | ({_morton_sql('r')}) AS z FROM nm"))
 def zorder_keys(spark, sf):
     return gr.with_zorder(td.max_nir(spark, sf)).select("c", "r", "z")
+
+
+# Fixed parameters: the nm layer read as a UTM zone 48N raster of 30 m cells
+# whose north-west corner is at (500000, 4500000), reprojected to zoom 12.
+UTM_GRID = gr.Grid(500000.0, 4500000.0, 30.0, -30.0)
+UTM_ZONE = 48
+UTM_ZOOM = 12
+
+
+@register("reproject_utm_web_mercator", ops=("I3",))
+def reproject_utm_web_mercator(spark, sf):
+    out = gr.reproject_utm_to_mercator(td.max_nir(spark, sf), ["v"], UTM_GRID, UTM_ZONE, UTM_ZOOM)
+    return out.select("zoom", F.col("px").cast("bigint").alias("px"), F.col("py").cast("bigint").alias("py"),
+                      "col_key", "row_key", "v")

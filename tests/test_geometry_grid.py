@@ -94,3 +94,41 @@ def test_focal_matches_numpy_across_tiles(spark):
             vals = win[mask_ & ~np.isnan(win)]
             exp[(c, r)] = float(np.median(vals)) if len(vals) else None
         assert got == exp, ts
+
+
+def test_utm_round_trip_and_known_point(spark):
+    df = spark.createDataFrame([(15.0, 45.0), (13.4, 52.5), (16.9, 47.1)], "lon double, lat double")
+    out = geo.with_utm_forward(df, "lon", "lat", 33)
+    out = geo.with_utm_inverse(out, "x", "y", 33, out_lon="lon2", out_lat="lat2")
+    for r in out.collect():
+        assert abs(r.lon2 - r.lon) < 1e-6 and abs(r.lat2 - r.lat) < 1e-6
+        if r.lon == 15.0:  # central meridian: false easting, northing = k0 * meridian arc
+            assert abs(r.x - 500000.0) < 1e-6 and abs(r.y - 4982950.4) < 1.0
+    south = spark.createDataFrame([(105.2, -6.3)], "lon double, lat double")
+    s2 = geo.with_utm_inverse(geo.with_utm_forward(south, "lon", "lat", 48, True), "x", "y", 48, True,
+                              "lon2", "lat2").first()
+    assert abs(s2.lon2 - 105.2) < 1e-6 and abs(s2.lat2 + 6.3) < 1e-6 and s2.y > 9e6
+
+
+def test_generic_reproject_identity_and_lonlat_agree(spark):
+    data = [(c, r, float((c * 13 + r * 7) % 17)) for c in range(12) for r in range(9)]
+    cells = spark.createDataFrame(data, "c int, r int, v double")
+    def ident(df, x, y, ox, oy):
+        return df.withColumn(ox, F.col(x)).withColumn(oy, F.col(y))
+
+    got = {(x.tc, x.tr): x.v for x in grid.reproject(cells, ["v"], grid.Grid(), grid.Grid(), ident, ident).collect()}
+    assert got == {(c, r): v for c, r, v in data}
+    # the generic path reproduces the separable lon/lat -> mercator path
+    src = grid.Grid(-3.0, 40.0, 0.01, -0.01)
+    a = {(x.px, x.py): x.v for x in grid.reproject_lonlat_to_mercator(cells, ["v"], src, 9).collect()}
+    res = geo.mercator_resolution(9)
+    dst = grid.Grid(-geo.MERCATOR_HALF_WORLD, geo.MERCATOR_HALF_WORLD, res, -res)
+    def fwd(df, x, y, ox, oy):
+        return df.withColumn(ox, geo.lonlat_to_mercator_x(F.col(x))).withColumn(oy, geo.lonlat_to_mercator_y(F.col(y)))
+
+    def inv(df, X, Y, ox, oy):
+        return df.withColumn(ox, geo.mercator_to_lon(F.col(X))).withColumn(oy, geo.mercator_to_lat(F.col(Y)))
+
+    b = {(x.tc, x.tr): x.v for x in grid.reproject(cells, ["v"], src, dst, fwd, inv).collect()}
+    assert set(a) == set(b)
+    assert all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
