@@ -101,6 +101,7 @@ def _candidates(rows: DataFrame, chunk: int, parallelism: int) -> DataFrame:
 
 
 _LEAF_SCHEMA = "l long, cost double, arg long"
+_LEAF_CELLS_PER_STEP = 1 << 20
 
 
 def _leaf_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,20 +115,26 @@ def _leaf_block(pdf: pd.DataFrame) -> pd.DataFrame:
     cs = pdf[pdf["role"] == 1].sort_values("pos")
     if ls.empty:
         return pd.DataFrame({"l": [], "cost": [], "arg": []})
-    lp = ls["pos"].to_numpy()[:, None]
     ip = cs["pos"].to_numpy()[None, :]
-    Wl, Sl, Ql = (ls[c].to_numpy()[:, None] for c in ("W", "S", "Q"))
     Wi, Si, Qi = (cs[c].to_numpy()[None, :] for c in ("W", "S", "Q"))
     prev = cs["prev_cost"].to_numpy()[None, :]
-    with np.errstate(all="ignore"):
-        ds = Sl - Si
-        cost = prev + ((Ql - Qi) - ds * ds / (Wl - Wi))
-    cost = np.where(ip < lp, cost, np.inf)
-    best = np.argmin(cost, axis=1)
-    rows = np.arange(len(ls))
-    return pd.DataFrame({"l": ls["pos"].to_numpy().astype("int64"),
-                         "cost": cost[rows, best],
-                         "arg": cs["pos"].to_numpy()[best].astype("int64")})
+    l_pos = ls["pos"].to_numpy()
+    W_all, S_all, Q_all = (ls[c].to_numpy() for c in ("W", "S", "Q"))
+    best_cost = np.empty(len(ls))
+    best_arg = np.empty(len(ls), dtype="int64")
+    step = max(1, _LEAF_CELLS_PER_STEP // max(1, ip.shape[1]))
+    for a in range(0, len(ls), step):  # bounded temporaries: step x |I| cells at a time
+        b = min(len(ls), a + step)
+        lp = l_pos[a:b, None]
+        Wl, Sl, Ql = W_all[a:b, None], S_all[a:b, None], Q_all[a:b, None]
+        with np.errstate(all="ignore"):
+            ds = Sl - Si
+            cost = prev + ((Ql - Qi) - ds * ds / (Wl - Wi))
+        cost = np.where(ip < lp, cost, np.inf)
+        k = np.argmin(cost, axis=1)
+        best_cost[a:b] = cost[np.arange(b - a), k]
+        best_arg[a:b] = cs["pos"].to_numpy()[k]
+    return pd.DataFrame({"l": l_pos.astype("int64"), "cost": best_cost, "arg": best_arg})
 
 
 def _solve_leaves(leaves: DataFrame, prev: DataFrame, prefix: DataFrame) -> DataFrame:
@@ -146,10 +153,12 @@ def _solve_leaves(leaves: DataFrame, prev: DataFrame, prefix: DataFrame) -> Data
 
 
 def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int,
-                 i_lo: int, leaf_pairs: int, chunk: int, fanout: int) -> DataFrame:
+                 i_lo: int, leaf_pairs: int, chunk: int, fanout: int,
+                 max_group_rows: int = 1 << 18) -> DataFrame:
     """cost_c(l) for l in [l_lo, l_hi] from the previous layer.
 
-    A block whose (l, i) box exceeds ``leaf_pairs`` is cut at ``fanout - 1``
+    A block whose (l, i) box exceeds ``leaf_pairs`` (or whose rows exceed
+    ``max_group_rows``) is cut at ``fanout - 1``
     split points, which are evaluated against their whole candidate range in
     one Spark job; the optimal splits bound the candidate ranges of the
     sub-blocks (monotone optimum).  Blocks within the bound are solved
@@ -159,15 +168,20 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
     tasks = spark.createDataFrame([(l_lo, l_hi, i_lo, l_hi - 1)],
                                   "l_lo long, l_hi long, i_lo long, i_hi long")
     parts: list[DataFrame] = []
+
+    def leaf_flag(t):
+        w_i = F.least(F.col("i_hi"), F.col("l_hi") - 1) - F.col("i_lo") + 1
+        n_rows = F.col("l_hi") - F.col("l_lo") + 1
+        return (n_rows * w_i <= F.lit(leaf_pairs)) & (n_rows + w_i <= F.lit(max_group_rows))
+
+    n_rows0, width0 = l_hi - l_lo + 1, l_hi - i_lo
+    first_leaf = n_rows0 * width0 <= leaf_pairs and n_rows0 + width0 <= max_group_rows
+    n_leaf, n_split = int(first_leaf), int(not first_leaf)   # the first level's shape is known
     while True:
-        width = F.least(F.col("i_hi"), F.col("l_hi") - 1) - F.col("i_lo") + 1
-        box = (F.col("l_hi") - F.col("l_lo") + 1) * width
-        t = tasks.withColumn("leaf", box <= F.lit(leaf_pairs))
-        counts = t.agg(F.sum(F.col("leaf").cast("int")).alias("n_leaf"),
-                       F.sum((~F.col("leaf")).cast("int")).alias("n_split")).first()
-        if counts["n_leaf"]:
+        t = tasks.withColumn("leaf", leaf_flag(tasks))
+        if n_leaf:
             parts.append(materialize(_solve_leaves(t.filter("leaf"), prev, prefix), "jenks-leaf"))
-        if not counts["n_split"]:
+        if not n_split:
             break
         sp = t.filter(~F.col("leaf"))
         n_l = F.col("l_hi") - F.col("l_lo") + 1
@@ -189,6 +203,12 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
             nxt.filter(F.col("np").isNotNull() & (F.col("p") + 1 <= F.col("np") - 1))
             .select((F.col("p") + 1).alias("l_lo"), (F.col("np") - 1).alias("l_hi"),
                     F.col("arg").alias("i_lo"), F.col("na").alias("i_hi")), "jenks-tasks")
+        flag = leaf_flag(tasks)
+        row = tasks.agg(F.coalesce(F.sum(flag.cast("int")), F.lit(0)).alias("n_leaf"),
+                        F.coalesce(F.sum((~flag).cast("int")), F.lit(0)).alias("n_split")).first()
+        n_leaf, n_split = row["n_leaf"], row["n_split"]
+        if not n_leaf and not n_split:
+            break
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -196,7 +216,7 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
 
 
 def jenks_breaks(df: DataFrame, col: str, k: int, compat_first_class: bool = False,
-                 leaf_pairs: int = 1 << 20, chunk: int = 1 << 14, fanout: int = 64) -> list[float]:
+                 leaf_pairs: int = 1 << 24, chunk: int = 1 << 14, fanout: int = 64) -> list[float]:
     """Natural breaks of ``col`` into ``k`` classes: k + 1 break values."""
     if k <= 1:
         raise ValueError("jenks: the number of classes must be greater than 1")
