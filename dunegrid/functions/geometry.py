@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,67 +88,81 @@ def utm_central_meridian(zone: int) -> float:
     return (zone - 1) * 6 - 180 + 3
 
 
-def _tmp(prefix: str) -> str:
-    import uuid
-    return f"_{prefix}_{uuid.uuid4().hex[:6]}"
+def utm_forward_np(lon, lat, zone: int, south: bool = False):
+    """Vectorised (numpy) UTM forward: degrees -> (easting, northing) metres."""
+    import numpy as np
+    a = EARTH_RADIUS
+    phi = np.radians(np.asarray(lat, dtype="float64"))
+    lam = np.radians(np.asarray(lon, dtype="float64")) - math.radians(utm_central_meridian(zone))
+    s, co, tn = np.sin(phi), np.cos(phi), np.tan(phi)
+    n = a / np.sqrt(1 - _E2 * s * s)
+    t = tn * tn
+    c = _EP2 * co * co
+    aa = lam * co
+    m = a * (_M1 * phi - _M2 * np.sin(2 * phi) + _M3 * np.sin(4 * phi) - _M4 * np.sin(6 * phi))
+    x = UTM_K0 * n * (aa + (1 - t + c) * aa ** 3 / 6
+                      + (5 - 18 * t + t * t + 72 * c - 58 * _EP2) * aa ** 5 / 120) + UTM_FALSE_EASTING
+    y = UTM_K0 * (m + n * tn * (aa * aa / 2 + (5 - t + 9 * c + 4 * c * c) * aa ** 4 / 24
+                                + (61 - 58 * t + t * t + 600 * c - 330 * _EP2) * aa ** 6 / 720))
+    if south:
+        y = y + UTM_FALSE_NORTHING_SOUTH
+    return x, y
+
+
+def utm_inverse_np(x, y, zone: int, south: bool = False):
+    """Vectorised (numpy) UTM inverse: (easting, northing) metres -> degrees."""
+    import numpy as np
+    a = EARTH_RADIUS
+    e1 = _E1
+    yy = np.asarray(y, dtype="float64") - (UTM_FALSE_NORTHING_SOUTH if south else 0.0)
+    mu = yy / UTM_K0 / (a * _M1)
+    phi1 = (mu + (3 * e1 / 2 - 27 * e1 ** 3 / 32) * np.sin(2 * mu)
+            + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * np.sin(4 * mu)
+            + (151 * e1 ** 3 / 96) * np.sin(6 * mu) + (1097 * e1 ** 4 / 512) * np.sin(8 * mu))
+    s, co, tn = np.sin(phi1), np.cos(phi1), np.tan(phi1)
+    c1 = _EP2 * co * co
+    t1 = tn * tn
+    n1 = a / np.sqrt(1 - _E2 * s * s)
+    r1 = a * (1 - _E2) / (1 - _E2 * s * s) ** 1.5
+    d = (np.asarray(x, dtype="float64") - UTM_FALSE_EASTING) / (n1 * UTM_K0)
+    phi = phi1 - (n1 * tn / r1) * (d * d / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * _EP2) * d ** 4 / 24
+                                   + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * _EP2 - 3 * c1 * c1)
+                                   * d ** 6 / 720)
+    lam = (d - (1 + 2 * t1 + c1) * d ** 3 / 6
+           + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * _EP2 + 24 * t1 * t1) * d ** 5 / 120) / co
+    return np.degrees(lam) + utm_central_meridian(zone), np.degrees(phi)
+
+
+def _pair_udf(fn, zone: int, south: bool, names: tuple[str, str]):
+    from pyspark.sql.functions import pandas_udf
+
+    schema = f"{names[0]} double, {names[1]} double"
+
+    @pandas_udf(schema)
+    def apply(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        u, v = fn(a.to_numpy(dtype="float64", na_value=float("nan")),
+                  b.to_numpy(dtype="float64", na_value=float("nan")), zone, south)
+        return pd.DataFrame({names[0]: u, names[1]: v})
+
+    return apply
 
 
 def with_utm_forward(df, lon: str, lat: str, zone: int, south: bool = False,
                      out_x: str = "x", out_y: str = "y"):
     """Add UTM (easting, northing) of (lon, lat) degree columns.
 
-    Intermediate terms are added as columns in stages so every term is
-    computed once per row (an inlined expression tree would repeat them).
+    The series is evaluated with numpy in Arrow batches (one Pandas UDF call
+    per batch); as a Catalyst expression it would be too large for
+    whole-stage code generation.
     """
-    a = EARTH_RADIUS
-    p, lam, nn, t, cc, aa = (_tmp(k) for k in ("phi", "lam", "n", "t", "c", "a"))
-    df = df.withColumn(p, F.radians(F.col(lat))).withColumn(
-        lam, F.radians(F.col(lon)) - F.lit(math.radians(utm_central_meridian(zone))))
-    phi = F.col(p)
-    df = (df.withColumn(nn, F.lit(a) / F.sqrt(1 - F.lit(_E2) * F.sin(phi) * F.sin(phi)))
-            .withColumn(t, F.tan(phi) * F.tan(phi))
-            .withColumn(cc, F.lit(_EP2) * F.cos(phi) * F.cos(phi))
-            .withColumn(aa, F.col(lam) * F.cos(phi)))
-    n, tt, c2, a2 = F.col(nn), F.col(t), F.col(cc), F.col(aa)
-    m = F.lit(a) * (F.lit(_M1) * phi - F.lit(_M2) * F.sin(2 * phi) + F.lit(_M3) * F.sin(4 * phi)
-                    - F.lit(_M4) * F.sin(6 * phi))
-    x = F.lit(UTM_K0) * n * (a2 + (1 - tt + c2) * F.pow(a2, 3) / 6
-                             + (5 - 18 * tt + tt * tt + 72 * c2 - 58 * _EP2) * F.pow(a2, 5) / 120) \
-        + F.lit(UTM_FALSE_EASTING)
-    y = F.lit(UTM_K0) * (m + n * F.tan(phi) * (a2 * a2 / 2 + (5 - tt + 9 * c2 + 4 * c2 * c2) * F.pow(a2, 4) / 24
-                                                + (61 - 58 * tt + tt * tt + 600 * c2 - 330 * _EP2)
-                                                * F.pow(a2, 6) / 720))
-    if south:
-        y = y + F.lit(UTM_FALSE_NORTHING_SOUTH)
-    return df.withColumn(out_x, x).withColumn(out_y, y).drop(p, lam, nn, t, cc, aa)
+    t = "_utm_fwd"
+    return (df.withColumn(t, _pair_udf(utm_forward_np, zone, south, ("x", "y"))(F.col(lon), F.col(lat)))
+              .withColumn(out_x, F.col(f"{t}.x")).withColumn(out_y, F.col(f"{t}.y")).drop(t))
 
 
 def with_utm_inverse(df, x: str, y: str, zone: int, south: bool = False,
                      out_lon: str = "lon", out_lat: str = "lat"):
-    """Add (lon, lat) degrees of UTM (easting, northing) columns (staged terms)."""
-    a = EARTH_RADIUS
-    e1 = _E1
-    mu_c, p1, c1_, t1_, n1_, r1_, d_ = (_tmp(k) for k in ("mu", "p1", "c1", "t1", "n1", "r1", "d"))
-    yy = F.col(y) - F.lit(UTM_FALSE_NORTHING_SOUTH) if south else F.col(y)
-    df = df.withColumn(mu_c, yy / F.lit(UTM_K0) / F.lit(a * _M1))
-    mu = F.col(mu_c)
-    df = df.withColumn(p1, mu + F.lit(3 * e1 / 2 - 27 * e1 ** 3 / 32) * F.sin(2 * mu)
-                       + F.lit(21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * F.sin(4 * mu)
-                       + F.lit(151 * e1 ** 3 / 96) * F.sin(6 * mu)
-                       + F.lit(1097 * e1 ** 4 / 512) * F.sin(8 * mu))
-    phi1 = F.col(p1)
-    s = F.sin(phi1)
-    df = (df.withColumn(c1_, F.lit(_EP2) * F.cos(phi1) * F.cos(phi1))
-            .withColumn(t1_, F.tan(phi1) * F.tan(phi1))
-            .withColumn(n1_, F.lit(a) / F.sqrt(1 - F.lit(_E2) * s * s))
-            .withColumn(r1_, F.lit(a * (1 - _E2)) / F.pow(1 - F.lit(_E2) * s * s, 1.5)))
-    df = df.withColumn(d_, (F.col(x) - F.lit(UTM_FALSE_EASTING)) / (F.col(n1_) * F.lit(UTM_K0)))
-    c1, t1, n1, r1, d = F.col(c1_), F.col(t1_), F.col(n1_), F.col(r1_), F.col(d_)
-    phi = phi1 - (n1 * F.tan(phi1) / r1) * (
-        d * d / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * _EP2) * F.pow(d, 4) / 24
-        + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * _EP2 - 3 * c1 * c1) * F.pow(d, 6) / 720)
-    lam = (d - (1 + 2 * t1 + c1) * F.pow(d, 3) / 6
-           + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * _EP2 + 24 * t1 * t1) * F.pow(d, 5) / 120) / F.cos(phi1)
-    return (df.withColumn(out_lon, F.degrees(lam) + F.lit(utm_central_meridian(zone)))
-              .withColumn(out_lat, F.degrees(phi))
-              .drop(mu_c, p1, c1_, t1_, n1_, r1_, d_))
+    """Add (lon, lat) degrees of UTM (easting, northing) columns (numpy series)."""
+    t = "_utm_inv"
+    return (df.withColumn(t, _pair_udf(utm_inverse_np, zone, south, ("lon", "lat"))(F.col(x), F.col(y)))
+              .withColumn(out_lon, F.col(f"{t}.lon")).withColumn(out_lat, F.col(f"{t}.lat")).drop(t))
