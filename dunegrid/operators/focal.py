@@ -52,11 +52,12 @@ def _focal_numpy(arr: np.ndarray, radius: int, stat: str) -> np.ndarray:
 
 
 def focal(cells: DataFrame, value_col: str, radius: int = 2, stat: str = "median",
-          tile_size: int = 256, c: str = "c", r: str = "r", out: str | None = None) -> DataFrame:
+          tile_size: int = 256, c: str = "c", r: str = "r", out: str | None = None,
+          duplicates: str = "max") -> DataFrame:
     """Focal statistic of ``value_col`` over a (2 radius + 1)^2 square window.
 
-    Input must hold one row per cell (reduce a time series first).  Returns
-    (c, r, out).
+    A cell holds one value; several rows of one cell are reduced with
+    ``duplicates`` first.  Returns (c, r, out).
     """
     if stat not in FOCAL_STATS:
         raise ValueError(f"stat must be one of {FOCAL_STATS}")
@@ -64,6 +65,11 @@ def focal(cells: DataFrame, value_col: str, radius: int = 2, stat: str = "median
         raise ValueError("radius must be in [0, tile_size)")
     out = out or value_col
     T_ = int(tile_size)
+    # one value per cell: repeated rows of a cell are reduced first (partial
+    # aggregation; no exchange when the input is already keyed by cell), so a
+    # hot cell cannot inflate a tile group
+    red = {"max": F.max, "min": F.min, "mean": F.avg, "first": F.first}[duplicates]
+    cells = cells.groupBy(F.col(c).alias(c), F.col(r).alias(r)).agg(red(value_col).alias(value_col))
     tc = F.floor(F.col(c) / T_).cast("int")
     tr = F.floor(F.col(r) / T_).cast("int")
     lc = F.col(c) - tc * T_

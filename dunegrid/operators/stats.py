@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from dunegrid.functions.indices import fvc, safe_div
 from dunegrid.operators.ordering import with_position
+from dunegrid.session import materialize
 
 
 def min_max(df: DataFrame, col: str) -> DataFrame:
@@ -58,7 +59,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFr
     Rank h = p (N - 1) (0-based); result = x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
     """
     spark = df.sparkSession
-    vc = with_position(value_counts(df, col), ["value"], ["w"])
+    # written once: both the total and the rank look-ups read the same table
+    vc = materialize(with_position(value_counts(df, col), ["value"], ["w"]), "percentile-ranks")
     # cum_w is the inclusive running count: value covers ranks [cum_w - w, cum_w - 1]
     n_total = vc.select(F.max("cum_w")).scalar()
     targets = spark.createDataFrame([(float(p),) for p in probs], "p double")
