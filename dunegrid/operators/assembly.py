@@ -134,3 +134,20 @@ def layer_metadata(cells: DataFrame, c: str = "c", r: str = "r", crs_col: str |
     if time_col:
         aggs += [F.min(time_col).alias("t_min"), F.max(time_col).alias("t_max")]
     return cells.agg(*aggs)
+
+
+def merge_metadata(parts: DataFrame, crs_col: str = "crs", cell_cols=("dx", "dy")) -> DataFrame:
+    """Merge per-part metadata rows (extent xmin/ymin/xmax/ymax, key bounds,
+    CRS, cell size) into one layer row; parts in different CRSs or with
+    different cell sizes cannot form one layer and fail the query."""
+    aggs = [F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"),
+            F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
+            F.min(crs_col).alias(crs_col), F.count_distinct(crs_col).alias("_n_crs")]
+    for cc in cell_cols:
+        aggs += [F.min(cc).alias(cc), F.count_distinct(cc).alias(f"_n_{cc}")]
+    out = parts.agg(*aggs)
+    bad = F.col("_n_crs") > 1
+    for cc in cell_cols:
+        bad = bad | (F.col(f"_n_{cc}") > 1)
+    return out.filter(_fail_if(bad, "parts differ in CRS or cell size")).drop(
+        "_n_crs", *[f"_n_{cc}" for cc in cell_cols])

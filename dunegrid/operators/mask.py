@@ -144,6 +144,29 @@ def mask_polygon(cells: DataFrame, polygon: Polygon, c: str = "c", r: str = "r",
     return joined.select(*out)
 
 
+def filter_tiles_polygon(tiles: DataFrame, polygon: Polygon, cols: int, rows: int,
+                         span_broadcast_rows: int = SPAN_BROADCAST_ROWS) -> DataFrame:
+    """Tiles (``col_key``/``row_key`` of ``cols x rows`` cells) holding at least
+    one cell whose centre lies in ``polygon``.
+
+    The polygon's inside spans are mapped to the tile keys they cover (a
+    table that grows with the polygon, not the raster) and the tiles are
+    semi-joined to it, so no tile is exploded into cells.
+    """
+    spark = tiles.sparkSession
+    spans = polygon_spans(spark, polygon)
+    # centres c + .5 in [x_lo, x_hi): first and last covered columns
+    c_first = F.ceil(F.col("x_lo") - 0.5).cast("int")
+    c_last = (F.ceil(F.col("x_hi") - 0.5) - 1).cast("int")
+    keys = (spans.filter(c_first <= c_last)
+            .select(F.floor(F.col("r") / rows).cast("int").alias("row_key"),
+                    F.explode(F.sequence(F.floor(c_first / cols).cast("int"),
+                                         F.floor(c_last / cols).cast("int"))).alias("col_key"))
+            .distinct())
+    keys = _maybe_broadcast(keys.cache(), span_broadcast_rows)
+    return tiles.join(keys, ["col_key", "row_key"], "left_semi")
+
+
 def mask_by_class(cells: DataFrame, classes: DataFrame, value_cols: Sequence[str],
                   drop_class=0, class_col: str = "class",
                   keys: Sequence[str] = ("c", "r")) -> DataFrame:

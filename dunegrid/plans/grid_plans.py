@@ -10,6 +10,8 @@ from dunegrid.functions import indices as ix
 from dunegrid.functions.geometry import EARTH_RADIUS, MERCATOR_HALF_WORLD, mercator_resolution
 from dunegrid.operators import focal as fo
 from dunegrid.operators import grid as gr
+from dunegrid.operators import mask as mk
+from dunegrid.plans.fixtures import POLYGON
 from dunegrid.plans.registry import register, with_ctes
 from dunegrid.sources import testdata as td
 
@@ -260,3 +262,13 @@ def reproject_utm_web_mercator(spark, sf):
     out = gr.reproject_utm_to_mercator(td.max_nir(spark, sf), ["v"], UTM_GRID, UTM_ZONE, UTM_ZOOM)
     return out.select("zoom", F.col("px").cast("bigint").alias("px"), F.col("py").cast("bigint").alias("py"),
                       "col_key", "row_key", "v")
+
+
+@register("polygon_tiles", ops=("B5",),
+          sql=with_ctes(T8, ("cells8", T8_CELLS_SQL),
+                        ("inside", mk.inside_polygon_sql(POLYGON, "SELECT DISTINCT c, r FROM cells8")),
+                        body="""
+SELECT DISTINCT cells8.col_key, cells8.row_key, tile8.label
+FROM cells8 JOIN inside USING (c, r) JOIN tile8 ON tile8.col_key = cells8.col_key AND tile8.row_key = cells8.row_key"""))
+def polygon_tiles(spark, sf):
+    return mk.filter_tiles_polygon(td.tile8(spark, sf), POLYGON, 8, 8).select("col_key", "row_key", "label")

@@ -79,3 +79,15 @@ def test_discovery_strict(spark):
     ok = assembly.discover_band_files(paths.filter(~F.col("path").startswith("/d/s2/B")), [5, 4])
     assert {(r.scene_id, r.band, r.band_index) for r in ok.collect()} == {
         ("s1", 4, 1), ("s1", 5, 0), ("s2", 4, 1), ("s2", 5, 0)}
+
+
+def test_merge_metadata(spark):
+    import pytest
+    from dunegrid.operators import assembly
+    parts = spark.createDataFrame([(0.0, 0.0, 10.0, 5.0, 32648, 30.0, -30.0), (5.0, -3.0, 12.0, 4.0, 32648, 30.0, -30.0)],
+                                  "xmin double, ymin double, xmax double, ymax double, crs int, dx double, dy double")
+    row = assembly.merge_metadata(parts).first()
+    assert (row.xmin, row.ymin, row.xmax, row.ymax, row.crs) == (0.0, -3.0, 12.0, 5.0, 32648)
+    bad = parts.unionByName(spark.createDataFrame([(0.0, 0.0, 1.0, 1.0, 32649, 30.0, -30.0)], parts.schema))
+    with pytest.raises(Exception):
+        assembly.merge_metadata(bad).collect()
