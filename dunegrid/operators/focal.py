@@ -126,3 +126,80 @@ GROUP BY t.c, t.r"""
 
 
 __all__ = ["focal", "focal_sql", "FOCAL_STATS", "Iterator"]
+
+
+def _strip_predicate(ox: int, oy: int, rad: int):
+    """Index predicate of the strip a tile sends to its neighbour at (ox, oy):
+    ox = +1 -> its last ``rad`` columns, -1 -> its first ``rad`` columns (rows alike)."""
+    def keep(x, i):
+        col = i % F.col("cols")
+        row = F.floor(i / F.col("cols"))
+        cond = F.lit(True)
+        if ox == 1:
+            cond = cond & (col >= F.col("cols") - rad)
+        if ox == -1:
+            cond = cond & (col < rad)
+        if oy == 1:
+            cond = cond & (row >= F.col("rows") - rad)
+        if oy == -1:
+            cond = cond & (row < rad)
+        return cond
+    return keep
+
+
+def focal_tiles(tiles: DataFrame, radius: int = 2, stat: str = "median",
+                value_col: str = "cells") -> DataFrame:
+    """Focal statistic on the ``tiles`` form with a halo exchange of array strips.
+
+    Every tile sends its whole array to itself and, to each of its 8
+    neighbours, only the strip that neighbour needs (``radius`` columns,
+    rows or a corner block), cut with an indexed ``filter`` on the array; the
+    strips travel as arrays, not as one row per cell.  One grouped map per
+    tile reassembles the padded (rows + 2 radius) x (cols + 2 radius) array,
+    applies the window and returns the tile (edge windows clipped, nodata
+    skipped).  Tiles must share one ``cols x rows`` size and ``radius`` must
+    not exceed it.
+    """
+    if stat not in FOCAL_STATS:
+        raise ValueError(f"stat must be one of {FOCAL_STATS}")
+    rad = int(radius)
+    parts = []
+    for ox in (-1, 0, 1):
+        for oy in (-1, 0, 1):
+            # the target (col_key + ox, row_key + oy) needs, from this tile, the
+            # columns nearest to it: ox = +1 -> the last `rad` columns, -1 -> the first
+            keep = _strip_predicate(ox, oy, rad)
+            strip = F.filter(value_col, keep) if (ox, oy) != (0, 0) else F.col(value_col)
+            parts.append(F.struct(F.lit(ox).alias("ox"), F.lit(oy).alias("oy"), strip.alias("strip")))
+    routed = tiles.select("col_key", "row_key", "cols", "rows", F.explode(F.array(*parts)).alias("p"))
+    routed = routed.select((F.col("col_key") + F.col("p.ox")).alias("tx"),
+                           (F.col("row_key") + F.col("p.oy")).alias("ty"),
+                           F.col("p.ox").alias("ox"), F.col("p.oy").alias("oy"), "cols", "rows",
+                           F.col("p.strip").alias("strip"))
+    schema = T.StructType([T.StructField("col_key", T.IntegerType()), T.StructField("row_key", T.IntegerType()),
+                           T.StructField("cols", T.IntegerType()), T.StructField("rows", T.IntegerType()),
+                           T.StructField(value_col, T.ArrayType(T.DoubleType()))])
+
+    def per_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[(pdf["ox"] == 0) & (pdf["oy"] == 0)]
+        if own.empty:  # only neighbours sent strips: no tile here
+            return pd.DataFrame({"col_key": pd.Series([], dtype="int32"), "row_key": pd.Series([], dtype="int32"),
+                                 "cols": pd.Series([], dtype="int32"), "rows": pd.Series([], dtype="int32"),
+                                 value_col: pd.Series([], dtype=object)})
+        cols, rows = int(own["cols"].iloc[0]), int(own["rows"].iloc[0])
+        arr = np.full((rows + 2 * rad, cols + 2 * rad), np.nan)
+        for rec in pdf.itertuples(index=False):
+            vals = np.array(rec.strip, dtype="float64")  # None -> NaN
+            ox, oy = int(rec.ox), int(rec.oy)
+            w = cols if ox == 0 else rad
+            h = rows if oy == 0 else rad
+            # the sender sits at offset (-ox, -oy) from this tile
+            x0 = rad if ox == 0 else (0 if ox == 1 else rad + cols)
+            y0 = rad if oy == 0 else (0 if oy == 1 else rad + rows)
+            arr[y0:y0 + h, x0:x0 + w] = vals.reshape(h, w)
+        out = _focal_numpy(arr, rad, stat)[rad:rad + rows, rad:rad + cols].ravel()
+        return pd.DataFrame({"col_key": [int(own["tx"].iloc[0])], "row_key": [int(own["ty"].iloc[0])],
+                             "cols": [cols], "rows": [rows],
+                             value_col: [np.where(np.isnan(out), None, out).tolist()]})
+
+    return routed.groupBy("tx", "ty").applyInPandas(per_tile, schema)

@@ -106,6 +106,16 @@ def tile_focal_mean(spark, sf):
     return out.select("c", "r", F.round("v", 9).alias("v"))
 
 
+@register("tile_halo_focal_median", ops=("E1", "E2"),
+          sql=with_ctes(T8, ("cells8", T8_CELLS_SQL), body="""
+SELECT t.c, t.r, round(median(s.v), 9) AS v
+FROM cells8 t JOIN cells8 s ON s.c BETWEEN t.c - 2 AND t.c + 2 AND s.r BETWEEN t.r - 2 AND t.r + 2
+GROUP BY t.c, t.r"""))
+def tile_halo_focal_median(spark, sf):
+    out = gr.explode_tiles(fo.focal_tiles(td.tile8(spark, sf), radius=2, stat="median"))
+    return out.select("c", "r", F.round("v", 9).alias("v"))
+
+
 NEAREST_DST = gr.Grid(0.25, 0.25, 1.5, 1.5)
 
 

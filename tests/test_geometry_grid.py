@@ -132,3 +132,19 @@ def test_generic_reproject_identity_and_lonlat_agree(spark):
     b = {(x.tc, x.tr): x.v for x in grid.reproject(cells, ["v"], src, dst, fwd, inv).collect()}
     assert set(a) == set(b)
     assert all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
+
+
+def test_focal_tiles_equals_cell_focal(spark):
+    rnd = np.random.default_rng(9)
+    rows = []
+    for ck in range(3):
+        for rk in range(2):
+            if (ck, rk) == (2, 1):
+                continue  # a missing tile: its neighbours see nodata there
+            vals = rnd.integers(0, 30, 20).astype(float).tolist()
+            vals[3] = None
+            rows.append((ck, rk, 5, 4, vals))
+    tiles = spark.createDataFrame(rows, "col_key int, row_key int, cols int, rows int, cells array<double>")
+    a = {(x.c, x.r): x.v for x in grid.explode_tiles(focal.focal_tiles(tiles, 2, "median")).collect()}
+    b = {(x.c, x.r): x.v for x in focal.focal(grid.explode_tiles(tiles), "v", 2, "median", tile_size=7).collect()}
+    assert a == b
