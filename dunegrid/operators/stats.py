@@ -88,6 +88,12 @@ def percentile_values(df: DataFrame, col: str, probs: Sequence[float]) -> list[f
     return [rows[float(p)] for p in probs]
 
 
+def quantile_breaks(df: DataFrame, col: str, n: int) -> DataFrame:
+    """``n``-quantile breaks (break_index 1..n-1, value): exact percentiles at i / n."""
+    res = exact_percentiles(df, col, [i / n for i in range(1, n)])
+    return res.select((F.round(F.col("p") * n)).cast("int").alias("break_index"), F.col("value"))
+
+
 def histogram(df: DataFrame, col: str, lo: float, width: float) -> DataFrame:
     """Fixed-width histogram (bin, n); bin = floor((v - lo) / width)."""
     b = F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("long")

@@ -200,6 +200,16 @@ def ndvi_percentiles(spark, sf):
                       F.round("value", 6).alias("value"))
 
 
+@register("ndvi_quantile_breaks", ops=("D7", "H8"),
+          sql=with_ctes(PX, ("nd", f"SELECT {NDVI_SQL} AS ndvi FROM px"), body="""
+SELECT CAST(unnest(range(1, 20)) AS INT) AS break_index,
+       round(unnest(quantile_cont(ndvi, CAST(""" + repr([i / 20 for i in range(1, 20)]) + """ AS DOUBLE[]))), 6) AS value
+FROM nd"""))
+def ndvi_quantile_breaks(spark, sf):
+    nd = td.px(spark, sf).select(ix.ndvi("red", "nir").alias("ndvi"))
+    return stats.quantile_breaks(nd, "ndvi", 20).select("break_index", F.round("value", 6).alias("value"))
+
+
 @register("ndvi_histogram", ops=("D7",),
           sql=with_ctes(PX, body=f"""
 SELECT CAST(floor((ndvi - (-1.0)) / 0.1) AS BIGINT) AS bin, count(*) AS n
