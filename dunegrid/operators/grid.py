@@ -142,17 +142,21 @@ def _axis_candidates(lo_edge: Column, hi_edge: Column, t0: float, td: float, pad
 
 
 def regrid_nearest(cells: DataFrame, value_cols: Sequence[str], src: Grid, dst: Grid,
-                   c: str = "c", r: str = "r", out_c: str = "tc", out_r: str = "tr") -> DataFrame:
+                   c: str = "c", r: str = "r", out_c: str = "tc", out_r: str = "tr",
+                   priority_col: str | None = None) -> DataFrame:
     """Nearest-neighbour regrid: target cell takes the source cell holding its centre.
 
     Source index of a target centre X is ``floor((X - x0) / dx)``; each source
     cell emits the target cells that map back to it, so there is no join and
-    no aggregation (a target has exactly one source cell).
+    no aggregation (a target has exactly one source cell).  With
+    ``priority_col`` several overlapping layers are merged: per target cell
+    the value of the highest priority wins.
     """
     xc = F.lit(src.x0) + F.col(c) * F.lit(src.dx)
     yc = F.lit(src.y0) + F.col(r) * F.lit(src.dy)
+    extra = [F.col(priority_col)] if priority_col else []
     cand = cells.select(
-        *[F.col(v) for v in value_cols], F.col(c).alias("_sc"), F.col(r).alias("_sr"),
+        *[F.col(v) for v in value_cols], *extra, F.col(c).alias("_sc"), F.col(r).alias("_sr"),
         F.explode(_axis_candidates(xc, xc + F.lit(src.dx), dst.x0, dst.dx)).alias(out_c),
         _axis_candidates(yc, yc + F.lit(src.dy), dst.y0, dst.dy).alias("_tr_seq"))
     cand = cand.select("*", F.explode("_tr_seq").alias(out_r)).drop("_tr_seq")
@@ -160,7 +164,13 @@ def regrid_nearest(cells: DataFrame, value_cols: Sequence[str], src: Grid, dst:
     Y = F.lit(dst.y0) + (F.col(out_r) + 0.5) * F.lit(dst.dy)
     sc = F.floor((X - F.lit(src.x0)) / F.lit(src.dx)).cast("int")
     sr = F.floor((Y - F.lit(src.y0)) / F.lit(src.dy)).cast("int")
-    return cand.filter((sc == F.col("_sc")) & (sr == F.col("_sr"))).select(out_c, out_r, *value_cols)
+    hit = cand.filter((sc == F.col("_sc")) & (sr == F.col("_sr")))
+    if priority_col is None:
+        return hit.select(out_c, out_r, *value_cols)
+    # overlapping inputs (e.g. scenes): the highest priority wins per target
+    # cell, merged with max_by (partial aggregation, no collect)
+    return hit.groupBy(out_c, out_r).agg(
+        *[F.max_by(F.col(v), F.col(priority_col)).alias(v) for v in value_cols])
 
 
 def _combine_corners(vk, wk, fx, fy) -> Column:

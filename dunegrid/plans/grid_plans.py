@@ -129,6 +129,18 @@ def regrid_nearest(spark, sf):
     return out.select(F.col("tc").cast("bigint").alias("tc"), F.col("tr").cast("bigint").alias("tr"), "v")
 
 
+@register("regrid_nearest_merge", ops=("I1", "G2"),
+          sql=with_ctes(PX, ("s", "SELECT scene, c, r, max(nir) AS v FROM px GROUP BY scene, c, r"), body=f"""
+SELECT tc, tr, arg_max(s.v, s.scene) AS v FROM range(-2, 100) a(tc), range(-2, 200) b(tr), s
+WHERE s.c = CAST(floor((CAST({NEAREST_DST.x0!r} AS DOUBLE) + (tc + 0.5) * CAST({NEAREST_DST.dx!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
+  AND s.r = CAST(floor((CAST({NEAREST_DST.y0!r} AS DOUBLE) + (tr + 0.5) * CAST({NEAREST_DST.dy!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
+GROUP BY tc, tr"""))
+def regrid_nearest_merge(spark, sf):
+    scenes = td.px(spark, sf).groupBy("scene", "c", "r").agg(F.max("nir").alias("v"))
+    out = gr.regrid_nearest(scenes, ["v"], gr.Grid(), NEAREST_DST, priority_col="scene")
+    return out.select(F.col("tc").cast("bigint").alias("tc"), F.col("tr").cast("bigint").alias("tr"), "v")
+
+
 BILINEAR_DST = gr.Grid(0.3, 0.3, 0.75, 0.75)
 
 
