@@ -65,20 +65,28 @@ def assemble_tiles(cells: DataFrame, cols: int, rows: int, value_col: str = "v",
     a partial aggregation, so a tile group never holds more than
     ``cols * rows`` entries however the input is skewed.
     """
-    red = {"max": F.max, "min": F.min, "mean": F.avg, "first": F.first}[duplicates]
+    red = {"max": F.max, "min": F.min, "mean": F.avg,
+           "first": lambda x: F.first(x, ignorenulls=True)}[duplicates]
+    n = cols * rows
     keyed = cells.select(*keep,
                          F.floor(F.col(c) / cols).cast("int").alias("col_key"),
                          F.floor(F.col(r) / rows).cast("int").alias("row_key"),
                          ((F.col(r) - F.floor(F.col(r) / rows) * rows) * cols
                           + (F.col(c) - F.floor(F.col(c) / cols) * cols)).cast("int").alias("_pos"),
-                         F.col(value_col).alias("_v"))
-    per_pixel = keyed.groupBy(*keep, "col_key", "row_key", "_pos").agg(red("_v").alias("_v"))
+                         F.col(value_col).cast("double").alias("_v"))
+    # one NULL filler per position of every tile that has data, so each tile
+    # ends up with exactly cols * rows entries; sorting them by position then
+    # yields the dense array (a map lookup per cell would scan the map)
+    tile_keys = keyed.select(*keep, "col_key", "row_key").distinct()
+    fillers = tile_keys.select(*keep, "col_key", "row_key",
+                               F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_pos"),
+                               F.lit(None).cast("double").alias("_v"))
+    per_pixel = (keyed.unionByName(fillers)
+                 .groupBy(*keep, "col_key", "row_key", "_pos").agg(red("_v").alias("_v")))
     grouped = per_pixel.groupBy(*keep, "col_key", "row_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("_pos", "_v"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(cols * rows - 1)),
-                        lambda i: F.element_at(F.col("_m"), i))
+        F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_e"))
     return grouped.select(*keep, "col_key", "row_key", F.lit(cols).alias("cols"),
-                          F.lit(rows).alias("rows"), dense.alias("cells"))
+                          F.lit(rows).alias("rows"), F.transform("_e", lambda e: e["_v"]).alias("cells"))
 
 
 # --- pyramids ----------------------------------------------------------------------

@@ -200,9 +200,12 @@ def _list_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _decode_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
+        headers: dict[str, TiffInfo] = {}  # windows of one file share its parsed header
         for rec in b.itertuples(index=False):
             with _open(rec.path) as fh:
-                info = read_header(fh)
+                info = headers.get(rec.path)
+                if info is None:
+                    info = headers[rec.path] = read_header(fh)
                 arr = read_window(fh, info, rec.col_off, rec.row_off, rec.cols, rec.rows)
             cells = arr.ravel()  # NaN marks nodata; turned into NULL on the JVM side
             out.append((rec.path, rec.col_key, rec.row_key, rec.cols, rec.rows,
@@ -220,7 +223,8 @@ def read_geotiff(spark: SparkSession, path: str, tile_size: int = 512,
     files = reader.load(path).select("path", F.lit(int(tile_size)).alias("tile_size"))
     windows = files.mapInPandas(_list_windows, WINDOW_SCHEMA)
     n = max(1, spark.sparkContext.defaultParallelism)
-    windows = windows.repartition(n, "path", "col_key", "row_key")
+    # spread windows over the cluster; sorted so one task's windows of a file are adjacent
+    windows = windows.repartition(n, "path", "col_key", "row_key").sortWithinPartitions("path")
     tiles = windows.mapInPandas(_decode_windows, TILE_SCHEMA)
     return tiles.withColumn("cells", F.transform("cells", lambda v: F.when(~F.isnan(v), v)))
 
