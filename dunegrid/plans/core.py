@@ -237,9 +237,10 @@ def fvc_query(spark, sf):
           sql=with_ctes(PX, ("s", "SELECT scene, c, r, max(nir) AS nir FROM px GROUP BY scene, c, r"),
                         body="SELECT c, r, arg_max(nir, scene) AS nir FROM s GROUP BY c, r"))
 def mosaic_last(spark, sf):
-    per_scene = [td.px(spark, sf).filter(F.col("scene") == k).groupBy("scene", "c", "r")
-                 .agg(F.max("nir").alias("nir")) for k in range(4)]
-    layers = composite.union_layers(per_scene)
+    # the four scene layers are views of one per-scene aggregate, so the scan and
+    # its shuffle run once (the branches reuse the exchange)
+    s = td.px(spark, sf).groupBy("scene", "c", "r").agg(F.max("nir").alias("nir"))
+    layers = composite.union_layers([s.filter(F.col("scene") == k) for k in range(4)])
     return composite.mosaic(layers, ["nir"], "last", layer_col="scene")
 
 
