@@ -134,8 +134,12 @@ def utm_inverse_np(x, y, zone: int, south: bool = False):
 
 
 def _pair_udf(fn, zone: int, south: bool, names: tuple[str, str]):
+    from pyspark.sql import SparkSession
     from pyspark.sql.functions import pandas_udf
 
+    from dunegrid.session import ensure_on_executors
+    ensure_on_executors(SparkSession.getActiveSession())
+
     schema = f"{names[0]} double, {names[1]} double"
 
     @pandas_udf(schema)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dunegrid.session import ensure_on_executors
+
 FOCAL_STATS = ("median", "mean", "min", "max", "sum", "count")
 
 
@@ -63,6 +65,7 @@ def focal(cells: DataFrame, value_col: str, radius: int = 2, stat: str = "median
         raise ValueError(f"stat must be one of {FOCAL_STATS}")
     if radius < 0 or radius >= tile_size:
         raise ValueError("radius must be in [0, tile_size)")
+    ensure_on_executors(cells.sparkSession)
     out = out or value_col
     T_ = int(tile_size)
     # one value per cell: repeated rows of a cell are reduced first (partial
@@ -162,6 +165,7 @@ def focal_tiles(tiles: DataFrame, radius: int = 2, stat: str = "median",
     """
     if stat not in FOCAL_STATS:
         raise ValueError(f"stat must be one of {FOCAL_STATS}")
+    ensure_on_executors(tiles.sparkSession)
     rad = int(radius)
     parts = []
     for ox in (-1, 0, 1):

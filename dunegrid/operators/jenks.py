@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from dunegrid.operators.ordering import with_position
 from dunegrid.operators.stats import value_counts
-from dunegrid.session import checkpoint_dir, materialize
+from dunegrid.session import checkpoint_dir, ensure_on_executors, materialize
 
 INF = float("inf")
 
@@ -222,6 +222,7 @@ def jenks_breaks(df: DataFrame, col: str, k: int, compat_first_class: bool = Fal
         raise ValueError("jenks: the number of classes must be greater than 1")
     spark = df.sparkSession
     checkpoint_dir(spark)
+    ensure_on_executors(spark)
     prefix, n, lo = _prefix_table(df, col)
     if n < k:
         raise ValueError(f"jenks: {n} distinct values cannot form {k} classes")

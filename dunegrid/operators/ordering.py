@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dunegrid.session import ensure_on_executors
+
 
 def with_position(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str] = (),
                   pos_col: str = "pos") -> DataFrame:
@@ -28,6 +30,7 @@ def with_position(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[s
     Ties in ``order_cols`` get distinct, arbitrary positions; use a unique
     order key where positions must be reproducible.
     """
+    ensure_on_executors(df.sparkSession)
     order_cols = list(order_cols)
     sum_cols = list(sum_cols)
     ordered = df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id())

@@ -92,3 +92,37 @@ def materialize(df, name: str = "table"):
     path = scratch_table_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ensure_on_executors(spark) -> None:
+    """Make ``dunegrid`` importable by the Python workers of this session.
+
+    Arrow/pandas steps refer to functions of this package; when the package is
+    not installed on the executors it is zipped once per SparkContext and
+    shipped with ``addPyFile`` (Spark distributes it to every executor).
+    """
+    import zipfile
+
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="dunegrid-pyfiles-")
+    zpath = os.path.join(out_dir, "dunegrid.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in base:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

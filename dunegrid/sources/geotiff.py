@@ -217,6 +217,8 @@ def _decode_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_geotiff(spark: SparkSession, path: str, tile_size: int = 512,
                  glob: str | None = "*.TIF", recursive: bool = True) -> DataFrame:
     """Scan GeoTIFF files under ``path`` into windows of at most ``tile_size``."""
+    from dunegrid.session import ensure_on_executors
+    ensure_on_executors(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -317,7 +319,9 @@ def write_geotiff(tiles: DataFrame, out_dir: str, name_cols=("col_key", "row_key
     columns).  File names are ``<prefix>_<name cols>.TIF`` or ``name_fmt``
     formatted with the row (it may contain sub-folders).
     """
-    from dunegrid.session import materialize
+    from dunegrid.session import ensure_on_executors, materialize
+
+    ensure_on_executors(tiles.sparkSession)
 
     local_dir = out_dir[5:] if out_dir.startswith("file:") else out_dir
     while local_dir.startswith("//"):

@@ -53,3 +53,21 @@ def test_entry(spark):
 def test_every_query_has_ops():
     from dunegrid.plans import QUERIES
     assert all(q.ops for q in QUERIES.values())
+
+
+def test_package_reaches_python_workers_from_any_cwd(tmp_path):
+    """The driver may import the entry module from another folder: the Arrow
+    steps must still find the package on the workers (shipped with addPyFile)."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "print('ROWS', E.queries()['focal_median'](s, '/root/testdata/sf0.001').count())\n") % repo
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS 200" in out.stdout, out.stderr[-2000:]
