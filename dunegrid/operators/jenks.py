@@ -51,7 +51,9 @@ INF = float("inf")
 
 
 def _prefix_table(df: DataFrame, col: str) -> tuple[DataFrame, int, float]:
-    vc = value_counts(df, col)
+    # one pass over the source: the compressed (value, count) table is written
+    # and every later step (bounds, range sampling, running sums) reads it
+    vc = materialize(value_counts(df, col), "jenks-values")
     stats = vc.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo")).first()
     n, lo = int(stats["n"]), stats["lo"]
     if n == 0:

@@ -60,7 +60,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFr
     """
     spark = df.sparkSession
     # written once: both the total and the rank look-ups read the same table
-    vc = materialize(with_position(value_counts(df, col), ["value"], ["w"]), "percentile-ranks")
+    vc = materialize(value_counts(df, col), "percentile-values")  # one pass over the source
+    vc = materialize(with_position(vc, ["value"], ["w"]), "percentile-ranks")
     # cum_w is the inclusive running count: value covers ranks [cum_w - w, cum_w - 1]
     n_total = vc.select(F.max("cum_w")).scalar()
     targets = spark.createDataFrame([(float(p),) for p in probs], "p double")
