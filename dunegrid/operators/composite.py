@@ -49,7 +49,7 @@ def max_ndvi_composite(cells: DataFrame, t0, t1, region=None, extent=None,
     """Max-NDVI composite of a region and period (the layer query).
 
     Period filter (inclusive) -> extent / polygon selection -> NDVI per
-    observation -> max per cell.  Returns (c, r, ndvi).  The reference ran the
+    observation -> max per cell.  Returns (c, r, ndvi).  The original ran the
     index through an integer combine, which truncated NDVI to whole numbers;
     here the index is a double.
     """
@@ -71,7 +71,7 @@ def mosaic(layers: DataFrame, value_cols: Sequence[str], policy: str = "last",
 
     ``first``/``last`` keep the value of the lowest/highest ``layer_col``
     (``min_by``/``max_by``, which aggregate partially like any other
-    reduction).  The reference unioned scenes without merging equal keys; the
+    reduction).  The original unioned scenes without merging equal keys; the
     policy makes the overlap explicit.
     """
     if policy not in MOSAIC_POLICIES:

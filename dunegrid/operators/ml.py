@@ -60,7 +60,7 @@ def within_set_sse(cells: DataFrame, feature_cols: Sequence[str], centres) -> Da
 
 def linear_regression(df: DataFrame, feature_cols: Sequence[str], label_col: str,
                       max_iter: int = 10, reg_param: float = 0.3, elastic_net: float = 0.8):
-    """Spark ML linear regression with the reference's settings; returns
+    """Spark ML linear regression with the original job's settings; returns
     (model, one-row summary DataFrame)."""
     data = VectorAssembler(inputCols=list(feature_cols), outputCol="features").transform(
         df.dropna(subset=[*feature_cols, label_col])).select("features", F.col(label_col).alias("label"))

@@ -106,7 +106,7 @@ def fvc_from_quantiles(df: DataFrame, ndvi_col: str = "ndvi", p_soil: float = 0.
                        p_veg: float = 0.95, out: str = "fvc") -> DataFrame:
     """FVC with soil / vegetation end-members taken as NDVI percentiles of the layer.
 
-    The reference read breaks 1 and n-2 of a 20-quantile histogram of the
+    The original read breaks 1 and n-2 of a 20-quantile histogram of the
     NDVI raster (an integer histogram of values in [-1, 1], which loses the
     information); here they are exact percentiles at ``p_soil``/``p_veg``.
     """
