@@ -279,11 +279,63 @@ UTM_ZONE = 48
 UTM_ZOOM = 12
 
 
-@register("reproject_utm_web_mercator", ops=("I3",))
+def _utm_reproject_sql() -> str:
+    import numpy as np
+
+    from dunegrid.functions import geometry as geo
+
+    def d(x: float) -> str:
+        return f"CAST({x!r} AS DOUBLE)"
+
+    res = mercator_resolution(UTM_ZOOM)
+    half = MERCATOR_HALF_WORLD
+    g = UTM_GRID
+    # target pixel range around the raster (generous: 128 columns x 400 rows)
+    xs = np.array([g.x0, g.x0 + 128 * g.dx, g.x0, g.x0 + 128 * g.dx])
+    ys = np.array([g.y0, g.y0, g.y0 + 400 * g.dy, g.y0 + 400 * g.dy])
+    lon, lat = geo.utm_inverse_np(xs, ys, UTM_ZONE)
+    px = (np.radians(lon) * EARTH_RADIUS + half) / res
+    py = (half - np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * EARTH_RADIUS) / res
+    px0, px1 = int(px.min()) - 3, int(px.max()) + 3
+    py0, py1 = int(py.min()) - 3, int(py.max()) + 3
+    e2, ep2 = geo._E2, geo._EP2
+    lam0 = math.radians(geo.utm_central_meridian(UTM_ZONE))
+    ll = f"""
+SELECT px, py,
+  radians(degrees(({d(-half)} + (px + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})) - {d(lam0)} AS lam,
+  radians(degrees(atan(exp(({d(half)} - (py + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})) * 2 - {d(math.pi / 2)})) AS phi
+FROM range({px0}, {px1}) a(px), range({py0}, {py1}) b(py)"""
+    terms = f"""
+SELECT px, py, phi, tan(phi) AS tn,
+  {d(EARTH_RADIUS)} / sqrt(1 - {d(e2)} * sin(phi) * sin(phi)) AS n,
+  tan(phi) * tan(phi) AS t, {d(ep2)} * cos(phi) * cos(phi) AS c, lam * cos(phi) AS aa,
+  {d(EARTH_RADIUS)} * ({d(geo._M1)} * phi - {d(geo._M2)} * sin(2 * phi) + {d(geo._M3)} * sin(4 * phi)
+                      - {d(geo._M4)} * sin(6 * phi)) AS m
+FROM ll"""
+    xy = f"""
+SELECT px, py,
+  {d(geo.UTM_K0)} * n * (aa + (1 - t + c) * pow(aa, 3) / 6
+      + (5 - 18 * t + t * t + 72 * c - 58 * {d(ep2)}) * pow(aa, 5) / 120) + {d(geo.UTM_FALSE_EASTING)} AS ux,
+  {d(geo.UTM_K0)} * (m + n * tn * (aa * aa / 2 + (5 - t + 9 * c + 4 * c * c) * pow(aa, 4) / 24
+      + (61 - 58 * t + t * t + 600 * c - 330 * {d(ep2)}) * pow(aa, 6) / 720)) AS uy
+FROM terms"""
+    tt = f"""
+SELECT px, py, u, v, CAST(floor(u) AS INT) AS i0, CAST(floor(v) AS INT) AS j0,
+       u - floor(u) AS fx, v - floor(v) AS fy
+FROM (SELECT px, py, (ux - {d(g.x0)}) / {d(g.dx)} - 0.5 AS u, (uy - {d(g.y0)}) / {d(g.dy)} - 0.5 AS v FROM xy) q"""
+    return with_ctes(PX, NM, ("ll", ll), ("terms", terms), ("xy", xy), ("t", tt),
+                     ("nb", _corners_sql("px, py")), body=f"""
+SELECT {UTM_ZOOM} AS zoom, px, py, CAST(floor(px / 256) AS INT) AS col_key,
+       CAST(floor(py / 256) AS INT) AS row_key, floor(({_CORNER_SUM}) * 100.0 + 0.5) / 100.0 AS v
+FROM nb JOIN nm ON nm.c = nb.i AND nm.r = nb.j
+WHERE w > 0 AND nm.v IS NOT NULL GROUP BY px, py""")
+
+
+@register("reproject_utm_web_mercator", ops=("I3",), sql=_utm_reproject_sql())
 def reproject_utm_web_mercator(spark, sf):
     out = gr.reproject_utm_to_mercator(td.max_nir(spark, sf), ["v"], UTM_GRID, UTM_ZONE, UTM_ZOOM)
     return out.select("zoom", F.col("px").cast("bigint").alias("px"), F.col("py").cast("bigint").alias("py"),
-                      "col_key", "row_key", "v")
+                      "col_key", "row_key", (F.floor(F.col("v") * 100.0 + 0.5) / 100.0).alias("v"))
 
 
 @register("polygon_tiles", ops=("B5",),
