@@ -148,3 +148,15 @@ def test_focal_tiles_equals_cell_focal(spark):
     a = {(x.c, x.r): x.v for x in grid.explode_tiles(focal.focal_tiles(tiles, 2, "median")).collect()}
     b = {(x.c, x.r): x.v for x in focal.focal(grid.explode_tiles(tiles), "v", 2, "median", tile_size=7).collect()}
     assert a == b
+
+
+def test_filter_tiles_polygon_matches_cell_test(spark):
+    rnd = random.Random(11)
+    rows = [(ck, rk, 4, 4, [0.0] * 16) for ck in range(10) for rk in range(8)]
+    tiles = spark.createDataFrame(rows, "col_key int, row_key int, cols int, rows int, cells array<double>")
+    for _ in range(3):
+        ring = [(rnd.uniform(0, 40), rnd.uniform(0, 32)) for _ in range(6)]
+        poly = (ring,)
+        got = {(r.col_key, r.row_key) for r in mask.filter_tiles_polygon(tiles, poly, 4, 4).collect()}
+        exp = {(c // 4, r // 4) for c in range(40) for r in range(32) if _inside_brute(poly, c + .5, r + .5)}
+        assert got == exp
