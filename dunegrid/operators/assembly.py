@@ -82,14 +82,17 @@ def assemble_bands(df: DataFrame, n_bands: int, value_col: str = "v",
                       F.round(F.col(y_col), digits).alias("y"),
                       F.col(index_col).alias("_bi"), F.col(value_col).alias("_v"))
     bands = [F.max(F.when(F.col("_bi") == i, F.col("_v"))).alias(f"b{i}") for i in range(n_bands)]
+    # bands present, counted with one presence flag per band slot (no distinct
+    # aggregate, so the aggregation stays a single partial + final pass)
+    present = [F.coalesce(F.max(F.when(F.col("_bi") == i, F.lit(1))), F.lit(0)) for i in range(n_bands)]
     out = keyed.groupBy("scene_id", "x", "y").agg(
         *bands,
-        F.count_distinct("_bi").alias("n_bands"),
+        sum(present[1:], present[0]).cast("long").alias("n_bands"),
         F.count(F.lit(1)).alias("_n_rec"))
     if check_duplicates:
         # checked inside the same job: a duplicate band record fails the query
         out = out.filter(_fail_if(F.col("_n_rec") != F.col("n_bands"),
-                                  "duplicate band records for one scene and centre"))
+                                  "duplicate or unknown band records for one scene and centre"))
     out = out.drop("_n_rec")
     if on_incomplete == "drop":
         out = out.filter(F.col("n_bands") == n_bands)
