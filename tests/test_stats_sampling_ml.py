@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dunegrid.operators import ml, ordering, sampling, stats
@@ -58,3 +59,26 @@ def test_kmeans_rows_nearest_centre(spark):
         d = [(row.x - cx) ** 2 + (row.y - cy) ** 2 for cx, cy in centres]
         assert row.prediction == int(np.argmin(d))
     assert cost > 0
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_positions_with_payload_columns(spark, coalesce):
+    """3 M rows with a payload column: ids are 0 ... n-1 in key order, each with its own row."""
+    n = 3_000_000
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        key = F.pmod(F.col("id") * 7_368_787, F.lit(n))
+        df = spark.range(n).select(key.alias("k"), F.concat(F.lit("p"), key.cast("string")).alias("payload"))
+        out = sampling.dense_ids(df, ["k"])
+        bad = out.filter((F.col("id") != F.col("k")) | (F.col("payload") != F.concat(F.lit("p"), F.col("id"))))
+        assert (out.count(), bad.count()) == (n, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_sample_with_repeats_keeps_every_draw(spark):
+    df = spark.range(400_000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    out = sampling.sample_with_repeats(df, 50_000, ["k"])
+    assert out.count() == 50_000
+    assert out.filter("v <> 3 * k").count() == 0
