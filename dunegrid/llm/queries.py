@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunegrid.llm import mixing, packing, sharding, token_orc, warc
-from dunegrid.llm.common import prepare, table
+from dunegrid.llm import digest, mixing, packing, quality, sharding, token_orc, warc
+from dunegrid.llm.common import table
 from dunegrid.session import checkpoint_dir
 
 
@@ -24,6 +24,10 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "token-orc")
     token_orc.write_token_orc(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), 0)
@@ -49,11 +53,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_digest": op1_digest,
     "op2_token_orc": op2_token_orc,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
