@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunegrid.llm import digest, main_text, mixing, packing, quality, sharding, token_orc, top_k, warc
+from dunegrid.llm import digest, main_text, mixing, near_dup, packing, quality, sharding, token_orc, top_k, warc
 from dunegrid.llm.common import table
 from dunegrid.session import checkpoint_dir
 
@@ -34,6 +34,11 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.documents(spark, path)
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dup.groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return main_text.extract(pages, main_text.learn(pages))
@@ -85,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_digest": op1_digest,
     "op2_token_orc": op2_token_orc,
+    "op3_near_dup": op3_near_dup,
     "op4_main_text": op4_main_text,
     "op5_top_k": op5_top_k,
     "op6_warc": op6_warc,

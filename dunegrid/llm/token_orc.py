@@ -68,7 +68,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                     stripe_bytes: int = 16 << 20, row_stride: int = 1000) -> None:
     """Encode ``docs`` (doc_id, text) and write the files below ``path``."""
     (encode_sorted(docs, tokenizer, end_id).write.mode("overwrite")
-     .option("compression", "zstd").option("orc.stripe.size", stripe_bytes)
+     .option("compression", "lz4").option("orc.stripe.size", stripe_bytes)
      .option("orc.create.index", "true").option("orc.row.index.stride", row_stride)
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
 

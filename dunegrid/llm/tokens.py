@@ -22,11 +22,13 @@ _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r -~{_L}]*")
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The pattern of byte-level files: white space stays in the tokens.
-_KEEP_SPACE = re.compile(rf"{_CONTRACTIONS}| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+#: (Letters come first for speed; no two of these can start alike but the marks.)
+_KEEP_SPACE = re.compile(rf" ?[{_L}]+|{_CONTRACTIONS}| ?[^\s{_L}0-9]+| ?[0-9]+|\s+(?!\S)|\s+")
 #: The pattern of lower-casing files: white space is dropped, digits stand alone.
-_DROP_SPACE = re.compile(rf"{_CONTRACTIONS}|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
-#: Pieces kept per worker process (about 200 bytes each).
-CACHE_PIECES = 1_000_000
+_DROP_SPACE = re.compile(rf"[{_L}]+|{_CONTRACTIONS}|[^\s{_L}0-9]+|[0-9]")
+#: Pieces kept per worker process (about 200 bytes each), in two generations: a
+#: full young generation becomes the old one, from which pieces in use return.
+CACHE_PIECES = 800_000
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 48
 
@@ -50,18 +52,35 @@ class _Pieces(dict):
         self.tokenize = model.tokenize
         self.chars = _byte_chars()
         self.space = self.chars[32]
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self) > CACHE_PIECES // 2:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():
-            chars = piece.replace(" ", self.space)
-        else:
-            chars = piece.encode().decode("latin-1").translate(self.chars)
-        ids = array("I", [t.id for t in self.tokenize(chars)]).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            if piece.isascii() and piece.isprintable():
+                chars = piece.replace(" ", self.space)
+            else:
+                chars = piece.encode().decode("latin-1").translate(self.chars)
+            ids = array("I", [t.id for t in self.tokenize(chars)]).tobytes()
         if len(piece) <= LONGEST_KEPT:
             self[piece] = ids
         return ids
 
 
+def _plain(text: str) -> bool:
+    """Whether the patterns above apply (see the module's docstring)."""
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return _PLAIN.fullmatch(text) is not None
+
+
 class WordEncoder:
     """``encode(texts) -> list[bytes]``: each text's ids as little-endian uint32."""
 
@@ -87,11 +106,10 @@ class WordEncoder:
         known = self.lower or self.byte_level
         out = []
         for text in texts:
-            if not known or "<|" in text or not _PLAIN.fullmatch(text):
+            if not known or not _plain(text):
                 out.append(self._whole(text))
                 continue
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
+            self.cache.age()
             pieces = self.pieces.findall(text.lower() if self.lower else text)
             out.append(b"".join(map(self.cache.__getitem__, pieces)))
         return out
