@@ -76,32 +76,36 @@ def _ssd(Wl, Sl, Ql, Wi, Si, Qi):
     return (Ql - Qi) - ds * ds / (Wl - Wi)
 
 
-def _evaluate(pairs: DataFrame, prev: DataFrame, prefix: DataFrame) -> DataFrame:
-    """(l, i) candidate pairs -> best (l, cost, arg) per l; ties -> smallest i."""
-    pi = prefix.select(F.col("pos").alias("i"), F.col("W").alias("Wi"), F.col("S").alias("Si"),
-                       F.col("Q").alias("Qi"))
-    pl = prefix.select(F.col("pos").alias("l"), F.col("W").alias("Wl"), F.col("S").alias("Sl"),
-                       F.col("Q").alias("Ql"))
-    pv = prev.select(F.col("l").alias("i"), F.col("cost").alias("prev_cost"))
-    j = pairs.join(pv, "i").join(pi, "i").join(pl, "l")
+def _layer_table(prev: DataFrame, prefix: DataFrame, chunk: int) -> DataFrame:
+    """One table per layer: position i with its prefix sums and the previous
+    layer's cost, and the number of its chunk of ``chunk`` positions."""
+    pv = prev.select(F.col("l").alias("pos"), F.col("cost").alias("prev_cost"))
+    return materialize(prefix.join(pv, "pos").select(
+        F.floor(F.col("pos") / chunk).cast("long").alias("chunk"), F.col("pos").alias("i"),
+        F.col("W").alias("Wi"), F.col("S").alias("Si"), F.col("Q").alias("Qi"), "prev_cost"), "jenks-layer")
+
+
+def _evaluate(split_rows: DataFrame, table: DataFrame, prefix: DataFrame, chunk: int) -> DataFrame:
+    """Split points (l, i_lo, i_hi) against their whole candidate ranges ->
+    best (l, cost, arg) per l; ties -> smallest i.
+
+    The few split points get their prefix sums first and are sent to the chunks
+    of positions they cover; the (l, i) pairs exist only inside that join and
+    are reduced to one row per task and l before anything is shuffled on l.
+    """
+    ie = F.least(F.col("i_hi"), F.col("l") - 1)
+    points = split_rows.select("l", "i_lo", ie.alias("ie")).filter("i_lo <= ie").join(
+        prefix.select(F.col("pos").alias("l"), F.col("W").alias("Wl"), F.col("S").alias("Sl"),
+                      F.col("Q").alias("Ql")), "l")
+    points = points.withColumn("chunk", F.explode(F.sequence(
+        F.floor(F.col("i_lo") / chunk).cast("long"), F.floor(F.col("ie") / chunk).cast("long"))))
+    j = table.join(points, "chunk").filter(F.col("i").between(F.col("i_lo"), F.col("ie")))
     cost = F.col("prev_cost") + _ssd(F.col("Wl"), F.col("Sl"), F.col("Ql"),
                                      F.col("Wi"), F.col("Si"), F.col("Qi"))
     best = j.groupBy("l").agg(F.min(F.struct(cost.alias("cost"), F.col("i").alias("arg"))).alias("b"))
     return best.select("l", F.col("b.cost").alias("cost"), F.col("b.arg").alias("arg"))
 
 
-def _candidates(rows: DataFrame, chunk: int, parallelism: int) -> DataFrame:
-    """(l, i_lo, i_hi) -> (l, i) pairs.  Candidate ranges are cut into chunks
-    of at most ``chunk`` and the chunks are spread over ``parallelism`` tasks
-    before they are expanded, so no task expands more than one chunk per row."""
-    hi = F.least(F.col("i_hi"), F.col("l") - 1)
-    chunks = rows.select("l", F.explode(F.sequence(F.col("i_lo"), hi, F.lit(chunk).cast("long"))).alias("ci"),
-                         hi.alias("ie"))
-    chunks = chunks.repartition(parallelism, "l", "ci")
-    return chunks.select("l", F.explode(F.sequence(
-        F.col("ci"), F.least(F.col("ci") + F.lit(chunk - 1), F.col("ie")))).alias("i"))
-
-
 _LEAF_SCHEMA = "l long, cost double, arg long"
 _LEAF_CELLS_PER_STEP = 1 << 20
 
@@ -166,10 +170,10 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
     sub-blocks (monotone optimum).  Blocks within the bound are solved
     exactly in one grouped-map job.
     """
-    parallelism = max(1, spark.sparkContext.defaultParallelism)
     tasks = spark.createDataFrame([(l_lo, l_hi, i_lo, l_hi - 1)],
                                   "l_lo long, l_hi long, i_lo long, i_hi long")
     parts: list[DataFrame] = []
+    table = None  # made for the first split level only: a small layer is one leaf
 
     def leaf_flag(t):
         w_i = F.least(F.col("i_hi"), F.col("l_hi") - 1) - F.col("i_lo") + 1
@@ -192,8 +196,9 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
             F.sequence(F.lit(1), m - 1),
             lambda j: F.col("l_lo") + F.floor(j * n_l / m).cast("long")))
         split_rows = sp.select("l_lo", "l_hi", "i_lo", "i_hi", F.explode(points).alias("l"))
-        found = materialize(_evaluate(_candidates(split_rows.select("l", "i_lo", "i_hi"), chunk, parallelism),
-                                      prev, prefix), "jenks-split")
+        if table is None:
+            table = _layer_table(prev, prefix, chunk)
+        found = materialize(_evaluate(split_rows, table, prefix, chunk), "jenks-split")
         parts.append(found)
         # sub-blocks between consecutive split points (with the block ends as sentinels)
         marks = (split_rows.join(found, "l").select("l_lo", F.col("l").alias("p"), "arg")
