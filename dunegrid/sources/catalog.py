@@ -7,10 +7,15 @@ on ``zkey`` and sorted within partitions, then written with
 row groups, so an area query reads few row groups.  Dynamic partition
 overwrite replaces only the (layer, zoom) partitions being written.
 
-Read: ``layer``/``zoom`` equalities prune directories; the area becomes plain
-range predicates on ``c``/``r`` *and* on the derived tile keys (and on
-``zkey``'s bounds), which Parquet uses for row-group skipping; the period
-becomes a range on the time column.
+Next to the rows the catalog stores one layout row per (layer, zoom): tile
+size, grid (origin, cell size), CRS, cell bounds, tile-key bounds and record
+count, all from one aggregate over what was written.
+
+Read: ``layer``/``zoom`` equalities prune directories; the layout row gives the
+tile size; the area becomes plain range predicates on ``c``/``r``, on the
+derived tile keys and on ``zkey`` (the Morton code grows with either key, so an
+area lies between the codes of its corners), which Parquet uses for row-group
+skipping; the period becomes a range on the time column.
 """
 
 from __future__ import annotations
@@ -21,12 +26,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dunegrid.functions.geometry import morton2
+from dunegrid.operators.assembly import _fail_if
+
+#: Folder of the layout rows (hidden from a scan of the catalog by its name).
+LAYOUT = "_layout"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "zoom").parquet(path)
 
 
 def write_catalog(cells: DataFrame, path: str, layer: str, zoom: int, tile_size: int = 256,
-                  c: str = "c", r: str = "r") -> None:
-    spark = cells.sparkSession
-    keyed = (cells
+                  c: str = "c", r: str = "r", grid=None, crs: int = 0) -> None:
+    """Write one layer at one zoom.  ``grid`` (x0, y0, dx, dy; unit cells by
+    default) and ``crs`` describe it; cell coordinates must not be negative."""
+    x0, y0, dx, dy = (grid.x0, grid.y0, grid.dx, grid.dy) if grid is not None else (0.0, 0.0, 1.0, 1.0)
+    negative = _fail_if((F.col(c) < 0) | (F.col(r) < 0), "cell coordinates must not be negative")
+    keyed = (cells.filter(negative)
              .withColumn("col_key", F.floor(F.col(c) / tile_size).cast("int"))
              .withColumn("row_key", F.floor(F.col(r) / tile_size).cast("int"))
              .withColumn("zkey", morton2(F.col("col_key"), F.col("row_key")))
@@ -35,30 +51,57 @@ def write_catalog(cells: DataFrame, path: str, layer: str, zoom: int, tile_size:
     # range bounds on (zkey, r, c, ...): a heavily populated tile is split
     # over several partitions instead of landing in one task
     extra = [x for x in cells.columns if x not in (c, r)][:1]
-    ordered = keyed.repartitionByRange("zkey", r, c, *extra).sortWithinPartitions("zkey", r, c)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        ordered.write.mode("overwrite").partitionBy("layer", "zoom").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    _write(keyed.repartitionByRange("zkey", r, c, *extra).sortWithinPartitions("zkey", r, c), path)
+    stored = cells.sparkSession.read.parquet(f"{path}/layer={layer}/zoom={int(zoom)}")
+    layout = stored.agg(
+        *[f(x).cast("int").alias(n) for x, lo, hi in (
+            (c, "col_min", "col_max"), (r, "row_min", "row_max"),
+            ("col_key", "col_key_min", "col_key_max"), ("row_key", "row_key_min", "row_key_max"))
+          for f, n in ((F.min, lo), (F.max, hi))],
+        F.count(F.lit(1)).alias("n_records"))
+    layout = layout.select(
+        F.lit(layer).alias("layer"), F.lit(int(zoom)).alias("zoom"), F.lit(int(tile_size)).alias("tile_size"),
+        *[F.lit(float(v)).alias(n) for n, v in (("x0", x0), ("y0", y0), ("dx", dx), ("dy", dy))],
+        F.lit(int(crs)).alias("crs"), *layout.columns)
+    _write(layout, f"{path}/{LAYOUT}")
+
+
+def read_layout(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """The layout rows, one per (layer, zoom), with the layer's extent."""
+    rows = spark.read.parquet(f"{path}/{LAYOUT}")
+    if layer is not None:
+        rows = rows.filter(F.col("layer") == layer)
+    x = [F.col("x0") + F.col("col_min") * F.col("dx"), F.col("x0") + (F.col("col_max") + 1) * F.col("dx")]
+    y = [F.col("y0") + F.col("row_min") * F.col("dy"), F.col("y0") + (F.col("row_max") + 1) * F.col("dy")]
+    return (rows.withColumn("xmin", F.least(*x)).withColumn("xmax", F.greatest(*x))
+            .withColumn("ymin", F.least(*y)).withColumn("ymax", F.greatest(*y)))
+
+
+def _morton_int(x: int, y: int) -> int:
+    out = 0
+    for b in range(32):
+        out |= ((x >> b) & 1) << (2 * b + 1) | ((y >> b) & 1) << (2 * b)
+    return out
 
 
 def read_catalog(spark: SparkSession, path: str, layer: str, zoom: int, extent=None,
-                 period=None, time_col: str = "acquired", tile_size: int = 256,
-                 c: str = "c", r: str = "r") -> DataFrame:
+                 period=None, time_col: str = "acquired", c: str = "c", r: str = "r") -> DataFrame:
     """Query one layer at one zoom, optionally by extent (xmin, ymin, xmax, ymax
     in cell space, cells whose box meets it) and period (inclusive)."""
+    layout = read_layout(spark, path, layer).filter(F.col("zoom") == int(zoom)).select("tile_size").first()
+    if layout is None:
+        raise ValueError(f"the catalog has no layer {layer!r} at zoom {zoom}")
+    tile_size = int(layout["tile_size"])
     df = spark.read.parquet(path).filter((F.col("layer") == layer) & (F.col("zoom") == int(zoom)))
     if extent is not None:
         xmin, ymin, xmax, ymax = extent
-        c_lo, c_hi = math.floor(xmin), math.ceil(xmax) - 1
-        r_lo, r_hi = math.floor(ymin), math.ceil(ymax) - 1
+        lo = [max(0, math.floor(v)) // tile_size for v in (xmin, ymin)]
+        hi = [max(0, math.ceil(v) - 1) // tile_size for v in (xmax, ymax)]
         df = df.filter((F.col(c) > F.lit(xmin - 1)) & (F.col(c) < F.lit(xmax))
                        & (F.col(r) > F.lit(ymin - 1)) & (F.col(r) < F.lit(ymax))
                        # redundant key ranges: row-group pruning on the clustered keys
-                       & F.col("col_key").between(c_lo // tile_size, c_hi // tile_size)
-                       & F.col("row_key").between(r_lo // tile_size, r_hi // tile_size))
+                       & F.col("col_key").between(lo[0], hi[0]) & F.col("row_key").between(lo[1], hi[1])
+                       & F.col("zkey").between(_morton_int(*lo), _morton_int(*hi)))
     if period is not None:
         t0, t1 = period
         dt = df.schema[time_col].dataType
