@@ -32,24 +32,34 @@ def discover_band_files(paths: DataFrame, bands: Sequence[int], path_col: str =
     """One file per (scene, requested band): (scene_id, band, band_index, path).
 
     ``band_index`` is the position of the band in the request (0-based).
-    With ``strict`` a (scene, band) with zero or several matching files is an
-    error, as the file glob required exactly one match.
+    With ``strict`` every scene of *all* given files must have exactly one
+    file per requested band, and there must be files; the check runs in the
+    query's own job and fails it.
     """
-    req = F.array(*[F.lit(int(b)) for b in bands])
+    n = len(bands)
+    asked = F.array_contains(F.array(*[F.lit(int(b)) for b in bands]), F.col("band"))
     files = (paths.select(F.col(path_col).alias("path")).distinct()
              .select(scene_of_path("path").alias("scene_id"),
-                     band_of_path("path", pattern).alias("band"), "path")
-             .filter(F.array_contains(req, F.col("band"))))
+                     band_of_path("path", pattern).alias("band"), "path"))
     if strict:
-        counts = files.groupBy("scene_id", "band").agg(F.count(F.lit(1)).alias("n"))
-        bad = counts.filter(F.col("n") != 1).limit(1).collect()
-        if bad:
-            raise ValueError(f"band {bad[0]['band']} of scene {bad[0]['scene_id']} "
-                             f"matches {bad[0]['n']} files")
-        scenes = files.select("scene_id").distinct()
-        expected = scenes.count() * len(bands)
-        if counts.count() != expected:
-            raise ValueError("some scene lacks a requested band file")
+        # one aggregate over all scenes: a scene without any requested band
+        # still has its row (and fails), a band with two files makes n_files > n
+        one = F.struct("band", "path")
+        scenes = files.groupBy("scene_id").agg(
+            F.count(F.when(asked, 1)).alias("n_files"),
+            F.count_distinct(F.when(asked, F.col("band"))).alias("n_bands"),
+            F.collect_list(F.when(asked, one)).alias("found"))
+        scenes = scenes.filter(_fail_if((F.col("n_files") != n) | (F.col("n_bands") != n),
+                                        f"a scene does not have exactly one file for each of {n} bands"))
+        # an empty listing has no scene row to fail on: one count row does it
+        none = files.agg(F.count(F.lit(1)).alias("_n")).filter(
+            _fail_if(F.col("_n") == 0, "no files")).select(
+                F.lit(None).cast("string").alias("scene_id"),
+                F.lit(None).cast("array<struct<band:int,path:string>>").alias("found"))
+        files = scenes.select("scene_id", "found").unionByName(none).select(
+            "scene_id", F.explode("found").alias("f")).select("scene_id", "f.band", "f.path")
+    else:
+        files = files.filter(asked)
     return files.withColumn("band_index", tag_band_index(F.col("band"), bands))
 
 
@@ -102,16 +112,23 @@ def assemble_bands(df: DataFrame, n_bands: int, value_col: str = "v",
 
 
 def pivot_bands(df: DataFrame, keys: Sequence[str], band_col: str, value_col: str,
-                bands: Sequence, names: Sequence[str] | None = None, agg=F.max) -> DataFrame:
+                bands: Sequence, names: Sequence[str] | None = None, agg=F.max,
+                require_all: bool = False) -> DataFrame:
     """Spatial-key join of single-band layers as one aggregate.
 
     Instead of n-1 joins on the key, one ``groupBy(keys)`` with a fixed pivot
-    list (no extra job to discover values, partial aggregation kept).
+    list (no extra job to discover values, partial aggregation kept).  With
+    ``require_all`` only keys that every band has a record for are kept (the
+    inner join of the layers; a record whose value is nodata counts).
     """
     names = list(names or [f"b{b}" for b in bands])
-    return df.groupBy(*keys).agg(*[
-        agg(F.when(F.col(band_col) == F.lit(b), F.col(value_col))).alias(n)
-        for b, n in zip(bands, names)])
+    is_band = [F.col(band_col) == F.lit(b) for b in bands]
+    present = [F.max(F.when(b, F.lit(1))).alias(f"_has_{n}") for b, n in zip(is_band, names)] if require_all else []
+    out = df.groupBy(*keys).agg(*[
+        agg(F.when(b, F.col(value_col))).alias(n) for b, n in zip(is_band, names)], *present)
+    for n in names if require_all else ():
+        out = out.filter(F.col(f"_has_{n}").isNotNull())
+    return out.select(*keys, *names)
 
 
 def join_bands(layers: Sequence[DataFrame], keys: Sequence[str] = ("c", "r")) -> DataFrame:

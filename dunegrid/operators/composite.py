@@ -29,17 +29,19 @@ def _reduce(fn, v: Column, nodata: str) -> Column:
 
 
 def composite(cells: DataFrame, value_cols: Sequence[str], how: str = "max",
-              keys: Sequence[str] = ("c", "r"), nodata: str = "propagate") -> DataFrame:
+              keys: Sequence[str] = ("c", "r"), nodata: str | dict[str, str] = "propagate") -> DataFrame:
     """Reduce observations over time to one row per cell (``localMax`` style).
 
     ``how`` is one of max, min, mean, sum, count, median.  The time column is
-    simply not part of the key (dropping time from the key).
+    simply not part of the key (dropping time from the key).  ``nodata`` is one
+    policy for all value columns or one per column.
     """
     fns = {"max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum,
            "count": F.count, "median": F.median}
     if how not in fns:
         raise ValueError(f"unknown composite {how!r}")
-    aggs = [_reduce(fns[how], F.col(v), nodata).alias(v) for v in value_cols]
+    policy = nodata if isinstance(nodata, dict) else dict.fromkeys(value_cols, nodata)
+    aggs = [_reduce(fns[how], F.col(v), policy[v]).alias(v) for v in value_cols]
     return cells.groupBy(*keys).agg(*aggs)
 
 
@@ -62,6 +64,11 @@ def max_ndvi_composite(cells: DataFrame, t0, t1, region=None, extent=None,
     return composite(df, ["ndvi"], "max", nodata=nodata)
 
 
+def data_layer(value_col: str, layer_col: str) -> Column:
+    """The layer where the value is data, else NULL (which max_by/min_by skip)."""
+    return F.when(F.col(value_col).isNotNull(), F.col(layer_col))
+
+
 MOSAIC_POLICIES = ("first", "last", "max", "min", "mean")
 
 
@@ -69,19 +76,20 @@ def mosaic(layers: DataFrame, value_cols: Sequence[str], policy: str = "last",
            layer_col: str = "scene", keys: Sequence[str] = ("c", "r")) -> DataFrame:
     """Merge overlapping layers (scenes) cell by cell.
 
-    ``first``/``last`` keep the value of the lowest/highest ``layer_col``
-    (``min_by``/``max_by``, which aggregate partially like any other
-    reduction).  The original unioned scenes without merging equal keys; the
-    policy makes the overlap explicit.
+    ``first``/``last`` keep, per value column, the value of the lowest/highest
+    ``layer_col`` that has data there (``min_by``/``max_by`` over data layers
+    only, which aggregate partially like any other reduction), so nodata on top
+    shows the layer below.  The original unioned scenes without merging equal
+    keys; the policy makes the overlap explicit.
     """
     if policy not in MOSAIC_POLICIES:
         raise ValueError(f"policy must be one of {MOSAIC_POLICIES}")
     aggs = []
     for v in value_cols:
         if policy == "first":
-            aggs.append(F.min_by(F.col(v), F.col(layer_col)).alias(v))
+            aggs.append(F.min_by(F.col(v), data_layer(v, layer_col)).alias(v))
         elif policy == "last":
-            aggs.append(F.max_by(F.col(v), F.col(layer_col)).alias(v))
+            aggs.append(F.max_by(F.col(v), data_layer(v, layer_col)).alias(v))
         else:
             fn = {"max": F.max, "min": F.min, "mean": F.avg}[policy]
             aggs.append(fn(F.col(v)).alias(v))

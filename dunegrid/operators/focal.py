@@ -4,7 +4,7 @@ Cells are grouped into square work tiles of ``tile_size``; a cell within
 ``radius`` of a tile edge is also sent to the neighbouring tile(s), so every
 tile receives its own cells plus a border strip of width ``radius`` (about
 4 radius / tile_size extra rows).  Each tile is then processed as one dense
-numpy array in an Arrow-batched grouped map (``applyInPandas``); a group never
+numpy array in an Arrow grouped map; a group never
 holds more than (tile_size + 2 radius)^2 cells, whatever the raster size.
 
 Window semantics: square window of (2 radius + 1)^2 cells; nodata cells are
@@ -14,14 +14,15 @@ results are produced for the cells present in the input.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dunegrid.operators.assembly import _fail_if
 from dunegrid.session import ensure_on_executors
 
 FOCAL_STATS = ("median", "mean", "min", "max", "sum", "count")
@@ -53,26 +54,35 @@ def _focal_numpy(arr: np.ndarray, radius: int, stat: str) -> np.ndarray:
             return s
 
 
-def focal(cells: DataFrame, value_col: str, radius: int = 2, stat: str = "median",
+def focal(cells: DataFrame, value_col: str | Sequence[str], radius: int = 2, stat: str = "median",
           tile_size: int = 256, c: str = "c", r: str = "r", out: str | None = None,
-          duplicates: str = "max") -> DataFrame:
-    """Focal statistic of ``value_col`` over a (2 radius + 1)^2 square window.
-
-    A cell holds one value; several rows of one cell are reduced with
-    ``duplicates`` first.  Returns (c, r, out).
+          duplicates: str = "error", keys: Sequence[str] = ()) -> DataFrame:
+    """Focal statistic of ``value_col`` (one column or several, in one pass)
+    over a (2 radius + 1)^2 square window.
+
+    ``keys`` (scene, time ...) keep layers apart.  A cell of a layer holds one
+    row: more than one fails, unless ``duplicates`` (max, min, mean, or first
+    by ``(duplicates, order column)``) says how to reduce them.  Returns
+    (keys..., c, r, values...); ``out`` renames a single value column.
     """
     if stat not in FOCAL_STATS:
         raise ValueError(f"stat must be one of {FOCAL_STATS}")
     if radius < 0 or radius >= tile_size:
         raise ValueError("radius must be in [0, tile_size)")
     ensure_on_executors(cells.sparkSession)
-    out = out or value_col
+    values = [value_col] if isinstance(value_col, str) else list(value_col)
+    names = [out] if out and len(values) == 1 else values
+    keys = list(keys)
     T_ = int(tile_size)
-    # one value per cell: repeated rows of a cell are reduced first (partial
-    # aggregation; no exchange when the input is already keyed by cell), so a
-    # hot cell cannot inflate a tile group
-    red = {"max": F.max, "min": F.min, "mean": F.avg, "first": F.first}[duplicates]
-    cells = cells.groupBy(F.col(c).alias(c), F.col(r).alias(r)).agg(red(value_col).alias(value_col))
+    if duplicates != "error":
+        # one value per cell (partial aggregation), so a hot cell cannot
+        # inflate a tile group
+        if isinstance(duplicates, tuple):
+            red = [F.min_by(v, duplicates[1]).alias(v) for v in values]
+        else:
+            fn = {"max": F.max, "min": F.min, "mean": F.avg}[duplicates]
+            red = [fn(v).alias(v) for v in values]
+        cells = cells.groupBy(*keys, F.col(c).alias(c), F.col(r).alias(r)).agg(*red)
     tc = F.floor(F.col(c) / T_).cast("int")
     tr = F.floor(F.col(r) / T_).cast("int")
     lc = F.col(c) - tc * T_
@@ -92,31 +102,37 @@ def focal(cells: DataFrame, value_col: str, radius: int = 2, stat: str = "median
                 cond = cond & (lr >= T_ - radius)
             targets.append(F.when(cond, F.struct((tc + ox).alias("tx"), (tr + oy).alias("ty"))))
     routed = cells.select(
-        F.col(c).cast("int").alias("c"), F.col(r).cast("int").alias("r"),
-        F.col(value_col).cast("double").alias("v"),
+        *keys, F.col(c).cast("int").alias("_c"), F.col(r).cast("int").alias("_r"),
+        *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)],
         F.explode(F.filter(F.array(*targets), lambda s: s.isNotNull())).alias("_t"))
-    routed = routed.select(F.col("_t.tx").alias("tx"), F.col("_t.ty").alias("ty"), "c", "r", "v")
-
-    schema = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("r", T.IntegerType()),
-                           T.StructField(out, T.DoubleType())])
-
-    def per_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
+    routed = routed.select(*keys, F.col("_t.tx").alias("_tx"), F.col("_t.ty").alias("_ty"), "_c", "_r",
+                           *[f"_v{i}" for i in range(len(values))])
+    schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("c", T.IntegerType()),
+                           T.StructField("r", T.IntegerType()),
+                           *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def per_tile(t: pa.Table) -> pa.Table:
+        tx, ty = t.column("_tx")[0].as_py(), t.column("_ty")[0].as_py()
         x0, y0 = tx * T_ - radius, ty * T_ - radius
         size = T_ + 2 * radius
-        arr = np.full((size, size), np.nan)
-        cc = pdf["c"].to_numpy() - x0
-        rr = pdf["r"].to_numpy() - y0
-        arr[rr, cc] = pdf["v"].astype("float64").to_numpy()
-        res = _focal_numpy(arr, radius, stat)
-        own = ((pdf["c"] >= tx * T_) & (pdf["c"] < (tx + 1) * T_)
-               & (pdf["r"] >= ty * T_) & (pdf["r"] < (ty + 1) * T_)).to_numpy()
-        oc, orr = pdf["c"].to_numpy()[own], pdf["r"].to_numpy()[own]
-        vals = res[orr - y0, oc - x0]
-        return pd.DataFrame({"c": oc.astype("int32"), "r": orr.astype("int32"),
-                             out: np.where(np.isnan(vals), None, vals).astype(object)})
-
-    return routed.groupBy("tx", "ty").applyInPandas(per_tile, schema)
+        at_c, at_r = t.column("_c").to_numpy(), t.column("_r").to_numpy()
+        cc, rr = at_c - x0, at_r - y0
+        seen = np.zeros((size, size), bool)
+        seen[rr, cc] = True
+        if int(seen.sum()) != t.num_rows:
+            raise ValueError("several rows for one cell: name the layer columns in keys")
+        own = (at_c >= tx * T_) & (at_c < (tx + 1) * T_) & (at_r >= ty * T_) & (at_r < (ty + 1) * T_)
+        n = int(own.sum())
+        cols = [pa.array([t.column(k)[0].as_py()] * n, t.schema.field(k).type) for k in keys]
+        cols += [pa.array(at_c[own].astype("int32")), pa.array(at_r[own].astype("int32"))]
+        for i in range(len(values)):
+            arr = np.full((size, size), np.nan)
+            arr[rr, cc] = t.column(f"_v{i}").to_pandas().to_numpy(dtype="float64")
+            res = _focal_numpy(arr, radius, stat)[rr[own], cc[own]]
+            cols.append(pa.array(res, mask=np.isnan(res)))
+        return pa.Table.from_arrays(cols, names=[*keys, "c", "r", *names])
+
+    return routed.groupBy(*keys, "_tx", "_ty").applyInArrow(per_tile, schema)
 
 
 def focal_sql(cells_sql: str, radius: int, stat_sql: str = "median", value: str = "v") -> str:
@@ -128,82 +144,88 @@ FROM ({cells_sql}) t JOIN ({cells_sql}) s
 GROUP BY t.c, t.r"""
 
 
-__all__ = ["focal", "focal_sql", "FOCAL_STATS", "Iterator"]
-
-
-def _strip_predicate(ox: int, oy: int, rad: int):
-    """Index predicate of the strip a tile sends to its neighbour at (ox, oy):
-    ox = +1 -> its last ``rad`` columns, -1 -> its first ``rad`` columns (rows alike)."""
-    def keep(x, i):
-        col = i % F.col("cols")
-        row = F.floor(i / F.col("cols"))
-        cond = F.lit(True)
-        if ox == 1:
-            cond = cond & (col >= F.col("cols") - rad)
-        if ox == -1:
-            cond = cond & (col < rad)
-        if oy == 1:
-            cond = cond & (row >= F.col("rows") - rad)
-        if oy == -1:
-            cond = cond & (row < rad)
-        return cond
-    return keep
+def _strip(value_col: str, ox: int, oy: int, rad: int):
+    """The strip a tile sends to its neighbour at (ox, oy), row by row: for
+    ox = +1 its last ``rad`` columns, for -1 its first (rows alike).  Only the
+    strip's own entries are touched."""
+    cols, rows = F.col("cols"), F.col("rows")
+    w = F.lit(rad) if ox else cols
+    h = F.lit(rad) if oy else rows
+    left = cols - rad if ox == 1 else F.lit(0)
+    top = rows - rad if oy == 1 else F.lit(0)
+    if not ox:  # whole rows are one slice
+        return F.slice(value_col, (top * cols + 1).cast("int"), (h * cols).cast("int"))
+    return F.transform(F.sequence(F.lit(0), (w * h - 1).cast("int")), lambda i: F.element_at(
+        value_col, ((top + F.floor(i / w)) * cols + left + i % w + 1).cast("int")))
 
 
 def focal_tiles(tiles: DataFrame, radius: int = 2, stat: str = "median",
-                value_col: str = "cells") -> DataFrame:
+                value_col: str = "cells", keys: Sequence[str] = ()) -> DataFrame:
     """Focal statistic on the ``tiles`` form with a halo exchange of array strips.
 
     Every tile sends its whole array to itself and, to each of its 8
     neighbours, only the strip that neighbour needs (``radius`` columns,
-    rows or a corner block), cut with an indexed ``filter`` on the array; the
-    strips travel as arrays, not as one row per cell.  One grouped map per
-    tile reassembles the padded (rows + 2 radius) x (cols + 2 radius) array,
-    applies the window and returns the tile (edge windows clipped, nodata
-    skipped).  Tiles must share one ``cols x rows`` size and ``radius`` must
-    not exceed it.
+    rows or a corner block); the strips travel as arrays, not as one row per
+    cell.  One grouped map per tile reassembles the padded array, applies the
+    window and returns the tile (edge windows clipped, nodata skipped).
+    ``keys`` (scene, time, band ...) keep layers apart; two tiles of one key
+    fail.  Tiles of one column (row) of tiles share their width (height); the
+    last ones may be smaller, but not smaller than ``radius``.
     """
     if stat not in FOCAL_STATS:
         raise ValueError(f"stat must be one of {FOCAL_STATS}")
     ensure_on_executors(tiles.sparkSession)
-    rad = int(radius)
+    rad, keys = int(radius), list(keys)
+    extra = [x for x in ("col_off", "row_off") if x in tiles.columns]
     parts = []
     for ox in (-1, 0, 1):
         for oy in (-1, 0, 1):
-            # the target (col_key + ox, row_key + oy) needs, from this tile, the
-            # columns nearest to it: ox = +1 -> the last `rad` columns, -1 -> the first
-            keep = _strip_predicate(ox, oy, rad)
-            strip = F.filter(value_col, keep) if (ox, oy) != (0, 0) else F.col(value_col)
-            parts.append(F.struct(F.lit(ox).alias("ox"), F.lit(oy).alias("oy"), strip.alias("strip")))
-    routed = tiles.select("col_key", "row_key", "cols", "rows", F.explode(F.array(*parts)).alias("p"))
-    routed = routed.select((F.col("col_key") + F.col("p.ox")).alias("tx"),
-                           (F.col("row_key") + F.col("p.oy")).alias("ty"),
-                           F.col("p.ox").alias("ox"), F.col("p.oy").alias("oy"), "cols", "rows",
-                           F.col("p.strip").alias("strip"))
-    schema = T.StructType([T.StructField("col_key", T.IntegerType()), T.StructField("row_key", T.IntegerType()),
-                           T.StructField("cols", T.IntegerType()), T.StructField("rows", T.IntegerType()),
+            strip = _strip(value_col, ox, oy, rad) if (ox, oy) != (0, 0) else F.col(value_col)
+            if rad or (ox, oy) == (0, 0):
+                parts.append(F.struct(F.lit(ox).alias("ox"), F.lit(oy).alias("oy"), strip.alias("strip")))
+    fits = _fail_if((F.col("cols") < rad) | (F.col("rows") < rad), "a tile is smaller than the radius")
+    routed = tiles.filter(fits).select(*keys, "col_key", "row_key", "cols", "rows", *extra,
+                                       F.explode(F.array(*parts)).alias("p"))
+    routed = routed.select(*keys, (F.col("col_key") + F.col("p.ox")).alias("_tx"),
+                           (F.col("row_key") + F.col("p.oy")).alias("_ty"),
+                           F.col("p.ox").alias("_ox"), F.col("p.oy").alias("_oy"), "cols", "rows", *extra,
+                           F.col("p.strip").alias("_strip"))
+    ints = ["col_key", "row_key", "cols", "rows", *extra]
+    schema = T.StructType([*[tiles.schema[k] for k in keys], *[T.StructField(n, T.IntegerType()) for n in ints],
                            T.StructField(value_col, T.ArrayType(T.DoubleType()))])
-
-    def per_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[(pdf["ox"] == 0) & (pdf["oy"] == 0)]
-        if own.empty:  # only neighbours sent strips: no tile here
-            return pd.DataFrame({"col_key": pd.Series([], dtype="int32"), "row_key": pd.Series([], dtype="int32"),
-                                 "cols": pd.Series([], dtype="int32"), "rows": pd.Series([], dtype="int32"),
-                                 value_col: pd.Series([], dtype=object)})
-        cols, rows = int(own["cols"].iloc[0]), int(own["rows"].iloc[0])
-        arr = np.full((rows + 2 * rad, cols + 2 * rad), np.nan)
-        for rec in pdf.itertuples(index=False):
-            vals = np.array(rec.strip, dtype="float64")  # None -> NaN
-            ox, oy = int(rec.ox), int(rec.oy)
-            w = cols if ox == 0 else rad
-            h = rows if oy == 0 else rad
-            # the sender sits at offset (-ox, -oy) from this tile
-            x0 = rad if ox == 0 else (0 if ox == 1 else rad + cols)
-            y0 = rad if oy == 0 else (0 if oy == 1 else rad + rows)
-            arr[y0:y0 + h, x0:x0 + w] = vals.reshape(h, w)
-        out = _focal_numpy(arr, rad, stat)[rad:rad + rows, rad:rad + cols].ravel()
-        return pd.DataFrame({"col_key": [int(own["tx"].iloc[0])], "row_key": [int(own["ty"].iloc[0])],
-                             "cols": [cols], "rows": [rows],
-                             value_col: [np.where(np.isnan(out), None, out).tolist()]})
-
-    return routed.groupBy("tx", "ty").applyInPandas(per_tile, schema)
+    list_type = pa.list_(pa.float64())
+
+    def per_tile(t: pa.Table) -> pa.Table:
+        ox, oy = t.column("_ox").to_numpy(), t.column("_oy").to_numpy()
+        own = np.flatnonzero((ox == 0) & (oy == 0))
+        if len(own) > 1:
+            raise ValueError("several tiles for one key: name the layer columns in keys")
+        found = {n: [] for n in [*keys, *ints, value_col]}
+        if len(own):  # else only neighbours sent strips: no tile here
+            me = int(own[0])
+            cols, rows = t.column("cols")[me].as_py(), t.column("rows")[me].as_py()
+            arr = np.full((rows + 2 * rad, cols + 2 * rad), np.nan)
+            for i in range(t.num_rows):
+                vals = t.column("_strip")[i].values.to_pandas().to_numpy(dtype="float64")  # NULL -> NaN
+                w = rad if ox[i] else cols
+                h = rad if oy[i] else rows
+                if len(vals) != w * h:
+                    raise ValueError("neighbouring tiles differ in width or height")
+                # the sender sits at offset (-ox, -oy) from this tile
+                x0 = {0: rad, 1: 0, -1: rad + cols}[int(ox[i])]
+                y0 = {0: rad, 1: 0, -1: rad + rows}[int(oy[i])]
+                arr[y0:y0 + h, x0:x0 + w] = vals.reshape(h, w)
+            res = _focal_numpy(arr, rad, stat)[rad:rad + rows, rad:rad + cols].ravel()
+            for k in keys:
+                found[k].append(t.column(k)[me].as_py())
+            at = {"col_key": t.column("_tx")[me], "row_key": t.column("_ty")[me]}
+            for n in ints:
+                found[n].append((at[n] if n in at else t.column(n)[me]).as_py())
+            found[value_col].append(res)
+        arrays = [pa.array(found[k], t.schema.field(k).type) for k in keys]
+        arrays += [pa.array(found[n], pa.int32()) for n in ints] + [pa.array(found[value_col], list_type)]
+        return pa.Table.from_arrays(arrays, names=[*keys, *ints, value_col])
+
+    done = routed.groupBy(*keys, "_tx", "_ty").applyInArrow(per_tile, schema)
+    # NaN travelled as the nodata mark; it becomes NULL on the JVM side
+    return done.withColumn(value_col, F.transform(value_col, lambda v: F.when(~F.isnan(v), v)))

@@ -2,14 +2,13 @@
 
 Features are assembled from cell columns (one row per pixel, NULL rows
 dropped first); every estimator is Spark ML's own distributed implementation.
-The feature table is persisted once around the iterative fits.
+The feature table is written once for the iterative fits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -19,13 +18,18 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dunegrid.session import materialize
+
 
 def kmeans_pixels(cells: DataFrame, feature_cols: Sequence[str], k: int = 6, seed: int = 1,
                   max_iter: int = 20, keys: Sequence[str] = ("c", "r")):
     """k-means on pixels: assemble features, fit, assign.  Returns
-    (model, predictions with ``prediction``, training cost)."""
-    data = cells.select(*keys, *feature_cols).dropna(subset=list(feature_cols))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    (model, predictions with ``prediction``, training cost).
+
+    The features are written once to the shared folder (the fit scans them
+    once per iteration) and nothing stays cached.
+    """
+    data = materialize(cells.select(*keys, *feature_cols).dropna(subset=list(feature_cols)), "kmeans-features")
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=list(feature_cols), outputCol="features"),
         KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="prediction"),
@@ -61,17 +65,19 @@ def within_set_sse(cells: DataFrame, feature_cols: Sequence[str], centres) -> Da
 def linear_regression(df: DataFrame, feature_cols: Sequence[str], label_col: str,
                       max_iter: int = 10, reg_param: float = 0.3, elastic_net: float = 0.8):
     """Spark ML linear regression with the original job's settings; returns
-    (model, one-row summary DataFrame)."""
+    (model, one-row report with every coefficient and the objective history,
+    residuals of all rows)."""
     data = VectorAssembler(inputCols=list(feature_cols), outputCol="features").transform(
         df.dropna(subset=[*feature_cols, label_col])).select("features", F.col(label_col).alias("label"))
     model = LinearRegression(maxIter=max_iter, regParam=reg_param, elasticNetParam=elastic_net).fit(data)
     s = model.summary
-    spark = df.sparkSession
-    report = spark.createDataFrame(
-        [(float(model.coefficients[0]), float(model.intercept), int(s.totalIterations),
-          float(s.rootMeanSquaredError), float(s.r2), len(s.objectiveHistory))],
-        "coefficient double, intercept double, iterations int, rmse double, r2 double, n_objective int")
-    return model, report
+    report = df.sparkSession.createDataFrame(
+        [([float(v) for v in model.coefficients], float(model.intercept), int(s.totalIterations),
+          float(s.rootMeanSquaredError), float(s.r2), [float(v) for v in s.objectiveHistory])],
+        "coefficients array<double>, intercept double, iterations int, rmse double, r2 double, "
+        "objective_history array<double>")
+    residuals = model.transform(data).select("label", "prediction", (F.col("label") - F.col("prediction")).alias("residual"))
+    return model, report, residuals
 
 
 def regression_closed_form(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -100,7 +106,8 @@ def logistic_pipeline(df: DataFrame, feature_cols: Sequence[str], label_col: str
                             maxIter=max_iter, regParam=reg_param, elasticNetParam=elastic_net)
     conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=label_idx.labels)
     pipe = Pipeline(stages=[label_idx, feat_idx, lr, conv])
-    train = data.filter(F.col(split_col) == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    # written once: the fit scans it once per iteration, and nothing stays cached
+    train = materialize(data.filter(F.col(split_col) == "train").select("raw", label_col), "logistic-train")
     model = pipe.fit(train)
     pred = model.transform(data.filter(F.col(split_col) == "test"))
     lrm = model.stages[2]
@@ -135,16 +142,18 @@ def label_index(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def confusion_metrics(df: DataFrame, label_col: str, prediction_col: str) -> DataFrame:
-    """Accuracy and weighted F1 from a label/prediction table with aggregates only."""
-    total = df.count()
-    per = df.groupBy(label_col, prediction_col).agg(F.count(F.lit(1)).alias("n"))
-    tp = per.filter(F.col(label_col) == F.col(prediction_col)).select(
-        F.col(label_col).alias("k"), F.col("n").alias("tp"))
-    actual = per.groupBy(F.col(label_col).alias("k")).agg(F.sum("n").alias("n_true"))
-    predicted = per.groupBy(F.col(prediction_col).alias("k")).agg(F.sum("n").alias("n_pred"))
-    cls = actual.join(predicted, "k", "full").join(tp, "k", "left").fillna(0, ["tp", "n_true", "n_pred"])
+    """Accuracy and weighted F1 from one confusion table (a row per pair of
+    classes): each pair counts for its true class and for its predicted one."""
+    per = df.groupBy(F.col(label_col).alias("y"), F.col(prediction_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("y").eqNullSafe(F.col("p"))
+    sides = per.select(F.explode(F.array(
+        F.struct(F.col("y").alias("k"), F.col("n").alias("n_true"), F.lit(0).cast("long").alias("n_pred"),
+                 F.when(same, F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("p").alias("k"), F.lit(0).cast("long").alias("n_true"), F.col("n").alias("n_pred"),
+                 F.lit(0).cast("long").alias("tp")))).alias("s")).select("s.*")
+    cls = sides.groupBy("k").agg(*[F.sum(x).alias(x) for x in ("n_true", "n_pred", "tp")])
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     rec = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0))
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    return cls.agg((F.sum("tp") / F.lit(float(total))).alias("accuracy"),
-                   (F.sum(F.col("n_true") * f1) / F.lit(float(total))).alias("f1"))
+    return cls.agg((F.sum("tp") / F.sum("n_true")).alias("accuracy"),
+                   (F.sum(F.col("n_true") * f1) / F.sum("n_true")).alias("f1"))

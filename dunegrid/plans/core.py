@@ -55,10 +55,9 @@ SELECT c, r,
 FROM px GROUP BY c, r"""))
 def max_composite_bands(spark, sf):
     p = td.px(spark, sf)
-    a = composite.composite(p, ["blue"], "max", nodata="propagate")
-    b = composite.composite(p, ["red", "nir"], "max", nodata="ignore")
-    # both sides are aggregated on (c, r): the join reuses that partitioning
-    return a.join(b, ["c", "r"])
+    # one aggregate with a nodata policy per band
+    return composite.composite(p, ["blue", "red", "nir"], "max",
+                               nodata={"blue": "propagate", "red": "ignore", "nir": "ignore"})
 
 
 # --- B4 / B5 / C3: area selection ------------------------------------------------
@@ -143,10 +142,7 @@ def rgb_composite(spark, sf):
 SELECT scene, count(blue) AS n_data, count(*) AS n_cells FROM px GROUP BY scene"""))
 def data_cells(spark, sf):
     p = td.px(spark, sf)
-    data = p.filter(F.col("blue").isNotNull()).groupBy("scene").agg(F.count(F.lit(1)).alias("n_data"))
-    allc = p.groupBy("scene").agg(F.count(F.lit(1)).alias("n_cells"))
-    return allc.join(data, "scene", "left").select(
-        "scene", F.coalesce("n_data", F.lit(0)).alias("n_data"), "n_cells")
+    return p.groupBy("scene").agg(F.count("blue").alias("n_data"), F.count(F.lit(1)).alias("n_cells"))
 
 
 @register("normalize_layer", ops=("H4", "D6"),
@@ -187,6 +183,22 @@ def layer_metadata(spark, sf):
     return md.withColumn("t_min", F.col("t_min").cast("date")).withColumn("t_max", F.col("t_max").cast("date"))
 
 
+@register("merged_scene_metadata", ops=("C5", "D8"),
+          sql=with_ctes(PX, body="""
+SELECT CAST(500000 + 30 * min(c) AS DOUBLE) AS xmin, CAST(4500000 - 30 * (max(r) + 1) AS DOUBLE) AS ymin,
+       CAST(500000 + 30 * (max(c) + 1) AS DOUBLE) AS xmax, CAST(4500000 - 30 * min(r) AS DOUBLE) AS ymax,
+       32648 AS crs, CAST(30 AS DOUBLE) AS dx, CAST(-30 AS DOUBLE) AS dy
+FROM px"""))
+def merged_scene_metadata(spark, sf):
+    """Each scene's extent, CRS and cell size (30 m cells of a UTM raster), merged into the layer's."""
+    x, y = (lambda v: F.lit(500000.0) + v * 30.0), (lambda v: F.lit(4500000.0) - v * 30.0)
+    parts = td.px(spark, sf).groupBy("scene").agg(
+        x(F.min("c")).alias("xmin"), y(F.max("r") + 1).alias("ymin"), x(F.max("c") + 1).alias("xmax"),
+        y(F.min("r")).alias("ymax")).select("*", F.lit(32648).alias("crs"), F.lit(30.0).alias("dx"),
+                                            F.lit(-30.0).alias("dy"))
+    return assembly.merge_metadata(parts)
+
+
 @register("ndvi_percentiles", ops=("D7",),
           sql=with_ctes(PX, body=f"""
 SELECT p, round(v, 6) AS value FROM (
@@ -234,14 +246,15 @@ def fvc_query(spark, sf):
 # --- G1 / G2: unions and mosaics -----------------------------------------------------
 
 @register("mosaic_last", ops=("G2",),
-          sql=with_ctes(PX, ("s", "SELECT scene, c, r, max(nir) AS nir FROM px GROUP BY scene, c, r"),
-                        body="SELECT c, r, arg_max(nir, scene) AS nir FROM s GROUP BY c, r"))
+          sql=with_ctes(PX, ("s", """
+SELECT scene, c, r, max(nir) AS nir, CASE WHEN count(blue) = count(*) THEN max(blue) END AS blue
+FROM px GROUP BY scene, c, r"""), body="""
+SELECT c, r, arg_max(nir, scene) AS nir, arg_max(blue, scene) FILTER (WHERE blue IS NOT NULL) AS blue
+FROM s GROUP BY c, r"""))
 def mosaic_last(spark, sf):
-    # the four scene layers are views of one per-scene aggregate, so the scan and
-    # its shuffle run once (the branches reuse the exchange)
-    s = td.px(spark, sf).groupBy("scene", "c", "r").agg(F.max("nir").alias("nir"))
-    layers = composite.union_layers([s.filter(F.col("scene") == k) for k in range(4)])
-    return composite.mosaic(layers, ["nir"], "last", layer_col="scene")
+    # blue is nodata in some scenes of most cells: the layer below shows there
+    s = composite.composite(td.px(spark, sf), ["nir", "blue"], "max", keys=("scene", "c", "r"))
+    return composite.mosaic(s, ["nir", "blue"], "last", layer_col="scene")
 
 
 @register("mosaic_mean", ops=("G2",),
@@ -291,18 +304,24 @@ def band_assembly(spark, sf):
 
 
 @register("spatial_join_bands", ops=("C1", "B2"),
-          sql=with_ctes(PX, BF, body="""
-SELECT CAST(floor(cx) AS INT) AS c, CAST(floor(cy) AS INT) AS r,
-  max(CASE WHEN band_index = 2 THEN v END) AS red,
-  max(CASE WHEN band_index = 3 THEN v END) AS nir,
-  max(CASE WHEN band_index = 4 THEN v END) AS swir1
-FROM band_file WHERE path LIKE '/img/scene_0/%' GROUP BY 1, 2"""))
+          sql=with_ctes(PX, BF, ("k", """
+SELECT string_split(path, '/')[-2] AS scene_id, CAST(floor(cx) AS INT) AS c, CAST(floor(cy) AS INT) AS r,
+       band_index, v FROM band_file WHERE v IS NOT NULL OR band_index > 0"""), body="""
+SELECT scene_id, c, r, b0.v AS blue, b1.v AS green, b2.v AS red, b3.v AS nir, b4.v AS swir1, b5.v AS swir2
+FROM (SELECT * FROM k WHERE band_index = 0) b0
+JOIN (SELECT * FROM k WHERE band_index = 1) b1 USING (scene_id, c, r)
+JOIN (SELECT * FROM k WHERE band_index = 2) b2 USING (scene_id, c, r)
+JOIN (SELECT * FROM k WHERE band_index = 3) b3 USING (scene_id, c, r)
+JOIN (SELECT * FROM k WHERE band_index = 4) b4 USING (scene_id, c, r)
+JOIN (SELECT * FROM k WHERE band_index = 5) b5 USING (scene_id, c, r)"""))
 def spatial_join_bands(spark, sf):
-    bf = td.band_file(spark, sf).filter(F.col("path").startswith("/img/scene_0/"))
-    keyed = bf.select(F.floor("cx").cast("int").alias("c"), F.floor("cy").cast("int").alias("r"),
-                      "band_index", "v")
-    return assembly.pivot_bands(keyed, ["c", "r"], "band_index", "v", [2, 3, 4],
-                                ["red", "nir", "swir1"])
+    """All scenes, all six bands; a scene's blue layer has no record where it
+    is nodata, so those cells are in no joined record."""
+    bf = td.band_file(spark, sf).filter(F.col("v").isNotNull() | (F.col("band_index") > 0))
+    keyed = bf.select(assembly.scene_of_path("path").alias("scene_id"), F.floor("cx").cast("int").alias("c"),
+                      F.floor("cy").cast("int").alias("r"), "band_index", "v")
+    return assembly.pivot_bands(keyed, ["scene_id", "c", "r"], "band_index", "v", list(range(6)),
+                                list(td.BANDS), require_all=True)
 
 
 # --- A12 / B7 / A13 / C4 / B10 -------------------------------------------------------

@@ -11,9 +11,12 @@ from dunegrid.functions.geometry import EARTH_RADIUS, MERCATOR_HALF_WORLD, merca
 from dunegrid.operators import focal as fo
 from dunegrid.operators import grid as gr
 from dunegrid.operators import mask as mk
+from dunegrid.operators.composite import composite
 from dunegrid.plans.fixtures import POLYGON
 from dunegrid.plans.registry import register, with_ctes
+from dunegrid.session import scratch_table_path
 from dunegrid.sources import testdata as td
+from dunegrid.sources.catalog import read_catalog
 
 PX = ("px", td.PX_SQL)
 NM = ("nm", td.NM_SQL)
@@ -32,20 +35,12 @@ def explode_tiles(spark, sf):
 
 @register("assemble_tiles", ops=("D5",),
           sql=with_ctes(T8, ("cells8", T8_CELLS_SQL), body="""
-SELECT col_key, row_key, CAST(64 - count(*) AS INT) AS n_nodata, round(sum(v), 9) AS cell_sum,
-       max(CASE WHEN col = 0 AND row = 0 THEN v END) AS first_cell,
-       max(CASE WHEN col = 7 AND row = 7 THEN v END) AS last_cell
-FROM cells8 WHERE v > 0 GROUP BY col_key, row_key"""))
+SELECT a.col_key, a.row_key, a.col, a.row, CASE WHEN a.v > 0 THEN a.v END AS v
+FROM cells8 a JOIN (SELECT DISTINCT col_key, row_key FROM cells8 WHERE v > 0) t USING (col_key, row_key)"""))
 def assemble_tiles(spark, sf):
+    """Every cell of the assembled tiles, nodata included."""
     cells = gr.explode_tiles(td.tile8(spark, sf)).filter(F.col("v") > 0)
-    tiles = gr.assemble_tiles(cells, 8, 8)
-    data = F.filter("cells", lambda x: x.isNotNull())
-    return tiles.select(
-        "col_key", "row_key",
-        F.size(F.filter("cells", lambda x: x.isNull())).alias("n_nodata"),
-        F.round(F.aggregate(data, F.lit(0.0), lambda a, x: a + x), 9).alias("cell_sum"),
-        F.element_at("cells", 1).alias("first_cell"),
-        F.element_at("cells", 64).alias("last_cell"))
+    return gr.explode_tiles(gr.assemble_tiles(cells, 8, 8)).select("col_key", "row_key", "col", "row", "v")
 
 
 @register("pyramid_level", ops=("I4",),
@@ -57,25 +52,41 @@ def pyramid_level(spark, sf):
     return lvl.select("c", "r", F.round("v", 6).alias("v"))
 
 
-def _pyramid_sql(levels: int) -> str:
+def _pyramid_sql(most: int = 31) -> str:
+    """Levels until one cell is left, whatever the bounds (``most`` covers any
+    32-bit cell coordinate)."""
     ctes = [PX, ("p0", td.NM_SQL)]
-    for k in range(1, levels + 1):
+    for k in range(1, most + 1):
+        ctes.append((f"b{k}", f"SELECT max(c) > min(c) OR max(r) > min(r) AS more FROM p{k - 1}"))
         ctes.append((f"p{k}", f"SELECT CAST(floor(c / 2) AS INT) AS c, CAST(floor(r / 2) AS INT) AS r, "
-                              f"avg(v) AS v FROM p{k - 1} GROUP BY 1, 2"))
+                              f"avg(v) AS v FROM p{k - 1} WHERE (SELECT more FROM b{k}) GROUP BY 1, 2"))
     body = " UNION ALL ".join(f"SELECT {k} AS level, c, r, round(v, 6) AS v FROM p{k}"
-                              for k in range(1, levels + 1))
-    return with_ctes(*ctes, body=body)
+                              for k in range(1, most + 1))
+    return ("WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n[0] == 'p' and n != 'px' else ''}({q.strip()})"
+                                 for n, q in ctes) + "\n" + body)
 
 
-PYRAMID_LEVELS = 7
-
-
-@register("pyramid", ops=("I4",), sql=_pyramid_sql(PYRAMID_LEVELS))
+@register("pyramid", ops=("I4",), sql=_pyramid_sql())
 def pyramid(spark, sf):
-    out = gr.build_pyramid(td.max_nir(spark, sf), ["v"], PYRAMID_LEVELS)
+    out = gr.build_pyramid(td.max_nir(spark, sf), ["v"])
     return out.select("level", "c", "r", F.round("v", 6).alias("v"))
 
 
+PYRAMID_BOX, PYRAMID_QUERY_ZOOM = (3.0, 1.0, 20.0, 6.0), 2
+
+
+@register("pyramid_catalog_area", ops=("I4", "A9", "A10", "F4"),
+          sql=_pyramid_sql().rsplit("\n", 1)[0] + f"""
+SELECT c, r, round(v, 6) AS v FROM p{PYRAMID_QUERY_ZOOM}
+WHERE c > {PYRAMID_BOX[0] - 1} AND c < {PYRAMID_BOX[2]} AND r > {PYRAMID_BOX[1] - 1} AND r < {PYRAMID_BOX[3]}""")
+def pyramid_catalog_area(spark, sf):
+    """The pyramid written to a catalog, one zoom of it queried by area."""
+    path = scratch_table_path(spark, "pyramid")
+    gr.build_pyramid(td.max_nir(spark, sf), ["v"], out_path=path, layer="nir", tile_size=8)
+    q = read_catalog(spark, path, "nir", PYRAMID_QUERY_ZOOM, extent=PYRAMID_BOX)
+    return q.select("c", "r", F.round("v", 6).alias("v"))
+
+
 FOCAL_TILE = 32
 
 
@@ -85,14 +96,22 @@ def focal_median(spark, sf):
     return fo.focal(td.max_nir(spark, sf), "v", radius=2, stat="median", tile_size=FOCAL_TILE)
 
 
+_YEAR_LAYERS_SQL = "SELECT scene, CAST(year(acquired) AS INT) AS year, c, r, " + ", ".join(
+    f"max(CASE WHEN {b} <= 10000 THEN {b} END) AS {b}" for b in td.BANDS) + " FROM px GROUP BY 1, 2, 3, 4"
+
+
 @register("threshold_focal_median", ops=("E3", "B8", "E2"),
-          sql=with_ctes(PX, ("nt", "SELECT c, r, max(CASE WHEN nir <= 10000 THEN nir END) AS v "
-                                   "FROM px GROUP BY c, r"),
-                        body=fo.focal_sql("SELECT c, r, v FROM nt", 2)))
+          sql=with_ctes(PX, ("nt", _YEAR_LAYERS_SQL), body=f"""
+SELECT t.scene, t.year, t.c, t.r, {", ".join(f"median(s.{b}) AS {b}" for b in td.BANDS)}
+FROM nt t JOIN nt s ON s.scene = t.scene AND s.year = t.year
+  AND s.c BETWEEN t.c - 2 AND t.c + 2 AND s.r BETWEEN t.r - 2 AND t.r + 2
+GROUP BY t.scene, t.year, t.c, t.r"""))
 def threshold_focal_median(spark, sf):
-    p = td.px(spark, sf).select("c", "r", ix.threshold("nir", 10000).alias("v"))
-    nt = p.groupBy("c", "r").agg(F.max("v").alias("v"))
-    return fo.focal(nt, "v", radius=2, stat="median", tile_size=FOCAL_TILE)
+    """All six bands of every scene and year, in one pass."""
+    p = td.px(spark, sf).select("scene", F.year("acquired").alias("year"), "c", "r",
+                                *[ix.threshold(b, 10000).alias(b) for b in td.BANDS])
+    nt = p.groupBy("scene", "year", "c", "r").agg(*[F.max(b).alias(b) for b in td.BANDS])
+    return fo.focal(nt, list(td.BANDS), radius=2, stat="median", tile_size=FOCAL_TILE, keys=("scene", "year"))
 
 
 @register("tile_focal_mean", ops=("E1", "E2", "I7"),
@@ -119,9 +138,15 @@ def tile_halo_focal_median(spark, sf):
 NEAREST_DST = gr.Grid(0.25, 0.25, 1.5, 1.5)
 
 
+def _axis(col: str, step: float, name: str, first: str = "-2") -> str:
+    """Target indices that cover the layer's cells on one axis, from its bounds."""
+    return (f"SELECT unnest(range({first}, {first} + CAST(ceil(((SELECT max({col}) FROM nm) + 2) / {step!r}) AS BIGINT) + 8)) "
+            f"AS {name}")
+
+
 @register("regrid_nearest", ops=("I1",),
           sql=with_ctes(PX, NM, body=f"""
-SELECT tc, tr, nm.v FROM range(-2, 100) a(tc), range(-2, 200) b(tr), nm
+SELECT tc, tr, nm.v FROM ({_axis("c", NEAREST_DST.dx, "tc")}) a, ({_axis("r", NEAREST_DST.dy, "tr")}) b, nm
 WHERE nm.c = CAST(floor((CAST({NEAREST_DST.x0!r} AS DOUBLE) + (tc + 0.5) * CAST({NEAREST_DST.dx!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
   AND nm.r = CAST(floor((CAST({NEAREST_DST.y0!r} AS DOUBLE) + (tr + 0.5) * CAST({NEAREST_DST.dy!r} AS DOUBLE) - 0.0) / 1.0) AS INT)"""))
 def regrid_nearest(spark, sf):
@@ -130,15 +155,18 @@ def regrid_nearest(spark, sf):
 
 
 @register("regrid_nearest_merge", ops=("I1", "G2"),
-          sql=with_ctes(PX, ("s", "SELECT scene, c, r, max(nir) AS v FROM px GROUP BY scene, c, r"), body=f"""
-SELECT tc, tr, arg_max(s.v, s.scene) AS v FROM range(-2, 100) a(tc), range(-2, 200) b(tr), s
+          sql=with_ctes(PX, NM, ("s", """
+SELECT scene, c, r, max(nir) AS nir, CASE WHEN count(blue) = count(*) THEN max(blue) END AS blue
+FROM px GROUP BY scene, c, r"""), body=f"""
+SELECT tc, tr, arg_max(s.nir, s.scene) AS nir, arg_max(s.blue, s.scene) FILTER (WHERE s.blue IS NOT NULL) AS blue
+FROM ({_axis("c", NEAREST_DST.dx, "tc")}) a, ({_axis("r", NEAREST_DST.dy, "tr")}) b, s
 WHERE s.c = CAST(floor((CAST({NEAREST_DST.x0!r} AS DOUBLE) + (tc + 0.5) * CAST({NEAREST_DST.dx!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
   AND s.r = CAST(floor((CAST({NEAREST_DST.y0!r} AS DOUBLE) + (tr + 0.5) * CAST({NEAREST_DST.dy!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
 GROUP BY tc, tr"""))
 def regrid_nearest_merge(spark, sf):
-    scenes = td.px(spark, sf).groupBy("scene", "c", "r").agg(F.max("nir").alias("v"))
-    out = gr.regrid_nearest(scenes, ["v"], gr.Grid(), NEAREST_DST, priority_col="scene")
-    return out.select(F.col("tc").cast("bigint").alias("tc"), F.col("tr").cast("bigint").alias("tr"), "v")
+    scenes = composite(td.px(spark, sf), ["nir", "blue"], "max", keys=("scene", "c", "r"))
+    out = gr.regrid_nearest(scenes, ["nir", "blue"], gr.Grid(), NEAREST_DST, priority_col="scene")
+    return out.select(F.col("tc").cast("bigint").alias("tc"), F.col("tr").cast("bigint").alias("tr"), "nir", "blue")
 
 
 BILINEAR_DST = gr.Grid(0.3, 0.3, 0.75, 0.75)
@@ -188,7 +216,7 @@ SELECT tc, tr, u, v, CAST(floor(u) AS INT) AS i0, CAST(floor(v) AS INT) AS j0,
 FROM (SELECT tc, tr,
         (CAST({dst.x0!r} AS DOUBLE) + (tc + 0.5) * CAST({dst.dx!r} AS DOUBLE) - 0.0) / 1.0 - 0.5 AS u,
         (CAST({dst.y0!r} AS DOUBLE) + (tr + 0.5) * CAST({dst.dy!r} AS DOUBLE) - 0.0) / 1.0 - 0.5 AS v
-      FROM range(-2, 200) a(tc), range(-2, 300) b(tr)) q"""),
+      FROM ({_axis("c", dst.dx, "tc")}) a, ({_axis("r", dst.dy, "tr")}) b) q"""),
                      ("nb", _corners_sql("tc, tr")),
                      body=f"""
 SELECT tc, tr, {_CORNER_SUM} AS v
@@ -202,19 +230,20 @@ def regrid_bilinear(spark, sf):
     return out.select(F.col("tc").cast("bigint").alias("tc"), F.col("tr").cast("bigint").alias("tr"), "v")
 
 
-# Fixed parameters of the size resample: raster 128 x 16 cells to 186 x 169.
-RS_SRC = (128, 16)
+# Fixed parameter of the size resample: the target size.
 RS_DST = (186, 169)
 
 
-@register("resample_to_size", ops=("I6",),
-          sql=with_ctes(PX, NM, body=f"""
-SELECT CAST(tc AS INT) AS c, CAST(tr AS INT) AS r, nm.v FROM range(0, {RS_DST[0]}) a(tc), range(0, {RS_DST[1]}) b(tr), nm
-WHERE nm.c = CAST(floor((0.0 + (tc + 0.5) * CAST({RS_SRC[0] / RS_DST[0]!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
-  AND nm.r = CAST(floor((0.0 + (tr + 0.5) * CAST({RS_SRC[1] / RS_DST[1]!r} AS DOUBLE) - 0.0) / 1.0) AS INT)"""))
+def resample_sql(cells: str, value: str) -> str:
+    return f"""
+SELECT CAST(tc AS INT) AS c, CAST(tr AS INT) AS r, {value} FROM range(0, {RS_DST[0]}) a(tc), range(0, {RS_DST[1]}) b(tr), {cells} s
+WHERE s.c = CAST(floor((tc + 0.5) * ((SELECT CAST(max(c) + 1 AS DOUBLE) FROM {cells}) / {RS_DST[0]})) AS INT)
+  AND s.r = CAST(floor((tr + 0.5) * ((SELECT CAST(max(r) + 1 AS DOUBLE) FROM {cells}) / {RS_DST[1]})) AS INT)"""
+
+
+@register("resample_to_size", ops=("I6",), sql=with_ctes(PX, NM, body=resample_sql("nm", "s.v")))
 def resample_to_size(spark, sf):
-    nm = td.max_nir(spark, sf).filter((F.col("c") < RS_SRC[0]) & (F.col("r") < RS_SRC[1]))
-    return gr.resample_to_size(nm, ["v"], RS_DST[0], RS_DST[1], RS_SRC[0], RS_SRC[1])
+    return gr.resample_to_size(td.max_nir(spark, sf), ["v"], *RS_DST)
 
 
 # Fixed parameters: the nm layer read as a lon/lat raster with 0.01 degree
@@ -233,6 +262,8 @@ def _reproject_sql() -> str:
     lon = f"degrees(({d(-half)} + (px + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})"
     lat = (f"degrees(atan(exp(({d(half)} - (py + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})) * 2 "
            f"- {d(math.pi / 2)})")
+    # pixels per cell along x; along y they grow with 1 / cos(lat), below 2 for these latitudes
+    px_per_cell = g.dx * half / 180.0 / res
     x_lo = int((-3.0 + 180) / 360 * 256 * 2 ** MERC_ZOOM) - 3
     y_lo = int((1 - math.log(math.tan(math.radians(40.0)) + 1 / math.cos(math.radians(40.0))) / math.pi)
                / 2 * 256 * 2 ** MERC_ZOOM) - 3
@@ -242,7 +273,8 @@ SELECT px, py, u, v, CAST(floor(u) AS INT) AS i0, CAST(floor(v) AS INT) AS j0,
 FROM (SELECT px, py,
         ({lon} - {d(g.x0)}) / {d(g.dx)} - 0.5 AS u,
         ({lat} - {d(g.y0)}) / {d(g.dy)} - 0.5 AS v
-      FROM range({x_lo}, {x_lo + 320}) a(px), range({y_lo}, {y_lo + 600}) b(py)) q"""),
+      FROM ({_axis("c", 1 / px_per_cell, "px", str(x_lo))}) a,
+           ({_axis("r", 1 / (2 * px_per_cell), "py", str(y_lo))}) b) q"""),
                      ("nb", _corners_sql("px, py")),
                      body=f"""
 SELECT {MERC_ZOOM} AS zoom, px, py, CAST(floor(px / 256) AS INT) AS col_key,
@@ -290,21 +322,18 @@ def _utm_reproject_sql() -> str:
     res = mercator_resolution(UTM_ZOOM)
     half = MERCATOR_HALF_WORLD
     g = UTM_GRID
-    # target pixel range around the raster (generous: 128 columns x 400 rows)
-    xs = np.array([g.x0, g.x0 + 128 * g.dx, g.x0, g.x0 + 128 * g.dx])
-    ys = np.array([g.y0, g.y0, g.y0 + 400 * g.dy, g.y0 + 400 * g.dy])
-    lon, lat = geo.utm_inverse_np(xs, ys, UTM_ZONE)
-    px = (np.radians(lon) * EARTH_RADIUS + half) / res
-    py = (half - np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * EARTH_RADIUS) / res
-    px0, px1 = int(px.min()) - 3, int(px.max()) + 3
-    py0, py1 = int(py.min()) - 3, int(py.max()) + 3
+    # the raster's corner on the target grid; it reaches below two pixels per
+    # cell from there (30 m cells, 38 m pixels, 1 / cos(lat) below 1.5)
+    lon, lat = geo.utm_inverse_np(np.array([g.x0]), np.array([g.y0]), UTM_ZONE)
+    px0 = int(((np.radians(lon) * EARTH_RADIUS + half) / res)[0]) - 12
+    py0 = int(((half - np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * EARTH_RADIUS) / res)[0]) - 12
     e2, ep2 = geo._E2, geo._EP2
     lam0 = math.radians(geo.utm_central_meridian(UTM_ZONE))
     ll = f"""
 SELECT px, py,
   radians(degrees(({d(-half)} + (px + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})) - {d(lam0)} AS lam,
   radians(degrees(atan(exp(({d(half)} - (py + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})) * 2 - {d(math.pi / 2)})) AS phi
-FROM range({px0}, {px1}) a(px), range({py0}, {py1}) b(py)"""
+FROM ({_axis("c", 0.5, "px", str(px0))}) a, ({_axis("r", 0.5, "py", str(py0))}) b"""
     terms = f"""
 SELECT px, py, phi, tan(phi) AS tn,
   {d(EARTH_RADIUS)} / sqrt(1 - {d(e2)} * sin(phi) * sin(phi)) AS n,

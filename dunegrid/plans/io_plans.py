@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dunegrid.operators import assembly
+from dunegrid.operators import assembly, composite, mask
 from dunegrid.operators import grid as gr
-from dunegrid.plans.fixtures import BOX, PERIOD
+from dunegrid.plans.fixtures import BOX, PERIOD, POLYGON
 from dunegrid.plans.registry import register, with_ctes
 from dunegrid.session import scratch_table_path
-from dunegrid.sources import catalog, geotiff
+from dunegrid.sources import catalog, delimited, geotiff
 from dunegrid.sources import testdata as td
 
 PX = ("px", td.PX_SQL)
@@ -26,10 +26,68 @@ WHERE c >= {BOX[0]} AND c < {BOX[2]} AND r >= {BOX[1]} AND r < {BOX[3]}
 def catalog_area_time_query(spark, sf):
     path = scratch_table_path(spark, "catalog")
     catalog.write_catalog(td.px(spark, sf), path, layer="px", zoom=0, tile_size=32)
-    q = catalog.read_catalog(spark, path, "px", 0, extent=BOX, period=PERIOD, tile_size=32)
+    q = catalog.read_catalog(spark, path, "px", 0, extent=BOX, period=PERIOD)
     return q.select("scene", "c", "r", F.col("acquired").cast("date").alias("acquired_day"), "red", "nir")
 
 
+@register("max_ndvi_from_catalog", ops=("D2", "A9", "A10", "C3", "B6", "H1"),
+          sql=with_ctes(PX, ("sel", f"SELECT * FROM px WHERE acquired BETWEEN "
+                                    f"TIMESTAMP '{PERIOD[0]}' AND TIMESTAMP '{PERIOD[1]}'"),
+                        ("inside", mask.inside_polygon_sql(POLYGON, "SELECT DISTINCT c, r FROM sel")),
+                        body="""
+SELECT c, r, CASE WHEN count(ndvi) = count(*) THEN max(ndvi) END AS ndvi
+FROM (SELECT sel.c, sel.r, CASE WHEN nir + red = 0 THEN NULL ELSE (nir - red) / (nir + red) END AS ndvi
+      FROM sel JOIN inside USING (c, r)) t
+GROUP BY c, r"""))
+def max_ndvi_from_catalog(spark, sf):
+    """The layer query end to end: layer and zoom, region, period, mask, composite."""
+    path = scratch_table_path(spark, "catalog")
+    catalog.write_catalog(td.px(spark, sf), path, layer="px", zoom=0, tile_size=32)
+    q = catalog.read_catalog(spark, path, "px", 0, extent=mask.polygon_bbox(POLYGON), period=PERIOD)
+    return composite.max_ndvi_composite(q, *PERIOD, region=POLYGON)
+
+
+@register("catalog_layout", ops=("D8", "A9"),
+          sql=with_ctes(PX, body="""
+SELECT 'px' AS layer, 0 AS zoom, 32 AS tile_size, 32648 AS crs,
+       CAST(min(c) AS INT) AS col_min, CAST(max(c) AS INT) AS col_max,
+       CAST(min(r) AS INT) AS row_min, CAST(max(r) AS INT) AS row_max,
+       CAST(floor(max(c) / 32.0) AS INT) AS col_key_max, CAST(floor(max(r) / 32.0) AS INT) AS row_key_max,
+       count(*) AS n_records, CAST(500000 + 30 * min(c) AS DOUBLE) AS xmin,
+       CAST(4500000 - 30 * (max(r) + 1) AS DOUBLE) AS ymin
+FROM px"""))
+def catalog_layout(spark, sf):
+    """The metadata stored with a layer: layout, grid, CRS, bounds and extent."""
+    path = scratch_table_path(spark, "catalog")
+    catalog.write_catalog(td.px(spark, sf), path, layer="px", zoom=0, tile_size=32,
+                          grid=gr.Grid(500000.0, 4500000.0, 30.0, -30.0), crs=32648)
+    return catalog.read_layout(spark, path, "px").select(
+        "layer", "zoom", "tile_size", "crs", "col_min", "col_max", "row_min", "row_max", "col_key_max",
+        "row_key_max", "n_records", "xmin", "ymin")
+
+
+@register("delimited_label_means", ops=("A7",),
+          sql=with_ctes(PX, body="""
+SELECT CAST(scene AS VARCHAR) AS label, count(*) AS n, sum(red) AS red, sum(nir) AS nir FROM px GROUP BY scene"""))
+def delimited_label_means(spark, sf):
+    """The cells written as delimited text and read back as (features, label)."""
+    path = scratch_table_path(spark, "delimited")
+    td.px(spark, sf).select("red", "nir", F.col("scene").cast("string")).write.option("header", "false").csv(path)
+    rows = delimited.read_labelled_csv(spark, path, ["red", "nir"], assemble=False)
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("red").alias("red"), F.sum("nir").alias("nir"))
+
+
+@register("driver_collection", ops=("A8",), sql="""
+SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+def driver_collection(spark, sf):
+    """A driver-side collection (the few regions) as a DataFrame, joined to a table."""
+    regions = [(r["r_regionkey"], r["r_name"]) for r in td.table(spark, sf, "region").collect()]
+    df = spark.createDataFrame(regions, "r_regionkey long, r_name string")
+    nations = td.table(spark, sf, "nation")
+    return nations.join(df, nations["n_regionkey"] == df["r_regionkey"]).groupBy("r_name").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @register("geotiff_roundtrip", ops=("A11", "A1", "A3", "A6", "I5", "D5", "I7"),
           sql=with_ctes(PX, NM, body="SELECT c, r, v FROM nm"))
 def geotiff_roundtrip(spark, sf):
@@ -47,6 +105,59 @@ def geotiff_roundtrip(spark, sf):
     return cells.filter(F.col("v").isNotNull()).select(c.alias("c"), r.alias("r"), "v")
 
 
+@register("geotiff_edge_windows", ops=("A1", "A3", "A6", "A11", "I5", "I7"),
+          sql=with_ctes(PX, NM, body="SELECT c, r, v FROM nm"))
+def geotiff_edge_windows(spark, sf):
+    """One streamed file for the whole layer, scanned in windows that divide
+    neither its width nor its height; cells come from the windows' offsets."""
+    nm = td.max_nir(spark, sf)
+    width, height = nm.agg(F.max("c") + 1, F.max("r") + 1).first()
+    tiles = gr.assemble_tiles(nm, 48, 48).withColumn("file", F.lit("layer.TIF"))
+    out_dir = scratch_table_path(spark, "geotiff")
+    geotiff.write_geotiff_windows(tiles, out_dir, "file", int(width), int(height), 48)
+    cells = gr.explode_tiles(geotiff.read_geotiff(spark, out_dir, tile_size=37))
+    return cells.filter(F.col("v").isNotNull()).select("c", "r", "v")
+
+
+# Fixed parameters: (query suffix, compression, sample type, predictor).
+ENCODINGS = (("lzw", "lzw", "f8", False), ("lzw_predictor", "lzw", "i4", True),
+             ("deflate_predictor", "deflate", "i4", True), ("plain_int", "none", "i4", False))
+
+
+def _encoded_round_trip(how: str, dtype: str, predictor: bool):
+    """Red, nir and nullable blue as three samples of each pixel, written in one
+    encoding and scanned back."""
+    def run(spark, sf):
+        bands = ("red", "nir", "blue")
+        cells = composite.composite(td.px(spark, sf), bands, "max")
+        tiles = [gr.assemble_tiles(cells.select("c", "r", F.col(b).alias("v")), 32, 32).select(
+            "col_key", "row_key", "cols", "rows", F.col("cells").alias(b)) for b in bands]
+        joined = tiles[0].join(tiles[1].drop("cols", "rows"), ["col_key", "row_key"]).join(
+            tiles[2].drop("cols", "rows"), ["col_key", "row_key"])
+        woven = F.flatten(F.zip_with(F.zip_with(bands[0], bands[1], lambda a, b: F.array(a, b)), bands[2],
+                                     lambda ab, c: F.concat(ab, F.array(c))))
+        rasters = joined.select(
+            "col_key", "row_key", "cols", "rows", woven.alias("cells"), F.lit(3).alias("samples"),
+            (F.col("col_key") * 32.0).alias("xmin"), (-F.col("row_key") * 32.0).alias("ymax"),
+            F.lit(1.0).alias("dx"), F.lit(-1.0).alias("dy"))
+        out_dir = scratch_table_path(spark, "geotiff")
+        geotiff.write_geotiff(rasters, out_dir, compress=how, dtype=dtype, predictor=predictor,
+                              nodata=None if dtype[0] == "f" else -2147483648)
+        back = geotiff.read_geotiff(spark, out_dir, tile_size=20)
+        cells = gr.explode_tiles(back, keep=("xmin", "ymax", "sample")).filter(F.col("v").isNotNull())
+        return cells.select((F.col("xmin").cast("int") + F.col("col")).alias("c"),
+                            (F.col("row") - F.col("ymax").cast("int")).alias("r"), "sample", "v")
+    return run
+
+
+for _name, _how, _dtype, _predictor in ENCODINGS:
+    register(f"geotiff_{_name}", ops=("A1", "A6", "A11"), sql=with_ctes(
+        PX, ("m", "SELECT c, r, max(red) AS red, max(nir) AS nir, "
+                  "CASE WHEN count(blue) = count(*) THEN max(blue) END AS blue FROM px GROUP BY c, r"), body="""
+SELECT c, r, 0 AS sample, red AS v FROM m UNION ALL SELECT c, r, 1, nir FROM m
+UNION ALL SELECT c, r, 2, blue FROM m WHERE blue IS NOT NULL"""))(_encoded_round_trip(_how, _dtype, _predictor))
+
+
 @register("geotiff_band_scan", ops=("A1", "A2", "A4", "A5", "C2", "G1", "B2"),
           sql=with_ctes(PX, BF, body="""
 SELECT 'scene_' || CAST(CAST(string_split(string_split(path, '/')[3], '_')[2] AS INT) AS VARCHAR) AS scene_id,
@@ -61,22 +172,18 @@ def geotiff_band_scan(spark, sf):
     cells = bf.select(F.regexp_extract("path", r"scene_(\d+)", 1).cast("int").alias("scene"),
                       (F.col("band_index") + 2).alias("band"),
                       F.floor("cx").cast("int").alias("c"), F.floor("cy").cast("int").alias("r"), "v")
-    height = int(cells.agg(F.max("r")).first()[0]) + 1
-    # one raster per (scene, band) covering the whole grid, written as GeoTIFF files
-    rasters = gr.assemble_tiles(cells, 128, height, keep=("scene", "band"))
-    rasters = rasters.select("scene", "band", "col_key", "row_key", "cols", "rows", "cells",
-                             F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymax"),
-                             F.lit(1.0).alias("dx"), F.lit(-1.0).alias("dy"))
+    # the windows of each (scene, band) stream into one file of the layer's size
+    size = cells.agg((F.max("c") + 1).alias("w"), (F.max("r") + 1).alias("h")).first()
+    windows = gr.assemble_tiles(cells, 32, 32, keep=("scene", "band"))
+    windows = windows.withColumn("file", F.format_string("scene_%s/S_B%s_REF.TIF", F.col("scene").cast("string"),
+                                                         F.col("band").cast("string")))
     root = scratch_table_path(spark, "bands")
-    geotiff.write_geotiff(rasters, root, name_cols=("scene", "band"),
-                          name_fmt="scene_{scene}/S_B{band}_REF.TIF", crs=32648)
+    geotiff.write_geotiff_windows(windows, root, "file", int(size["w"]), int(size["h"]), 32, crs=32648)
     # scan: discover files, cut windows, decode, tag band index, assemble bands
     tiles = geotiff.with_scene_and_band(geotiff.read_geotiff(spark, root, tile_size=64, glob="*_REF.TIF"))
-    px_cells = gr.explode_tiles(tiles, keep=("scene_id", "band", "xmin", "ymax", "dx", "dy"))
+    px_cells = gr.explode_tiles(tiles, keep=("scene_id", "band"))
     px_cells = px_cells.select(
-        "scene_id", assembly.tag_band_index(F.col("band"), [2, 3, 4, 5, 6, 7]).alias("band_index"),
-        (F.round(F.col("xmin") / F.col("dx")) + F.col("col")).cast("int").alias("c"),
-        (F.round(F.col("ymax") / F.col("dy")) + F.col("row")).cast("int").alias("r"), "v")
+        "scene_id", assembly.tag_band_index(F.col("band"), [2, 3, 4, 5, 6, 7]).alias("band_index"), "c", "r", "v")
     out = assembly.pivot_bands(px_cells, ["scene_id", "c", "r"], "band_index", "v", list(range(6)))
     any_data = F.lit(False)
     for i in range(6):

@@ -1,3 +1,4 @@
+import pytest
 import math
 import random
 
@@ -116,7 +117,7 @@ def test_generic_reproject_identity_and_lonlat_agree(spark):
     def ident(df, x, y, ox, oy):
         return df.withColumn(ox, F.col(x)).withColumn(oy, F.col(y))
 
-    got = {(x.tc, x.tr): x.v for x in grid.reproject(cells, ["v"], grid.Grid(), grid.Grid(), ident, ident).collect()}
+    got = {(x.tc, x.tr): x.v for x in grid.reproject_cells(cells, ["v"], grid.Grid(), grid.Grid(), ident, ident).collect()}
     assert got == {(c, r): v for c, r, v in data}
     # the generic path reproduces the separable lon/lat -> mercator path
     src = grid.Grid(-3.0, 40.0, 0.01, -0.01)
@@ -129,7 +130,7 @@ def test_generic_reproject_identity_and_lonlat_agree(spark):
     def inv(df, X, Y, ox, oy):
         return df.withColumn(ox, geo.mercator_to_lon(F.col(X))).withColumn(oy, geo.mercator_to_lat(F.col(Y)))
 
-    b = {(x.tc, x.tr): x.v for x in grid.reproject(cells, ["v"], src, dst, fwd, inv).collect()}
+    b = {(x.tc, x.tr): x.v for x in grid.reproject_cells(cells, ["v"], src, dst, fwd, inv).collect()}
     assert set(a) == set(b)
     assert all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
 
@@ -160,3 +161,88 @@ def test_filter_tiles_polygon_matches_cell_test(spark):
         got = {(r.col_key, r.row_key) for r in mask.filter_tiles_polygon(tiles, poly, 4, 4).collect()}
         exp = {(c // 4, r // 4) for c in range(40) for r in range(32) if _inside_brute(poly, c + .5, r + .5)}
         assert got == exp
+
+
+def test_layers_stay_apart(spark):
+    """Two scenes in, two scenes out, everywhere; without keys they are refused."""
+    rows = [(s, c, r, float(100 * s + c + 7 * r)) for s in (0, 1) for c in range(9) for r in range(8)]
+    cells = spark.createDataFrame(rows, "scene int, c int, r int, v double")
+    one = [cells.filter(F.col("scene") == s).drop("scene") for s in (0, 1)]
+
+    def split(df, s):
+        return sorted(tuple(r) for r in df.filter(F.col("scene") == s).drop("scene").collect())
+
+    dst = grid.Grid(0.3, 0.3, 0.8, 0.8)
+    runs = {
+        "focal": lambda d, k: focal.focal(d, "v", 1, "median", tile_size=4, keys=k),
+        "pyramid": lambda d, k: grid.pyramid_level(d, ["v"], keys=k),
+        "nearest": lambda d, k: grid.regrid_nearest(d, ["v"], grid.Grid(), dst, keys=k),
+        "bilinear": lambda d, k: grid.regrid_bilinear(d, ["v"], grid.Grid(), dst, keys=k),
+        "mercator": lambda d, k: grid.reproject_lonlat_to_mercator(d, ["v"], grid.Grid(0, 40, .01, -.01), 8, keys=k),
+        "bilinear cells": lambda d, k: grid.regrid_bilinear_cells(d, ["v"], grid.Grid(), dst, keys=k),
+        "utm": lambda d, k: grid.reproject_utm_to_mercator(d, ["v"], grid.Grid(5e5, 45e5, 30, -30), 48, 12, keys=k),
+    }
+    for name, fn in runs.items():
+        both = fn(cells, ("scene",))
+        for s in (0, 1):
+            assert split(both, s) == sorted(tuple(r) for r in fn(one[s], ()).collect()), name
+    tiles = grid.assemble_tiles(cells, 4, 4, keep=("scene",))
+    both = focal.focal_tiles(tiles, 1, "max", keys=("scene",))
+    for s in (0, 1):
+        alone = focal.focal_tiles(tiles.filter(F.col("scene") == s), 1, "max")
+        assert split(both.select("scene", "col_key", "row_key", "cells"), s) == sorted(
+            tuple(r) for r in alone.select("col_key", "row_key", "cells").collect())
+    for mixed in (focal.focal(cells, "v", 1), focal.focal_tiles(tiles, 1),
+                  grid.regrid_bilinear(cells, ["v"], grid.Grid(), dst)):
+        with pytest.raises(Exception):
+            mixed.collect()
+
+
+def test_mosaic_shows_data_below_nodata(spark):
+    from dunegrid.operators import composite
+    df = spark.createDataFrame([(0, 0, 0, 5.0, 1.0), (1, 0, 0, None, 2.0)], "scene int, c int, r int, v double, w double")
+    assert tuple(composite.mosaic(df, ["v", "w"], "last").first()) == (0, 0, 5.0, 2.0)
+    got = grid.regrid_nearest(df, ["v", "w"], grid.Grid(), grid.Grid(), priority_col="scene").first()
+    assert (got.v, got.w) == (5.0, 2.0)
+
+
+def test_zoom_and_pyramid_levels_come_from_the_layer(spark):
+    cells = spark.createDataFrame([(c, r, 1.0) for c in range(130) for r in (0, 3)], "c int, r int, v double")
+    assert grid.pyramid_levels(cells) == 8 and grid.pyramid_levels(cells.limit(0)) == 0
+    assert grid.build_pyramid(cells, ["v"]).filter("level = 8").count() == 1
+    assert grid.zoom_for_cell_size(30.0) == 12 and grid.zoom_for_cell_size(156543.0) == 0
+
+
+def test_single_pass_plans(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+
+    def counts(name):
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        plan = plan.split("== Initial Plan ==")[-1]
+        return plan.count("FileScan parquet"), plan.count("Exchange hashpartitioning")
+
+    assert counts("max_composite_bands") == (1, 1)
+    assert counts("data_cells") == (1, 1)
+    assert counts("mosaic_last") == (1, 2)
+    assert counts("multiclass_metrics") == (1, 2)
+    scans, exchanges = counts("assemble_tiles")
+    assert scans == 1 and exchanges <= 2
+
+
+def test_tile_form_equals_cell_form(spark):
+    """Several bands with nodata and gaps, tiles smaller than the raster."""
+    rnd = np.random.default_rng(6)
+    rows = [(s, c, r, None if rnd.random() < .2 else float(rnd.integers(0, 40)), float(c * r))
+            for s in (0, 1) for c in range(40) for r in range(30) if rnd.random() > .1]
+    cells = spark.createDataFrame(rows, "scene int, c int, r int, a double, b double")
+    for dst in (grid.Grid(0.3, 0.3, 0.75, 0.75), grid.Grid(-2.0, 1.0, 2.5, 1.5), grid.Grid(0, 30, 1.0, -1.0)):
+        one = grid.regrid_bilinear_cells(cells, ["a", "b"], grid.Grid(), dst, keys=["scene"])
+        exp = {(x.scene, x.tc, x.tr): (x.a, x.b) for x in one.collect()}
+        for tile in (7, 128):
+            two = grid.resample_on_tiles(cells, ["a", "b"], grid.Grid(), dst, grid._same, grid._same, keys=["scene"],
+                                         tile=tile)
+            got = {(x.scene, x.tc, x.tr): (x.a, x.b) for x in two.collect()}
+            assert got.keys() == exp.keys()
+            assert all((p is None) == (q is None) and (p is None or math.isclose(p, q, abs_tol=1e-12))
+                       for k in exp for p, q in zip(got[k], exp[k]))

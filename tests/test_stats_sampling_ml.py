@@ -41,9 +41,10 @@ def test_linear_regression_fixture(spark):
     line = spark.range(999).select(F.col("id").cast("double").alias("x"),
                                    (F.col("id") * -5 + 4).cast("double").alias("y"))
     line = line.unionByName(spark.createDataFrame([(0.0, 0.0)], "x double, y double"))
-    _, rep = ml.linear_regression(line, ["x"], "y")
+    _, rep, residuals = ml.linear_regression(line, ["x"], "y")
     r = rep.first()
-    assert abs(r.coefficient - -4.998936877614123) < 1e-6
+    assert abs(r.coefficients[0] - -4.998936877614123) < 1e-6 and len(r.objective_history) >= 1
+    assert residuals.count() == 1000
     assert abs(r.intercept - 3.4660324275183845) < 1e-3
     cf = ml.regression_closed_form(line, "y", "x").first()
     assert abs(cf.slope - -4.999976071641505) < 1e-9 and abs(cf.intercept - 3.9840716893618264) < 1e-9
