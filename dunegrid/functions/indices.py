@@ -66,13 +66,13 @@ def albedo(blue, red, nir, swir1, swir2) -> Column:
 def msavi(red, nir) -> Column:
     """Modified soil-adjusted vegetation index (Qi et al. 1994).
 
-    ``(2n + 1 - |sqrt((2n + 1)^2 - 8 (n - r))|) / 2``; a negative radicand is
+    ``(2n + 1 - sqrt((2n + 1)^2 - 8 (n - r))) / 2``; a negative radicand is
     nodata.
     """
     red, nir = _c(red), _c(nir)
     a = nir * 2 + 1
     disc = a * a - (nir - red) * 8
-    return F.when(disc >= 0, (a - F.abs(F.sqrt(disc))) / 2)
+    return F.when(disc >= 0, (a - F.sqrt(disc)) / 2)
 
 
 def tgsi(blue, green, red) -> Column:

@@ -55,7 +55,8 @@ def discover_band_files(paths: DataFrame, bands: Sequence[int], path_col: str =
         none = files.agg(F.count(F.lit(1)).alias("_n")).filter(
             _fail_if(F.col("_n") == 0, "no files")).select(
                 F.lit(None).cast("string").alias("scene_id"),
-                F.lit(None).cast("array<struct<band:int,path:string>>").alias("found"))
+                # never an entry, but not a constant, or the optimiser drops the check
+                F.when(F.col("_n") < 0, F.array(F.struct(F.lit(0).alias("band"), F.lit("").alias("path")))).alias("found"))
         files = scenes.select("scene_id", "found").unionByName(none).select(
             "scene_id", F.explode("found").alias("f")).select("scene_id", "f.band", "f.path")
     else:

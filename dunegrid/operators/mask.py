@@ -29,9 +29,6 @@ from pyspark.sql import types as T
 Ring = Sequence[tuple[float, float]]
 Polygon = Sequence[Ring]
 
-#: span tables up to this many rows are broadcast to the cell scan
-SPAN_BROADCAST_ROWS = 2_000_000
-
 EDGE_SCHEMA = T.StructType([
     T.StructField("ring", T.IntegerType()),
     T.StructField("x1", T.DoubleType()), T.StructField("y1", T.DoubleType()),
@@ -111,25 +108,18 @@ def polygon_spans(spark: SparkSession, polygon: Polygon) -> DataFrame:
             .select("r", "x_lo", "x_hi"))
 
 
-def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast a derived table only after counting it under ``limit`` rows."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def mask_polygon(cells: DataFrame, polygon: Polygon, c: str = "c", r: str = "r",
-                 keep_outside: bool = False, value_cols: Sequence[str] = (),
-                 span_broadcast_rows: int = SPAN_BROADCAST_ROWS) -> DataFrame:
+                 keep_outside: bool = False, value_cols: Sequence[str] = ()) -> DataFrame:
     """Cells whose centre lies inside ``polygon``.
 
     By default cells outside are dropped (absent = nodata in the cells form).
     With ``keep_outside=True`` every cell stays and ``value_cols`` become NULL
-    outside, which is the tile-style "mask to nodata".
+    outside, which is the tile-style "mask to nodata".  Whether the span table
+    is broadcast is left to Spark, which knows its size at run time.
     """
     spark = cells.sparkSession
     xmin, ymin, xmax, ymax = polygon_bbox(polygon)
-    spans = polygon_spans(spark, polygon).cache()
-    spans = _maybe_broadcast(spans, span_broadcast_rows)
-    sp = spans.select(F.col("r").alias("_span_r"), "x_lo", "x_hi")
+    sp = polygon_spans(spark, polygon).select(F.col("r").alias("_span_r"), "x_lo", "x_hi")
     cx = F.col(c).cast("double") + 0.5
     on = (F.col(r) == F.col("_span_r")) & (cx >= F.col("x_lo")) & (cx < F.col("x_hi"))
     if not keep_outside:
@@ -144,8 +134,7 @@ def mask_polygon(cells: DataFrame, polygon: Polygon, c: str = "c", r: str = "r",
     return joined.select(*out)
 
 
-def filter_tiles_polygon(tiles: DataFrame, polygon: Polygon, cols: int, rows: int,
-                         span_broadcast_rows: int = SPAN_BROADCAST_ROWS) -> DataFrame:
+def filter_tiles_polygon(tiles: DataFrame, polygon: Polygon, cols: int, rows: int) -> DataFrame:
     """Tiles (``col_key``/``row_key`` of ``cols x rows`` cells) holding at least
     one cell whose centre lies in ``polygon``.
 
@@ -163,7 +152,6 @@ def filter_tiles_polygon(tiles: DataFrame, polygon: Polygon, cols: int, rows: in
                     F.explode(F.sequence(F.floor(c_first / cols).cast("int"),
                                          F.floor(c_last / cols).cast("int"))).alias("col_key"))
             .distinct())
-    keys = _maybe_broadcast(keys.cache(), span_broadcast_rows)
     return tiles.join(keys, ["col_key", "row_key"], "left_semi")
 
 

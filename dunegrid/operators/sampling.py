@@ -6,6 +6,7 @@ independent of partitioning, and the same in any SQL engine with ``md5``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,15 +30,23 @@ def hash_unit(seed: int, cols: Sequence[str]) -> Column:
 
 
 def sample_exact(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 7) -> DataFrame:
-    """Exactly ``n`` distinct rows, without repeats (top-n by hash order).
+    """Exactly ``n`` distinct rows, without repeats (the first n in hash order).
 
-    ``orderBy(...).limit(n)`` runs as a distributed top-n: every partition
-    keeps n candidates and only those are merged.  ``n`` larger than the
+    Rows whose hash is far above the n-th are left out by a plain filter (six
+    standard deviations above n / N of the hash range; all rows are used should
+    that ever leave too few), the others get their position in hash order and
+    the first n stay, so no task gathers the sample.  ``n`` larger than the
     number of rows is an error.
     """
-    if n > df.count():
+    total = df.count()
+    if n > total:
         raise ValueError("sample size exceeds the number of rows")
-    return df.orderBy(hash_key(seed, key_cols), *key_cols).limit(n)
+    keyed = df.withColumn("_h", hash_key(seed, key_cols))
+    near = (n + 6 * math.sqrt(n) + 10) / max(1, total)
+    if near < 1:
+        some = keyed.filter(hash_unit(seed, key_cols) <= near)
+        keyed = some if some.count() >= n else keyed
+    return with_position(keyed, ["_h", *key_cols], pos_col="_pos").filter(F.col("_pos") <= n).drop("_h", "_pos")
 
 
 def dense_ids(df: DataFrame, order_cols: Sequence[str], id_col: str = "id") -> DataFrame:

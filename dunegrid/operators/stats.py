@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dunegrid.functions.indices import fvc, safe_div
 from dunegrid.operators.ordering import with_position
@@ -112,7 +111,3 @@ def fvc_from_quantiles(df: DataFrame, ndvi_col: str = "ndvi", p_soil: float = 0.
     """
     soil, veg = percentile_values(df, ndvi_col, [p_soil, p_veg])
     return df.withColumn(out, fvc(F.col(ndvi_col), F.lit(soil), F.lit(veg)))
-
-
-T_BREAKS = T.StructType([T.StructField("break_index", T.IntegerType()),
-                         T.StructField("break_value", T.DoubleType())])

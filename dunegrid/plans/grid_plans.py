@@ -140,7 +140,7 @@ NEAREST_DST = gr.Grid(0.25, 0.25, 1.5, 1.5)
 
 def _axis(col: str, step: float, name: str, first: str = "-2") -> str:
     """Target indices that cover the layer's cells on one axis, from its bounds."""
-    return (f"SELECT unnest(range({first}, {first} + CAST(ceil(((SELECT max({col}) FROM nm) + 2) / {step!r}) AS BIGINT) + 8)) "
+    return (f"SELECT unnest(range({first}, {first} + CAST(ceil(((SELECT max({col}) FROM nm) + 2) / {step!r}) AS BIGINT) + 32)) "
             f"AS {name}")
 
 

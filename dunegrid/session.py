@@ -66,10 +66,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
+#: Folders of this process's written intermediate tables.
+_SCRATCH: list[str] = []
+
+
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a written intermediate table, under the checkpoint dir."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/dunegrid-tables/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{base}/dunegrid-tables/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Remove the intermediate tables this process has written so far; returns
+    how many.  Call it when the results that read them are stored (DataFrames
+    made from them cannot be computed again afterwards)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def local_path(path: str) -> str:

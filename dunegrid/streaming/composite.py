@@ -39,15 +39,17 @@ def read_observations(spark: SparkSession, folder: str, schema: T.StructType = O
 
 def ndvi_composite_stream(obs: DataFrame, period_days: int | None = None,
                           lateness: str = "30 days", time_col: str = "acquired") -> DataFrame:
-    """Max-NDVI composite of a stream of observations."""
+    """Max-NDVI composite of a stream of observations; as in the batch operator
+    a nodata observation makes the cell nodata."""
     v = obs.select("c", "r", F.col(time_col).cast("timestamp").alias("t"),
                    ndvi("red", "nir").alias("ndvi"))
+    best = F.when(F.count("ndvi") == F.count(F.lit(1)), F.max("ndvi"))
     if period_days is None:
-        return v.groupBy("c", "r").agg(F.max("ndvi").alias("ndvi"), F.count(F.lit(1)).alias("n_obs"))
+        return v.groupBy("c", "r").agg(best.alias("ndvi"), F.count(F.lit(1)).alias("n_obs"))
     v = v.withWatermark("t", lateness)
     w = F.window("t", f"{int(period_days)} days")
     return (v.groupBy(w.alias("period"), "c", "r")
-            .agg(F.max("ndvi").alias("ndvi"), F.count(F.lit(1)).alias("n_obs"))
+            .agg(best.alias("ndvi"), F.count(F.lit(1)).alias("n_obs"))
             .select(F.col("period.start").alias("period_start"), "c", "r", "ndvi", "n_obs"))
 
 

@@ -8,8 +8,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-TABLES = "lineitem embeddings".split()
-SLOW = {"jenks_band_sum"}
+TABLES = "lineitem embeddings region nation".split()
 
 
 def _norm(rows, cols):
@@ -32,7 +31,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.oracle_sql() if k not in SLOW))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     res = duck.execute(E.oracle_sql()[name])

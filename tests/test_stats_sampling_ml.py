@@ -83,3 +83,22 @@ def test_sample_with_repeats_keeps_every_draw(spark):
     out = sampling.sample_with_repeats(df, 50_000, ["k"])
     assert out.count() == 50_000
     assert out.filter("v <> 3 * k").count() == 0
+
+
+def test_sample_exact_takes_the_first_in_hash_order(spark):
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") * 2).alias("v"))
+    got = {r.id for r in sampling.sample_exact(df, 500, ["id"], seed=3).collect()}
+    exp = {r.id for r in df.orderBy(sampling.hash_key(3, ["id"])).limit(500).collect()}
+    assert got == exp
+    assert sampling.sample_exact(df.limit(5), 5, ["id"]).count() == 5
+
+
+def test_release_tables(spark):
+    import os
+    from dunegrid import session
+    df = session.materialize(spark.range(5), "to-release")
+    path = session._SCRATCH[-1]
+    assert df.count() == 5 and os.path.isdir(session.local_path(path))
+    kept, session._SCRATCH[:] = session._SCRATCH[:-1], [path]
+    assert session.release_tables(spark) == 1 and not os.path.isdir(session.local_path(path))
+    session._SCRATCH[:] = kept
