@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunegrid.session import ensure_on_executors
+from dunegrid.session import ensure_on_executors, materialize
 
 #: What separates words everywhere in this subpackage: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,3 +47,9 @@ def slices(n: int, weights: Sequence[int], limit: int):
         w += weights[i]
     if n > a:
         yield a, n
+
+
+def stored(df: DataFrame, name: str, rows: int, rows_per_task: int = 25_000) -> DataFrame:
+    """``materialize`` with about one task per ``rows_per_task`` of the ``rows``
+    expected, so that small tables of an iteration are not hundreds of files."""
+    return materialize(df.coalesce(max(1, -(-int(rows) // rows_per_task))), name)

@@ -32,11 +32,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunegrid.llm.common import prepare
-from dunegrid.session import checkpoint_dir, materialize
+from dunegrid.llm.common import prepare, stored
 
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 CHUNK_SCHEMA = ("archive string, record_id string, page_id long, url string, record_type string, refers_to long, "
@@ -124,7 +123,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk_bytes:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())],
                                              names=["archive", "records"])
 
-    return materialize(chunks.mapInArrow(write, "archive string, records long"), "warc-manifest")
+    return stored(chunks.mapInArrow(write, "archive string, records long"), "warc-manifest", pages.count(), 5_000)
 
 
 class _Member:
@@ -231,8 +230,9 @@ def read_chunks(manifest: DataFrame, path: str, chunk_bytes: int = 1 << 18, with
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    parts = max(1, manifest.count())
-    return manifest.select("archive").repartition(parts).mapInArrow(read, CHUNK_SCHEMA).select(*names)
+    archives, records = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("records"), F.lit(0))).first()
+    rows = manifest.select("archive").repartition(max(1, archives)).mapInArrow(read, CHUNK_SCHEMA).select(*names)
+    return rows.coalesce(max(1, -(-records // 5_000)))
 
 
 def round_trip(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
@@ -240,8 +240,3 @@ def round_trip(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     manifest = write_archives(pages, path, min_bytes)
     last = read_chunks(manifest, path, with_data=False, last_only=True)
     return last.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-def archive_path(spark: SparkSession) -> str:
-    """A fresh folder for archives below the session's shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
