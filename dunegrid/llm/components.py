@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunegrid.session import materialize
+from dunegrid.llm.common import stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -14,31 +14,38 @@ def _stars(edges: DataFrame) -> DataFrame:
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node is either one edge's child or a root."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("root").alias("root")).filter(
+        (F.col("child") > 1) | ((F.col("child") == 1) & (F.col("root") == 1))).isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``links``: root is the smallest node reachable.
 
     Each round links every node's larger neighbours to its smallest neighbour
-    (large star), then its smaller neighbours (small star); it ends when no edge
-    changes, after O(log n) rounds in practice, and each round is written to
-    the shared folder.  A hub's edges are never gathered: its smallest
-    neighbour is a partial aggregate and comes back by a join.
+    (large star), then its smaller neighbours (small star); it ends when every
+    edge leads to its component's smallest node, after O(log n) rounds in
+    practice, and each round is written to the shared folder.  A hub's edges
+    are never gathered: its smallest neighbour is a partial aggregate and comes
+    back by a join.
     """
-    edges = materialize(_stars(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), "links")
-    mark = None
-    while True:
+    first = _stars(links.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    edges = stored(first, "links", links.count())
+    n = edges.count()
+    while not _is_forest_of_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(_stars(large), "large-star")
+        large = stored(_stars(large), "large-star", n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v")))
-        edges = materialize(_stars(small), "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
-                        F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+        edges = stored(_stars(small), "small-star", n)
+        n = edges.count()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -11,14 +11,16 @@ per cent are linked; groups are the links' connected components.
    2 * (1 - s**k)**m.  Hashes that no other class shares can be in no shared
    key and are left out before the pairs are formed.
 3. Table buckets with the same members are one bucket (by a digest of their
-   members).  Candidates are verified on whole sets, in three steps that leave
-   out only pairs already known to be in one group: first every class with the
-   smallest class of its buckets; then, in buckets that still hold several
-   groups, a maximum spanning forest by the share of equal minwise hashes; then
-   every pair of different groups left in a bucket.  The last two compare short
-   signatures inside blocks of ``block`` rows, so a bucket of any size is many
-   tasks, and pass on pairs whose share is not six standard deviations below
-   the threshold.  No bucket is capped and no pair between groups is skipped.
+   members).  Candidates are verified on whole sets, leaving out only pairs
+   already known to be in one group.  First every class meets the smallest
+   class of its buckets.  Then, in buckets that still hold several groups,
+   one-permutation sketches (a byte per bin of the hash range) find the classes
+   with a hopeful partner in another group; a pair counts in the first table it
+   shares, and is ruled out only DEVIATIONS standard deviations below the
+   threshold.  Those classes' whole sets are compared pair by pair inside the
+   bucket, and only links that join two groups leave it.  Both passes work on
+   pairs of blocks of ``block`` rows, so a bucket of any size is many tasks; no
+   bucket is capped and no other pair between groups is skipped.
 4. Components are found by large-star/small-star rounds.
 
 Words, shingles and empty sets are those of ``shingles.shingle_set``; an empty
@@ -39,9 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunegrid.llm import shingles
-from dunegrid.llm.common import prepare
+from dunegrid.llm.common import prepare, stored
 from dunegrid.llm.components import components
-from dunegrid.session import materialize
+
+#: Five standard deviations: a pair at the threshold is wrongly ruled out with
+#: a probability of about 3e-7.
+DEVIATIONS = 5
 
 
 def hashes_needed(percent: int, k: int, miss: float = 1e-5) -> int:
@@ -65,10 +70,9 @@ def signatures(docs: DataFrame, words: int, m: int, k: int, seed: int = 1) -> Da
                 if not len(s):
                     ids.append(None), halves.append(None), sig.append(None)
                     continue
-                low = hasher(s)
                 ids.append(shingles.set_id(s))
-                halves.append(shingles.combine(low.reshape(2 * m, k)))
-                sig.append(((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes())
+                halves.append(shingles.combine(hasher(s).reshape(2 * m, k)))
+                sig.append(shingles.sketch(s))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
                  pa.array(halves, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
@@ -100,81 +104,116 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "class binary, n long, members array<long>").dropDuplicates(["class"])
 
 
-def buckets(classes: DataFrame, m: int) -> DataFrame:
-    """bucket, class, rows (of the bucket): distinct tables' buckets of two or more classes."""
-    halves = materialize(classes.select("class", F.posexplode("halves").alias("pos", "half")), "halves")
+def buckets(classes: DataFrame, m: int, n: int) -> DataFrame:
+    """bucket, table, class, rows (of the bucket), least (its smallest class):
+    distinct tables' buckets of two or more of the ``n`` classes."""
+    halves = classes.select("class", F.posexplode("halves").alias("pos", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
+    one = F.struct("pos", "half")
     live = halves.join(shared, "half").groupBy("class").agg(  # at most m of each kind
-        F.collect_list(F.when(F.col("pos") < m, F.col("half"))).alias("first"),
-        F.collect_list(F.when(F.col("pos") >= m, F.col("half"))).alias("second"))
+        F.collect_list(F.when(F.col("pos") < m, one)).alias("first"),
+        F.collect_list(F.when(F.col("pos") >= m, one)).alias("second"))
+    live = stored(live, "shared-hashes", n)
     keys = live.select("class", F.explode("first").alias("x"), "second").select(
-        "class", F.explode("second").alias("y"), "x").select("class", F.xxhash64("x", "y").alias("bucket"))
-    keys = materialize(keys, "table-keys")
+        "class", F.explode("second").alias("y"), "x").select(
+            "class", F.xxhash64("x.half", "y.half").alias("bucket"),
+            (F.col("x.pos") * m + F.col("y.pos") - m).alias("table"))
     members = (keys.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("class").alias("least"), F.bit_xor(F.xxhash64("class")).alias("x"),
+        F.count(F.lit(1)).alias("rows"), F.min("class").alias("least"), F.min("table").alias("table"),
+        F.bit_xor(F.xxhash64("class")).alias("x"),
         F.sum(F.xxhash64("class", F.lit(1)).cast("decimal(20,0)")).alias("s")).filter("rows > 1"))
-    distinct = members.groupBy("rows", "least", "x", "s").agg(F.min("bucket").alias("bucket"))
-    return keys.join(distinct.select("bucket", "rows", "least"), "bucket")
-
-
-def _similar(sizes: np.ndarray, sig: np.ndarray, i: int, others: slice, percent: int, cut: float) -> np.ndarray:
-    """Share of equal signature bytes of row i and others; -1 where sizes or share rule out a link."""
-    share = (sig[others] == sig[i]).mean(axis=1)
-    n = sizes[others]
-    small, large = np.minimum(n, sizes[i]), np.maximum(n, sizes[i])
-    return np.where((share >= cut) & (100 * small >= percent * large), share, -1.0)
-
-
-def _columns(t: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    ids = t.column("class").to_pylist()
-    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-    _, root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)
-    return ids, t.column("n").to_numpy(), sig, root
+    # of buckets with the same members the one of the first table stays
+    distinct = members.groupBy("rows", "least", "x", "s").agg(F.min(F.struct("table", "bucket")).alias("t"))
+    return keys.select("class", "bucket").join(
+        distinct.select("t.bucket", "t.table", "rows", "least"), "bucket")
+
+
+def _split(rows: DataFrame, count: str, block: int) -> DataFrame:
+    """Send every row of a bucket to the pairs of its blocks of about ``block``
+    rows: (bucket, low, high) is a group, ``side`` the row's own block."""
+    parts = F.ceil(F.col(count) / F.lit(float(block))).cast("int")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("class"), parts).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+
+
+def _pairs_of(t: pa.Table, root: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of different groups of a pair of blocks, about ``most`` at a time."""
+    n = t.num_rows
+    low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+    side, number = t.column("side").to_numpy(), np.arange(n)
+    step = max(1, most // max(1, n))
+    for lo in range(0, n, step):
+        rows = slice(lo, min(n, lo + step))
+        apart = root[rows, None] != root[None, :]
+        if low == high:
+            apart &= number[rows, None] < number[None, :]
+        else:
+            apart &= (side[rows, None] == low) & (side[None, :] == high)
+        i, j = np.nonzero(apart)
+        if len(i):
+            yield i + lo, j
 
 
-def _pair_table(ids: list, pairs: list[tuple[int, int]]) -> pa.Table:
-    ordered = [(ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i]) for i, j in pairs]
-    return pa.table({"a": pa.array([x for x, _ in ordered], pa.binary()),
-                     "b": pa.array([y for _, y in ordered], pa.binary())})
+def _numbers(t: pa.Table, column: str) -> np.ndarray:
+    """Equal values of a binary column as equal numbers."""
+    return np.unique(np.array(t.column(column).to_pylist(), dtype=object), return_inverse=True)[1]
 
 
-def forest(percent: int, cut: float):
-    """Maximum spanning forest between the groups of a block, by signature share."""
+def hopeful(m: int, percent: int):
+    """The classes of a pair of blocks that have a partner in another group
+    which their sizes and sketches do not rule out and which no earlier table
+    puts next to them."""
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("class")
-        ids, n, sig, root = _columns(t)
-        k = len(ids)
-        best, link = np.full(k, -1.0), np.zeros(k, np.int64)
-        free, pairs, at = np.ones(k, bool), [], 0
-        while True:  # grow a tree; members of a group already in it join at no cost
-            free[at] = False
-            s = np.where(root == root[at], 2.0, _similar(n, sig, at, slice(None), percent, cut))
-            better = free & (s > best)
-            best[better], link[better] = s[better], at
-            if not free.any():
-                break
-            at = int(np.argmax(np.where(free, best, -2.0)))
-            if 0 <= best[at] < 2.0:
-                pairs.append((int(link[at]), at))
-        return _pair_table(ids, pairs)
+        n, root, size = t.num_rows, _numbers(t, "root"), t.column("n").to_numpy()
+        sketch = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(n, -1)
+        halves = t.column("halves").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        x, y = divmod(t.column("table")[0].as_py(), m)
+        p = percent / 100
+        hit = np.zeros(n, bool)
+        for i, j in _pairs_of(t, root, 1 << 15):
+            ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+            for first, last in ((0, x), (m, m + y)):
+                i, j = i[ok], j[ok]
+                ok = ~(halves[i, first:last] == halves[j, first:last]).any(axis=1)
+            i, j = i[ok], j[ok]
+            a, b = sketch[i], sketch[j]
+            bins = np.maximum(1, ((a | b) > 0).sum(axis=1))
+            share = ((a == b) & (b > 0)).sum(axis=1) / bins
+            ok = share >= p - DEVIATIONS * np.sqrt(p * (1 - p) / bins)
+            hit[i[ok]] = hit[j[ok]] = True
+        return t.select(["bucket", "class", "root"]).filter(pa.array(hit))
     return run
 
 
-def rest(percent: int, cut: float):
-    """Every pair of different groups in a pair of blocks that the signatures allow."""
+def exact_links(percent: int):
+    """Links between the groups of a pair of blocks, as few as join what whole
+    sets join: one set is marked at a time and met with all others at once."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("class")
-        ids, n, sig, root = _columns(t)
-        side = t.column("side").to_numpy()
-        both = t.column("low")[0].as_py() == t.column("high")[0].as_py()
-        pairs = []
+        ids = t.column("class").to_pylist()
+        members = t.column("members").combine_chunks()
+        at = members.offsets.to_numpy() - members.offsets[0].as_py()
+        shingle = np.unique(members.flatten().to_numpy(), return_inverse=True)[1]
+        size, mark = np.diff(at), np.zeros(len(shingle), bool)
+        group = _numbers(t, "root")
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        side, number, found = t.column("side").to_numpy(), np.arange(len(ids)), []
         for i in range(len(ids)):
-            if not both and side[i] != t.column("low")[0].as_py():
+            others = group != group[i]
+            others &= (number > i) if low == high else (side == high)
+            if (low != high and side[i] != low) or not others.any():
                 continue
-            ok = (_similar(n, sig, i, slice(None), percent, cut) >= 0) & (root != root[i])
-            ok &= (np.arange(len(ids)) > i) if both else (side != side[i])
-            pairs += [(i, int(j)) for j in np.flatnonzero(ok)]
-        return _pair_table(ids, pairs)
+            own = shingle[at[i]:at[i + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[shingle], at[:-1], dtype=np.int64)
+            mark[own] = False
+            for j in np.flatnonzero(others & (100 * both >= percent * (size + size[i] - both))):
+                if group[i] != group[j]:
+                    group[group == group[j]] = group[i]
+                    found.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()),
+                         "b": pa.array([y for _, y in found], pa.binary())})
     return run
 
 
@@ -189,83 +228,68 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def linked(docs: DataFrame, rows: DataFrame, percent: int, words: int, m: int, k: int, block: int) -> DataFrame | None:
+def linked(docs: DataFrame, rows: DataFrame, percent: int, words: int, m: int, block: int) -> DataFrame:
     """(class, root) of the classes that are linked with another one."""
-    classes = rows.filter("class is not null").groupBy("class").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
-    classes = materialize(classes.select("class", F.col("first.doc_id").alias("doc_id")), "classes")
-    keyed = classes.alias("c").join(rows.alias("r"), (F.col("c.class") == F.col("r.class"))
-                                    & F.col("c.doc_id").eqNullSafe(F.col("r.doc_id")))
-    keyed = keyed.select(F.col("c.class").alias("class"), F.col("r.halves").alias("halves"),
-                         F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature"))
-    keyed = keyed.dropDuplicates(["class"])
-    keyed = materialize(keyed, "class-keys")
-    found = materialize(buckets(keyed, m).join(keyed.drop("halves"), "class"), "buckets")
-    wanted = found.select("class").distinct().join(classes, "class")
-    sets = materialize(whole_sets(docs, wanted, words), "whole-sets")
-    p = percent / 100
-    cut = p - 6 * math.sqrt(p * (1 - p) / (2 * m * k))
-
-    roots = None  # (class, root)
-
-    def in_groups() -> DataFrame:
-        """Bucket rows with their group, of buckets that still hold several groups."""
-        if roots is None:
-            at = found.withColumn("root", F.col("class"))
-        else:
-            at = found.join(roots.withColumnRenamed("root", "_root"), "class", "left").withColumn(
-                "root", F.coalesce("_root", "class")).drop("_root")
-        split = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
-        return at.join(split.select("bucket"), "bucket")
-
-    def add(pairs: DataFrame, name: str) -> None:
-        """Verify candidate pairs and merge the groups they link."""
-        nonlocal roots
-        links = materialize(verify(pairs.distinct(), sets, percent), name)
-        if roots is None:
-            roots = materialize(components(links).select(F.col("node").alias("class"), "root"), "groups")
-            return
-        if links.isEmpty():
-            return
-        ends = links
-        for end in ("a", "b"):
-            ends = ends.join(roots.select(F.col("class").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-        merged = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-        merged = materialize(merged, "merged")
-        old = roots.join(merged, roots["root"] == merged["node"], "left").select(
-            "class", F.coalesce(merged["root"], roots["root"]).alias("root"))
-        new = merged.join(roots.select("class"), merged["node"] == F.col("class"), "left_anti").select(
-            F.col("node").alias("class"), "root")
-        roots = materialize(old.unionByName(new), "groups")
-
-    add(found.groupBy("class").agg(F.min("least").alias("least")).filter("class != least").select(
-        F.col("least").alias("a"), F.col("class").alias("b")), "links-to-least")
-
-    pair_schema = "a binary, b binary"
-    parts = F.ceil(F.col("rows") / F.lit(float(block))).cast("int")
-    part = F.pmod(F.xxhash64("class"), parts).cast("int")
-    left = in_groups().withColumn("part", part)
-    add(left.groupBy("bucket", "part").applyInArrow(forest(percent, cut), pair_schema), "links-of-forest")
-
-    left = in_groups().withColumn("side", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    left = left.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
-    add(left.groupBy("bucket", "low", "high").applyInArrow(rest(percent, cut), pair_schema), "links-of-rest")
-    return roots
+    # rows of one class have the same hashes, so any row's will do
+    classes = rows.filter("class is not null").groupBy("class").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"),
+        F.any_value("halves").alias("halves"), F.any_value("n_shingles").alias("n"),
+        F.any_value("signature").alias("signature"))
+    classes = stored(classes.select("class", "first.doc_id", "halves", "n", "signature"), "classes", rows.count())
+    total = classes.count()
+    found = stored(buckets(classes, m, total), "buckets", total)
+    wanted = found.select("class").distinct().join(classes.select("class", "doc_id"), "class")
+    wanted = stored(wanted, "wanted", total)
+    sets = stored(whole_sets(docs, wanted, words), "whole-sets", wanted.count(), 5_000)
+
+    # 1. every class with the smallest class of its buckets
+    pairs = found.groupBy("class").agg(F.min("least").alias("least")).filter("class != least")
+    links = stored(verify(pairs.select(F.col("least").alias("a"), F.col("class").alias("b")), sets, percent),
+                   "links-to-least", total)
+    roots = components(links).select(F.col("node").alias("class"), "root")
+
+    # 2. buckets that still hold several groups: who may have a partner in another group?
+    at = found.join(roots.withColumnRenamed("root", "_root"), "class", "left").withColumn(
+        "root", F.coalesce("_root", "class")).drop("_root")
+    split = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
+    open_rows = at.join(split.select("bucket"), "bucket").select("bucket", "table", "rows", "class", "root")
+    open_rows = open_rows.join(classes.drop("doc_id"), "class")
+    hope = _split(open_rows, "rows", block).groupBy("bucket", "low", "high").applyInArrow(
+        hopeful(m, percent), "bucket long, class binary, root binary")
+    hope = stored(hope.distinct(), "hopeful", total)
+
+    # 3. whole sets of those, bucket by bucket
+    sizes = hope.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    whole = hope.join(sizes, "bucket").join(sets.select("class", "members"), "class")
+    more = _split(whole, "rows", max(1, block // 2)).groupBy("bucket", "low", "high").applyInArrow(
+        exact_links(percent), "a binary, b binary")
+    more = stored(more, "links-between", total)
+    if more.isEmpty():
+        return roots
+    for end in ("a", "b"):
+        more = more.join(roots.select(F.col("class").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    merged = components(more.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    old = roots.join(merged, roots["root"] == merged["node"], "left").select(
+        "class", F.coalesce(merged["root"], roots["root"]).alias("root"))
+    new = merged.join(roots.select("class"), merged["node"] == F.col("class"), "left_anti").select(
+        F.col("node").alias("class"), "root")
+    return stored(old.unionByName(new), "groups", total)
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 3, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, class, component_id, kept for every row."""
     prepare(docs.sparkSession)
     m = hashes_needed(percent, k)
-    rows = materialize(signatures(docs, words, m, k), "signatures")
-    roots = linked(docs, rows, percent, words, m, k, block)
+    n = docs.count()
+    rows = stored(signatures(docs, words, m, k), "signatures", n, 5_000)
+    roots = linked(docs, rows, percent, words, m, block)
     small = rows.select("doc_id", "n_shingles", "class")
     at = small.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = at.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     at = at.join(least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return at.select("doc_id", "n_shingles", "class", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).coalesce(max(1, -(-n // 25_000)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:

@@ -56,19 +56,33 @@ def set_id(shingles: np.ndarray) -> bytes:
 
 
 class MinHasher:
-    """``count`` minwise hashes of a set."""
+    """``count`` minwise hashes of a set: minima of linear maps of the (already
+    well mixed) upper 32 bits, one row of the block per map."""
 
     def __init__(self, count: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, count, dtype=np.uint64)
+        self.a = (rng.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        self.b = rng.integers(0, 2**32, count, dtype=np.uint32)[:, None]
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         out = None
-        for lo in range(0, len(shingles), 2048):
-            low = (shingles[lo:lo + 2048, None] * self.a + self.b).min(axis=0)
+        high = (shingles >> np.uint64(32)).astype(np.uint32)
+        for lo in range(0, len(high), 2048):
+            block = self.a * high[lo:lo + 2048]
+            block += self.b
+            low = block.min(axis=1)
             out = low if out is None else np.minimum(out, low)
-        return out
+        return out.astype(np.uint64)
+
+
+def sketch(shingles: np.ndarray, bins: int = 256) -> bytes:
+    """One byte per bin of the hash range: 0 where the set has no shingle,
+    else 1 ... 255 from the bin's smallest hash (one-permutation hashing)."""
+    which = (shingles >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
+    at, first = np.unique(which, return_index=True)  # the set is sorted
+    out = np.zeros(bins, np.uint8)
+    out[at] = 1 + (_avalanche(shingles[first]) % np.uint64(255)).astype(np.uint8)
+    return out.tobytes()
 
 
 def combine(minima: np.ndarray) -> np.ndarray:
