@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dunegrid.llm.common import prepare, text_or_empty
-from dunegrid.session import materialize
+from dunegrid.llm.common import prepare, stored, text_or_empty
 
-BUCKETS = 1024
+BUCKETS = 512
 TRIPLET = (0, 3, 7)
 BLOCK = 1 << 20
 LENGTH_CAP, LENGTH_SHARE = 32, 0.03
@@ -135,8 +134,8 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, edge_schema)],
                                              schema=edge_schema)
 
-    done = materialize(rows.mapInArrow(
-        run, RESULT + ", part int, is_first boolean, is_last boolean, text string"), "digests")
+    done = stored(rows.mapInArrow(run, RESULT + ", part int, is_first boolean, is_last boolean, text string"),
+                  "digests", docs.count(), 5_000)
     # one row per partition from here on
     by_part = Window.orderBy("part")
     parts = done.filter("is_first").select("part")
