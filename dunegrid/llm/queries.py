@@ -67,6 +67,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), _scratch(spark, "warc"), min_bytes=0)
 
 
+# Base 32 of the 160-bit digest: 32 times 5 bits out of its hexadecimal form.
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, payload, upper(sha1(payload)) || '0' AS h FROM p),
+f AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload)
+SELECT page_id, CAST(strlen(d.payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, (5 * i) // 4 + 1, 2) AS INT) >> CAST(3 - (5 * i) % 4 AS INT)) & 31) + 1 AS BIGINT), 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d JOIN f ON f.payload = d.payload
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2, 4096)
 
@@ -99,4 +114,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op5_top_k": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_top_k": OP5_SQL, "op6_warc": OP6_SQL}

@@ -318,3 +318,14 @@ def test_registered_queries_keep_their_contract(spark):
     assert mixed.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"),
                             ("target", "double"), ("taken", "bigint")]
     assert q["op6_warc"](spark, SF).count() == 250
+
+
+def test_warc_query_matches_oracle(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
+    q = con.execute(queries.OP6_SQL)
+    names = [d[0] for d in q.description]
+    got = queries.op6_warc(spark, SF).select(names)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(q.fetchall())
