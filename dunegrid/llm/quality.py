@@ -158,4 +158,5 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.7) -> DataFrame:
     """Rows of ``docs`` that score at least ``least``."""
-    return with_statistics(docs).filter(model.score() >= least).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("_text"))
+    return with_statistics(rows, "_text").filter(model.score() >= least).select("row.*")

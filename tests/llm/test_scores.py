@@ -85,7 +85,7 @@ def test_quality_odd_rows(spark):
     none = quality.fit(empty_docs(spark), labels.limit(0))
     assert none.rules == () and {r.score for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(empty_docs(spark), none).collect() == []
-    clash = docs.withColumnRenamed("ids", "score").withColumnRenamed("row", "log_words")
+    clash = docs.withColumnRenamed("ids", "score").withColumnRenamed("shard", "_stats").withColumnRenamed("size", "a.b")
     assert quality.keep_good(clash, none, 0.1).columns == clash.columns
 
 
