@@ -47,6 +47,16 @@ def value_sort(spark, sf):
     return sampling.value_ranks(td.max_nir(spark, sf), "v")
 
 
+@register("dense_ids_payload", ops=("F1", "F3"),
+          sql=with_ctes(PX, body="""
+SELECT row_number() OVER (ORDER BY c, r) - 1 AS id, c, r, red, nir, swir1
+FROM (SELECT c, r, max(red) AS red, max(nir) AS nir, max(swir1) AS swir1 FROM px GROUP BY c, r) t"""))
+def dense_ids_payload(spark, sf):
+    """Ids in key order on rows that carry columns outside the key."""
+    cells = td.px(spark, sf).groupBy("c", "r").agg(*[F.max(b).alias(b) for b in ("red", "nir", "swir1")])
+    return sampling.dense_ids(cells, ["c", "r"])
+
+
 SEED = 7
 
 

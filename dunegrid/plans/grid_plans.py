@@ -154,15 +154,18 @@ def regrid_nearest(spark, sf):
     return out.select(F.col("tc").cast("bigint").alias("tc"), F.col("tr").cast("bigint").alias("tr"), "v")
 
 
-@register("regrid_nearest_merge", ops=("I1", "G2"),
-          sql=with_ctes(PX, NM, ("s", """
+SCENES = ("s", """
 SELECT scene, c, r, max(nir) AS nir, CASE WHEN count(blue) = count(*) THEN max(blue) END AS blue
-FROM px GROUP BY scene, c, r"""), body=f"""
+FROM px GROUP BY scene, c, r""")
+NEAREST_MERGE_SQL = f"""
 SELECT tc, tr, arg_max(s.nir, s.scene) AS nir, arg_max(s.blue, s.scene) FILTER (WHERE s.blue IS NOT NULL) AS blue
 FROM ({_axis("c", NEAREST_DST.dx, "tc")}) a, ({_axis("r", NEAREST_DST.dy, "tr")}) b, s
 WHERE s.c = CAST(floor((CAST({NEAREST_DST.x0!r} AS DOUBLE) + (tc + 0.5) * CAST({NEAREST_DST.dx!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
   AND s.r = CAST(floor((CAST({NEAREST_DST.y0!r} AS DOUBLE) + (tr + 0.5) * CAST({NEAREST_DST.dy!r} AS DOUBLE) - 0.0) / 1.0) AS INT)
-GROUP BY tc, tr"""))
+GROUP BY tc, tr"""
+
+
+@register("regrid_nearest_merge", ops=("I1", "G2"), sql=with_ctes(PX, NM, SCENES, body=NEAREST_MERGE_SQL))
 def regrid_nearest_merge(spark, sf):
     scenes = composite(td.px(spark, sf), ["nir", "blue"], "max", keys=("scene", "c", "r"))
     out = gr.regrid_nearest(scenes, ["nir", "blue"], gr.Grid(), NEAREST_DST, priority_col="scene")

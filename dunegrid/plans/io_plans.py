@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dunegrid.operators import assembly, composite, mask
 from dunegrid.operators import grid as gr
 from dunegrid.plans.fixtures import BOX, PERIOD, POLYGON
+from dunegrid.plans.grid_plans import NEAREST_DST, NEAREST_MERGE_SQL, SCENES
 from dunegrid.plans.registry import register, with_ctes
 from dunegrid.session import scratch_table_path
 from dunegrid.sources import catalog, delimited, geotiff
@@ -189,3 +190,37 @@ def geotiff_band_scan(spark, sf):
     for i in range(6):
         any_data = any_data | F.col(f"b{i}").isNotNull()
     return out.filter(any_data)
+
+
+@register("ingest_to_catalog", ops=("A1", "A4", "A5", "A9", "A10", "C1", "G2", "I1", "I4"),
+          sql=with_ctes(PX, NM, SCENES, ("m", NEAREST_MERGE_SQL), body="""
+SELECT CAST(floor(tc / 2) AS INT) AS c, CAST(floor(tr / 2) AS INT) AS r,
+       round(avg(nir), 6) AS nir, round(avg(blue), 6) AS blue
+FROM m GROUP BY 1, 2"""))
+def ingest_to_catalog(spark, sf):
+    """From band files to a queried zoom: discover, scan, join bands, lay out on
+    the target grid with the scenes merged, store, build the pyramid, query."""
+    scenes = composite.composite(td.px(spark, sf), ["nir", "blue"], "max", keys=("scene", "c", "r"))
+    bands = scenes.select("scene", "c", "r", F.explode(F.array(
+        F.struct(F.lit(5).alias("band"), F.col("nir").alias("v")),
+        F.struct(F.lit(2).alias("band"), F.col("blue").alias("v")))).alias("b")).select("scene", "c", "r", "b.*")
+    size = bands.agg((F.max("c") + 1).alias("w"), (F.max("r") + 1).alias("h")).first()
+    windows = gr.assemble_tiles(bands, 32, 32, keep=("scene", "band")).withColumn(
+        "file", F.format_string("scene_%d/S_B%d_REF.TIF", "scene", "band"))
+    root = scratch_table_path(spark, "bands")
+    geotiff.write_geotiff_windows(windows, root, "file", int(size["w"]), int(size["h"]), 32)
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    files = assembly.discover_band_files(listed, [5, 2]).select("path", "scene_id", "band_index")
+    tiles = geotiff.read_geotiff(spark, root, tile_size=50).join(files, "path")
+    cells = gr.explode_tiles(tiles, keep=("scene_id", "band_index"))
+    joined = assembly.pivot_bands(cells, ["scene_id", "c", "r"], "band_index", "v", [0, 1], ["nir", "blue"],
+                                  require_all=True).filter("nir is not null or blue is not null")
+    layer = gr.regrid_nearest(joined, ["nir", "blue"], gr.Grid(), NEAREST_DST, out_c="c2", out_r="r2",
+                              priority_col="scene_id").withColumnsRenamed({"c2": "c", "r2": "r"})
+    path = scratch_table_path(spark, "catalog")
+    catalog.write_catalog(layer, path, "scenes", 0, tile_size=16, grid=NEAREST_DST)
+    gr.build_pyramid(catalog.read_catalog(spark, path, "scenes", 0), ["nir", "blue"], out_path=path, layer="scenes",
+                     tile_size=16)
+    return catalog.read_catalog(spark, path, "scenes", 1).select(
+        "c", "r", F.round("nir", 6).alias("nir"), F.round("blue", 6).alias("blue"))
