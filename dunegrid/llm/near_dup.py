@@ -18,7 +18,8 @@ per cent are linked; groups are the links' connected components.
    with a hopeful partner in another group; a pair counts in the first table it
    shares, and is ruled out only DEVIATIONS standard deviations below the
    threshold.  Those classes' whole sets are compared pair by pair inside the
-   bucket, and only links that join two groups leave it.  Both passes work on
+   bucket, and only links that join two groups leave it (once for a few tables,
+   so that a large group is one before all tables have their turn).  Both passes work on
    pairs of blocks of ``block`` rows, so a bucket of any size is many tasks; no
    bucket is capped and no other pair between groups is skipped.
 4. Components are found by large-star/small-star rounds.
@@ -47,6 +48,8 @@ from dunegrid.llm.components import components
 #: Five standard deviations: a pair at the threshold is wrongly ruled out with
 #: a probability of about 3e-7.
 DEVIATIONS = 5
+#: Tables whose buckets are joined before those of all tables.
+FIRST_TABLES = 4
 
 
 def hashes_needed(percent: int, k: int, miss: float = 1e-5) -> int:
@@ -84,8 +87,9 @@ def signatures(docs: DataFrame, words: int, m: int, k: int, seed: int = 1) -> Da
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """class, n, members (array of shingle hashes) of the classes in ``wanted``
     (class, doc_id): the sets are made anew from the texts."""
+    # a merge join at every size, so that what is shuffled follows the input
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(
-        wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("class", "text")
+        wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,11 +191,11 @@ def hopeful(m: int, percent: int):
 
 
 def exact_links(percent: int):
-    """Links between the groups of a pair of blocks, as few as join what whole
-    sets join: one set is marked at a time and met with all others at once."""
+    """Links (a, b) between the groups of a pair of blocks, as few as join what
+    whole sets join: one set is marked at a time and met with all others at once."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("class")
-        ids = t.column("class").to_pylist()
+        ids = t.column("root").to_pylist()
         members = t.column("members").combine_chunks()
         at = members.offsets.to_numpy() - members.offsets[0].as_py()
         shingle = np.unique(members.flatten().to_numpy(), return_inverse=True)[1]
@@ -248,32 +252,38 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int, words: int, m: int, b
                    "links-to-least", total)
     roots = components(links).select(F.col("node").alias("class"), "root")
 
-    # 2. buckets that still hold several groups: who may have a partner in another group?
-    at = found.join(roots.withColumnRenamed("root", "_root"), "class", "left").withColumn(
-        "root", F.coalesce("_root", "class")).drop("_root")
-    split = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
-    open_rows = at.join(split.select("bucket"), "bucket").select("bucket", "table", "rows", "class", "root")
-    open_rows = open_rows.join(classes.drop("doc_id"), "class")
-    hope = _split(open_rows, "rows", block).groupBy("bucket", "low", "high").applyInArrow(
-        hopeful(m, percent), "bucket long, class binary, root binary")
-    hope = stored(hope.distinct(), "hopeful", total)
-
-    # 3. whole sets of those, bucket by bucket
-    sizes = hope.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    whole = hope.join(sizes, "bucket").join(sets.select("class", "members"), "class")
-    more = _split(whole, "rows", max(1, block // 2)).groupBy("bucket", "low", "high").applyInArrow(
-        exact_links(percent), "a binary, b binary")
-    more = stored(more, "links-between", total)
-    if more.isEmpty():
-        return roots
-    for end in ("a", "b"):
-        more = more.join(roots.select(F.col("class").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-    merged = components(more.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    old = roots.join(merged, roots["root"] == merged["node"], "left").select(
-        "class", F.coalesce(merged["root"], roots["root"]).alias("root"))
-    new = merged.join(roots.select("class"), merged["node"] == F.col("class"), "left_anti").select(
-        F.col("node").alias("class"), "root")
-    return stored(old.unionByName(new), "groups", total)
+    def join_buckets(tables: list[int] | None) -> None:
+        """Merge groups that share a link inside a bucket (of some tables)."""
+        nonlocal roots
+        at = found if tables is None else found.filter(F.col("table").isin(tables))
+        at = at.join(roots.withColumnRenamed("root", "_root"), "class", "left").withColumn(
+            "root", F.coalesce("_root", "class")).drop("_root")
+        split = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
+        at = at.join(split.select("bucket"), "bucket").select("bucket", "table", "rows", "class", "root")
+        # who may have a partner in another group?
+        at = at.join(classes.drop("doc_id"), "class")
+        hope = _split(at, "rows", block).groupBy("bucket", "low", "high").applyInArrow(
+            hopeful(m, percent), "bucket long, class binary, root binary")
+        hope = stored(hope.distinct(), "hopeful", total)
+        # whole sets of those, bucket by bucket
+        sizes = hope.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+        whole = hope.join(sizes, "bucket").join(sets.select("class", "members"), "class")
+        more = _split(whole, "rows", max(1, block // 2)).groupBy("bucket", "low", "high").applyInArrow(
+            exact_links(percent), "a binary, b binary")
+        more = stored(more.distinct(), "links-between", total)
+        if more.isEmpty():
+            return
+        merged = components(more)
+        old = roots.join(merged, roots["root"] == merged["node"], "left").select(
+            "class", F.coalesce(merged["root"], roots["root"]).alias("root"))
+        new = merged.join(roots.select("class"), merged["node"] == F.col("class"), "left_anti").select(
+            F.col("node").alias("class"), "root")
+        roots = stored(old.unionByName(new), "groups", total)
+
+    # 2. buckets of a few tables, which join most of a large group, then of all
+    join_buckets([i * m + i for i in range(min(FIRST_TABLES, m))])
+    join_buckets(None)
+    return roots
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 3, block: int = 1024) -> DataFrame:
