@@ -13,8 +13,8 @@ Labels are learned only from rows outside the held-out fold, and from about
 lang, source and labels are no statistics.  A NULL text is empty; empty and
 very long texts are scored like any other; a NULL doc_id is not held out;
 repeated rows score alike; several labels of one doc_id count by the smaller.
-Without labelled rows, or with labels of one class, every score is the smoothed
-share of label 1.  An empty table gives no rows; other columns are kept.
+Without labelled rows, with labels of one class, or where no statistic tells the
+classes apart, every score is the smoothed share of label 1.  An empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -132,14 +132,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, trees: in
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(known), "_id")
     train = materialize(with_statistics(rows).select("_y", "_stats"), "quality-train")
     count, ones = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0.0))).first()
+    smoothed = (ones + 1) / (count + 2)
+    constant = RuleModel(math.log(smoothed / (1 - smoothed)), ())
     if ones in (0, count):
-        p = (ones + 1) / (count + 2)
-        return RuleModel(math.log(p / (1 - p)), ())
+        return constant
     flat = train.select("_y", *[F.col(f"_stats.{s}").alias(s) for s in STATISTICS])
     vectors = VectorAssembler(inputCols=STATISTICS, outputCol="_x").transform(flat).select("_y", "_x")
     forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth,
                                     featureSubsetStrategy="onethird", seed=seed).fit(vectors)
     rules = sorted({r for t in forest.trees for r in tree_rules(t.toDebugString, STATISTICS)})
+    if not rules:  # no statistic tells the classes apart
+        return constant
     cols = [F.when(condition(r), 1.0).otherwise(0.0).alias(f"r{k}") for k, r in enumerate(rules)]
     hits = materialize(train.select("_y", F.array(*cols).alias("_hits")), "quality-hits")
     lasso = LogisticRegression(featuresCol="_x", labelCol="_y", elasticNetParam=1.0, regParam=penalty,

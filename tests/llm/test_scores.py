@@ -82,6 +82,9 @@ def test_quality_odd_rows(spark):
     model = quality.fit(docs, labels)
     rows = quality.score(docs, model).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    same = spark.createDataFrame([(i, "same text") for i in range(8)], "doc_id long, text string")
+    mixed = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    assert quality.fit(same, mixed).rules == ()
     none = quality.fit(empty_docs(spark), labels.limit(0))
     assert none.rules == () and {r.score for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(empty_docs(spark), none).collect() == []
