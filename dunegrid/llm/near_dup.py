@@ -184,7 +184,10 @@ def hopeful(m: int, percent: int):
             a, b = sketch[i], sketch[j]
             bins = np.maximum(1, ((a | b) > 0).sum(axis=1))
             share = ((a == b) & (b > 0)).sum(axis=1) / bins
-            ok = share >= p - DEVIATIONS * np.sqrt(p * (1 - p) / bins)
+            # the bins sample the union (of this size at the threshold) without repeats
+            union = (size[i] + size[j]) / (1 + p)
+            left_out = np.sqrt(np.maximum(0.1, 1 - bins / union))
+            ok = share >= p - DEVIATIONS * left_out * np.sqrt(p * (1 - p) / bins)
             hit[i[ok]] = hit[j[ok]] = True
         return t.select(["bucket", "class", "root"]).filter(pa.array(hit))
     return run

@@ -75,7 +75,7 @@ class MinHasher:
         return out.astype(np.uint64)
 
 
-def sketch(shingles: np.ndarray, bins: int = 256) -> bytes:
+def sketch(shingles: np.ndarray, bins: int = 512) -> bytes:
     """One byte per bin of the hash range: 0 where the set has no shingle,
     else 1 ... 255 from the bin's smallest hash (one-permutation hashing)."""
     which = (shingles >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
