@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from dunegrid.plans import QUERIES
 from tests.conftest import SF_SMALL
 
 TABLES = "lineitem embeddings region nation".split()
@@ -31,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(k for k in E.oracle_sql() if k in QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     res = duck.execute(E.oracle_sql()[name])
@@ -50,7 +51,6 @@ def test_entry(spark):
 
 
 def test_every_query_has_ops():
-    from dunegrid.plans import QUERIES
     assert all(q.ops for q in QUERIES.values())
 
 
