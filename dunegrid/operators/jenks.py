@@ -77,12 +77,12 @@ def _ssd(Wl, Sl, Ql, Wi, Si, Qi):
 
 
 def _layer_table(prev: DataFrame, prefix: DataFrame, chunk: int) -> DataFrame:
-    """One table per layer: position i with its prefix sums and the previous
-    layer's cost, and the number of its chunk of ``chunk`` positions."""
+    """Position i with its prefix sums and the previous layer's cost (both are
+    stored tables), and the number of its chunk of ``chunk`` positions."""
     pv = prev.select(F.col("l").alias("pos"), F.col("cost").alias("prev_cost"))
-    return materialize(prefix.join(pv, "pos").select(
+    return prefix.join(pv, "pos").select(
         F.floor(F.col("pos") / chunk).cast("long").alias("chunk"), F.col("pos").alias("i"),
-        F.col("W").alias("Wi"), F.col("S").alias("Si"), F.col("Q").alias("Qi"), "prev_cost"), "jenks-layer")
+        F.col("W").alias("Wi"), F.col("S").alias("Si"), F.col("Q").alias("Qi"), "prev_cost")
 
 
 def _evaluate(split_rows: DataFrame, table: DataFrame, prefix: DataFrame, chunk: int) -> DataFrame:
