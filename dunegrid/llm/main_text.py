@@ -9,9 +9,11 @@ the contiguous region with the best sum.  The region's text is returned without
 what is never article text: scripts, styles, menus, page headers, footers,
 sidebars, forms, notices, adverts, reader comments and hidden elements, known
 by element name, role or class; such an element is one bounded negative score,
-so the region can reach across it.  On a page that marks its content, words
-outside the mark score negative and are left out, and tags inside it cost next
-to nothing, so short blocks at its ends stay.
+so the region can reach across it.  A mark is one more, bounded feature: on a
+page whose mark holds all words, a word in it scores half as much again and a
+tag in it a tenth, so short blocks at its ends stay; the smaller the mark's
+share of the words, the weaker it is, so a teaser in an ``<article>`` does not
+beat a long text outside.  The region alone decides what is returned.
 
 Character references are decoded, white space inside a block becomes one space,
 block texts are trimmed and joined by one space in page order.  Inline tags
@@ -73,9 +75,10 @@ class Weights:
     link_word: float = 0.2
     tag: float = -3.25
     tags: dict[str, float] = field(default_factory=dict)
-    outside: float = -1.0
     dropped: float = -2.0
-    marked_tag: float = -0.02
+    #: What a mark that holds all words adds to a word's score, and takes off a tag's.
+    mark_word: float = 0.5
+    mark_tag: float = 0.9
 
 
 @dataclass
@@ -180,19 +183,17 @@ def runs(page: str) -> list[Run]:
 
 
 def scores(items: list[Run], w: Weights) -> list[float]:
-    marks = any(r.marked for r in items)
+    lengths = [0 if r.name else len(r.text.split()) for r in items]
+    share = sum(n for n, r in zip(lengths, items) if r.marked) / max(1, sum(lengths))
+    more, less = 1 + w.mark_word * share, 1 - w.mark_tag * share
     out = []
-    for r in items:
-        if r.marked and (r.dropped or r.name):
-            out.append(w.marked_tag)
-        elif r.dropped:
-            out.append(w.dropped)
-        elif r.name:
-            out.append(w.tags.get(r.name, w.tag))
+    for n, r in zip(lengths, items):
+        if r.name:
+            v = w.dropped if r.dropped else w.tags.get(r.name, w.tag)
+            out.append(v * less if r.marked else v)
         else:
-            n = len(r.text.split())
-            each = (w.word if r.marked else w.outside) if marks else (w.link_word if r.link else w.word)
-            out.append(n * each)
+            v = n * (w.link_word if r.link else w.word)
+            out.append(v * more if r.marked and v > 0 else v)
     return out
 
 
@@ -213,12 +214,10 @@ def main_text(page: str | None, w: Weights) -> str:
     """The article's text of one page."""
     items = runs(page or "")
     start, end = best_region(scores(items, w))
-    marks = any(r.marked for r in items)
     parts = []
     for r in items[start:end]:
-        if not r.name and not r.dropped:
-            if r.marked or not marks:
-                parts.append(r.text)
+        if not r.name:
+            parts.append(r.text)
         elif r.dropped or r.name not in INLINE:
             parts.append(" ")
     return " ".join("".join(parts).split())

@@ -95,3 +95,36 @@ def test_odd_rows(spark):
     assert main_text.extract(df.limit(0), main_text.learn(df.limit(0))).collect() == []
     assert main_text.learn(df.filter("page_id = 1")) == Weights()
     assert [r.name for r in runs("<br/>x")] == ["br", ""]
+
+
+def words(first, n):
+    return " ".join(f"{first}{i}" for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return main_text.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+
+
+@pytest.mark.parametrize("n_cards", [1, 6])
+def test_teaser_articles_do_not_replace_the_text(learned, n_cards):
+    body = words("body", 1000)
+    card = "<article class='card'><h3><a href='/x'>Next story</a></h3><p>Read all about it here</p></article>"
+    given = f"<html><body><div id='content'><p>{body}</p></div><div>{card * n_cards}</div></body></html>"
+    for w in (W, learned):
+        assert main_text.main_text(given, w).startswith(body)
+    assert main_text.main_text(given, W) == body
+
+
+def test_several_marked_regions(learned):
+    one, between, two = words("one", 100), words("between", 150), words("two", 80)
+    given = (f"<html><body><article><p>{one}</p></article><div><p>{between}</p></div>"
+             f"<article><p>{two}</p></article></body></html>")
+    for w in (W, learned):
+        assert main_text.main_text(given, w) == f"{one} {between} {two}"
+
+
+def test_marked_text_uses_the_weights_of_tags_and_links():
+    given = "<article><x-menu>a b c d</x-menu><x-menu></x-menu><p>" + words("w", 40) + "</p></article>"
+    assert main_text.main_text(given, W).startswith("a b c d")
+    assert main_text.main_text(given, Weights(tags={"x-menu": -100.0})) == words("w", 40)
