@@ -6,10 +6,14 @@ article with ``<article>`` or ``<main>``, from about ``sample_pages`` of them
 at most, chosen by the hash of page_id): how often a word, a word in a link, or a tag of some name
 stands inside the marked content rather than outside.  One linear scan finds
 the contiguous region with the best sum.  The region's text is returned without
-what is never article text: scripts, styles, menus, page headers, footers,
-sidebars, forms, notices, adverts, reader comments and hidden elements, known
-by element name, role or class; such an element is one bounded negative score,
-so the region can reach across it.  A mark is one more, bounded feature: on a
+what is no visible text (scripts, styles, form fields, hidden elements) and
+without furniture: menus, page headers, footers, sidebars, forms, notices,
+adverts and reader comments, known by element name, role, class or id.  Such an
+element is one bounded negative score, so the region can reach across it.
+Furniture is scanned for its own best region first: those of one kind side by
+side (a form around the page, a wrapper of class has-sidebar, widgets that hold
+the text; a kind is the name, the role, or the class as written) are read like any other element when half of what they hold scores
+more than the best region without them and all of it more than ``least``.  A mark is one more, bounded feature: on a
 page whose mark holds all words, a word in it scores half as much again and a
 tag in it a tenth, so short blocks at its ends stay; the smaller the mark's
 share of the words, the weaker it is, so a teaser in an ``<article>`` does not
@@ -42,16 +46,19 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output "
                    "q ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("script style noscript template head title nav aside footer form button select option textarea input "
-                  "iframe object embed svg canvas audio video dialog menu noembed noframes xmp datalist".split())
-NEVER_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form "
-                        "alertdialog toolbar".split())
-NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored "
-                        "promo promos promotion promoted sidebar aside comment comments commentlist disqus replies "
-                        "cookie cookies consent gdpr notice notices notification alert banner popup modal overlay "
-                        "newsletter subscribe subscription signup login social share sharing related recommended "
-                        "recommendations breadcrumb breadcrumbs menu nav navbar navigation footer toolbar widget "
-                        "masthead paywall pagination pager teaser teasers".split())
+NEVER = frozenset("script style noscript template head title select option textarea input iframe object embed svg "
+                  "canvas audio video datalist noembed noframes xmp".split())
+FURNITURE = frozenset("nav aside footer form button menu dialog".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form "
+                            "alertdialog toolbar".split())
+FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored "
+                            "promo promos promotion promoted sidebar aside comment comments commentlist disqus replies "
+                            "cookie cookies consent gdpr notice notices notification alert banner popup modal overlay "
+                            "newsletter subscribe subscription signup login social share sharing related recommended "
+                            "recommendations breadcrumb breadcrumbs menu nav navbar navigation footer toolbar widget "
+                            "masthead paywall pagination pager teaser teasers".split())
+#: Those of an article, whose class often names the topic.
+ARTICLE_WORDS = frozenset("comment comments teaser related promo ad sponsored".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 "
                      "h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -79,57 +86,74 @@ class Weights:
     #: What a mark that holds all words adds to a word's score, and takes off a tag's.
     mark_word: float = 0.5
     mark_tag: float = 0.9
+    #: What furniture's region counts against one without it, and what it must exceed.
+    furniture: float = 0.5
+    least: float = 10.0
 
 
 @dataclass
 class Run:
-    """A piece of the page: a text (``name`` empty), a tag or a dropped element."""
+    """A piece of the page: a text (``name`` empty), a tag, a dropped element or
+    furniture (of some ``kind``, with its own pieces ``inner``)."""
 
     name: str
     text: str = ""
     link: bool = False
     marked: bool = False
     dropped: bool = False
+    kind: str = ""
+    inner: list[Run] = field(default_factory=list)
+
+
+#: Furniture nested deeper than this belongs to what is around it.
+MOST_NESTED = 32
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-def _never(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element and all in it is never article text."""
-    if name in NEVER or (name == "header" and not in_article):
-        return True
+def _kind(name: str, attrs: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element holds no visible text, and as what furniture it is known (or "")."""
+    if name in NEVER:
+        return True, ""
+    known = name if name in FURNITURE or (name == "header" and not in_article) else ""
     if "=" not in attrs and "hidden" not in attrs or name in ("html", "body", "main"):
-        return False
+        return False, known
     a = _attributes(attrs)
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    if a.get("role", "").lower() in NEVER_ROLES:
-        return True
-    words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    if name == "article":
-        return bool(words & {"comment", "comments", "teaser", "related", "promo", "ad", "sponsored"})
-    return bool(words & NEVER_WORDS) or ("header" in words and not in_article)
+        return True, ""
+    role = a.get("role", "").lower()
+    if known or role in FURNITURE_ROLES:
+        return False, known or role
+    known_words = ARTICLE_WORDS if name == "article" else FURNITURE_WORDS
+    found: dict[str, str] = {}  # a word and the shortest name it stands in: has-sidebar is no sidebar
+    for given in f"{a.get('class', '')} {a.get('id', '')}".split():
+        for word in {w.lower() for w in _WORDS.findall(given)}:
+            if word in known_words or (word == "header" and name != "article" and not in_article):
+                found[word] = min(found.get(word, given), given, key=len)
+    return False, " ".join(sorted({re.sub(r"\d+", "", x).lower() for x in found.values()}))
 
 
 def runs(page: str) -> list[Run]:
-    """Tags, texts and dropped elements of a page in order."""
+    """Tags, texts, dropped elements and furniture of a page in order."""
     out: list[Run] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, dropped, marked, link below
+    # name, dropped, marked, link below, pieces, how deep in furniture
+    open_: list[tuple[str, bool, bool, bool, list[Run], int]] = []
+    outer = ("", False, False, False, out, 0)
     at, n = 0, len(page)
 
     def text(piece: str) -> None:
         if piece:
-            top = open_[-1] if open_ else ("", False, False, False)
+            top = open_[-1] if open_ else outer
             if not top[1]:
-                out.append(Run("", html_lib.unescape(piece) if "&" in piece else piece, top[3], top[2]))
+                top[4].append(Run("", html_lib.unescape(piece) if "&" in piece else piece, top[3], top[2]))
 
     def close(k: int) -> None:
         """Close the elements from the k-th on."""
-        for name, dropped, marked, _ in reversed(open_[k:]):
+        for name, dropped, marked, _, pieces, _ in reversed(open_[k:]):
             if not dropped:
-                out.append(Run(name, marked=marked))
+                pieces.append(Run(name, marked=marked))
         del open_[k:]
 
     while at < n:
@@ -149,7 +173,8 @@ def runs(page: str) -> list[Run]:
                     break
             else:
                 if name in ("p", "br") and not (open_ and open_[-1][1]):
-                    out.append(Run(name, marked=bool(open_ and open_[-1][2])))
+                    top = open_[-1] if open_ else outer
+                    top[4].append(Run(name, marked=top[2]))
             continue
         attrs = m["attrs"] if m["name"] else m["attrs2"]
         if name in CLOSES_P or name in CLOSES_SELF:
@@ -160,24 +185,29 @@ def runs(page: str) -> list[Run]:
                     break
                 if open_[k][0] in SCOPE and not (name == "tr" and open_[k][0] in ("td", "th")):
                     break
-        top = open_[-1] if open_ else ("", False, False, False)
+        top = open_[-1] if open_ else outer
         article = name in ("article", "main") or (name != "body" and "role" in attrs
                                                   and _attributes(attrs).get("role") == "main")
-        dropped = top[1] or _never(name, attrs, top[2])
-        marked = top[2] or (article and not dropped)
+        never, kind = _kind(name, attrs, top[2])
+        dropped = top[1] or never
+        marked = top[2] or (article and not dropped and not kind)
+        pieces, depth = top[4], top[5]
         if dropped and not top[1]:
-            out.append(Run(name, dropped=True, marked=marked))
+            pieces.append(Run(name, dropped=True, marked=marked))
         elif not dropped:
-            out.append(Run(name, marked=marked))
+            if kind and depth < MOST_NESTED and name not in VOID:
+                pieces.append(Run(name, marked=marked, kind=kind))
+                pieces, depth = pieces[-1].inner, depth + 1
+            pieces.append(Run(name, marked=marked))
         if name in RAW:
             close_tag = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             if not dropped:
-                open_.append((name, dropped, marked, top[3]))
+                open_.append((name, dropped, marked, top[3], pieces, depth))
                 text(page[at:close_tag.start() if close_tag else n])
                 close(len(open_) - 1)
             at = close_tag.end() if close_tag else n
         elif name not in VOID and not attrs.endswith("/") or name in ("div", "p", "span", "a") and attrs.endswith("/"):
-            open_.append((name, dropped, marked, top[3] or name == "a"))
+            open_.append((name, dropped, marked, top[3] or name == "a", pieces, depth))
     text(page[at:])
     return out
 
@@ -210,9 +240,50 @@ def best_region(values: list[float]) -> tuple[int, int]:
     return found
 
 
+def _opened(items: list[Run], kinds: set[str]) -> list[Run]:
+    """``items`` with the pieces of furniture of ``kinds``; other furniture is one dropped element."""
+    out = []
+    for r in items:
+        if not r.kind:
+            out.append(r)
+        elif r.kind in kinds:
+            out += r.inner
+        else:
+            out.append(Run(r.name, dropped=True, marked=r.marked))
+    return out
+
+
+def _value(items: list[Run], w: Weights) -> float:
+    values = scores(items, w)
+    start, end = best_region(values)
+    return sum(values[start:end])
+
+
+def settle(items: list[Run], w: Weights) -> list[Run]:
+    """``items`` with all furniture either opened or dropped, innermost first."""
+    if not any(r.kind for r in items):
+        return items
+    held: dict[str, float] = {}
+    for r in items:
+        if r.kind:
+            r.inner = settle(r.inner, w)
+            held[r.kind] = held.get(r.kind, 0.0) + _value(r.inner, w)
+    kinds: set[str] = set()
+    best = _opened(items, kinds)
+    value = None
+    for v, kind in sorted(((v, k) for k, v in held.items() if v > w.least), reverse=True):
+        value = _value(best, w) if value is None else value
+        if w.furniture * v <= value:
+            break  # kinds come best first
+        kinds.add(kind)
+        best = _opened(items, kinds)
+        value = _value(best, w)
+    return best
+
+
 def main_text(page: str | None, w: Weights) -> str:
     """The article's text of one page."""
-    items = runs(page or "")
+    items = settle(runs(page or ""), w)
     start, end = best_region(scores(items, w))
     parts = []
     for r in items[start:end]:
@@ -235,7 +306,7 @@ def learn(pages: DataFrame, sample_pages: int = 2000, seed: int = 5) -> Weights:
         counts: dict[str, list[int]] = {}
         for b in batches:
             for page in b.column("html"):
-                items = runs(page.as_py() or "")
+                items = settle(runs(page.as_py() or ""), Weights())
                 if not any(r.marked for r in items):
                     continue
                 for r in items:

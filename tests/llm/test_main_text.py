@@ -128,3 +128,42 @@ def test_marked_text_uses_the_weights_of_tags_and_links():
     given = "<article><x-menu>a b c d</x-menu><x-menu></x-menu><p>" + words("w", 40) + "</p></article>"
     assert main_text.main_text(given, W).startswith("a b c d")
     assert main_text.main_text(given, Weights(tags={"x-menu": -100.0})) == words("w", 40)
+
+
+WRAPPERS = ["<form id='aspnetForm' action='/'>", "<div class='content has-sidebar'>", "<div class='no-sidebar'>",
+            "<div class='elementor-widget-theme-post-content'>", "<div id='page' class='with-footer'>",
+            "<form><div class='no-sidebar'>", "<section role='form'>"]
+AROUND = ("<header><p>Site name here</p></header><nav><ul><li><a href='/'>Home</a></li></ul></nav>",
+          "<div class='sidebar'><p>Popular things of this week</p></div><section class='comments'><p>First! A long "
+          "reader comment</p></section><form><label>Mail</label><button>Go</button></form><footer>&copy; me</footer>")
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["<article><h1>Big title</h1>{}</article>", "<div>{}</div>"])
+def test_furniture_around_the_text(learned, wrapper, inner):
+    body = words("w", 300)
+    ends = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", wrapper)))
+    text = inner.format(f"<p>{body}</p>")
+    for given in (f"<body>{wrapper}{AROUND[0]}{text}{AROUND[1]}{ends}</body>",
+                  f"<body>{AROUND[0]}{wrapper}{text}{ends}{AROUND[1]}</body>"):
+        for w in (W, learned):
+            got = main_text.main_text(given, w)
+            assert got == ("Big title " if "h1" in inner else "") + body
+
+
+def test_text_in_several_widgets():
+    parts = [words(f"p{i}x", n) for i, n in enumerate((300, 12, 80, 200))]
+    widgets = "".join(f"<div class='elementor-widget'><p>{p}</p></div>" for p in parts)
+    assert main_text.main_text(f"<body>{AROUND[0]}<div>{widgets}</div>{AROUND[1]}</body>", W) == " ".join(parts)
+
+
+def test_long_furniture_beside_a_longer_text_stays_out():
+    body = words("w", 1000)
+    given = f"<body><div><p>{body}</p></div><section class='comments'><p>{words('c', 300)}</p></section></body>"
+    assert main_text.main_text(given, W) == body
+    assert main_text.main_text(f"<form>{given}</form>", W) == body
+
+
+def test_deeply_nested_furniture():
+    body = words("w", 300)
+    assert main_text.main_text("<div class='ad'>" * 3000 + body, W) == body
