@@ -2,9 +2,10 @@
 
 A page is cut into tags and text runs.  Words score positive and tags negative;
 the weights are log ratios learned from labelled pages (pages that mark their
-article with ``<article>`` or ``<main>``, from about ``sample_pages`` of them
-at most, chosen by the hash of page_id): how often a word, a word in a link, or a tag of some name
-stands inside the marked content rather than outside.  One linear scan finds
+article with ``<article>`` or ``<main>``; about ``sample_pages`` of them at
+most, wherever they are in the table, chosen by the hash of page_id): how often
+a word, a word in a link, or a tag of some name stands inside the marked
+content rather than outside.  One linear scan finds
 the contiguous region with the best sum.  The region's text is returned without
 what is no visible text (scripts, styles, form fields, hidden elements) and
 without furniture: menus, page headers, footers, sidebars, forms, notices,
@@ -74,6 +75,12 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: What a page that marks its content holds; ``learn`` takes a sample of these.
+LABELLED = r"(?i)<(article|main)[\s/>]|role\s*=\s*[\"']?main\b"
+#: Steps of a sample's share.
+PLACES = 1 << 40
+
+
 @dataclass(frozen=True)
 class Weights:
     """Scores of a word, of a word in a link, and of tags by name."""
@@ -295,12 +302,15 @@ def main_text(page: str | None, w: Weights) -> str:
 
 
 def learn(pages: DataFrame, sample_pages: int = 2000, seed: int = 5) -> Weights:
-    """Weights from the labelled pages of a sample of ``pages`` (page_id, html)."""
+    """Weights from about ``sample_pages`` of the labelled pages (all, when
+    there are no more) of ``pages`` (page_id, html); ``Weights()`` when no page
+    is labelled."""
     prepare(pages.sparkSession)
-    n = pages.count()
-    share = min(1.0, sample_pages / max(1, n))
-    sample = pages.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("page_id").cast("long")), F.lit(1_000_000))
-                          < int(share * 1_000_000)).select(F.col("html").cast("string").alias("html"))
+    html = F.col("html").cast("string")
+    labelled = pages.filter(html.rlike(LABELLED))
+    share = min(1.0, sample_pages / max(1, labelled.count()))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col("page_id").cast("long")), F.lit(PLACES))
+    sample = pages.filter(place < math.ceil(share * PLACES)).filter(html.rlike(LABELLED)).select(html.alias("html"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -319,8 +329,7 @@ def learn(pages: DataFrame, sample_pages: int = 2000, seed: int = 5) -> Weights:
                  pa.array([c[1] for c in counts.values()], pa.int64())], names=["kind", "inside", "outside"])
 
     found = (sample.mapInArrow(tally, "kind string, inside long, outside long").groupBy("kind")
-             .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-             .orderBy((F.col("inside") + F.col("outside")).desc(), "kind").limit(200))  # names of tags
+             .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")))  # a row per name of a tag
     ratio = {r["kind"]: math.log((r["inside"] + 1) / (r["outside"] + 1)) for r in found.collect()}
     if "word" not in ratio:
         return Weights()

@@ -167,3 +167,17 @@ def test_long_furniture_beside_a_longer_text_stays_out():
 def test_deeply_nested_furniture():
     body = words("w", 300)
     assert main_text.main_text("<div class='ad'>" * 3000 + body, W) == body
+
+
+def test_few_labelled_pages_among_many_teach(spark):
+    """The sample is one of labelled pages, and rare tag names count."""
+    rare = "".join(f"<x-t{i}>a</x-t{i}>" for i in range(300))
+    labelled = f"<body><rare-menu>a b</rare-menu>{rare}<article>{BODY * 9}</article></body>"
+    other = "<body><div><p>some text</p></div></body>"
+    rows = [(i, "u", labelled if i % 200 == 7 else other, "c", "c") for i in range(4000)]
+    w = main_text.learn(spark.createDataFrame(rows, PAGES), sample_pages=40)
+    assert w.tags["p"] == -0.05 and w.tags["rare-menu"] < -0.05
+    assert sum(k.startswith("x-t") for k in w.tags) == 300
+    for mark in ("<main >", "<MAIN\n id='x'>", "<div role=main>", "<div ROLE = 'main'>"):
+        one = spark.createDataFrame([(1, "u", f"{mark}{BODY}", "c", "c")], PAGES)
+        assert ("p" in main_text.learn(one).tags) == any(r.marked for r in runs(f"{mark}{BODY}"))
