@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dunegrid.llm.common import prepare, stored, text_or_empty
 
-BUCKETS = 512
+BUCKETS = 1024
 TRIPLET = (0, 3, 7)
 BLOCK = 1 << 20
 LENGTH_CAP, LENGTH_SHARE = 32, 0.03
@@ -60,10 +60,21 @@ def codes(text: str) -> np.ndarray:
     return np.concatenate([[length], (c > q1).astype(np.uint8) + (c > q2) + (c > q3)]).astype(np.uint8)
 
 
-def fingerprint(code: np.ndarray) -> str:
+def packed(code: np.ndarray) -> bytes:
+    """The length code, then four quartiles a byte."""
     q = code[1:].reshape(-1, 4)
-    packed = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-    return f"{code[0]:02x}" + base64.urlsafe_b64encode(packed.tobytes()).decode().rstrip("=")
+    return code[:1].tobytes() + (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).tobytes()
+
+
+def fingerprint(code: np.ndarray) -> str:
+    data = packed(code)
+    return data[:1].hex() + base64.urlsafe_b64encode(data[1:]).decode().rstrip("=")
+
+
+def written(name: str) -> Column:
+    """``fingerprint`` of a column of packed codes."""
+    length, rest = F.substring(name, 1, 1), F.expr(f"substring({name}, 2)")
+    return F.concat(F.lower(F.hex(length)), F.translate(F.base64(rest), "+/=\r\n", "-_")).alias(name)
 
 
 def parse(text: str) -> np.ndarray:
@@ -90,21 +101,23 @@ def edited_text(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-          ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
+#: As stored: digests are binary until the result is made.
+FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()),
+          ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()),
           ("near_next", pa.float64())]
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+STORED = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _row(doc_id, text: str, code: np.ndarray, following: str, next_code: np.ndarray) -> tuple:
     edited = edited_text(text, following)
     e = codes(edited)
-    return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(code), fingerprint(e),
+    return (doc_id, len(text), hashlib.sha256(edited.encode()).digest(), packed(code), packed(e),
             likeness(code, e), likeness(code, next_code))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """RESULT rows for every document and its edited text."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited
+    and near_next of every document and its edited text."""
     prepare(docs.sparkSession)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
             .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -130,11 +143,11 @@ def digests(docs: DataFrame) -> DataFrame:
                                                  schema=edge_schema)
         if held is not None:
             doc_id, text, code, part, first = held
-            last = (doc_id, len(text), None, fingerprint(code), None, None, None, part, first, True, text)
+            last = (doc_id, len(text), None, packed(code), None, None, None, part, first, True, text)
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, edge_schema)],
                                              schema=edge_schema)
 
-    done = stored(rows.mapInArrow(run, RESULT + ", part int, is_first boolean, is_last boolean, text string"),
+    done = stored(rows.mapInArrow(run, STORED + ", part int, is_first boolean, is_last boolean, text string"),
                   "digests", docs.count(), 5_000)
     # one row per partition from here on
     by_part = Window.orderBy("part")
@@ -154,4 +167,6 @@ def digests(docs: DataFrame) -> DataFrame:
                                                  names=[n for n, _ in FIELDS])
 
     names = [n for n, _ in FIELDS]
-    return done.filter("not is_last").select(names).unionByName(ends.mapInArrow(finish, RESULT))
+    return done.filter("not is_last").select(names).unionByName(ends.mapInArrow(finish, STORED)).select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), written("fingerprint"),
+        written("edited_fingerprint"), "near_edited", "near_next")

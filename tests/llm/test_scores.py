@@ -50,6 +50,13 @@ def test_digests_of_odd_rows(spark):
     assert digest.digests(twice).count() == 4
 
 
+def test_fingerprints_hold_1024_counters(spark):
+    docs = docs_of(spark, ODD)
+    for r in digest.digests(docs).collect():
+        for f in (r.fingerprint, r.edited_fingerprint):
+            assert len(f) == 2 + 342 and len(digest.parse(f)) == 1 + 1024
+
+
 def test_digest_parts():
     for t in ["", "a", "b", "word " * 300_000, "ä" * 10]:
         c = digest.codes(t)
