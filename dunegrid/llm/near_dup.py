@@ -25,9 +25,10 @@ per cent are linked; groups are the links' connected components.
 4. Components are found by large-star/small-star rounds.
 
 Words, shingles and empty sets are those of ``shingles.shingle_set``; an empty
-set is linked with nothing.  A NULL text has no words; documents with a NULL
-doc_id take part and are kept only when no other document is in their group;
-repeated rows are equal sets.  An empty table gives no rows.  Other columns are
+set is linked with nothing.  A NULL text has no words.  Of each group one
+document is kept, that with the smallest doc_id (a NULL comes last), and of
+several texts with that doc_id the one with the least digest; rows that share
+doc_id and text are one document, so all of them are marked kept.  An empty table gives no rows.  Other columns are
 not read by ``groups`` and are kept by ``keep_one``.
 """
 
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dunegrid.llm import shingles
@@ -59,9 +60,14 @@ def hashes_needed(percent: int, k: int, miss: float = 1e-5) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - s))) if s < 1 else 1
 
 
+def text_key() -> Column:
+    """What tells the texts of one doc_id apart (16 bytes; NULL is empty)."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def signatures(docs: DataFrame, words: int, m: int, k: int, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, class (128-bit set id), halves (2m hashes), signature."""
-    schema = "doc_id long, n_shingles long, class binary, halves array<long>, signature binary"
+    """doc_id, key (of the text), n_shingles, class (128-bit set id), halves (2m hashes), signature."""
+    schema = "doc_id long, key binary, n_shingles long, class binary, halves array<long>, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = shingles.MinHasher(2 * m * k, seed)
@@ -77,19 +83,21 @@ def signatures(docs: DataFrame, words: int, m: int, k: int, seed: int = 1) -> Da
                 halves.append(shingles.combine(hasher(s).reshape(2 * m, k)))
                 sig.append(shingles.sketch(s))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
+                [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
                  pa.array(halves, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "class", "halves", "signature"])
+                names=["doc_id", "key", "n_shingles", "class", "halves", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).mapInArrow(
+        run, schema)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """class, n, members (array of shingle hashes) of the classes in ``wanted``
-    (class, doc_id): the sets are made anew from the texts."""
+    (class, doc_id, key): the sets are made anew from the texts."""
     # a merge join at every size, so that what is shuffled follows the input
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(
-        wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("class", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", text_key().alias("_key")).join(
+        wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))).select(
+            "class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,7 +106,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 ids, sets = [], []
                 for c, text in zip(part.column("class"), part.column("text")):
                     s = shingles.shingle_set(text.as_py(), words)
-                    if shingles.set_id(s) == c.as_py():  # a doc_id may stand on several texts
+                    if shingles.set_id(s) == c.as_py():
                         ids.append(c.as_py()), sets.append(s.view(np.int64))
                 if ids:
                     yield pa.RecordBatch.from_arrays(
@@ -239,13 +247,13 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int, words: int, m: int, b
     """(class, root) of the classes that are linked with another one."""
     # rows of one class have the same hashes, so any row's will do
     classes = rows.filter("class is not null").groupBy("class").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"),
         F.any_value("halves").alias("halves"), F.any_value("n_shingles").alias("n"),
         F.any_value("signature").alias("signature"))
-    classes = stored(classes.select("class", "first.doc_id", "halves", "n", "signature"), "classes", rows.count())
+    classes = stored(classes.select("class", "first.doc_id", "first.key", "halves", "n", "signature"), "classes", rows.count())
     total = classes.count()
     found = stored(buckets(classes, m, total), "buckets", total)
-    wanted = found.select("class").distinct().join(classes.select("class", "doc_id"), "class")
+    wanted = found.select("class").distinct().join(classes.select("class", "doc_id", "key"), "class")
     wanted = stored(wanted, "wanted", total)
     sets = stored(whole_sets(docs, wanted, words), "whole-sets", wanted.count(), 5_000)
 
@@ -264,7 +272,7 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int, words: int, m: int, b
         split = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
         at = at.join(split.select("bucket"), "bucket").select("bucket", "table", "rows", "class", "root")
         # who may have a partner in another group?
-        at = at.join(classes.drop("doc_id"), "class")
+        at = at.join(classes.drop("doc_id", "key"), "class")
         hope = _split(at, "rows", block).groupBy("bucket", "low", "high").applyInArrow(
             hopeful(m, percent), "bucket long, class binary, root binary")
         hope = stored(hope.distinct(), "hopeful", total)
@@ -290,19 +298,23 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int, words: int, m: int, b
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 3, block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, class, component_id, kept for every row."""
+    """doc_id, key, n_shingles, class, component_id, kept for every row."""
     prepare(docs.sparkSession)
     m = hashes_needed(percent, k)
     n = docs.count()
     rows = stored(signatures(docs, words, m, k), "signatures", n, 5_000)
     roots = linked(docs, rows, percent, words, m, block)
-    small = rows.select("doc_id", "n_shingles", "class")
+    small = rows.select("doc_id", "key", "n_shingles", "class")
     at = small.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = at.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    at = at.join(least, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return at.select("doc_id", "n_shingles", "class", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).coalesce(max(1, -(-n // 25_000)))
+    least = at.filter("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    at = at.join(least.select("root", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("_key")),
+                 "root", "left")
+    alone = F.col("root").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("key").eqNullSafe(F.col("_key")))
+    return at.select("doc_id", "key", "n_shingles", "class", component.alias("component_id"),
+                     kept.alias("kept")).coalesce(max(1, -(-n // 25_000)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:
@@ -311,8 +323,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> D
     Rows that share both doc_id and text count as one row; a document without
     words is in no group and stays.
     """
-    kept = groups(docs, words, percent, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = groups(docs, words, percent, **options).filter("kept").select(
+        F.col("doc_id").alias("_kept"), F.col("key").alias("_key")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"),
-                                       F.md5(F.coalesce("text", F.lit(""))).alias("_text"))
-    both = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+                       text_key().alias("_text"))
+    both = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_key")), "left_semi")
     return both.dropDuplicates(["_id", "_text"]).select("row.*")

@@ -99,6 +99,34 @@ def test_odd_rows(spark):
     assert near_dup.keep_one(empty_docs(spark)).collect() == []
 
 
+def test_one_document_of_a_group_is_kept_without_or_with_equal_ids(spark):
+    """Groups whose ids are all NULL, groups with a NULL, and an id that stands on several texts."""
+    def copies(name, n):
+        base = [f"{name}{i}" for i in range(60)]
+        return [" ".join([*base, f"end{k}"]) for k in range(n)]
+
+    none, mixed, twice, other = (copies(x, 4) for x in ("n", "m", "t", "o"))
+    rows = [(None, t) for t in none] + [(None, none[0])] + [(9, mixed[0])] + [(None, t) for t in mixed[1:]]
+    rows += [(5, twice[0]), (5, twice[1]), (6, twice[2]), (5, other[0]), (3, other[1]), (None, ""), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_dup.groups(docs, 3, 85).filter("kept").select("doc_id", "key").distinct()
+    assert sorted((repr(r.doc_id) for r in found.collect())) == ["3", "5", "9", "None", "None", "None"]
+    kept = [(r.doc_id, r.text) for r in near_dup.keep_one(docs, 3, 85).collect()]
+    assert len(kept) == len(set(kept)) == 6
+    for group, doc_id in ((none, None), (mixed, 9), (twice, 5), (other, 3)):
+        assert [d for d, t in kept if t in group] == [doc_id]
+    assert {(None, ""), (None, "alone here")} <= set(kept)
+
+
+def test_whole_sets_do_not_cross_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, f"a{i} b{i} c{i}") for i in range(50)], "doc_id long, text string")
+    rows = near_dup.signatures(docs, 3, 2, 3)
+    plan = near_dup.whole_sets(docs, rows.select("class", "doc_id", "key"), 3)
+    assert plan.count() == 50
+    joins = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*_key", joins)
+
+
 def test_shingle_sets():
     for text in [*ODD, "A b c D", "ÄB äb"]:
         for k in (3, 5):
