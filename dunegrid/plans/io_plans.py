@@ -106,18 +106,30 @@ def geotiff_roundtrip(spark, sf):
     return cells.filter(F.col("v").isNotNull()).select(c.alias("c"), r.alias("r"), "v")
 
 
+#: Rows of windows in a file of ``edge_windows``.
+FILE_ROWS = 2
+
+
+def edge_windows(spark, cells, out_dir: str):
+    """Cells (c, r, v) written as a streamed file per block of rows, so that files
+    and tasks grow with the layer, and scanned in windows that divide neither a
+    file's width nor its height; rows come from the files' ymax."""
+    width, height = cells.agg(F.max("c") + 1, F.max("r") + 1).first()
+    block = F.floor(F.col("row_key") / FILE_ROWS)
+    top = block * (FILE_ROWS * 48)
+    tiles = gr.assemble_tiles(cells, 48, 48).withColumns({
+        "file": F.format_string("layer_%d.TIF", block), "height": F.least(F.lit(FILE_ROWS * 48), F.lit(height) - top),
+        "ymax": -top, "row_key": F.col("row_key") % FILE_ROWS})
+    geotiff.write_geotiff_windows(tiles, out_dir, "file", int(width or 0), F.col("height"), 48, ymax=F.col("ymax"))
+    back = gr.explode_tiles(geotiff.read_geotiff(spark, out_dir, tile_size=37), keep=("ymax",))
+    r = (F.col("row") - F.col("ymax")).cast("int").alias("r")
+    return back.filter(F.col("v").isNotNull()).select("c", r, "v")
+
+
 @register("geotiff_edge_windows", ops=("A1", "A3", "A6", "A11", "I5", "I7"),
           sql=with_ctes(PX, NM, body="SELECT c, r, v FROM nm"))
 def geotiff_edge_windows(spark, sf):
-    """One streamed file for the whole layer, scanned in windows that divide
-    neither its width nor its height; cells come from the windows' offsets."""
-    nm = td.max_nir(spark, sf)
-    width, height = nm.agg(F.max("c") + 1, F.max("r") + 1).first()
-    tiles = gr.assemble_tiles(nm, 48, 48).withColumn("file", F.lit("layer.TIF"))
-    out_dir = scratch_table_path(spark, "geotiff")
-    geotiff.write_geotiff_windows(tiles, out_dir, "file", int(width), int(height), 48)
-    cells = gr.explode_tiles(geotiff.read_geotiff(spark, out_dir, tile_size=37))
-    return cells.filter(F.col("v").isNotNull()).select("c", "r", "v")
+    return edge_windows(spark, td.max_nir(spark, sf), scratch_table_path(spark, "geotiff"))
 
 
 # Fixed parameters: (query suffix, compression, sample type, predictor).

@@ -508,13 +508,13 @@ def write_geotiff(tiles: DataFrame, out_dir: str, name_cols=("col_key", "row_key
 
 
 def write_geotiff_windows(windows: DataFrame, out_dir: str, file_col: str, width, height, tile_size: int,
-                          xmin: float = 0.0, ymax: float = 0.0, dx: float = 1.0, dy: float = -1.0,
+                          xmin: float = 0.0, ymax=0.0, dx: float = 1.0, dy: float = -1.0,
                           crs: int = 0, storage: dict | None = None) -> DataFrame:
     """Write one tiled float64 GeoTIFF per value of ``file_col`` (a path below
     ``out_dir``) from windows (col_key, row_key, cols, rows, cells) of a
     ``tile_size`` grid (a multiple of 16).
 
-    ``width`` and ``height`` are numbers or columns of the windows.  The
+    ``width``, ``height`` and ``ymax`` are numbers or columns of the windows.  The
     windows of a file come to one task in order and each is written and
     forgotten before the next; absent windows become nodata.  The uncompressed
     blocks have one size, so the directory is known before the first of them.
@@ -528,7 +528,8 @@ def write_geotiff_windows(windows: DataFrame, out_dir: str, file_col: str, width
     target_dir = shared_target(spark, out_dir).rstrip("/")
     size = [v if not isinstance(v, int) else F.lit(v) for v in (width, height)]
     rows = windows.select(F.col(file_col).alias("file"), size[0].cast("int").alias("width"),
-                          size[1].cast("int").alias("height"), "col_key", "row_key", "cols", "rows", "cells")
+                          size[1].cast("int").alias("height"),
+                          (F.lit(ymax) if isinstance(ymax, (int, float)) else ymax).cast("double").alias("ymax"), "col_key", "row_key", "cols", "rows", "cells")
     rows = rows.repartition("file").sortWithinPartitions("file", "row_key", "col_key")
     block = tile_size * tile_size * 8
     blank = np.full((tile_size, tile_size), np.nan, "<f8").tobytes()
@@ -559,7 +560,7 @@ def write_geotiff_windows(windows: DataFrame, out_dir: str, file_col: str, width
                            (TAG_COMPRESSION, 3, [1]), (TAG_PHOTOMETRIC, 3, [1]), (TAG_SAMPLES, 3, [1]),
                            (TAG_PLANAR, 3, [1]), (TAG_TILE_WIDTH, 3, [tile_size]), (TAG_TILE_LENGTH, 3, [tile_size]),
                            (TAG_TILE_BYTES, 4, [block] * total), (TAG_SAMPLE_FORMAT, 3, [3]),
-                           *_geo_entries(xmin, ymax, dx, dy, crs), (TAG_GDAL_NODATA, 2, "nan\x00")]
+                           *_geo_entries(xmin, rec["ymax"], dx, dy, crs), (TAG_GDAL_NODATA, 2, "nan\x00")]
                 head = _directory(entries, TAG_TILE_OFFSETS, [block] * total)
                 fh, commit = _put(f"{target_dir}/{at}", storage)
                 fh.write(head)

@@ -129,6 +129,18 @@ def test_windowed_sink_writes_absent_windows_as_nodata(spark, tmpdir_fresh):
     assert got == {(x.file == "a/X.TIF", x.c, x.r): x.v for x in cells.collect()}
 
 
+def test_layer_is_a_file_per_block_of_rows(spark, tmpdir_fresh):
+    import os
+
+    from dunegrid.plans import io_plans
+    cells = spark.createDataFrame([(c, r, float(c + 1000 * r)) for c in range(60) for r in (0, 47, 95, 96, 200, 300, 301)],
+                                  "c int, r int, v double")
+    got = io_plans.edge_windows(spark, cells, tmpdir_fresh).collect()
+    assert sorted((x.c, x.r, x.v) for x in got) == sorted((x.c, x.r, x.v) for x in cells.collect())
+    assert sorted(f for f in os.listdir(tmpdir_fresh) if f.endswith(".TIF")) == [
+        f"layer_{i}.TIF" for i in (0, 1, 2, 3)]
+
+
 def test_delimited(spark, tmpdir_fresh):
     p = f"{tmpdir_fresh}/iris.txt"
     with open(p, "w") as fh:
