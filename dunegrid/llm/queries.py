@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and of the pipeline: each applies
+"""Registered queries of the operators: each applies
 its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunegrid.llm import digest, main_text, mixing, near_dup, packing, quality, sharding, token_orc, top_k, warc
+from dunegrid.llm import (digest, main_text, merkle, mixing, near_dup, packing, quality, resample, sharding, token_orc,
+                          top_k, warc)
 from dunegrid.llm.common import table
 from dunegrid.session import checkpoint_dir
 
@@ -102,6 +103,113 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000,
+                          seed=2024, percent=10, least_words=20)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.every_seventh(), fanout=2)
+
+
+# CRC-32 byte by byte over a table made from its polynomial.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(0, strlen({0})),
+    lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)"""
+OP11_SQL = f"""
+WITH {CRC_TABLE}, words AS MATERIALIZED (
+  SELECT doc_id, CAST(unnest(n.w) AS VARCHAR) AS w FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents) n
+), target AS MATERIALIZED (
+  SELECT CAST(unnest(n.w) AS VARCHAR) AS w FROM (
+    SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) n
+), feature AS MATERIALIZED (
+  SELECT w, CAST({CRC.format("w")} AS BIGINT) % 10000 AS bucket
+  FROM (SELECT w FROM words UNION SELECT w FROM target), crc_table
+), s AS (SELECT bucket, count(*) AS n FROM words JOIN feature USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN feature USING (w) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM words) + 10000 AS s, (SELECT count(*) FROM target) + 10000 AS t),
+gain AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST(totals.s AS DOUBLE))
+    / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST(totals.t AS DOUBLE)))) AS BIGINT) AS g
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), totals
+), weights AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS g
+  FROM words JOIN feature USING (w) JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features,
+    CASE WHEN n IS NULL THEN 0 ELSE CAST((g - ((g % n) + n) % n) AS BIGINT) // n END AS weight,
+    CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS h
+  FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id
+), drawn AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM scored
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM drawn WHERE n_features >= 20
+)
+SELECT d.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+  CASE WHEN rank <= 10 * n // 100 THEN CAST(rank AS BIGINT) END AS rank
+FROM drawn d LEFT JOIN ranked r ON r.doc_id = d.doc_id
+"""
+OP12_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+OP12_LEAF = "sha256(" + " || ".join(OP12_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, leaf AS MATERIALIZED (
+  SELECT doc_id, lang, {OP12_LEAF.format("n_chars")} AS leaf, {OP12_LEAF.format("(n_chars + 1)")} AS other,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+    CAST({CRC.format("CAST(doc_id AS VARCHAR)")} AS BIGINT) % 7 = 0 AS altered
+  FROM documents, crc_table
+), tree AS (
+  SELECT lang, 0 AS level, idx, leaf AS h, n FROM leaf
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY lang, level, idx // 2
+), sub AS MATERIALIZED (
+  SELECT lang, level AS depth, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS level, idx, subroot AS h, n FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2
+  FROM top WHERE n > 1 GROUP BY level, idx // 2
+), near AS MATERIALIZED (
+  SELECT a.lang, a.level, a.idx, CASE WHEN b.idx < a.idx THEN b.h ELSE '' END AS before,
+    CASE WHEN b.idx > a.idx THEN b.h ELSE '' END AS after
+  FROM tree a LEFT JOIN tree b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level
+    AND b.idx = a.idx + 1 - 2 * (a.idx % 2)
+  WHERE a.n > 1
+), far AS MATERIALIZED (
+  SELECT a.level, a.idx, CASE WHEN b.idx < a.idx THEN b.h ELSE '' END AS before,
+    CASE WHEN b.idx > a.idx THEN b.h ELSE '' END AS after
+  FROM top a LEFT JOIN top b ON a.level = b.level AND b.idx = a.idx + 1 - 2 * (a.idx % 2)
+  WHERE a.n > 1
+), path AS MATERIALIZED (
+  SELECT l.doc_id, s.level AS step, s.before, s.after
+  FROM leaf l JOIN near s ON l.lang IS NOT DISTINCT FROM s.lang AND s.idx = l.idx // CAST(pow(2, s.level) AS BIGINT)
+  UNION ALL
+  SELECT l.doc_id, sub.depth + s.level, s.before, s.after
+  FROM leaf l JOIN sub ON l.lang IS NOT DISTINCT FROM sub.lang JOIN far s ON s.idx = sub.idx // CAST(pow(2, s.level) AS BIGINT)
+), proof AS (
+  SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256, count(*) AS steps FROM path GROUP BY doc_id
+), climb AS (
+  SELECT doc_id, 0 AS step, CASE WHEN altered AND n_chars IS NOT NULL THEN other ELSE leaf END AS folded
+  FROM leaf JOIN documents USING (doc_id)
+  UNION ALL
+  SELECT c.doc_id, c.step + 1, sha256(p.before || c.folded || p.after)
+  FROM climb c JOIN path p ON p.doc_id = c.doc_id AND p.step = c.step
+), root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT l.doc_id, l.leaf, sub.subroot, root.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+  c.folded AS folded_root, c.folded = root.root AS verified
+FROM leaf l JOIN sub ON l.lang IS NOT DISTINCT FROM sub.lang LEFT JOIN proof p ON p.doc_id = l.doc_id
+  JOIN climb c ON c.doc_id = l.doc_id AND c.step = coalesce(p.steps, 0), root
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_digest": op1_digest,
     "op2_token_orc": op2_token_orc,
@@ -113,5 +221,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_resample": op11_resample,
+    "op12_merkle": op12_merkle,
 }
-ORACLES: dict[str, str] = {"op5_top_k": OP5_SQL, "op6_warc": OP6_SQL}
+ORACLES: dict[str, str] = {"op5_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op11_resample": OP11_SQL,
+                           "op12_merkle": OP12_SQL}
