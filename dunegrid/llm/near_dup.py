@@ -19,9 +19,13 @@ per cent are linked; groups are the links' connected components.
    shares, and is ruled out only DEVIATIONS standard deviations below the
    threshold.  Those classes' whole sets are compared pair by pair inside the
    bucket, and only links that join two groups leave it (once for a few tables,
-   so that a large group is one before all tables have their turn).  Both passes work on
-   pairs of blocks of ``block`` rows, so a bucket of any size is many tasks; no
-   bucket is capped and no other pair between groups is skipped.
+   so that a large group is one before all tables have their turn).  Both passes
+   work on pairs of blocks of ``block`` rows, so a bucket of any size is many
+   tasks; rows of its largest group go only to the blocks of the other groups,
+   which are few then.  Where the other groups of a bucket still have more than
+   ``block`` rows (texts that share a passage, say), its classes meet by an exact
+   prefix filter over their whole sets instead.  No bucket is capped and no other
+   pair between groups is skipped.
 4. Components are found by large-star/small-star rounds.
 
 Words, shingles and empty sets are those of ``shingles.shingle_set``; an empty
@@ -140,15 +144,50 @@ def buckets(classes: DataFrame, m: int, n: int) -> DataFrame:
         distinct.select("t.bucket", "t.table", "rows", "least"), "bucket")
 
 
-def _split(rows: DataFrame, count: str, block: int) -> DataFrame:
-    """Send every row of a bucket to the pairs of its blocks of about ``block``
-    rows: (bucket, low, high) is a group, ``side`` the row's own block."""
-    parts = F.ceil(F.col(count) / F.lit(float(block))).cast("int")
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("class"), parts).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), parts - 1)))
+def shaped(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several groups, with the bucket's largest
+    group (``main``), its rows (``most``) and the rows of all others (``others``)."""
+    sizes = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    shape = sizes.groupBy("bucket").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"),
+        (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
+    return rows.join(shape, "bucket")
+
+
+def _split(rows: DataFrame, block: int) -> DataFrame:
+    """Deal the rows of ``shaped`` buckets to pairs of blocks of about ``block``
+    rows: (bucket, low, high) is a group, ``side`` the row's own block.  Rows of
+    the largest group are not paired with each other, so they go to the blocks
+    of the other groups only."""
+    blocks = F.ceil(F.col("others") / F.lit(float(block))).cast("int")
+    main_blocks = F.ceil(F.col("most") / F.lit(float(block))).cast("int")
+    is_main, number = F.col("root") == F.col("main"), F.xxhash64("class")
+    side = F.when(is_main, blocks + F.pmod(number, main_blocks)).otherwise(F.pmod(number, blocks)).cast("int")
+    others = F.when(is_main, F.sequence(F.lit(0), blocks - 1)).otherwise(F.sequence(F.lit(0), blocks + main_blocks - 1))
+    rows = rows.withColumn("side", side).withColumn("other", F.explode(others)).drop("main", "most", "others")
     return rows.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
 
 
+#: Shingles of a prefix join that are told to be common (with their counts).
+COMMON = 50_000
+
+
+def prefix_buckets(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, table (-1), class, root: a bucket per shingle, holding the classes
+    that have it among their first ``n - ceil(n * percent / 100) + 1`` shingles,
+    rare ones first.  Two sets that reach the threshold share such a shingle,
+    whatever the order (exact prefix filter)."""
+    members = classes.join(sets, "class").select("class", "root", "n", F.explode("members").alias("bucket"))
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    total = classes.join(sets.select("class", "n"), "class").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = F.broadcast(counts.filter(F.col("c") * COMMON > total))  # fewer than COMMON rows
+    ordered = members.join(common, "bucket", "left").groupBy("class", "root", "n").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "bucket"))).alias("s"))
+    most = F.expr(f"CAST(n - (n * {percent} + 99) DIV 100 + 1 AS INT)")
+    return ordered.select("class", "root", F.explode(F.slice("s", F.lit(1), most)).alias("x")).select(
+        "x.bucket", F.lit(-1).alias("table"), "class", "root")
+
+
 def _pairs_of(t: pa.Table, root: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of different groups of a pair of blocks, about ``most`` at a time."""
     n = t.num_rows
@@ -180,7 +219,8 @@ def hopeful(m: int, percent: int):
         n, root, size = t.num_rows, _numbers(t, "root"), t.column("n").to_numpy()
         sketch = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(n, -1)
         halves = t.column("halves").combine_chunks().flatten().to_numpy().reshape(n, -1)
-        x, y = divmod(t.column("table")[0].as_py(), m)
+        table = t.column("table")[0].as_py()
+        x, y = divmod(table, m) if table >= 0 else (0, 0)  # a prefix bucket is of no table
         p = percent / 100
         hit = np.zeros(n, bool)
         for i, j in _pairs_of(t, root, 1 << 15):
@@ -232,13 +272,17 @@ def exact_links(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, per_copy: int = 64) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     a = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("members").alias("sa"))
     b = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("members").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    return (pairs.join(a, "a").join(b, "b").filter(100 * small >= percent * large)
+    # a class with many partners stands once per ``per_copy`` of them
+    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(per_copy))).cast("int").alias("copies"))
+    a = a.join(copies, "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    pairs = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies").cast("int")).drop("copies")
+    return (pairs.join(a, ["a", "copy"]).join(b, "b").filter(100 * small >= percent * large)
             .withColumn("both", both).filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
             .select("a", "b"))
 
@@ -263,23 +307,27 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int, words: int, m: int, b
                    "links-to-least", total)
     roots = components(links).select(F.col("node").alias("class"), "root")
 
-    def join_buckets(tables: list[int] | None) -> None:
-        """Merge groups that share a link inside a bucket (of some tables)."""
+    def join_buckets(first: int = 0) -> None:
+        """Merge groups that share a link inside a bucket (of the ``first`` tables)."""
         nonlocal roots
-        at = found if tables is None else found.filter(F.col("table").isin(tables))
+        at = found.filter(F.col("table").isin([i * m + i for i in range(min(first, m))])) if first else found
         at = at.join(roots.withColumnRenamed("root", "_root"), "class", "left").withColumn(
             "root", F.coalesce("_root", "class")).drop("_root")
-        split = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
-        at = at.join(split.select("bucket"), "bucket").select("bucket", "table", "rows", "class", "root")
+        at = shaped(at.select("bucket", "table", "class", "root"))
+        if not first:  # of what the first tables left apart
+            at = stored(at, "split-buckets", total)
+            wide = at.filter(F.col("others") > block).select("class", "root").distinct()
+            if not wide.isEmpty():
+                wide = stored(prefix_buckets(wide, sets, percent), "prefix-buckets", total)
+                at = at.filter(F.col("others") <= block).unionByName(shaped(wide))
         # who may have a partner in another group?
         at = at.join(classes.drop("doc_id", "key"), "class")
-        hope = _split(at, "rows", block).groupBy("bucket", "low", "high").applyInArrow(
+        hope = _split(at, block).groupBy("bucket", "low", "high").applyInArrow(
             hopeful(m, percent), "bucket long, class binary, root binary")
         hope = stored(hope.distinct(), "hopeful", total)
         # whole sets of those, bucket by bucket
-        sizes = hope.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-        whole = hope.join(sizes, "bucket").join(sets.select("class", "members"), "class")
-        more = _split(whole, "rows", max(1, block // 2)).groupBy("bucket", "low", "high").applyInArrow(
+        whole = shaped(hope).join(sets.select("class", "members"), "class")
+        more = _split(whole, max(1, block // 2)).groupBy("bucket", "low", "high").applyInArrow(
             exact_links(percent), "a binary, b binary")
         more = stored(more.distinct(), "links-between", total)
         if more.isEmpty():
@@ -292,8 +340,8 @@ def linked(docs: DataFrame, rows: DataFrame, percent: int, words: int, m: int, b
         roots = stored(old.unionByName(new), "groups", total)
 
     # 2. buckets of a few tables, which join most of a large group, then of all
-    join_buckets([i * m + i for i in range(min(FIRST_TABLES, m))])
-    join_buckets(None)
+    join_buckets(FIRST_TABLES)
+    join_buckets()
     return roots
 
 
