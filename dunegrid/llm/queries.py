@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunegrid.llm import (digest, main_text, merkle, mixing, near_dup, packing, quality, resample, sharding, token_orc,
+from dunegrid.llm import (digest, main_text, maxent, merkle, mixing, near_dup, packing, quality, resample, sharding, token_orc,
                           top_k, warc)
 from dunegrid.llm.common import table
 from dunegrid.session import checkpoint_dir
@@ -112,6 +112,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.every_seventh(), fanout=2)
 
 
+def op13_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 # CRC-32 byte by byte over a table made from its polynomial.
 CRC_TABLE = """crc_table AS MATERIALIZED (
   SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
@@ -223,6 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_resample": op11_resample,
     "op12_merkle": op12_merkle,
+    "op13_maxent": op13_maxent,
 }
 ORACLES: dict[str, str] = {"op5_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op11_resample": OP11_SQL,
                            "op12_merkle": OP12_SQL}
