@@ -24,13 +24,24 @@ _SPREAD_STEPS = (
 )
 
 
+# The same for a 3-D code of three integers of at most 21 bits,
+# applied after shifts of 32, 16, 8, 4, 2.
+_SPREAD3_STEPS = (
+    (32, 0x001F00000000FFFF),
+    (16, 0x001F0000FF0000FF),
+    (8, 0x100F00F00F00F00F),
+    (4, 0x10C30C30C30C30C3),
+    (2, 0x1249249249249249),
+)
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _spread_bits(v: Column) -> Column:
+def _spread_bits(v: Column, steps=_SPREAD_STEPS) -> Column:
     x = v.cast("long")
-    for shift, mask in _SPREAD_STEPS:
+    for shift, mask in steps:
         x = F.shiftleft(x, shift).bitwiseOR(x).bitwiseAND(F.lit(mask))
     return x
 
@@ -43,6 +54,16 @@ def morton2(col_idx, row_idx) -> Column:
     return F.shiftleft(_spread_bits(_c(col_idx)), 1).bitwiseOR(_spread_bits(_c(row_idx)))
 
 
+def morton3(col_idx, row_idx, step) -> Column:
+    """Z-order code of (column, row, time step), in this order of bits.
+
+    ``morton3(5, 3, 1) == 279`` (101, 011, 001 interleaved).  Inputs must be
+    non-negative and below 2**21.
+    """
+    a, b, c = (_spread_bits(_c(x), _SPREAD3_STEPS) for x in (col_idx, row_idx, step))
+    return F.shiftleft(a, 2).bitwiseOR(F.shiftleft(b, 1)).bitwiseOR(c)
+
+
 def lonlat_to_mercator_x(lon) -> Column:
     return F.radians(_c(lon)) * F.lit(EARTH_RADIUS)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dunegrid.functions.geometry import morton3
 from dunegrid.operators import assembly, composite, mask
 from dunegrid.operators import grid as gr
 from dunegrid.plans.fixtures import BOX, PERIOD, POLYGON
@@ -31,6 +32,53 @@ def catalog_area_time_query(spark, sf):
     return q.select("scene", "c", "r", F.col("acquired").cast("date").alias("acquired_day"), "red", "nir")
 
 
+# Fixed parameters: days of a time step, and a box across the borders of Morton
+# quadrants (columns 63 | 64, rows 7 | 8).
+STEP_DAYS, BORDER_BOX = 90, (60, 6, 69, 10)
+_BITS3 = " + ".join(f"((({k} >> {b}) & 1) << {3 * b + 2 - d})" for b in range(12)
+                    for d, k in enumerate(("col_key", "row_key", "step")))
+
+
+@register("space_time_keys", ops=("A9", "F4"),
+          sql=with_ctes(PX, ("k", f"""
+SELECT DISTINCT CAST(c // 4 AS BIGINT) AS col_key, CAST(r // 4 AS BIGINT) AS row_key,
+  CAST(date_diff('day', DATE '1970-01-01', CAST(acquired AS DATE)) // {STEP_DAYS} AS BIGINT) AS step FROM px"""), body=f"""
+SELECT col_key, row_key, step, {_BITS3} AS zkey FROM k"""))
+def space_time_keys(spark, sf):
+    """Three-way interleaved codes of tile column, tile row and time step."""
+    keys = td.px(spark, sf).select(
+        F.floor(F.col("c") / 4).alias("col_key"), F.floor(F.col("r") / 4).alias("row_key"),
+        catalog.time_step("acquired", STEP_DAYS).cast("long").alias("step")).distinct()
+    return keys.withColumn("zkey", morton3("col_key", "row_key", "step"))
+
+
+@register("catalog_border_box", ops=("A9", "A10", "F4", "B4"),
+          sql=with_ctes(PX, body=f"""
+SELECT scene, c, r, count(*) AS n, max(nir) AS nir FROM px
+WHERE c >= {BORDER_BOX[0]} AND c < {BORDER_BOX[2]} AND r >= {BORDER_BOX[1]} AND r < {BORDER_BOX[3]}
+GROUP BY scene, c, r"""))
+def catalog_border_box(spark, sf):
+    """A small box that lies in four quadrants of the curve: a few ranges of codes,
+    where the codes of its corners span most of the layer."""
+    path = scratch_table_path(spark, "catalog")
+    catalog.write_catalog(td.px(spark, sf), path, layer="px", zoom=0, tile_size=2)
+    q = catalog.read_catalog(spark, path, "px", 0, extent=BORDER_BOX)
+    return q.groupBy("scene", "c", "r").agg(F.count(F.lit(1)).alias("n"), F.max("nir").alias("nir"))
+
+
+@register("catalog_space_time_query", ops=("A9", "A10", "F4", "B4", "B6"),
+          sql=with_ctes(PX, body=f"""
+SELECT scene, c, r, CAST(acquired AS DATE) AS acquired_day, red, nir FROM px
+WHERE c >= {BORDER_BOX[0]} AND c < {BORDER_BOX[2]} AND r >= {BORDER_BOX[1]} AND r < {BORDER_BOX[3]}
+  AND acquired BETWEEN TIMESTAMP '{PERIOD[0]}' AND TIMESTAMP '{PERIOD[1]}'"""))
+def catalog_space_time_query(spark, sf):
+    """Area and period on a layer stored in space-time order."""
+    path = scratch_table_path(spark, "catalog")
+    catalog.write_catalog(td.px(spark, sf), path, layer="px", zoom=0, tile_size=4, time_days=STEP_DAYS)
+    q = catalog.read_catalog(spark, path, "px", 0, extent=BORDER_BOX, period=PERIOD)
+    return q.select("scene", "c", "r", F.col("acquired").cast("date").alias("acquired_day"), "red", "nir")
+
+
 @register("max_ndvi_from_catalog", ops=("D2", "A9", "A10", "C3", "B6", "H1"),
           sql=with_ctes(PX, ("sel", f"SELECT * FROM px WHERE acquired BETWEEN "
                                     f"TIMESTAMP '{PERIOD[0]}' AND TIMESTAMP '{PERIOD[1]}'"),

@@ -7,25 +7,33 @@ on ``zkey`` and sorted within partitions, then written with
 row groups, so an area query reads few row groups.  Dynamic partition
 overwrite replaces only the (layer, zoom) partitions being written.
 
+With ``time_days`` the key order is space and time: ``zkey`` interleaves tile
+column, tile row and the time step (``time_days`` days each, counted from
+1970-01-01), so that a query by area and period reads few row groups.
+
 Next to the rows the catalog stores one layout row per (layer, zoom): tile
-size, grid (origin, cell size), CRS, cell bounds, tile-key bounds and record
-count, all from one aggregate over what was written.
+size, grid (origin, cell size), CRS, key order, cell bounds, tile-key and step
+bounds and record count.  They are observed while the rows are written (in the
+job's last stage, where a retried or speculative task counts once), so nothing
+is scanned again.
 
 Read: ``layer``/``zoom`` equalities prune directories; the layout row gives the
-tile size; the area becomes plain range predicates on ``c``/``r``, on the
-derived tile keys and on ``zkey`` (the Morton code grows with either key, so an
-area lies between the codes of its corners), which Parquet uses for row-group
-skipping; the period becomes a range on the time column.
+tile size; the area becomes plain range predicates on ``c``/``r`` and on the
+derived tile keys, and area and period together a bounded union of ``zkey``
+ranges (``functions.curve``), which Parquet uses for row-group skipping; the
+period becomes a range on the time column as well.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from dunegrid.functions.geometry import morton2
+from dunegrid.functions.curve import in_ranges, z_ranges
+from dunegrid.functions.geometry import morton2, morton3
 from dunegrid.operators.assembly import _fail_if
 
 #: Folder of the layout rows (hidden from a scan of the catalog by its name).
@@ -36,34 +44,53 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "zoom").parquet(path)
 
 
+#: Days of 1970-01-01 onward that a step may number (21 bits of the code).
+_EPOCH, _MAX_KEY = "1970-01-01", 1 << 21
+
+
+def time_step(time_col: str, time_days: int) -> Column:
+    """Number of the step of ``time_days`` days that a time falls into."""
+    days = F.datediff(F.col(time_col).cast("date"), F.lit(_EPOCH).cast("date"))
+    return F.floor(days / F.lit(int(time_days))).cast("int")
+
+
 def write_catalog(cells: DataFrame, path: str, layer: str, zoom: int, tile_size: int = 256,
-                  c: str = "c", r: str = "r", grid=None, crs: int = 0) -> None:
+                  c: str = "c", r: str = "r", grid=None, crs: int = 0, time_days: int | None = None,
+                  time_col: str = "acquired") -> None:
     """Write one layer at one zoom.  ``grid`` (x0, y0, dx, dy; unit cells by
-    default) and ``crs`` describe it; cell coordinates must not be negative."""
+    default) and ``crs`` describe it; cell coordinates must not be negative.
+    ``time_days`` chooses the key order of space and time."""
     x0, y0, dx, dy = (grid.x0, grid.y0, grid.dx, grid.dy) if grid is not None else (0.0, 0.0, 1.0, 1.0)
     negative = _fail_if((F.col(c) < 0) | (F.col(r) < 0), "cell coordinates must not be negative")
     keyed = (cells.filter(negative)
              .withColumn("col_key", F.floor(F.col(c) / tile_size).cast("int"))
-             .withColumn("row_key", F.floor(F.col(r) / tile_size).cast("int"))
-             .withColumn("zkey", morton2(F.col("col_key"), F.col("row_key")))
-             .withColumn("layer", F.lit(layer))
-             .withColumn("zoom", F.lit(int(zoom))))
+             .withColumn("row_key", F.floor(F.col(r) / tile_size).cast("int")))
+    bounds = [(c, "col_min", "col_max"), (r, "row_min", "row_max"), ("col_key", "col_key_min", "col_key_max"),
+              ("row_key", "row_key_min", "row_key_max")]
+    if time_days is None:
+        keyed = keyed.withColumn("zkey", morton2("col_key", "row_key"))
+    else:
+        keyed = keyed.withColumn("step", time_step(time_col, time_days))
+        out = F.col("step").isNull() | (F.col("step") < 0) | (F.greatest("step", "col_key", "row_key") >= _MAX_KEY)
+        keyed = keyed.filter(_fail_if(out, "time steps from 1970 on and keys below 2**21 are needed")).withColumn(
+            "zkey", morton3("col_key", "row_key", "step"))
+        bounds.append(("step", "step_min", "step_max"))
     # range bounds on (zkey, r, c, ...): a heavily populated tile is split
     # over several partitions instead of landing in one task
     extra = [x for x in cells.columns if x not in (c, r)][:1]
-    _write(keyed.repartitionByRange("zkey", r, c, *extra).sortWithinPartitions("zkey", r, c), path)
-    stored = cells.sparkSession.read.parquet(f"{path}/layer={layer}/zoom={int(zoom)}")
-    layout = stored.agg(
-        *[f(x).cast("int").alias(n) for x, lo, hi in (
-            (c, "col_min", "col_max"), (r, "row_min", "row_max"),
-            ("col_key", "col_key_min", "col_key_max"), ("row_key", "row_key_min", "row_key_max"))
-          for f, n in ((F.min, lo), (F.max, hi))],
-        F.count(F.lit(1)).alias("n_records"))
-    layout = layout.select(
-        F.lit(layer).alias("layer"), F.lit(int(zoom)).alias("zoom"), F.lit(int(tile_size)).alias("tile_size"),
-        *[F.lit(float(v)).alias(n) for n, v in (("x0", x0), ("y0", y0), ("dx", dx), ("dy", dy))],
-        F.lit(int(crs)).alias("crs"), *layout.columns)
-    _write(layout, f"{path}/{LAYOUT}")
+    ordered = keyed.repartitionByRange("zkey", r, c, *extra).sortWithinPartitions("zkey", r, c)
+    seen = Observation()
+    observed = ordered.observe(seen, F.count(F.lit(1)).alias("n_records"),
+                               *[f(x).alias(n) for x, lo, hi in bounds for f, n in ((F.min, lo), (F.max, hi))])
+    _write(observed.drop("step").withColumns({"layer": F.lit(layer), "zoom": F.lit(int(zoom))}), path)
+    found = seen.get
+    ints = ["col_min", "col_max", "row_min", "row_max", "col_key_min", "col_key_max", "row_key_min", "row_key_max",
+            "step_min", "step_max"]
+    row = (layer, int(zoom), int(tile_size), float(x0), float(y0), float(dx), float(dy), int(crs), time_days,
+           *[found.get(n) for n in ints], found["n_records"])
+    schema = ("layer string, zoom int, tile_size int, x0 double, y0 double, dx double, dy double, crs int, "
+              "time_days int, " + ", ".join(f"{n} int" for n in ints) + ", n_records long")
+    _write(cells.sparkSession.createDataFrame([row], schema), f"{path}/{LAYOUT}")
 
 
 def read_layout(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
@@ -77,18 +104,34 @@ def read_layout(spark: SparkSession, path: str, layer: str | None = None) -> Dat
             .withColumn("ymin", F.least(*y)).withColumn("ymax", F.greatest(*y)))
 
 
-def _morton_int(x: int, y: int) -> int:
-    out = 0
-    for b in range(32):
-        out |= ((x >> b) & 1) << (2 * b + 1) | ((y >> b) & 1) << (2 * b)
-    return out
+def key_ranges(layout, extent=None, period=None, budget: int = 64) -> list[tuple[int, int]]:
+    """``zkey`` ranges of a layer (its layout row) for an extent and a period of
+    ISO dates or times, each optional: bounded by what the layer holds."""
+    lo = [layout["col_key_min"], layout["row_key_min"]]
+    hi = [layout["col_key_max"], layout["row_key_max"]]
+    if lo[0] is None:  # an empty layer
+        return []
+    if extent is not None:
+        size = int(layout["tile_size"])
+        xmin, ymin, xmax, ymax = extent
+        # cells whose box meets the extent: from floor(min) on, to before max
+        lo = [max(a, math.floor(v) // size) for a, v in zip(lo, (xmin, ymin))]
+        hi = [min(b, (math.ceil(v) - 1) // size) for b, v in zip(hi, (xmax, ymax))]
+    if layout["time_days"] is not None:
+        steps = [layout["step_min"], layout["step_max"]]
+        if period is not None:
+            at = [(np.datetime64(str(t)[:10]) - np.datetime64(_EPOCH)).astype(int) // layout["time_days"] for t in period]
+            steps = [max(steps[0], int(at[0])), min(steps[1], int(at[1]))]
+        lo, hi = [*lo, steps[0]], [*hi, steps[1]]
+    return z_ranges(lo, hi, budget)
 
 
 def read_catalog(spark: SparkSession, path: str, layer: str, zoom: int, extent=None,
-                 period=None, time_col: str = "acquired", c: str = "c", r: str = "r") -> DataFrame:
+                 period=None, time_col: str = "acquired", c: str = "c", r: str = "r", budget: int = 64) -> DataFrame:
     """Query one layer at one zoom, optionally by extent (xmin, ymin, xmax, ymax
-    in cell space, cells whose box meets it) and period (inclusive)."""
-    layout = read_layout(spark, path, layer).filter(F.col("zoom") == int(zoom)).select("tile_size").first()
+    in cell space, cells whose box meets it) and period (inclusive); at most
+    ``budget`` key ranges go to the scan."""
+    layout = read_layout(spark, path, layer).filter(F.col("zoom") == int(zoom)).first()
     if layout is None:
         raise ValueError(f"the catalog has no layer {layer!r} at zoom {zoom}")
     tile_size = int(layout["tile_size"])
@@ -100,8 +143,9 @@ def read_catalog(spark: SparkSession, path: str, layer: str, zoom: int, extent=N
         df = df.filter((F.col(c) > F.lit(xmin - 1)) & (F.col(c) < F.lit(xmax))
                        & (F.col(r) > F.lit(ymin - 1)) & (F.col(r) < F.lit(ymax))
                        # redundant key ranges: row-group pruning on the clustered keys
-                       & F.col("col_key").between(lo[0], hi[0]) & F.col("row_key").between(lo[1], hi[1])
-                       & F.col("zkey").between(_morton_int(*lo), _morton_int(*hi)))
+                       & F.col("col_key").between(lo[0], hi[0]) & F.col("row_key").between(lo[1], hi[1]))
+    if extent is not None or (period is not None and layout["time_days"] is not None):
+        df = df.filter(in_ranges(F.col("zkey"), key_ranges(layout, extent, period, budget)))
     if period is not None:
         t0, t1 = period
         dt = df.schema[time_col].dataType
