@@ -11,10 +11,13 @@ what is no visible text (scripts, styles, form fields, hidden elements) and
 without furniture: menus, page headers, footers, sidebars, forms, notices,
 adverts and reader comments, known by element name, role, class or id.  Such an
 element is one bounded negative score, so the region can reach across it.
-Furniture is scanned for its own best region first: those of one kind side by
-side (a form around the page, a wrapper of class has-sidebar, widgets that hold
-the text; a kind is the name, the role, or the class as written) are read like any other element when half of what they hold scores
-more than the best region without them and all of it more than ``least``.  A mark is one more, bounded feature: on a
+Furniture that
+holds the page's content (a form around the page, widgets around the text) is
+read like any other element: that of one kind (the name, the role, or the class
+as written) with the best region of its own, where a mark begins inside it and
+none stands outside, or where no region outside furniture scores more than
+``least``.  Beside a region of content, furniture stays out whatever its length;
+the same holds again inside furniture that is read.  A mark is one more, bounded feature: on a
 page whose mark holds all words, a word in it scores half as much again and a
 tag in it a tenth, so short blocks at its ends stay; the smaller the mark's
 share of the words, the weaker it is, so a teaser in an ``<article>`` does not
@@ -60,6 +63,8 @@ FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertiseme
                             "masthead paywall pagination pager teaser teasers".split())
 #: Those of an article, whose class often names the topic.
 ARTICLE_WORDS = frozenset("comment comments teaser related promo ad sponsored".split())
+#: A class that starts so says what is (not) beside an element: has-sidebar, no-footer.
+BESIDE = frozenset("has have with without no not is hide".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 "
                      "h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -93,8 +98,7 @@ class Weights:
     #: What a mark that holds all words adds to a word's score, and takes off a tag's.
     mark_word: float = 0.5
     mark_tag: float = 0.9
-    #: What furniture's region counts against one without it, and what it must exceed.
-    furniture: float = 0.5
+    #: A region without a mark that scores no more is not the page's content.
     least: float = 10.0
 
 
@@ -134,9 +138,10 @@ def _kind(name: str, attrs: str, in_article: bool) -> tuple[bool, str]:
     if known or role in FURNITURE_ROLES:
         return False, known or role
     known_words = ARTICLE_WORDS if name == "article" else FURNITURE_WORDS
-    found: dict[str, str] = {}  # a word and the shortest name it stands in: has-sidebar is no sidebar
+    found: dict[str, str] = {}  # a word and the shortest name it stands in
     for given in f"{a.get('class', '')} {a.get('id', '')}".split():
-        for word in {w.lower() for w in _WORDS.findall(given)}:
+        words = [w.lower() for w in _WORDS.findall(given)]
+        for word in set(words if words and words[0] not in BESIDE else ()):
             if word in known_words or (word == "header" and name != "article" and not in_article):
                 found[word] = min(found.get(word, given), given, key=len)
     return False, " ".join(sorted({re.sub(r"\d+", "", x).lower() for x in found.values()}))
@@ -271,21 +276,20 @@ def settle(items: list[Run], w: Weights) -> list[Run]:
     if not any(r.kind for r in items):
         return items
     held: dict[str, float] = {}
+    marks: set[str] = set()  # kinds in which a mark begins
     for r in items:
         if r.kind:
             r.inner = settle(r.inner, w)
             held[r.kind] = held.get(r.kind, 0.0) + _value(r.inner, w)
-    kinds: set[str] = set()
-    best = _opened(items, kinds)
-    value = None
-    for v, kind in sorted(((v, k) for k, v in held.items() if v > w.least), reverse=True):
-        value = _value(best, w) if value is None else value
-        if w.furniture * v <= value:
-            break  # kinds come best first
-        kinds.add(kind)
-        best = _opened(items, kinds)
-        value = _value(best, w)
-    return best
+            if not r.marked and any(x.marked and x.text.strip() for x in r.inner):
+                marks.add(r.kind)
+    closed = _opened(items, set())
+    marked = any(r.marked and r.text.strip() for r in closed)
+    kinds = held.keys() if marked or not marks else marks
+    if (marked or not marks) and _value(closed, w) > (0 if marked else w.least):
+        return closed
+    value, kind = max((held[k], k) for k in kinds)
+    return _opened(items, {kind}) if kind in marks or value > w.least else closed
 
 
 def main_text(page: str | None, w: Weights) -> str:

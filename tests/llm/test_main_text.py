@@ -164,6 +164,31 @@ def test_long_furniture_beside_a_longer_text_stays_out():
     assert main_text.main_text(f"<form>{given}</form>", W) == body
 
 
+ASIDE = {
+    "comments after": ("<article><p>{0}</p></article><section class='comments'><p>{1}</p></section>", 100, 500),
+    "footer": ("<article><p>{0}</p></article><footer><p>{1}</p></footer>", 60, 300),
+    "cookie notice": ("<div id='cookie-notice'><p>{1}</p></div><article><p>{0}</p></article>", 60, 300),
+    "aside in main": ("<main><p>{0}</p><aside><p>{1}</p></aside></main>", 60, 300),
+    "comments inside": ("<article><p>{0}</p><div class='reader-comments'><p>{1}</p></div></article>", 100, 500),
+    "without a mark": ("<div><p>{0}</p></div><div class='sidebar'><p>{1}</p></div>", 60, 3000),
+    "in a page-wide form": ("<form id='f'><article><p>{0}</p></article><section id='comments'><p>{1}</p></section></form>", 60, 500),
+    "short text": ("<article><p>{0}</p></article><section class='comments'><p>{1}</p></section>", 6, 500),
+    "teaser in the footer": ("<article><p>{0}</p></article><footer><article><p>{1}</p></article></footer>", 60, 300),
+    "mark in a wrapper": ("<form><main><p>{0}</p></main></form><div><p>{1}</p></div>", 200, 30),
+    "wrapper says what is beside": ("<div class='with-sidebar'><p>{0}</p></div><div class='sidebar'><p>{1}</p></div>", 40, 900),
+}
+
+
+@pytest.mark.parametrize("name", ASIDE)
+def test_furniture_stays_out_whatever_its_length(learned, name):
+    given, n, long = ASIDE[name]
+    body = words("w", n)
+    given = f"<html><body><nav><a href='/'>Home</a></nav>{given.format(body, words('c', long))}</body></html>"
+    for w in (W, learned):
+        got = main_text.main_text(given, w)
+        assert got == body or name == "mark in a wrapper" and got.startswith(body)
+
+
 def test_deeply_nested_furniture():
     body = words("w", 300)
     assert main_text.main_text("<div class='ad'>" * 3000 + body, W) == body
