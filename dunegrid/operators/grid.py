@@ -424,6 +424,71 @@ def _bilinear_numpy(v: list[np.ndarray], w: list[np.ndarray], fx: np.ndarray, fy
 MapXY = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def _reach(at: list[np.ndarray], slack: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Target indices whose centres may lie between a support's corners
+    (``slack`` of a target cell for the bend of its edges)."""
+    return (np.ceil(np.minimum.reduce(at) - slack).astype(np.int64),
+            np.floor(np.maximum.reduce(at) + slack).astype(np.int64))
+
+
+def route_to_tiles(b: pa.RecordBatch, src: Grid, dst: Grid, forward: MapXY, tile: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch (cells ``_c``, ``_r`` of ``src``) once per work tile
+    (``_tx``, ``_ty``) of ``dst`` that their bilinear support reaches."""
+    x = src.x0 + (b.column("_c").to_numpy() + 0.5) * src.dx
+    y = src.y0 + (b.column("_r").to_numpy() + 0.5) * src.dy
+    ends = [forward(x + ox * src.dx, y + oy * src.dy) for ox in (-1, 1) for oy in (-1, 1)]
+    u0, u1 = _reach([(X - dst.x0) / dst.dx - 0.5 for X, _ in ends])
+    v0, v1 = _reach([(Y - dst.y0) / dst.dy - 0.5 for _, Y in ends])
+    near = (u0 <= u1) & (v0 <= v1)
+    a0, a1, b0, b1 = u0 // tile, u1 // tile, v0 // tile, v1 // tile
+    for i in range(int((a1 - a0)[near].max(initial=-1)) + 1):
+        for j in range(int((b1 - b0)[near].max(initial=-1)) + 1):
+            at = np.flatnonzero(near & (a0 + i <= a1) & (b0 + j <= b1))
+            if len(at):
+                part = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array((a0 + i)[at].astype("int32")), pa.array((b0 + j)[at].astype("int32"))],
+                    names=[*part.schema.names, "_tx", "_ty"])
+
+
+def resample_tile(t: pa.Table, n_values: int, src: Grid, dst: Grid, inverse: MapXY,
+                  tile: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Target columns, rows and values (NaN: nodata) of a work tile from the
+    source cells routed to it.  Corners are looked up among the sorted cells,
+    so memory follows the rows routed, not the window they span."""
+    sc, sr = t.column("_c").to_numpy().astype(np.int64), t.column("_r").to_numpy().astype(np.int64)
+    c0, r0 = int(sc.min()), int(sr.min())
+    w, h = int(sc.max()) - c0 + 1, int(sr.max()) - r0 + 1
+    flat = (sr - r0) * w + (sc - c0)
+    order = np.argsort(flat)
+    flat = flat[order]
+    if (flat[1:] == flat[:-1]).any():
+        raise ValueError("several rows for one cell: name the layer columns in keys")
+    tc, tr = np.meshgrid(t.column("_tx")[0].as_py() * tile + np.arange(tile),
+                         t.column("_ty")[0].as_py() * tile + np.arange(tile))
+    tc, tr = tc.ravel(), tr.ravel()
+    x, y = inverse(dst.x0 + (tc + 0.5) * dst.dx, dst.y0 + (tr + 0.5) * dst.dy)
+    u, v = (x - src.x0) / src.dx - 0.5, (y - src.y0) / src.dy - 0.5
+    i0, j0 = np.floor(u), np.floor(v)
+    inside = (i0 >= c0 - 1) & (i0 < c0 + w) & (j0 >= r0 - 1) & (j0 < r0 + h)
+    tc, tr, u, v, i0, j0 = (a[inside] for a in (tc, tr, u, v, i0, j0))
+    fx, fy = u - i0, v - j0
+    i0, j0 = i0.astype(np.int64) - c0, j0.astype(np.int64) - r0
+    weights = [(1.0 - fx) * (1.0 - fy), fx * (1.0 - fy), (1.0 - fx) * fy, fx * fy]
+    corners = []
+    for di, dj in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        i, j = i0 + di, j0 + dj
+        key = j * w + i
+        at = np.minimum(np.searchsorted(flat, key), len(flat) - 1)
+        corners.append((order[at], (flat[at] == key) & (i >= 0) & (i < w) & (j >= 0) & (j < h)))
+    found = []
+    for k in range(n_values):
+        values = t.column(f"_v{k}").to_pandas().to_numpy(dtype="float64")
+        found.append(_bilinear_numpy([np.where(ok, values[at], np.nan) for at, ok in corners], weights, fx, fy))
+    some = ~np.logical_and.reduce([np.isnan(f) for f in found])
+    return tc[some], tr[some], [f[some] for f in found]
+
+
 def resample_on_tiles(cells: DataFrame, value_cols: Sequence[str], src: Grid, dst: Grid,
                       forward: MapXY, inverse: MapXY, c: str = "c", r: str = "r", out_c: str = "tc",
                       out_r: str = "tr", keys: Sequence[str] = (), tile: int = 128) -> DataFrame:
@@ -435,7 +500,7 @@ def resample_on_tiles(cells: DataFrame, value_cols: Sequence[str], src: Grid, ds
     ``tile`` target cells that the support reaches: one tile for most cells, two
     or four at tile borders (the halo), none where no target centre is in
     reach.  One grouped map per tile and key maps every target centre back
-    exactly and gathers its four neighbours from the tile's source window.
+    exactly and gathers its four neighbours among the cells routed there.
     ``keys`` (scene, time, band ...) keep layers apart; several rows of one
     cell and key fail.
     """
@@ -445,68 +510,20 @@ def resample_on_tiles(cells: DataFrame, value_cols: Sequence[str], src: Grid, ds
                         *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
     routed_schema = T.StructType([*rows.schema.fields, T.StructField("_tx", T.IntegerType()),
                                   T.StructField("_ty", T.IntegerType())])
-    slack = 0.05  # of a target cell: for the bend of a support's edges
-
-    def reach(at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Target indices whose centres may lie between the support's corners."""
-        return (np.ceil(np.minimum.reduce(at) - slack).astype(np.int64),
-                np.floor(np.maximum.reduce(at) + slack).astype(np.int64))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = src.x0 + (b.column("_c").to_numpy() + 0.5) * src.dx
-            y = src.y0 + (b.column("_r").to_numpy() + 0.5) * src.dy
-            ends = [forward(x + ox * src.dx, y + oy * src.dy) for ox in (-1, 1) for oy in (-1, 1)]
-            u0, u1 = reach([(X - dst.x0) / dst.dx - 0.5 for X, _ in ends])
-            v0, v1 = reach([(Y - dst.y0) / dst.dy - 0.5 for _, Y in ends])
-            near = (u0 <= u1) & (v0 <= v1)
-            a0, a1, b0, b1 = u0 // tile, u1 // tile, v0 // tile, v1 // tile
-            for i in range(int((a1 - a0)[near].max(initial=-1)) + 1):
-                for j in range(int((b1 - b0)[near].max(initial=-1)) + 1):
-                    at = np.flatnonzero(near & (a0 + i <= a1) & (b0 + j <= b1))
-                    if len(at):
-                        part = b.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays(
-                            [*part.columns, pa.array((a0 + i)[at].astype("int32")), pa.array((b0 + j)[at].astype("int32"))],
-                            names=[*part.schema.names, "_tx", "_ty"])
+            yield from route_to_tiles(b, src, dst, forward, tile)
 
     out_schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(out_c, T.IntegerType()),
                                T.StructField(out_r, T.IntegerType()),
                                *[T.StructField(v, T.DoubleType()) for v in values]])
 
     def per_tile(t: pa.Table) -> pa.Table:
-        sc, sr = t.column("_c").to_numpy(), t.column("_r").to_numpy()
-        c0, r0 = int(sc.min()), int(sr.min())
-        w, h = int(sc.max()) - c0 + 1, int(sr.max()) - r0 + 1
-        flat = (sr.astype(np.int64) - r0) * w + (sc - c0)
-        if len(np.unique(flat)) != len(flat):
-            raise ValueError("several rows for one cell: name the layer columns in keys")
-        tc, tr = np.meshgrid(t.column("_tx")[0].as_py() * tile + np.arange(tile),
-                             t.column("_ty")[0].as_py() * tile + np.arange(tile))
-        tc, tr = tc.ravel(), tr.ravel()
-        x, y = inverse(dst.x0 + (tc + 0.5) * dst.dx, dst.y0 + (tr + 0.5) * dst.dy)
-        u, v = (x - src.x0) / src.dx - 0.5, (y - src.y0) / src.dy - 0.5
-        i0, j0 = np.floor(u), np.floor(v)
-        inside = (i0 >= c0 - 1) & (i0 < c0 + w) & (j0 >= r0 - 1) & (j0 < r0 + h)
-        tc, tr, u, v, i0, j0 = (a[inside] for a in (tc, tr, u, v, i0, j0))
-        fx, fy = u - i0, v - j0
-        i0, j0 = i0.astype(np.int64) - c0, j0.astype(np.int64) - r0
-        corners = [(i0 + di, j0 + dj) for dj in (0, 1) for di in (0, 1)]
-        weights = [(1.0 - fx) * (1.0 - fy), fx * (1.0 - fy), (1.0 - fx) * fy, fx * fy]
-        found = []
-        for k in range(len(values)):
-            window = np.full(w * h, np.nan)
-            window[flat] = t.column(f"_v{k}").to_pandas().to_numpy(dtype="float64")
-            at = []
-            for i, j in corners:
-                ok = (i >= 0) & (i < w) & (j >= 0) & (j < h)
-                at.append(np.where(ok, window[np.where(ok, j * w + i, 0)], np.nan))
-            found.append(_bilinear_numpy(at, weights, fx, fy))
-        some = ~np.logical_and.reduce([np.isnan(f) for f in found])
-        n = int(some.sum())
-        cols = [pa.array([t.column(k)[0].as_py()] * n, t.schema.field(k).type) for k in keys]
-        cols += [pa.array(tc[some].astype("int32")), pa.array(tr[some].astype("int32"))]
-        cols += [pa.array(f[some], mask=np.isnan(f[some])) for f in found]
+        tc, tr, found = resample_tile(t, len(values), src, dst, inverse, tile)
+        cols = [pa.array([t.column(k)[0].as_py()] * len(tc), t.schema.field(k).type) for k in keys]
+        cols += [pa.array(tc.astype("int32")), pa.array(tr.astype("int32"))]
+        cols += [pa.array(f, mask=np.isnan(f)) for f in found]
         return pa.Table.from_arrays(cols, names=[*keys, out_c, out_r, *values])
 
     routed = rows.mapInArrow(route, routed_schema)

@@ -314,7 +314,8 @@ UTM_ZONE = 48
 UTM_ZOOM = 12
 
 
-def _utm_reproject_sql() -> str:
+def utm_ctes(g: gr.Grid, zone: int, zoom: int, name: str = "") -> list[tuple[str, str]]:
+    """CTEs up to ``t<name>``: the source coordinates of the pixels around a UTM raster of nm's size."""
     import numpy as np
 
     from dunegrid.functions import geometry as geo
@@ -322,16 +323,15 @@ def _utm_reproject_sql() -> str:
     def d(x: float) -> str:
         return f"CAST({x!r} AS DOUBLE)"
 
-    res = mercator_resolution(UTM_ZOOM)
+    res = mercator_resolution(zoom)
     half = MERCATOR_HALF_WORLD
-    g = UTM_GRID
     # the raster's corner on the target grid; it reaches below two pixels per
     # cell from there (30 m cells, 38 m pixels, 1 / cos(lat) below 1.5)
-    lon, lat = geo.utm_inverse_np(np.array([g.x0]), np.array([g.y0]), UTM_ZONE)
+    lon, lat = geo.utm_inverse_np(np.array([g.x0]), np.array([g.y0]), zone)
     px0 = int(((np.radians(lon) * EARTH_RADIUS + half) / res)[0]) - 12
     py0 = int(((half - np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * EARTH_RADIUS) / res)[0]) - 12
     e2, ep2 = geo._E2, geo._EP2
-    lam0 = math.radians(geo.utm_central_meridian(UTM_ZONE))
+    lam0 = math.radians(geo.utm_central_meridian(zone))
     ll = f"""
 SELECT px, py,
   radians(degrees(({d(-half)} + (px + 0.5) * {d(res)}) / {d(EARTH_RADIUS)})) - {d(lam0)} AS lam,
@@ -343,20 +343,23 @@ SELECT px, py, phi, tan(phi) AS tn,
   tan(phi) * tan(phi) AS t, {d(ep2)} * cos(phi) * cos(phi) AS c, lam * cos(phi) AS aa,
   {d(EARTH_RADIUS)} * ({d(geo._M1)} * phi - {d(geo._M2)} * sin(2 * phi) + {d(geo._M3)} * sin(4 * phi)
                       - {d(geo._M4)} * sin(6 * phi)) AS m
-FROM ll"""
+FROM ll{name}"""
     xy = f"""
 SELECT px, py,
   {d(geo.UTM_K0)} * n * (aa + (1 - t + c) * pow(aa, 3) / 6
       + (5 - 18 * t + t * t + 72 * c - 58 * {d(ep2)}) * pow(aa, 5) / 120) + {d(geo.UTM_FALSE_EASTING)} AS ux,
   {d(geo.UTM_K0)} * (m + n * tn * (aa * aa / 2 + (5 - t + 9 * c + 4 * c * c) * pow(aa, 4) / 24
       + (61 - 58 * t + t * t + 600 * c - 330 * {d(ep2)}) * pow(aa, 6) / 720)) AS uy
-FROM terms"""
+FROM terms{name}"""
     tt = f"""
 SELECT px, py, u, v, CAST(floor(u) AS INT) AS i0, CAST(floor(v) AS INT) AS j0,
        u - floor(u) AS fx, v - floor(v) AS fy
-FROM (SELECT px, py, (ux - {d(g.x0)}) / {d(g.dx)} - 0.5 AS u, (uy - {d(g.y0)}) / {d(g.dy)} - 0.5 AS v FROM xy) q"""
-    return with_ctes(PX, NM, ("ll", ll), ("terms", terms), ("xy", xy), ("t", tt),
-                     ("nb", _corners_sql("px, py")), body=f"""
+FROM (SELECT px, py, (ux - {d(g.x0)}) / {d(g.dx)} - 0.5 AS u, (uy - {d(g.y0)}) / {d(g.dy)} - 0.5 AS v FROM xy{name}) q"""
+    return [(f"ll{name}", ll), (f"terms{name}", terms), (f"xy{name}", xy), (f"t{name}", tt)]
+
+
+def _utm_reproject_sql() -> str:
+    return with_ctes(PX, NM, *utm_ctes(UTM_GRID, UTM_ZONE, UTM_ZOOM), ("nb", _corners_sql("px, py")), body=f"""
 SELECT {UTM_ZOOM} AS zoom, px, py, CAST(floor(px / 256) AS INT) AS col_key,
        CAST(floor(py / 256) AS INT) AS row_key, floor(({_CORNER_SUM}) * 100.0 + 0.5) / 100.0 AS v
 FROM nb JOIN nm ON nm.c = nb.i AND nm.r = nb.j

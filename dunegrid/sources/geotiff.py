@@ -1,12 +1,10 @@
 """GeoTIFF scan and sink on Spark executors.
 
-Scan (``read_geotiff``): files are listed with Spark's ``binaryFile`` source
-(only path and length, the content column is never read), each file's header
-is parsed on an executor to cut the raster into windows of at most
-``tile_size`` x ``tile_size``, the windows are spread over the cluster by the
-listed bytes, and each window is decoded by reading only the strips or tiles it
-overlaps and leaves the worker at once.  Output is the ``tiles`` form: one row
-per window and sample with a row-major ``cells`` array (nodata -> NULL).
+Scan (``read_geotiff``): the ``geotiff`` data source (``geotiff_source``) lists
+files, cuts them into tasks by their bytes, and decodes one window of at most
+``tile_size`` x ``tile_size`` at a time by reading only the strips or tiles it
+overlaps.  Output is the ``tiles`` form: one row per window and sample with a
+row-major ``cells`` array (nodata -> NULL).
 
 Sinks: ``write_geotiff`` encodes one file per tile row; ``write_geotiff_windows``
 streams the windows of each file in order into one tiled file, so no task ever
@@ -29,7 +27,6 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +45,6 @@ FIELD_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8),
 # GeoKey ids of the projected and geographic CRS codes.
 GEOKEY_PROJECTED, GEOKEY_GEOGRAPHIC = 3072, 2048
 
-WINDOW_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("col_key", T.IntegerType()),
-    T.StructField("row_key", T.IntegerType()), T.StructField("col_off", T.IntegerType()),
-    T.StructField("row_off", T.IntegerType()), T.StructField("cols", T.IntegerType()),
-    T.StructField("rows", T.IntegerType()), T.StructField("tile_size", T.IntegerType()),
-])
-
 TILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("col_key", T.IntegerType()),
     T.StructField("row_key", T.IntegerType()), T.StructField("col_off", T.IntegerType()),
@@ -308,65 +298,20 @@ def read_window(fh, info: TiffInfo, col_off: int, row_off: int, w: int, h: int)
 
 # --- Spark scan ----------------------------------------------------------------------
 
-def _list_windows(storage: dict | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, ts in zip(b["path"], b["tile_size"]):
-                with _open(path, storage) as fh:
-                    info = read_header(fh)
-                ts = int(ts)
-                rows = [(path, ck, rk, ck * ts, rk * ts, min(ts, info.width - ck * ts),
-                         min(ts, info.height - rk * ts), ts)
-                        for rk in range(-(-info.height // ts)) for ck in range(-(-info.width // ts))]
-                yield pd.DataFrame(rows, columns=[f.name for f in WINDOW_SCHEMA.fields])
-    return run
-
-
-def _decode_windows(storage: dict | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One open file at a time (windows come sorted by path) and one window
-        in memory at a time."""
-        fh = info = at = None
-        try:
-            for b in batches:
-                for rec in b.itertuples(index=False):
-                    if rec.path != at:
-                        if fh is not None:
-                            fh.close()
-                        fh, at = _open(rec.path, storage), rec.path
-                        info = read_header(fh)
-                    arr = read_window(fh, info, rec.col_off, rec.row_off, rec.cols, rec.rows)
-                    # NaN marks nodata; turned into NULL on the JVM side
-                    yield pd.DataFrame(
-                        [(rec.path, rec.col_key, rec.row_key, rec.col_off, rec.row_off, k, rec.cols, rec.rows,
-                          info.xmin + rec.col_off * info.dx, info.ymax + rec.row_off * info.dy,
-                          info.dx, info.dy, info.crs, plane.ravel()) for k, plane in enumerate(arr)],
-                        columns=[f.name for f in TILE_SCHEMA.fields])
-        finally:
-            if fh is not None:
-                fh.close()
-    return run
-
-
 def read_geotiff(spark: SparkSession, path: str, tile_size: int = 512,
                  glob: str | None = "*.TIF", recursive: bool = True, storage: dict | None = None,
                  task_bytes: int = 64 << 20) -> DataFrame:
     """Scan GeoTIFF files under ``path`` into windows of at most ``tile_size``,
-    one row per window and sample, about ``task_bytes`` of files per task."""
-    from dunegrid.session import ensure_on_executors
-    ensure_on_executors(spark)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(path)
-    size = listed.agg(F.sum("length")).first()[0] or 0  # from the listing, no file is read
-    files = listed.select("path", F.lit(int(tile_size)).alias("tile_size"))
-    windows = files.mapInPandas(_list_windows(storage), WINDOW_SCHEMA)
-    n = max(1, spark.sparkContext.defaultParallelism, -(-int(size) // task_bytes))
-    # spread windows over the cluster; sorted so one task's windows of a file are adjacent
-    windows = windows.repartition(n, "path", "col_key", "row_key").sortWithinPartitions("path", "row_key", "col_key")
-    tiles = windows.mapInPandas(_decode_windows(storage), TILE_SCHEMA)
-    return tiles.withColumn("cells", F.transform("cells", lambda v: F.when(~F.isnan(v), v)))
+    one row per window and sample, about ``task_bytes`` of files per task: the
+    ``geotiff`` format of :mod:`dunegrid.sources.geotiff_source`."""
+    from dunegrid.sources import geotiff_source
+
+    geotiff_source.register(spark)
+    reader = spark.read.format("geotiff").options(tile_size=tile_size, glob=glob or "*", recursive=recursive,
+                                                  task_bytes=task_bytes)
+    for k, v in (storage or {}).items():
+        reader = reader.option(f"storage.{k}", v)
+    return reader.load(path).select(TILE_SCHEMA.fieldNames())
 
 
 def with_scene_and_band(tiles: DataFrame, pattern: str = r"_B(\d+)(_REF)?\.TIF$") -> DataFrame:
