@@ -1,6 +1,6 @@
 """Chunked record table over WARC archives.
 
-A page is a record; its payload is cut into rows (record id, chunk number,
+A page is a record; its payload is cut into rows (record, chunk number,
 chunk) before it reaches a worker, and the writer streams those rows into a
 gzip member of the archive, so neither side holds a second whole payload.  The
 reader streams an archive back into the same chunk rows; each row carries the
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunegrid.llm.common import prepare, stored
+from dunegrid.session import materialize
 
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 CHUNK_SCHEMA = ("archive string, record_id string, page_id long, url string, record_type string, refers_to long, "
@@ -49,28 +50,43 @@ def base32_sha1(digest: bytes) -> str:
 
 
 def record_table(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), sha1 (hex), payload_bytes, record_type, refers_to."""
+    """page_id, url, payload (binary), sha1 (hex), payload_bytes, record_type, refers_to, number.
+
+    What is a revisit is decided on (page_id, sha1, payload_bytes) alone, with
+    partial aggregates, and joined back by all three, so equal payloads never
+    meet in a task.  ``number`` tells repeated rows apart (the same on a retry).
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        payload.alias("payload")).withColumn("sha1", F.sha1("payload")).withColumn(
-                            "payload_bytes", F.octet_length("payload").cast("long"))
-    shared = (rows.select("page_id", "sha1", "payload_bytes").groupBy("sha1", "payload_bytes")
-              .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+                        payload.alias("payload"), F.monotonically_increasing_id().alias("number"))
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    keys = materialize(rows.select("page_id", "sha1", "payload_bytes"), "warc-digests")
+    shared = (keys.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
               .filter((F.col("n") > 1) & (F.col("payload_bytes") >= min_bytes)).drop("n"))
-    both = rows.join(shared, ["sha1", "payload_bytes"], "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    revisits = keys.distinct().join(shared, ["sha1", "payload_bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    revisits = materialize(revisits.filter("first_id IS NOT NULL").select(
+        F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("payload_bytes").alias("_bytes"), "first_id"),
+        "warc-revisits")
+    both = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1"))
+                     & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    revisit = F.col("first_id").isNotNull()
     return both.select("page_id", "url", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
                        "sha1", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-                       F.when(revisit, F.col("first_id")).alias("refers_to"))
+                       F.col("first_id").alias("refers_to"), "number")
 
 
 def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18) -> DataFrame:
-    """One row per chunk, a record's chunks in a row; an empty payload is one empty chunk."""
+    """One row per chunk, a record's chunks in a row; an empty payload is one
+    empty chunk.  Chunk numbers are exploded and each row cuts its own chunk."""
     last = F.greatest(F.lit(0), F.ceil(F.octet_length("payload") / chunk_bytes) - 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(
-        F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return records.select(*[c for c in records.columns if c != "payload"], (last + 1).alias("n_chunks"),
-                          F.posexplode(cut).alias("chunk_no", "chunk"))
+    rows = records.select("*", (last + 1).alias("n_chunks"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    return rows.withColumn("chunk", F.substring(F.col("payload"), F.col("chunk_no") * chunk_bytes + 1,
+                                                F.lit(chunk_bytes))).drop("payload")
+
+
+def record_id(r: dict) -> str:
+    """A record's id from its page, payload and number: the same when a task is run again."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r['page_id']} {r['sha1']} {r['payload_bytes']} {r['number']} {r['url']}"))
 
 
 def _header(r: dict, block: int, record_id: str) -> bytes:
@@ -110,7 +126,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk_bytes:
                 kept = r["record_type"] == "response"
                 head = HTTP_HEAD.format(r["payload_bytes"]).encode() if kept else b""
                 block = len(head) + (r["payload_bytes"] if kept else 0)
-                out.write(gz.compress(_header(r, block, str(uuid.uuid4())) + head))
+                out.write(gz.compress(_header(r, block, record_id(r)) + head))
             digest.update(r["chunk"])
             out.write(gz.compress(r["chunk"]))
             if r["chunk_no"] == r["n_chunks"] - 1:
