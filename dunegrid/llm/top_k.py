@@ -3,17 +3,24 @@
 Vectors are ordered by length (norm) and cut into buckets of ``bucket_rows``
 rows of nearly equal length.  Queries travel in blocks.
 
+Buckets stay where they are: consecutive buckets form a group of ``group_rows``
+rows, and a task holds one group at a time while query blocks (queries of nearly
+equal length) stream past it.  The number of partitions follows the rows held
+and sent, not the pairs of blocks and buckets.
+
 1. Each query block meets the bucket of the longest vectors; the k-th best
    score there is a lower bound theta for the query's final k-th score.
-2. Every bucket that a block cannot rule out is searched.  In a bucket whose
-   longest vector has length l, a partner of query q needs a cosine of at least
-   theta / (|q| l), the local threshold.  Above 1 the query skips the bucket.  A
-   high local threshold selects *coordinate* pruning: on the query's largest
-   coordinates a partner's unit vector must lie in a narrow range.  A low one
-   selects *length* pruning: only the bucket's prefix of vectors that are long
-   enough is kept.  Survivors are verified by their integer product, and theta
-   rises to the k-th best score found so far.
-3. A query's survivors of all buckets (at most k per bucket) are ranked.
+2. A block goes to the groups that its thetas do not rule out.  There it meets
+   the buckets in descending length.  In a bucket whose longest vector has
+   length l, a partner of query q needs a cosine of at least theta / (|q| l), the
+   local threshold.  Above 1 the query is done with the group, as all further
+   buckets are shorter.  A high local threshold selects *coordinate* pruning: on
+   the query's largest coordinates a partner's unit vector must lie in a narrow
+   range.  A low one selects *length* pruning: only the bucket's prefix of vectors
+   that are long enough is kept.  Survivors are verified by their integer
+   product, and theta rises to the k-th best score the query has found in the
+   group so far.
+3. A query's survivors of all groups (at most k per group) are ranked.
 
 Bounds are loosened by a relative 1e-9 against rounding, products are exact
 integers (double products below 2^53, Python integers beyond; scores stop at
@@ -29,6 +36,7 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -112,31 +120,65 @@ def _pack(kind: str):
     return run
 
 
-def _unpack(ids: bytes, cells: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    c = np.frombuffer(cells, np.int64).reshape(len(i), dim)
-    f = c.astype(np.float64)
-    norms = np.sqrt((f * f).sum(axis=1))
-    return i, c, f / np.where(norms > 0, norms, 1.0)[:, None], norms
-
-
-def _search(block: dict, bucket: dict, theta: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query position, partner ids, scores): a block's best in one bucket, from theta on."""
-    q_ids, q_cells, q_unit, q_norms = _unpack(block["q_ids"], block["q_cells"], block["dim"])
-    ids, cells, unit, norms = _unpack(bucket["ids"], bucket["cells"], block["dim"])
-    for j in range(len(q_ids)):
-        at = candidates(unit, norms, q_unit[j], float(q_norms[j]), float(theta[j]))
-        at = at[ids[at] != q_ids[j]]
-        scores = products(cells[at], q_cells[j])
-        good = scores >= theta[j] if np.isfinite(theta[j]) else np.ones(len(at), bool)
-        at, scores = at[good], scores[good]
-        top = best(ids[at], scores, k)
-        yield j, ids[at][top], scores[top]
+@dataclass
+class Rows:
+    """Vectors of a bucket or block, longest first: ids, integer cells, directions, lengths."""
+
+    ids: np.ndarray
+    cells: np.ndarray
+    unit: np.ndarray
+    norms: np.ndarray
+    exact: bool
+
+    @classmethod
+    def of(cls, ids: bytes, cells: bytes, dim: int) -> Rows:
+        i = np.frombuffer(ids, np.int64)
+        c = np.frombuffer(cells, np.int64).reshape(len(i), dim)
+        f = c.astype(np.float64)
+        norms = np.sqrt((f * f).sum(axis=1))
+        exact = not c.size or float(np.abs(f).max()) ** 2 * max(1, dim) < 2**52  # doubles hold products of such rows
+        return cls(i, f if exact else c, f / np.where(norms > 0, norms, 1.0)[:, None], norms, exact)
+
+
+def search(queries: Rows, buckets: list[Rows], theta: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(query position, partner ids, scores, buckets searched): each query's
+    best in buckets of descending length, theta rising from bucket to bucket."""
+    for j in range(len(queries.ids)):
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bound, searched = float(theta[j]), 0
+        for b in buckets:
+            if bound > 0 and np.isfinite(bound) and queries.norms[j] * b.norms[0] < bound * (1 - SLACK):
+                break  # no vector of this bucket or a later one is long enough
+            searched += 1
+            at = candidates(b.unit, b.norms, queries.unit[j], float(queries.norms[j]), bound)
+            at = at[b.ids[at] != queries.ids[j]]
+            if queries.exact and b.exact:
+                s = (b.cells[at] @ queries.cells[j]).astype(np.int64)
+            else:
+                s = products(b.cells[at].astype(np.int64), queries.cells[j].astype(np.int64))
+            good = s >= bound if np.isfinite(bound) else np.ones(len(at), bool)
+            ids, scores = np.concatenate([ids, b.ids[at][good]]), np.concatenate([scores, s[good]])
+            top = best(ids, scores, k)
+            ids, scores = ids[top], scores[top]
+            if len(scores) == k:
+                bound = max(bound, float(scores[-1]))
+        yield j, ids, scores, searched
 
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding",
-          bucket_rows: int = 4096, block_rows: int = 256) -> DataFrame:
+          bucket_rows: int = 4096, block_rows: int = 256, group_rows: int = 32_768, blocks_per_task: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score for every query row (id divisible by ``query_every``)."""
+    found = survivors(vectors, k, query_every, id_col, vec_col, bucket_rows, block_rows, group_rows, blocks_per_task)
+    # 3. at most k rows per query and group are ranked
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return (found.filter("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def survivors(vectors: DataFrame, k: int, query_every: int, id_col: str, vec_col: str, bucket_rows: int,
+              block_rows: int, group_rows: int, blocks_per_task: int) -> DataFrame:
+    """query_id, vec_id, score of at most k partners per query and group of
+    buckets, and ``searched``: the buckets searched (a row without vec_id where none was found)."""
     spark = vectors.sparkSession
     prepare(spark)
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), scaled(vec_col).alias("cells"))
@@ -147,10 +189,10 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
     rows = materialize(rows.withColumn("bucket", F.floor((F.col("pos") - 1) / bucket_rows)), "top-k-rows")
     buckets = materialize(rows.groupBy("dim", "bucket").applyInArrow(_pack("bucket"), _blob_schema("bucket")),
                           "top-k-buckets")
-    queries = rows.filter(F.col("vec_id") % query_every == 0)
-    n = queries.count()
-    parts = max(1, -(-n // block_rows))
-    blocks = (queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("long"))
+    # queries by length, so that a block's longest says something about all of it
+    queries = with_position(rows.filter(F.col("vec_id") % query_every == 0).drop("pos", "bucket"),
+                            [F.col("dim"), F.col("norm").desc(), F.col("vec_id")])
+    blocks = (queries.withColumn("block", F.floor((F.col("pos") - 1) / block_rows))
               .groupBy("dim", "block").applyInArrow(_pack("block"), _blob_schema("block"))
               .select("dim", "block", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"),
                       F.col("longest").alias("q_longest")))
@@ -162,9 +204,9 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
-            size = len(r["q_ids"]) // 8
-            theta = np.full(size, -np.inf)
-            for j, _, scores in _search(r, r, theta.copy(), k):
+            asked = Rows.of(r["q_ids"], r["q_cells"], r["dim"])
+            theta = np.full(len(asked.ids), -np.inf)
+            for j, _, scores, _ in search(asked, [Rows.of(r["ids"], r["cells"], r["dim"])], theta.copy(), k):
                 if len(scores) == k:
                     theta[j] = scores[-1]
             yield pa.RecordBatch.from_arrays(
@@ -174,25 +216,40 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
     thetas = materialize(blocks.drop("q_longest").join(seeds, "dim").mapInArrow(
         bound, "dim int, block long, theta binary, least double"), "top-k-theta")
 
-    # 2. the buckets that some query of the block cannot rule out, by block and bucket
-    sized = blocks.select("dim", "block", "q_longest").join(thetas, ["dim", "block"])
-    pairs = sized.join(buckets.select("dim", "bucket", "longest"), "dim").filter(
-        F.col("least") <= F.col("q_longest") * F.col("longest") * (1 + 1e-6)).select("dim", "block", "bucket", "theta")
-    work = (pairs.join(blocks.drop("q_longest"), ["dim", "block"])
-            .join(buckets.select("dim", "bucket", "ids", "cells"), ["dim", "bucket"]))
-    work = work.repartition(max(1, pairs.count()), "block", "bucket")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # 2. blocks go to the groups of buckets that some query of theirs cannot rule out
+    per_group = max(1, group_rows // bucket_rows)
+    grouped = buckets.withColumn("group", F.floor(F.col("bucket") / per_group))
+    longest = grouped.groupBy("dim", "group").agg(F.max("longest").alias("longest"))
+    sized = blocks.join(thetas, ["dim", "block"]).withColumn("task", F.floor(F.col("block") / blocks_per_task))
+    sent = sized.join(longest, "dim").filter(
+        F.col("least") <= F.col("q_longest") * F.col("longest") * (1 + 1e-6)).select(
+            "dim", "group", "task", F.lit(1).alias("kind"), F.col("block").alias("number"), F.col("q_ids").alias("ids"),
+            F.col("q_cells").alias("cells"), "theta")
+    held = grouped.join(sent.select("dim", "group", "task").distinct(), ["dim", "group"]).select(
+        "dim", "group", "task", F.lit(0).alias("kind"), F.col("bucket").alias("number"), "ids", "cells",
+        F.lit(None).cast("binary").alias("theta"))
+    n_vectors, n_queries = rows.count(), queries.count()
+    tasks = -(-n_vectors // group_rows) * -(-n_queries // (block_rows * blocks_per_task))
+    parts = max(1, min(tasks, 2 * spark.sparkContext.defaultParallelism + n_vectors // group_rows))
+    work = sent.unionByName(held).repartition(parts, "dim", "group", "task").sortWithinPartitions(
+        "dim", "group", "task", "kind", "number")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for r in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
-            q_ids, theta = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["theta"], np.float64)
-            found = list(_search(r, r, theta, k))
+            if (r["dim"], r["group"], r["task"]) != at:
+                at, held = (r["dim"], r["group"], r["task"]), []
+            if not r["kind"]:  # buckets come first, longest vectors first
+                held.append(Rows.of(r["ids"], r["cells"], r["dim"]))
+                continue
+            asked = Rows.of(r["ids"], r["cells"], r["dim"])
+            found = list(search(asked, held, np.frombuffer(r["theta"], np.float64), k))
+            size = [max(1, len(ids)) for _, ids, _, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.full(len(ids), q_ids[j]) for j, ids, _ in found])),
-                 pa.array(np.concatenate([ids for _, ids, _ in found])),
-                 pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
+                [pa.array(np.repeat(asked.ids[[j for j, *_ in found]], size)),
+                 pa.array([i for _, ids, _, _ in found for i in (ids.tolist() or [None])], pa.int64()),
+                 pa.array([s for _, _, scores, _ in found for s in (scores.tolist() or [None])], pa.int64()),
+                 pa.array(np.repeat([n for *_, n in found], size), pa.int64())],
+                names=["query_id", "vec_id", "score", "searched"])
 
-    found = work.mapInArrow(search, "query_id long, vec_id long, score long")
-    # 3. at most k rows per query and bucket are ranked
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return work.mapInArrow(run, "query_id long, vec_id long, score long, searched long")

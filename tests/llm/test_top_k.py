@@ -59,6 +59,23 @@ def test_coordinate_pruning_keeps_every_partner():
     assert len(top_k.candidates(p / norms[:, None], norms, q / qn, qn, 0.8 * norms[0] * qn)) < 300
 
 
+def test_partitions_follow_rows_and_theta_rises(spark):
+    """Partitions do not number the pairs; within a group later buckets are left out."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 12)) * np.exp(1.2 * rng.normal(size=(3000, 1)))
+    df = spark.createDataFrame([(i, [float(x) for x in r], "c", "b") for i, r in enumerate(v)], VECS)
+    found = top_k.survivors(df, 5, 5, "vec_id", "embedding", 64, 16, 512, 4)
+    pairs = math.ceil(3000 / 64) * math.ceil(600 / 16)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism + 3000 // 512 < pairs / 50
+    searched = {}
+    for r in found.select("query_id", "searched", "vec_id", "score").collect():
+        searched.setdefault(r.query_id, {})[r.searched, r.vec_id is None] = r.searched
+    total = found.groupBy("query_id").agg({"searched": "max"}).count()
+    assert total == 600
+    asked = sum(sum(x.values()) for x in searched.values())
+    assert asked < 600 * math.ceil(3000 / 64) / 3
+
+
 def test_query_matches_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
