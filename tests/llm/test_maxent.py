@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dunegrid.llm import maxent, queries
@@ -53,6 +54,7 @@ def test_base_counts_and_held_out_gain(spark):
 
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(maxent, "KNOWN", 3)  # all other words take the joined counts
+    monkeypatch.setattr(maxent, "HELD", 4)  # and partial counts are given away early
     docs = docs_of(spark, ODD + ["x" * 30 + " B b", "B " + "x" * 30 + " zz"])
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     same(maxent.scores(docs).collect(), plain_base(rows))
@@ -63,28 +65,50 @@ def test_odd_rows(spark, monkeypatch):
     assert maxent.scores(alone).collect()[0].score == pytest.approx(0, abs=1e-6)
 
 
+def plain_hash(word, base):
+    """Polynomial of the bytes plus 1, mixed; 0 for the end."""
+    if word is None:
+        return 0
+    x = sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(word.encode())) & MASK
+    x = ((x ^ (x >> 32)) * M[2]) & MASK
+    return x ^ (x >> 29)
+
+
+@pytest.mark.parametrize("cut", [0, 3])
+def test_tokens_against_plain_python(cut):
+    texts = [*ODD, "x" * 3000 + " end", "", None, "É b"]
+    h1, h2, first = maxent.tokens(pa.array(texts)[cut:])
+    words = [plain_tokens(t) for t in texts[cut:]]
+    assert np.diff(np.append(first, len(h1))).tolist() == [len(w) for w in words]
+    short = [(k, w) for k, w in enumerate(w for ws in words for w in ws) if w is None or len(w) < 100]
+    for k, w in short[:2000]:
+        assert (int(h1[k]), int(h2[k])) == (plain_hash(w, M[0]), plain_hash(w, M[1]))
+    flat = [w for ws in words for w in ws]
+    assert len({(int(a), int(b)) for a, b in zip(h1, h2)}) == len(set(flat))
+
+
 def hashed(x, bits):
     x = ((x ^ (x >> 29)) * M[3]) & MASK
     return x >> (64 - bits)
 
 
-def plain_rows(ids, i, of_class):
+def plain_rows(words, i, of_class):
     """Weight rows of a token of a text by the docstring's features."""
-    one = (ids[i - 1] + 1) * M[0] & MASK if i > 0 else 0
-    two = (ids[i - 2] + 1) * M[1] & MASK if i > 1 else 0
+    one = plain_hash(words[i - 1], M[0]) * M[0] & MASK if i > 0 else 0
+    two = plain_hash(words[i - 2], M[0]) * M[1] & MASK if i > 1 else 0
     c = (of_class + 1) * M[2] & MASK
     b, w = maxent.CLASS_BITS, maxent.WORD_BITS
-    return ([hashed(one, b), hashed(two, b) + (1 << b), hashed((one + (two >> 7)) & MASK, b) + (2 << b)],
+    return ([hashed(one, b), hashed(two, b) + (1 << b)],
             [hashed((one + c) & MASK, w) + maxent.WORD_ROWS_AT,
              hashed((two + c) & MASK, w) + maxent.WORD_ROWS_AT + (1 << w)])
 
 
-def plain_probability(base, weights, ids, i):
-    y = min(ids[i], maxent.OTHER)
+def plain_probability(base, weights, ranks, words, i):
+    y = min(ranks[plain_hash(words[i], M[0])], maxent.OTHER)
     c, w = divmod(y, maxent.WIDTH)
-    f, g = plain_rows(ids, i, c)
-    p = np.exp(base.class_bias.astype(float) + sum(weights[r].astype(float) for r in f))
-    q = np.exp(base.word_bias[c].astype(float) + sum(weights[r].astype(float) for r in g))
+    f, g = plain_rows(words, i, c)
+    p = base.classes * np.exp(sum(weights[r].astype(float) for r in f))
+    q = base.inside[c] * np.exp(sum(weights[r].astype(float) for r in g))
     return p / p.sum(), q / q.sum(), f, g, c, w
 
 
@@ -100,12 +124,12 @@ def test_scores_and_gradient_against_loops(small):
     docs, texts, base = small
     rng = np.random.default_rng(5)
     weights = rng.normal(size=(maxent.ROWS, maxent.WIDTH)).astype(np.float32)
-    known = {t: i for i, t in enumerate(base.known)}
+    ranks = {int(h): i for i, h in enumerate(base.h1)}
     want, seen, hoped = [], np.zeros(weights.shape), np.zeros(weights.shape)
     for t in texts:
-        ids, total = [known[x.encode() if x else b""] for x in plain_tokens(t)], 0.0
-        for i in range(len(ids)):
-            p, q, f, g, c, w = plain_probability(base, weights, ids, i)
+        words, total = plain_tokens(t), 0.0
+        for i in range(len(words)):
+            p, q, f, g, c, w = plain_probability(base, weights, ranks, words, i)
             total += math.log10(p[c] * q[w])
             for r in f:
                 hoped[r] += p
@@ -125,5 +149,14 @@ def test_without_weights_the_model_is_the_base(small):
     weights = np.zeros((maxent.ROWS, maxent.WIDTH), np.float32)
     for r in maxent._row_scores(docs.selectExpr("*", "false AS held_out"), base, weights).collect():
         assert r.score == pytest.approx(r.base, abs=1e-4)
-    left = np.exp(base.class_bias.astype(float))[:, None] * np.exp(base.word_bias.astype(float))
+    left = base.classes.astype(float)[:, None] * base.inside.astype(float)
     assert left.sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_rows_are_added_up():
+    rng = np.random.default_rng(2)
+    rows, values = rng.zipf(1.4, 9000) % 300, rng.random((9000, 4), dtype=np.float32)
+    to, want = np.ones((300, 4), np.float32), np.ones((300, 4))
+    maxent._add_rows(to, rows, values)
+    np.add.at(want, rows, values)
+    assert np.allclose(to, want, rtol=1e-4)
