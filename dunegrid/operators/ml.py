@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dunegrid.functions.geometry import morton2
 from dunegrid.session import materialize
 
 
@@ -157,3 +159,38 @@ def confusion_metrics(df: DataFrame, label_col: str, prediction_col: str) -> Dat
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
     return cls.agg((F.sum("tp") / F.sum("n_true")).alias("accuracy"),
                    (F.sum(F.col("n_true") * f1) / F.sum("n_true")).alias("f1"))
+
+
+def with_spatial_fold(cells: DataFrame, block: int, folds: int, buffer: int = 0, c: str = "c", r: str = "r",
+                      out: str = "fold", seed: int = 1) -> DataFrame:
+    """Add the cross-validation fold of every cell: blocks of ``block`` x
+    ``block`` cells (by Morton code) go to folds as a whole.  Cells within
+    ``buffer`` cells of a block's border are left out, so that cells of two
+    folds are more than 2 * ``buffer`` cells apart."""
+    code = morton2(F.floor(F.col(c) / block), F.floor(F.col(r) / block))
+    inside = [(F.pmod(F.col(x), F.lit(block)) >= buffer) & (F.pmod(F.col(x), F.lit(block)) < block - buffer) for x in (c, r)]
+    return cells.filter(inside[0] & inside[1]).withColumn(
+        out, F.pmod(F.xxhash64(code, F.lit(seed)), F.lit(folds)).cast("int"))
+
+
+def cross_validated_tree(cells: DataFrame, features: Sequence[str], label: str, fold: str, folds: int,
+                         depths: Sequence[int] = (2, 4), min_rows: Sequence[int] = (1, 20), seed: int = 1):
+    """(model, report) of a decision tree chosen by blocked cross-validation:
+    the report has a row per setting (max_depth, min_rows, accuracy, is_best)
+    with the best tree's depth and nodes.  Rows with a NULL feature or label
+    are left out."""
+    tree = DecisionTreeClassifier(featuresCol="_features", labelCol="_label", seed=seed)
+    grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).addGrid(tree.minInstancesPerNode, list(min_rows)).build()
+    rows = cells.select(fold, F.col(label).cast("double").alias("_label"), *features).dropna()
+    rows = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows).select(fold, "_label", "_features")
+    search = CrossValidator(
+        estimator=Pipeline(stages=[tree]), estimatorParamMaps=grid, numFolds=folds, foldCol=fold, seed=seed,
+        evaluator=MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy"))
+    fitted = search.fit(rows.cache())
+    best = fitted.bestModel.stages[0]
+    chosen = max(range(len(grid)), key=lambda k: fitted.avgMetrics[k])
+    report = [(int(g[tree.maxDepth]), int(g[tree.minInstancesPerNode]), float(m), k == chosen, best.depth, best.numNodes)
+              for k, (g, m) in enumerate(zip(grid, fitted.avgMetrics))]
+    rows.unpersist()
+    return fitted.bestModel, cells.sparkSession.createDataFrame(
+        report, "max_depth int, min_rows int, accuracy double, is_best boolean, depth int, nodes int")

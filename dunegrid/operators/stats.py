@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from dunegrid.functions.indices import fvc, safe_div
 from dunegrid.operators.ordering import with_position
+from dunegrid.operators.sketch import quantile_sketch, sketch_percentiles
 from dunegrid.session import materialize
 
 
@@ -102,12 +103,17 @@ def histogram(df: DataFrame, col: str, lo: float, width: float) -> DataFrame:
 
 
 def fvc_from_quantiles(df: DataFrame, ndvi_col: str = "ndvi", p_soil: float = 0.10,
-                       p_veg: float = 0.95, out: str = "fvc") -> DataFrame:
+                       p_veg: float = 0.95, out: str = "fvc", sketch_size: int | None = None) -> DataFrame:
     """FVC with soil / vegetation end-members taken as NDVI percentiles of the layer.
 
     The original read breaks 1 and n-2 of a 20-quantile histogram of the
     NDVI raster (an integer histogram of values in [-1, 1], which loses the
-    information); here they are exact percentiles at ``p_soil``/``p_veg``.
+    information); here they are exact percentiles at ``p_soil``/``p_veg``, or
+    with ``sketch_size`` those of a one-pass summary of that many values.
     """
-    soil, veg = percentile_values(df, ndvi_col, [p_soil, p_veg])
+    if sketch_size is None:
+        soil, veg = percentile_values(df, ndvi_col, [p_soil, p_veg])
+    else:
+        found = sketch_percentiles(quantile_sketch(df, ndvi_col, sketch_size), [p_soil, p_veg]).collect()
+        soil, veg = ({r["p"]: r["value"] for r in found}.get(p) for p in (p_soil, p_veg))
     return df.withColumn(out, fvc(F.col(ndvi_col), F.lit(soil), F.lit(veg)))

@@ -303,17 +303,17 @@ def band_assembly(spark, sf):
     return assembly.assemble_bands(td.band_file(spark, sf), 6)
 
 
-@register("spatial_join_bands", ops=("C1", "B2"),
-          sql=with_ctes(PX, BF, ("k", """
-SELECT string_split(path, '/')[-2] AS scene_id, CAST(floor(cx) AS INT) AS c, CAST(floor(cy) AS INT) AS r,
-       band_index, v FROM band_file WHERE v IS NOT NULL OR band_index > 0"""), body="""
+@register("spatial_join_bands", ops=("C1", "B2"), sql=f"""
+WITH px AS MATERIALIZED ({td.PX_SQL}), band_file AS MATERIALIZED ({td.BAND_FILE_SQL}), k AS MATERIALIZED (
+  SELECT string_split(path, '/')[-2] AS scene_id, CAST(floor(cx) AS INT) AS c, CAST(floor(cy) AS INT) AS r, band_index, v
+  FROM band_file WHERE v IS NOT NULL OR band_index > 0)
 SELECT scene_id, c, r, b0.v AS blue, b1.v AS green, b2.v AS red, b3.v AS nir, b4.v AS swir1, b5.v AS swir2
 FROM (SELECT * FROM k WHERE band_index = 0) b0
 JOIN (SELECT * FROM k WHERE band_index = 1) b1 USING (scene_id, c, r)
 JOIN (SELECT * FROM k WHERE band_index = 2) b2 USING (scene_id, c, r)
 JOIN (SELECT * FROM k WHERE band_index = 3) b3 USING (scene_id, c, r)
 JOIN (SELECT * FROM k WHERE band_index = 4) b4 USING (scene_id, c, r)
-JOIN (SELECT * FROM k WHERE band_index = 5) b5 USING (scene_id, c, r)"""))
+JOIN (SELECT * FROM k WHERE band_index = 5) b5 USING (scene_id, c, r)""")
 def spatial_join_bands(spark, sf):
     """All scenes, all six bands; a scene's blue layer has no record where it
     is nodata, so those cells are in no joined record."""
