@@ -3,7 +3,6 @@ its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from dunegrid.llm import (digest, main_text, maxent, merkle, mixing, near_dup, packing, quality, resample, sharding, token_orc,
                           top_k, warc)
 from dunegrid.llm.common import table
-from dunegrid.session import checkpoint_dir
+from dunegrid.session import scratch_table_path
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,7 +21,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_table_path(spark, name)
 
 
 def op1_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dup.groups(table(spark, sf_dir, "documents"), words=3, percent=85)
-    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

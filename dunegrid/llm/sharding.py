@@ -38,8 +38,8 @@ def least_loaded(units: list[tuple[int, str]], shards: int) -> dict[str, int]:
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, units_per_shard: int = 500, row_bytes: int = 8) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus ``row_bytes``), text_crc32, shard, slot."""
+def placed_rows(docs: DataFrame, shards: int = 24, units_per_shard: int = 500, row_bytes: int = 8) -> DataFrame:
+    """doc_id, size (UTF-8 bytes plus ``row_bytes``), text_crc32, group (of the text), shard."""
     spark = docs.sparkSession
     prepare(spark)
     raw = F.encode(text_or_empty(), "UTF-8")
@@ -58,9 +58,14 @@ def shard_rows(docs: DataFrame, shards: int = 24, units_per_shard: int = 500, ro
     lookup = spark.createDataFrame(list(plan.items()) or [("", 0)], "unit string, shard int")
     own = F.broadcast(lookup.select(F.col("unit").alias("group"), F.col("shard").alias("own_shard")))
     bundled = F.broadcast(lookup.select("unit", F.col("shard").alias("bundle_shard")))
-    placed = (rows.join(own, "group", "left").join(bundled, bundle == F.col("unit"), "left")
-              .select("doc_id", "size", "text_crc32",
-                      F.coalesce("own_shard", "bundle_shard").alias("shard")))
+    return (rows.join(own, "group", "left").join(bundled, bundle == F.col("unit"), "left")
+            .select("doc_id", "size", "text_crc32", "group",
+                    F.coalesce("own_shard", "bundle_shard").alias("shard")))
+
+
+def shard_rows(docs: DataFrame, shards: int = 24, units_per_shard: int = 500, row_bytes: int = 8) -> DataFrame:
+    """doc_id, size (UTF-8 bytes plus ``row_bytes``), text_crc32, shard, slot."""
+    placed = placed_rows(docs, shards, units_per_shard, row_bytes).drop("group")
     placed = with_position(placed, ["shard", "doc_id", "text_crc32"])
     first = placed.groupBy("shard").agg(F.min("pos").alias("first_pos"))  # one row per shard
     return placed.join(F.broadcast(first), "shard").select(
@@ -69,8 +74,9 @@ def shard_rows(docs: DataFrame, shards: int = 24, units_per_shard: int = 500, ro
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
     """Write whole rows below ``path``, one folder ``_shard=N`` per shard."""
-    placed = shard_rows(docs, shards).select("doc_id", "text_crc32", "shard").distinct()
+    placed = placed_rows(docs, shards).select("doc_id", F.col("group").alias("_group"), F.col("shard").alias("_shard"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"),
-                       F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("_crc"))
-    both = rows.join(placed, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_crc") == F.col("text_crc32")))
-    both.select("row.*", F.col("shard").alias("_shard")).write.mode("overwrite").partitionBy("_shard").parquet(path)
+                       F.md5(F.encode(text_or_empty(), "UTF-8")).alias("_text"))
+    # by doc_id as well, so that copies of one text do not meet
+    both = rows.join(placed.distinct(), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text") == F.col("_group")))
+    both.select("row.*", "_shard").write.mode("overwrite").partitionBy("_shard").parquet(path)
