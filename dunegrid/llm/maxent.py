@@ -47,7 +47,7 @@ from dunegrid.llm.common import prepare, slices
 from dunegrid.session import materialize
 
 FOLDS, HELD_OUT_FOLD = 5, 1
-CLASSES, WIDTH = 56, 56
+CLASSES, WIDTH = 64, 64
 OTHER = CLASSES * WIDTH - 1
 #: Tokens whose counts every task holds.
 KNOWN = 65_536
@@ -354,7 +354,7 @@ def gradient(docs: DataFrame, base: Base, weights: np.ndarray, rows: int, smooth
     return out
 
 
-def train(docs: DataFrame, base: Base, rows: int, rounds: int = 3, rate: float = 1.0, smooth: float = 4.0) -> np.ndarray:
+def train(docs: DataFrame, base: Base, rows: int, rounds: int = 3, rate: float = 1.2, smooth: float = 4.0) -> np.ndarray:
     """Weights after ``rounds`` gradient steps, each over its own part of ``docs`` (``rows`` rows)."""
     weights = np.zeros((ROWS, WIDTH), np.float32)
     turn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds))
