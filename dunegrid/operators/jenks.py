@@ -158,10 +158,10 @@ def _solve_leaves(leaves: DataFrame, prev: DataFrame, prefix: DataFrame) -> Data
     return lrows.unionByName(irows).groupBy("task").applyInPandas(_leaf_block, _LEAF_SCHEMA)
 
 
-def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int,
-                 i_lo: int, leaf_pairs: int, chunk: int, fanout: int,
+def _solve_layer(prev: DataFrame, prefix: DataFrame, tasks: DataFrame, leaf_pairs: int, chunk: int, fanout: int,
                  max_group_rows: int = 1 << 18) -> DataFrame:
-    """cost_c(l) for l in [l_lo, l_hi] from the previous layer.
+    """cost_c(l) for the l of ``tasks`` (l_lo, l_hi, i_lo, i_hi: blocks of l with
+    their candidates) from the previous layer.
 
     A block whose (l, i) box exceeds ``leaf_pairs`` (or whose rows exceed
     ``max_group_rows``) is cut at ``fanout - 1``
@@ -170,8 +170,6 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
     sub-blocks (monotone optimum).  Blocks within the bound are solved
     exactly in one grouped-map job.
     """
-    tasks = spark.createDataFrame([(l_lo, l_hi, i_lo, l_hi - 1)],
-                                  "l_lo long, l_hi long, i_lo long, i_hi long")
     parts: list[DataFrame] = []
     table = None  # made for the first split level only: a small layer is one leaf
 
@@ -180,9 +178,11 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
         n_rows = F.col("l_hi") - F.col("l_lo") + 1
         return (n_rows * w_i <= F.lit(leaf_pairs)) & (n_rows + w_i <= F.lit(max_group_rows))
 
-    n_rows0, width0 = l_hi - l_lo + 1, l_hi - i_lo
-    first_leaf = n_rows0 * width0 <= leaf_pairs and n_rows0 + width0 <= max_group_rows
-    n_leaf, n_split = int(first_leaf), int(not first_leaf)   # the first level's shape is known
+    def shape(t):
+        flag = leaf_flag(t)
+        return t.agg(F.coalesce(F.sum(flag.cast("int")), F.lit(0)), F.coalesce(F.sum((~flag).cast("int")), F.lit(0))).first()
+
+    n_leaf, n_split = shape(tasks)
     while True:
         t = tasks.withColumn("leaf", leaf_flag(tasks))
         if n_leaf:
@@ -210,12 +210,11 @@ def _solve_layer(spark, prev: DataFrame, prefix: DataFrame, l_lo: int, l_hi: int
             nxt.filter(F.col("np").isNotNull() & (F.col("p") + 1 <= F.col("np") - 1))
             .select((F.col("p") + 1).alias("l_lo"), (F.col("np") - 1).alias("l_hi"),
                     F.col("arg").alias("i_lo"), F.col("na").alias("i_hi")), "jenks-tasks")
-        flag = leaf_flag(tasks)
-        row = tasks.agg(F.coalesce(F.sum(flag.cast("int")), F.lit(0)).alias("n_leaf"),
-                        F.coalesce(F.sum((~flag).cast("int")), F.lit(0)).alias("n_split")).first()
-        n_leaf, n_split = row["n_leaf"], row["n_split"]
+        n_leaf, n_split = shape(tasks)
         if not n_leaf and not n_split:
             break
+    if not parts:  # no block at all
+        return prev.sparkSession.createDataFrame([], _LEAF_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -245,7 +244,8 @@ def jenks_breaks(df: DataFrame, col: str, k: int, compat_first_class: bool = Fal
         # the classes still to come
         l_lo = n if c == k else c
         l_hi = n - (k - c)
-        layer = _solve_layer(spark, layer, prefix, l_lo, l_hi, c - 1, leaf_pairs, chunk, fanout)
+        block = spark.createDataFrame([(l_lo, l_hi, c - 1, l_hi - 1)], "l_lo long, l_hi long, i_lo long, i_hi long")
+        layer = _solve_layer(layer, prefix, block, leaf_pairs, chunk, fanout)
         layers.append(layer)
     # back-track: end position of each class
     ends = [n]
@@ -270,6 +270,70 @@ def jenks_breaks_df(df: DataFrame, col: str, k: int, **kw) -> DataFrame:
                                            "break_index int, break_value double")
 
 
+def jenks_breaks_by(df: DataFrame, col: str, k: int, keys: Sequence[str], leaf_pairs: int = 1 << 24,
+                    chunk: int = 1 << 14, fanout: int = 64) -> DataFrame:
+    """Natural breaks of every group of ``keys``: keys, break_index, break_value.
+
+    The groups' distinct values stand one after another on one axis of
+    positions, with running sums that go on across them (differences inside a
+    group are all that a cost reads), so every layer solves the blocks of all
+    groups in the same jobs and the back-track is a join per class.  A group
+    with fewer than ``k`` distinct values gets one class per value; a group
+    without values gets no row; NULL keys are a group.
+    """
+    if k <= 1:
+        raise ValueError("jenks: the number of classes must be greater than 1")
+    spark, keys = df.sparkSession, list(keys)
+    checkpoint_dir(spark)
+    ensure_on_executors(spark)
+    counts = materialize(df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("value")).agg(
+        F.count(F.lit(1)).alias("w")), "jenks-values")
+    groups = with_position(counts.groupBy(*keys).agg(F.min("value").alias("_lo"), F.count(F.lit(1)).alias("_n")), keys,
+                           pos_col="_g")
+    named = groups.select("_g", "_lo", *[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)])
+    same = [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    x, w = F.col("value") - F.col("_lo"), F.col("w").cast("double")
+    rows = counts.join(named, on).select("_g", "value", w.alias("w"), (w * x).alias("wx"), (w * x * x).alias("wxx"))
+    pos = with_position(rows, ["_g", "value"], ["w", "wx", "wxx"])
+    zero = spark.createDataFrame([(0, 0, None, 0.0, 0.0, 0.0)],
+                                 "_g long, pos long, value double, W double, S double, Q double")
+    prefix = materialize(pos.select(F.col("_g").cast("long").alias("_g"), F.col("pos").cast("long").alias("pos"), "value",
+                                    F.col("cum_w").alias("W"), F.col("cum_wx").alias("S"),
+                                    F.col("cum_wxx").alias("Q")).unionByName(zero), "jenks-prefix")
+    # a group's positions, its number of classes, and the sums before it
+    spans = prefix.filter("pos > 0").groupBy("_g").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    spans = spans.withColumn("classes", F.least(F.lit(k).cast("long"), F.col("last") - F.col("first") + 1))
+    start = prefix.select((F.col("pos") + 1).alias("first"), F.col("W").alias("W0"), F.col("S").alias("S0"), F.col("Q").alias("Q0"))
+    spans = materialize(spans.join(start, "first"), "jenks-groups")
+    one = prefix.join(spans.select("_g", "W0", "S0", "Q0"), "_g")
+    layers = [one.select(F.col("pos").alias("l"), _ssd(F.col("W"), F.col("S"), F.col("Q"), F.col("W0"), F.col("S0"),
+                                                       F.col("Q0")).alias("cost"), F.lit(0).cast("long").alias("arg"))]
+    before = F.col("first") - 1
+    for c in range(2, k + 1):
+        # as for one group: room for the classes still to come, and only the end of a group's last layer
+        hi = F.col("last") - (F.col("classes") - c)
+        lo = F.when(F.col("classes") == c, F.col("last")).otherwise(before + c)
+        tasks = spans.filter(F.col("classes") >= c).select(
+            lo.alias("l_lo"), hi.alias("l_hi"), (before + (c - 1)).alias("i_lo"), (hi - 1).alias("i_hi"))
+        layers.append(_solve_layer(layers[-1], prefix.drop("_g"), materialize(tasks, "jenks-tasks"), leaf_pairs, chunk, fanout))
+    ends = at = spans.select("_g", F.col("classes").alias("break_index"), F.col("last").alias("pos"))
+    for c in range(k, 1, -1):
+        step = at.filter(F.col("break_index") == c).join(layers[c - 1].select(F.col("l").alias("pos"), "arg"), "pos")
+        at = at.filter(F.col("break_index") < c).unionByName(
+            step.select("_g", F.lit(c - 1).cast("long").alias("break_index"), F.col("arg").alias("pos")))
+        at = materialize(at, "jenks-back")
+        ends = ends.unionByName(at.filter(F.col("break_index") == c - 1).join(
+            spans.filter(F.col("classes") > c - 1).select("_g"), "_g", "left_semi"))
+    ends = ends.unionByName(spans.select("_g", F.lit(0).cast("long").alias("break_index"), F.col("first").alias("pos")))
+    values = ends.join(prefix.select("pos", "value"), "pos").select("_g", F.col("break_index").cast("int").alias("break_index"), "value")
+    second = values.filter("break_index = 1").select("_g", F.col("value").alias("_second"))
+    rule = F.when((F.col("break_index") == 0) & (F.col("value") == F.col("_second")), F.lit(0.0)).otherwise(F.col("value"))
+    return values.join(second, "_g").join(groups.select("_g", *keys), "_g").select(*keys, "break_index", rule.alias("break_value"))
+
+
 def classify(df: DataFrame, col: str, breaks: Sequence[float], out: str = "class") -> DataFrame:
     """Class 1..k per value with right-closed classes (b_{j-1}, b_j]."""
     from dunegrid.operators.mask import class_when

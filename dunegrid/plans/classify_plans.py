@@ -40,6 +40,22 @@ def jenks_band_sum(spark, sf):
     return jenks.jenks_breaks_df(s, "s", K)
 
 
+GROUP_K = 4
+# Scene by scene and half by half, each group by brute force.
+_GROUP_SQL = "SELECT CAST(round(avg(nir) / 100) AS DOUBLE) AS value FROM px WHERE scene = {0} AND c % 2 = {1} GROUP BY c, r"
+_GROUPS = " UNION ALL ".join(
+    f"SELECT {s} AS scene, {h} AS half, break_index, break_value FROM ("
+    + jenks.jenks_sql(_GROUP_SQL.format(s, h), GROUP_K, lead=(PX,)) + ")" for s in range(4) for h in range(2))
+
+
+@register("jenks_breaks_by_group", ops=("J1", "J2"), sql=_GROUPS)
+def jenks_breaks_by_group(spark, sf):
+    """Breaks per scene and half of the columns, all groups in the same jobs."""
+    cells = td.px(spark, sf).groupBy(F.col("scene").cast("int").alias("scene"), (F.col("c") % 2).alias("half"), "c", "r").agg(
+        F.round(F.avg("nir") / 100).alias("v"))
+    return jenks.jenks_breaks_by(cells, "v", GROUP_K, ["scene", "half"])
+
+
 @register("value_sort", ops=("F1",),
           sql=with_ctes(PX, NM, body="SELECT value, row_number() OVER (ORDER BY value) AS rank "
                                       "FROM (SELECT DISTINCT v AS value FROM nm WHERE v IS NOT NULL) t"))

@@ -59,3 +59,33 @@ def test_matches_brute_force_small_splits(spark):
         ssd, ub = brute_force(vals, k)
         assert got == exp
         assert got[1:] == ub
+
+
+@pytest.mark.parametrize("leaf_pairs", [1 << 24, 4])
+def test_breaks_by_group_against_brute_force(spark, leaf_pairs):
+    """All groups in the same jobs; small groups, one value, no value, NULL keys."""
+    import random
+
+    rng = random.Random(leaf_pairs)
+    groups = {("a", 1): [rng.randrange(60) for _ in range(40)], ("a", 2): [rng.randrange(1000) for _ in range(14)],
+              ("b", 1): [5, 5, 9], ("b", 2): [7, 7, 7], (None, 1): [1, 100, 101, 1, 50, 51], ("c", None): [0.5, 2.25, 8, 9.75]}
+    rows = [(a, b, float(v), "x") for (a, b), vs in groups.items() for v in vs] + [("n", 1, None, "x"), ("a", 1, None, "x")]
+    df = spark.createDataFrame(rows, "a string, b int, v double, value string").repartition(3)
+    got = {}
+    for r in sorted(jenks.jenks_breaks_by(df, "v", 3, ["a", "b"], leaf_pairs=leaf_pairs, chunk=4, fanout=3).collect(),
+                    key=lambda r: r.break_index):
+        got.setdefault((r.a, r.b), []).append(r.break_value)
+    assert set(got) == set(groups)
+    for key, vs in groups.items():
+        k = min(3, len(set(vs)))
+        breaks = got[key]
+        assert len(breaks) == k + 1 and breaks[-1] == max(vs)
+        assert breaks[0] == (0.0 if breaks[1] == min(vs) else min(vs))
+        best, _ = brute_force(vs, k)
+        ssd, low = 0.0, -math.inf
+        for high in breaks[1:]:
+            part = [v for v in vs if low < v <= high]
+            ssd += sum((v - sum(part) / len(part)) ** 2 for v in part)
+            low = high
+        assert math.isclose(ssd, best, abs_tol=1e-6)
+    assert jenks.jenks_breaks_by(df.limit(0), "v", 3, ["a"]).collect() == []
