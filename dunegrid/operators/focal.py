@@ -5,7 +5,8 @@ Cells are grouped into square work tiles of ``tile_size``; a cell within
 tile receives its own cells plus a border strip of width ``radius`` (about
 4 radius / tile_size extra rows).  Each tile is then processed as one dense
 numpy array in an Arrow grouped map; a group never
-holds more than (tile_size + 2 radius)^2 cells, whatever the raster size.
+holds more than (tile_size + 2 radius)^2 cells, whatever the raster size.  Small
+windows are sorted; the median of large ones runs a histogram of rank codes.
 
 Window semantics: square window of (2 radius + 1)^2 cells; nodata cells are
 skipped; windows at the raster edge are clipped (only existing cells count);
@@ -28,8 +29,65 @@ from dunegrid.session import ensure_on_executors
 FOCAL_STATS = ("median", "mean", "min", "max", "sum", "count")
 
 
+#: From this radius on the median runs a histogram instead of sorting windows.
+RUNNING_FROM = 4
+
+
+def running_median(arr: np.ndarray, radius: int) -> np.ndarray:
+    """Median of the data cells in every (2 radius + 1)^2 window (NaN if none).
+
+    Values are coded by rank.  Every row keeps a histogram of its window in two
+    levels (codes, and cells of about the square root of their number); a step
+    to the next column takes one column of 2 radius + 1 codes out and one in,
+    for all rows at once, and two short running sums find the middle ranks.  So a
+    cell costs 2 (2 radius + 1) updates, not the window's (2 radius + 1)^2
+    values, and no window is copied.
+    """
+    h, w = arr.shape
+    data = ~np.isnan(arr)
+    values, codes = np.unique(arr[data], return_inverse=True)
+    out = np.full(arr.shape, np.nan)
+    if not len(values):
+        return out
+    side = int(np.ceil(np.sqrt(len(values))))
+    many = side * side
+    padded = np.full((h + 2 * radius, w + 2 * radius), -1, np.int64)
+    inner = padded[radius:radius + h, radius:radius + w]
+    inner[data] = codes.ravel()
+    fine, coarse = np.zeros(h * many, np.int32), np.zeros(h * side, np.int32)
+    n, row = np.zeros(h, np.int64), np.arange(h)
+
+    def step(column: int, sign: int) -> None:
+        at = np.lib.stride_tricks.sliding_window_view(padded[:, column], 2 * radius + 1)
+        known = at >= 0
+        r, code = np.nonzero(known)[0], at[known]
+        np.add.at(fine, r * many + code, np.int32(sign))
+        np.add.at(coarse, r * side + code // side, np.int32(sign))
+        n.__iadd__(sign * known.sum(axis=1))
+
+    def value_at(rank: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        cell = np.minimum((upto <= rank[:, None]).sum(axis=1), side - 1)
+        left = rank - np.where(cell > 0, upto[row, np.maximum(cell - 1, 0)], 0)
+        inside = np.cumsum(fine.reshape(h, side, side)[row, cell], axis=1)
+        code = cell * side + np.minimum((inside <= left[:, None]).sum(axis=1), side - 1)
+        return values[np.minimum(code, len(values) - 1)]
+
+    for column in range(2 * radius):
+        step(column, 1)
+    for x in range(w):
+        step(x + 2 * radius, 1)
+        if x:
+            step(x - 1, -1)
+        upto = np.cumsum(coarse.reshape(h, side), axis=1)
+        low, high = value_at((n - 1) // 2, upto), value_at(n // 2, upto)
+        out[:, x] = np.where(n > 0, np.where(low == high, low, (low + high) / 2), np.nan)
+    return out
+
+
 def _focal_numpy(arr: np.ndarray, radius: int, stat: str) -> np.ndarray:
     """Focal statistic of a 2-D float array with NaN as nodata (same shape out)."""
+    if stat == "median" and radius >= RUNNING_FROM:
+        return running_median(arr, radius)
     k = 2 * radius + 1
     padded = np.pad(arr, radius, mode="constant", constant_values=np.nan)
     win = np.lib.stride_tricks.sliding_window_view(padded, (k, k))

@@ -96,6 +96,16 @@ def focal_median(spark, sf):
     return fo.focal(td.max_nir(spark, sf), "v", radius=2, stat="median", tile_size=FOCAL_TILE)
 
 
+# Fixed parameter: cells on each side of the large window's centre.
+LARGE_RADIUS = 9
+
+
+@register("focal_median_large", ops=("E1", "E2"), sql=with_ctes(PX, NM, body=fo.focal_sql("SELECT c, r, v FROM nm", LARGE_RADIUS)))
+def focal_median_large(spark, sf):
+    """A 19 x 19 median: the running histogram, over tile borders."""
+    return fo.focal(td.max_nir(spark, sf), "v", LARGE_RADIUS, "median", FOCAL_TILE)
+
+
 _YEAR_LAYERS_SQL = "SELECT scene, CAST(year(acquired) AS INT) AS year, c, r, " + ", ".join(
     f"max(CASE WHEN {b} <= 10000 THEN {b} END) AS {b}" for b in td.BANDS) + " FROM px GROUP BY 1, 2, 3, 4"
 

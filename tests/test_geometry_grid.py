@@ -246,3 +246,31 @@ def test_tile_form_equals_cell_form(spark):
             assert got.keys() == exp.keys()
             assert all((p is None) == (q is None) and (p is None or math.isclose(p, q, abs_tol=1e-12))
                        for k in exp for p, q in zip(got[k], exp[k]))
+
+
+@pytest.mark.parametrize("radius, shape", [(4, (30, 41)), (15, (70, 52)), (15, (9, 8)), (0, (5, 5))])
+def test_running_median_equals_sorted_windows(radius, shape):
+    rng = np.random.default_rng(radius)
+    arr = rng.integers(0, 300, shape) / 7.0
+    arr[rng.random(shape) < 0.2] = np.nan
+    arr[:3, :3] = np.nan
+    padded = np.pad(arr, radius, constant_values=np.nan)
+    got = focal.running_median(arr, radius)
+    for y in range(shape[0]):
+        for x in range(shape[1]):
+            window = padded[y:y + 2 * radius + 1, x:x + 2 * radius + 1]
+            window = window[~np.isnan(window)]
+            want = np.median(window) if len(window) else np.nan
+            assert got[y, x] == want or (np.isnan(got[y, x]) and np.isnan(want))
+    assert np.isnan(focal.running_median(np.full((4, 4), np.nan), 5)).all()
+
+
+def test_running_median_holds_no_windows():
+    import tracemalloc
+
+    arr = np.random.default_rng(1).random((96, 96))
+    tracemalloc.start()
+    focal.running_median(arr, 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 * 96 * 31 * 31 * 8 / 4  # a quarter of the windows' copies
