@@ -34,6 +34,8 @@ from dunegrid.session import materialize
 
 Rule = tuple[tuple[str, str, float], ...]  # (statistic, "<=" or ">", threshold), all of which hold
 FOLDS, HELD_OUT_FOLD = 4, 2
+#: Steps of a sample's share, many more than there are labels.
+PLACES = 1 << 40
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, trees: in
              .groupBy("_id").agg(F.min("_y").alias("_y")))
     n = known.count()
     share = min(1.0, sample_rows / max(1, n))
-    known = known.filter(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.filter(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(PLACES)) < math.ceil(share * PLACES))
     # about sample_rows ids at most, so they are broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(known), "_id")
     train = materialize(with_statistics(rows).select("_y", "_stats"), "quality-train")
