@@ -16,8 +16,8 @@ Tokens are a text's words (A-Z lower-cased) and one end.
    weights the model is the base model.
 3. Training is gradient ascent in ``rounds``: in each, every ``rounds``-th
    training text (by hash) adds its observed and expected feature counts to a
-   gradient per task, the gradients are summed block by block on Spark, and a
-   row moves by the difference over the sum of both (a step bounded by its
+   gradient per task (a bounded number of them), the gradients are summed block
+   by block on Spark, and a row moves by the difference over the sum of both (a step bounded by its
    length).  So every training text is used once, and what a task holds and
    the driver gathers is the size of the weights, whatever the input.
 4. Scoring is one pass over all texts in numpy batches.  The ``KNOWN`` most
@@ -58,6 +58,9 @@ WORD_ROWS_AT = SKIPS << CLASS_BITS
 ROWS = WORD_ROWS_AT + (SKIPS << WORD_BITS)
 #: Weight rows of a block of the gradient.
 BLOCK = 1024
+#: Texts of a task's gradient, and most gradients of a round (each is of the
+#: weights' size, so what their sum reads is bounded).
+TEXTS_PER_GRADIENT, MOST_GRADIENTS = 8_000, 4_096
 #: Tokens of a numpy batch, and batches whose probabilities are added up at once.
 BATCH, TOGETHER = 4096, 32
 #: Tokens whose partial counts a task holds before it adds them up, and gives them away.
@@ -345,7 +348,8 @@ def gradient(docs: DataFrame, base: Base, weights: np.ndarray, rows: int, smooth
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([step.tobytes()], pa.binary())],
                                              names=["block", "step"])
 
-    parts = docs.select("text").coalesce(max(1, -(-rows // 8_000))).mapInArrow(run, schema)
+    tasks = min(MOST_GRADIENTS, max(1, -(-rows // TEXTS_PER_GRADIENT)))
+    parts = docs.select("text").coalesce(tasks).mapInArrow(run, schema)
     steps = parts.repartition(ROWS // BLOCK, "block").mapInArrow(total, "block int, step binary")
     out = np.zeros_like(weights)
     for r in steps.collect():  # the size of the weights
