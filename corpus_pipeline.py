@@ -16,13 +16,11 @@ against a brute-force version.  An empty table passes through all stages.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from dunegrid.llm import mixing, near_dup, packing, quality
 from dunegrid.llm.queries import tokenizer_file
-from dunegrid.session import checkpoint_dir
+from dunegrid.session import scratch_table_path
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 WINDOW, TOKENIZER, END_ID = 4096, "word_bpe_49k.json", 2
@@ -52,7 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; returns the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = scratch_table_path(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
