@@ -13,9 +13,9 @@ column, tile row and the time step (``time_days`` days each, counted from
 
 Next to the rows the catalog stores one layout row per (layer, zoom): tile
 size, grid (origin, cell size), CRS, key order, cell bounds, tile-key and step
-bounds and record count.  They are observed while the rows are written (in the
-job's last stage, where a retried or speculative task counts once), so nothing
-is scanned again.
+bounds and record count.  They come from the statistics in the footers of the
+files that the write committed (Spark's aggregate pushdown), so no row is
+scanned again and a retried or speculative task changes nothing.
 
 Read: ``layer``/``zoom`` equalities prune directories; the layout row gives the
 tile size; the area becomes plain range predicates on ``c``/``r`` and on the
@@ -27,9 +27,11 @@ period becomes a range on the time column as well.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dunegrid.functions.curve import in_ranges, z_ranges
@@ -54,6 +56,36 @@ def time_step(time_col: str, time_days: int) -> Column:
     return F.floor(days / F.lit(int(time_days))).cast("int")
 
 
+@contextmanager
+def _footer_aggregates(spark: SparkSession) -> Iterator[None]:
+    """Count, minimum and maximum of Parquet columns are answered by file footers."""
+    v1 = "spark.sql.sources.useV1SourceList"
+    new = {v1: ",".join(x for x in spark.conf.get(v1).split(",") if x != "parquet"),
+           "spark.sql.parquet.aggregatePushdown": "true"}
+    old = {k: spark.conf.get(k) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def _bounds(spark: SparkSession, folder: str, bounds: list[tuple[str, str, str]]) -> dict:
+    """n_records and the bounds (column, name of its minimum, of its maximum) of a written folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return {"n_records": 0}  # an empty layer has no files
+    with _footer_aggregates(spark):
+        return footer_bounds(spark, folder, bounds).first().asDict()
+
+
+def footer_bounds(spark: SparkSession, folder: str, bounds: list[tuple[str, str, str]]) -> DataFrame:
+    return spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("n_records"), *[
+        f(x).alias(n) for x, lo, hi in bounds for f, n in ((F.min, lo), (F.max, hi))])
+
+
 def write_catalog(cells: DataFrame, path: str, layer: str, zoom: int, tile_size: int = 256,
                   c: str = "c", r: str = "r", grid=None, crs: int = 0, time_days: int | None = None,
                   time_col: str = "acquired") -> None:
@@ -79,11 +111,8 @@ def write_catalog(cells: DataFrame, path: str, layer: str, zoom: int, tile_size:
     # over several partitions instead of landing in one task
     extra = [x for x in cells.columns if x not in (c, r)][:1]
     ordered = keyed.repartitionByRange("zkey", r, c, *extra).sortWithinPartitions("zkey", r, c)
-    seen = Observation()
-    observed = ordered.observe(seen, F.count(F.lit(1)).alias("n_records"),
-                               *[f(x).alias(n) for x, lo, hi in bounds for f, n in ((F.min, lo), (F.max, hi))])
-    _write(observed.drop("step").withColumns({"layer": F.lit(layer), "zoom": F.lit(int(zoom))}), path)
-    found = seen.get
+    _write(ordered.withColumns({"layer": F.lit(layer), "zoom": F.lit(int(zoom))}), path)
+    found = _bounds(cells.sparkSession, f"{path}/layer={layer}/zoom={int(zoom)}", bounds)
     ints = ["col_min", "col_max", "row_min", "row_max", "col_key_min", "col_key_max", "row_key_min", "row_key_max",
             "step_min", "step_max"]
     row = (layer, int(zoom), int(tile_size), float(x0), float(y0), float(dx), float(dy), int(crs), time_days,

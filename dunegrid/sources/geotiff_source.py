@@ -18,8 +18,9 @@ Writing.  A row (file, cols, rows, cells, xmin, ymax, dx, dy, and samples if
 there are several) is one file, its name below the target path in ``file``.
 Every attempt of a task writes to a folder of its own below ``_temporary`` of
 the job; the job's commit moves the files of the attempts that Spark chose into
-place and removes the rest, and its abort removes everything, so a lost or
-speculative task leaves nothing.  Options: ``crs``, ``compress``, ``dtype``,
+place and removes the rest, and its abort removes everything; an attempt that
+ends after that finds the job's mark gone and removes its own files, so a lost,
+late or speculative task leaves nothing.  Options: ``crs``, ``compress``, ``dtype``,
 ``predictor``, ``nodata``.
 
 Files are opened by ``geotiff.resolve`` (local paths, S3 schemes, any URI of
@@ -205,11 +206,26 @@ class GeoTiffWriter(ds.DataSourceArrowWriter):
                        "predictor": options.get("predictor", "false").lower() == "true",
                        "nodata": None if nodata is None else float(nodata) if "." in nodata else int(nodata)}
         self.job = f"_temporary/{uuid.uuid4().hex}"
+        filesystem, root = geotiff.resolve(self.path, self.storage)
+        filesystem.create_dir(f"{root}/{self.job}", recursive=True)
+        with filesystem.open_output_stream(f"{root}/{self.job}/{self.MARK}", compression=None):
+            pass  # the job is on (made once, on the driver)
+
+    #: Stands in the job's folder until it is committed or aborted.
+    MARK = "_started"
+
+    def _is_on(self) -> bool:
+        from pyarrow import fs as pafs
+
+        filesystem, root = geotiff.resolve(self.path, self.storage)
+        return filesystem.get_file_info(f"{root}/{self.job}/{self.MARK}").type == pafs.FileType.File
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         filesystem, root = geotiff.resolve(self.path, self.storage)
         attempt = f"{root}/{self.job}/{uuid.uuid4().hex}"
         files: list[tuple[str, str]] = []
+        if not self._is_on():
+            raise RuntimeError("the job has ended")
         for b in iterator:
             for i in range(b.num_rows):  # one tile in memory at a time
                 rec = b.slice(i, 1).to_pylist()[0]
@@ -223,6 +239,9 @@ class GeoTiffWriter(ds.DataSourceArrowWriter):
                 with filesystem.open_output_stream(staged, compression=None) as out:
                     out.write(blob)
                 files.append((staged, rec["file"]))
+        if not self._is_on():  # aborted meanwhile
+            self._clear()
+            raise RuntimeError("the job has ended")
         return Written(files)
 
     def _clear(self) -> None:

@@ -131,12 +131,17 @@ def test_period_prunes_with_the_area_in_space_time_order(spark, stored):
     assert groups_read(f"{stored}/space", catalog.key_ranges(row, None, period))[0] > total / 2
 
 
-def test_layout_is_observed_while_writing(spark, stored):
+def test_layout_comes_from_file_footers(spark, stored):
     cells = layer(spark)
     for order, days in (("space", None), ("time", 30)):
         row = catalog.read_layout(spark, f"{stored}/{order}", "x").first()
         assert (row.n_records, row.col_min, row.col_max, row.row_max, row.col_key_max) == (cells.count(), 0, 127, 127, 31)
         assert row.time_days == days and (row.step_min is None) == (days is None)
+    folder = f"{stored}/time/layer=x/zoom=0"
+    with catalog._footer_aggregates(spark):
+        plan = catalog.footer_bounds(spark, folder, [("c", "a", "b"), ("step", "s", "t")])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(c), MAX(c), MIN(step), MAX(step)]" in plan  # nothing is scanned
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
     empty = f"{stored}/empty"
     catalog.write_catalog(cells.limit(0), empty, "x", 0)
     assert catalog.read_layout(spark, empty, "x").first().n_records == 0

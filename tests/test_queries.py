@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from dunegrid.plans import QUERIES
 from tests.conftest import SF_SMALL
 
-TABLES = "lineitem embeddings region nation".split()
+TABLES = "lineitem embeddings region nation customer".split()
 
 
 def _norm(rows, cols):

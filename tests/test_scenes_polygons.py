@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -83,16 +84,26 @@ def test_large_files_are_shared_by_rows_of_windows(tmpdir_fresh):
     assert sum(sum(b.column("cells")[0].as_py()) for b in rows) == sum(range(400))
 
 
+def until_empty(path):
+    """Tasks that were running when the job was aborted remove their own files when they end."""
+    for _ in range(60):
+        if not os.path.exists(f"{path}/_temporary"):
+            break
+        time.sleep(0.5)
+    assert files(path) == []
+
+
 def test_aborted_write_leaves_nothing(spark, tmpdir_fresh):
     geotiff_source.register(spark)
     tiles = tiles_of(spark, NAMES)
     bad = tiles.withColumn("rows", F.when(F.col("file").startswith("s2"), 6).otherwise(F.col("rows")))
     with pytest.raises(Exception):
         bad.repartition(4).write.format("geotiff").mode("append").save(tmpdir_fresh)
-    assert files(tmpdir_fresh) == [] and folders(tmpdir_fresh) == [f"{tmpdir_fresh}/"]
+    until_empty(tmpdir_fresh)
+    assert folders(tmpdir_fresh) == [f"{tmpdir_fresh}/"]
     with pytest.raises(Exception, match="one file name"):
         tiles.unionByName(tiles).write.format("geotiff").mode("append").save(tmpdir_fresh)
-    assert files(tmpdir_fresh) == []
+    until_empty(tmpdir_fresh)
     tiles.write.format("geotiff").mode("append").save(tmpdir_fresh)
     tiles.limit(1).write.format("geotiff").mode("overwrite").save(tmpdir_fresh)
     assert len(files(tmpdir_fresh)) == 1
@@ -107,11 +118,22 @@ def test_attempts_that_spark_did_not_choose_are_removed(tmpdir_fresh):
                                          "ymax": 0.0, "dx": 1.0, "dy": -1.0}])
     writer = geotiff_source.GeoTiffWriter({"path": tmpdir_fresh}, False)
     lost, chosen = writer.write(iter([batch])), writer.write(iter([batch]))
-    assert len(files(tmpdir_fresh)) == 2 and all(f.startswith("_temporary") for f in files(tmpdir_fresh))
+    assert len(files(tmpdir_fresh)) == 3 and all(f.startswith("_temporary") for f in files(tmpdir_fresh))
     assert geotiff_source.GeoTiffReader({"path": tmpdir_fresh}).listed() == []  # not seen before the commit
     assert lost.files[0][0] != chosen.files[0][0]
     writer.commit([chosen, None])
     assert files(tmpdir_fresh) == ["a/b.TIF"] and not os.path.exists(f"{tmpdir_fresh}/_temporary")
+    with pytest.raises(RuntimeError, match="ended"):  # an attempt after the job's end
+        writer.write(iter([batch]))
+    late = geotiff_source.GeoTiffWriter({"path": tmpdir_fresh}, False)
+
+    def slow():
+        yield batch
+        late.abort([])
+    with pytest.raises(RuntimeError, match="ended"):
+        late.write(slow())
+    assert files(tmpdir_fresh) == ["a/b.TIF"] and not os.path.exists(f"{tmpdir_fresh}/_temporary")
+    writer = geotiff_source.GeoTiffWriter({"path": tmpdir_fresh}, False)
     with pytest.raises(ValueError, match="below"):
         writer.write(iter([pa.RecordBatch.from_pylist([{**batch.to_pylist()[0], "file": "../b.TIF"}])]))
 
